@@ -34,8 +34,10 @@ FEATURES = {
     "week": lambda ts: _unit(F.weekofyear(ts), 1, 52),
 }
 
-# Fixed lists: features used at each sampling frequency, finest first.
+# Fixed lists: features used at each sampling frequency, coarsest frequency first.
 BY_FREQ = {
+    "Y": [],
+    "A": [],
     "Q": ["month"],
     "M": ["month"],
     "W": ["dom", "week"],

@@ -159,7 +159,7 @@ def split_index(col: Column, splits: Sequence[float]) -> Column:
     return F.size(F.filter(cuts, lambda s: s <= col))
 
 
-def spread_sequence(df: DataFrame, keys: Sequence[str], count: str, out: str, chunk: int = 4096) -> DataFrame:
+def spread_sequence(df: DataFrame, keys: Sequence[str], count: str, out: str, chunk: int = 1 << 16) -> DataFrame:
     """One row per index 0..count-1. Long sequences are first cut into chunks that are spread over the tasks, so a
     row with a very large count is not expanded inside one task."""
     chunks = (df.filter(F.col(count) > 0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, framed
+from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, framed, spread_sequence
 
 
 def unit_windows(df: DataFrame, keys: Sequence[str], pos: str, value: Column, context: int, horizon: int,
@@ -87,9 +87,10 @@ def zero_padded_windows(df: DataFrame, keys: Sequence[str], pos: str, value: Col
 def starts_in_intervals(bounds: DataFrame, start: str, stop: str, length: int, stride: int) -> DataFrame:
     """Window starts wholly inside each half-open interval; raises when an interval is shorter than a window."""
     short = F.col(stop) - F.col(start) < length
-    checked = F.when(short, F.raise_error(F.lit("an interval is shorter than one window"))).otherwise(F.col(start))
-    return bounds.withColumn("start_pos", F.explode(F.sequence(
-        checked.cast("bigint"), (F.col(stop) - length).cast("bigint"), F.lit(stride).cast("bigint"))))
+    count = F.when(short, F.raise_error(F.lit("an interval is shorter than one window"))).otherwise(
+        F.floor((F.col(stop) - F.col(start) - length) / F.lit(stride)) + 1)
+    spread = spread_sequence(bounds.withColumn("_count", count.cast("bigint")), [start], "_count", "_i")
+    return spread.withColumn("start_pos", (F.col(start) + F.col("_i") * stride).cast("bigint")).drop("_count", "_i")
 
 
 def label_runs(df: DataFrame, keys: Sequence[str], pos: str, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -106,9 +107,9 @@ def label_runs(df: DataFrame, keys: Sequence[str], pos: str, label: str, block_r
 
 def windows_in_runs(runs: DataFrame, length: int) -> DataFrame:
     """Non-overlapping windows wholly inside same-label runs; the tail of a run is dropped."""
-    return (runs.filter(F.col("run_stop") - F.col("run_start") >= length)
-            .withColumn("start_pos", F.explode(F.sequence(
-                F.col("run_start"), F.col("run_stop") - length, F.lit(length).cast("bigint")))))
+    counted = runs.withColumn("_count", F.floor((F.col("run_stop") - F.col("run_start")) / F.lit(length)))
+    spread = spread_sequence(counted, ["run_start"], "_count", "_i")
+    return spread.withColumn("start_pos", F.col("run_start") + F.col("_i") * length).drop("_count", "_i")
 
 
 def gather(draws: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, length: int) -> DataFrame:
