@@ -417,21 +417,24 @@ TEXT_PATTERNS = {"license": r"(?i)licen[cs]e", "email": r"[a-z0-9.]+@[a-z0-9]+\.
 
 @query("pattern_scan", r"""
 WITH f AS (SELECT lang, regexp_matches(text, '(?i)licen[cs]e') AS license, regexp_matches(text, '[a-z0-9.]+@[a-z0-9]+\.[a-z]+') AS email,
-  regexp_matches(text, '[0-9]{4,}') AS number, regexp_matches(text, '(?i)torch\.randn') AS "torch.randn",
+  regexp_matches(text, '[0-9]{4,}') AS number, regexp_matches(text, '(?i)torch\.randn') AS randn,
   regexp_matches(text, '(?i)\bdp_sigma\b') AS dp_sigma,
-  CASE WHEN regexp_matches(text, '[a-z_]+[:=]\s*([A-Za-z0-9/+]{8,})') THEN regexp_extract(text, '[a-z_]+[:=]\s*([A-Za-z0-9/+]{8,})', 1) END AS formula
+  CASE WHEN regexp_matches(text, 'token\s*=\s*"([0-9a-f]+)"') THEN regexp_extract(text, 'token\s*=\s*"([0-9a-f]+)"', 1) END AS formula
   FROM documents)
 SELECT lang, count(*) AS files, count_if(license)::BIGINT AS license, count_if(email)::BIGINT AS email, count_if(number)::BIGINT AS number,
-  count_if("torch.randn")::BIGINT AS "torch.randn", count_if(dp_sigma)::BIGINT AS dp_sigma, count(formula) AS formulas,
-  count_if(contains(formula, 'A') AND contains(formula, 'a') AND NOT contains(formula, '//'))::BIGINT AS plain FROM f GROUP BY 1
+  count_if(randn)::BIGINT AS randn, count_if(dp_sigma)::BIGINT AS dp_sigma, count(formula) AS formulas,
+  count_if(coalesce(contains(formula, '00') OR contains(formula, 'ff'), false))::BIGINT AS doubled,
+  count_if(coalesce(contains(formula, 'a') AND contains(formula, '7') AND NOT contains(formula, '00') AND NOT contains(formula, 'ff'), false))::BIGINT AS plain
+FROM f GROUP BY 1
 """)
 def pattern_scan(spark, sf):
     docs = fx.read_table(spark, sf, "documents").select("lang", "text")
-    noise = {n: textscan.NOISE_PATTERNS[n] for n in ("torch.randn", "dp_sigma")}
+    noise = {"randn": textscan.NOISE_PATTERNS["torch.randn"], "dp_sigma": textscan.NOISE_PATTERNS["dp_sigma"]}
     flags = textscan.flag_patterns(docs, "text", {**TEXT_PATTERNS, **noise})
-    kinds = textscan.classify_formula(flags, "text", r"[a-z_]+[:=]\s*([A-Za-z0-9/+]{8,})", ["//"], ["A", "a"])
-    kinds = kinds.withColumn("formulas", F.col("formula").isNotNull()).withColumn("plain", F.col("kind") == "plain")
-    return textscan.summarise_flags(kinds, ["lang"], [*TEXT_PATTERNS, *noise, "formulas", "plain"])
+    kinds = textscan.classify_formula(flags, "text", r'token\s*=\s*"([0-9a-f]+)"', ["00", "ff"], ["a", "7"])
+    kinds = kinds.withColumns({"formulas": F.col("formula").isNotNull(), "doubled": F.col("kind").eqNullSafe("doubled"),
+                               "plain": F.col("kind").eqNullSafe("plain")})
+    return textscan.summarise_flags(kinds, ["lang"], [*TEXT_PATTERNS, *noise, "formulas", "doubled", "plain"])
 
 
 # ---- joins, unions, sorts ------------------------------------------------------------------------------------
@@ -514,8 +517,8 @@ def geo_range_join(spark, sf):
 
 @query("greedy_separated", f"""
 WITH RECURSIVE {POINTS_SQL},
-ord AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM pts),
-conf AS (SELECT b.rn AS rn, list(a.rn) AS earlier FROM ord a JOIN ord b ON a.rn < b.rn AND abs(a.lat - b.lat) < 0.3
+ord AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM pts),
+conf AS MATERIALIZED (SELECT b.rn AS rn, list(a.rn) AS earlier FROM ord a JOIN ord b ON a.rn < b.rn AND abs(a.lat - b.lat) < 0.3
          WHERE {miles_sql('a', 'b')} < 20 GROUP BY 1),
 scan AS (SELECT 1::BIGINT AS rn, [1::BIGINT] AS kept
   UNION ALL
