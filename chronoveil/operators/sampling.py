@@ -197,7 +197,8 @@ def geometry(df: DataFrame, keys: Sequence[str], length: int, stride: int, fract
     event = F.greatest(F.lit(1), F.ceil(scaled)) if event_rounding == "ceil" else F.floor(scaled)
     span = length + horizon
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("candidates", (F.floor((F.col("n") - span) / F.lit(stride)) + 1).cast("bigint"))
+            .withColumn("candidates", F.greatest(
+                F.lit(0), F.floor((F.col("n") - span) / F.lit(stride)) + 1).cast("bigint"))
             .withColumn("event_length", event.cast("bigint"))
             .withColumn("affected", F.least(
                 F.col("candidates"),
