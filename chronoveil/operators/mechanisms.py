@@ -170,6 +170,20 @@ class StreamPublisher:
             self.c = self._target_count()
         return spent, tested
 
+    def snapshot(self) -> dict:
+        """State as plain values."""
+        return {"i": self.i, "c": self.c, "rho": self.rho, "eps": list(self.eps), "svt": list(self.svt),
+                "changes": list(self.changes), "raw": None if self.last_raw is None else self.last_raw.tolist(),
+                "out": None if self.out is None else self.out.tolist()}
+
+    def restore(self, doc: dict) -> None:
+        self.i, self.c, self.rho = doc["i"], doc["c"], doc["rho"]
+        self.eps.extend(doc["eps"])
+        self.svt.extend(doc["svt"])
+        self.changes.extend((a, b) for a, b in doc["changes"])
+        self.last_raw = None if doc["raw"] is None else np.asarray(doc["raw"])
+        self.out = None if doc["out"] is None else np.asarray(doc["out"])
+
     def _decide(self, row, noise, u_query):
         remain = self.eps_p - sum(self.eps)
         share = self.eps_p / self.c

@@ -145,6 +145,21 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
                                         for n in values])
 
 
+def minimum_before(df: DataFrame, keys: Sequence[str], order: str, block: Column | None, col: str,
+                   out: str) -> DataFrame:
+    """Smallest value among all earlier rows of the series (null on the first row)."""
+    def spec(cols, by):
+        return Window.partitionBy(*cols).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+
+    if block is None:
+        return df.withColumn(out, F.min(col).over(spec(keys, order)))
+    tagged = df.withColumn(BLK, block)
+    lows = tagged.groupBy(*keys, BLK).agg(F.min(col).alias("_m"))
+    seeds = lows.select(*keys, BLK, F.min("_m").over(spec(keys, BLK)).alias("_p"))
+    local = tagged.repartition(*keys, BLK).withColumn("_l", F.min(col).over(spec([*keys, BLK], order)))
+    return (local.join(seeds, [*keys, BLK], "left").withColumn(out, F.least("_l", "_p")).drop("_l", "_p", BLK))
+
+
 def value_splits(df: DataFrame, col: str, parts: int, error: float = 0.001) -> list[float]:
     """Approximate equi-depth cut points of a numeric column (at most ``parts - 1`` numbers reach the driver)."""
     probs = [i / parts for i in range(1, parts)]

@@ -140,12 +140,12 @@ def minmax(spark, sf):
 
 @query("norm_params", f"""
 WITH {fx.EVENTS_SQL}, l AS (SELECT series_id, 'value' AS channel, value FROM ev UNION ALL SELECT series_id, 'k', k FROM ev)
-SELECT series_id, channel, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min,
+SELECT series_id, channel, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS std, min(value) AS min,
   max(value) AS max FROM l GROUP BY 1, 2
 """)
 def norm_params(spark, sf):
     out = clean.norm_params(fx.events(spark, sf), K, ["value", "k"])
-    return out.select("series_id", "channel", r6(F.col("mean"), "mean"), r6(F.col("std"), "std"), "min", "max")
+    return out.select("series_id", "channel", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"), "min", "max")
 
 
 SPLIT_SQL = fx.SERIES_SQL + """,
