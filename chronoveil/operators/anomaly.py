@@ -51,10 +51,10 @@ def rank_scores(df: DataFrame, col: str, rank: int) -> DataFrame:
     """Squared error of the best rank-r linear reconstruction (principal components, fitted distributed)."""
     vectors = df.withColumn("_x", array_to_vector(F.col(col)))
     means = df.select(F.posexplode(col).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"))
-    centre = means.agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("_ms"))  # one row of d entries
+    centre = means.agg(F.array_sort(F.collect_list(F.struct("d", "m")))).scalar()  # d entries
     model = PCA(k=rank, inputCol="_x", outputCol="_z").fit(vectors)
     basis = model.pc.toArray()  # d x r
-    centred = vectors.crossJoin(F.broadcast(centre)).withColumn(
+    centred = vectors.withColumn("_ms", centre).withColumn(
         "_c", F.zip_with(F.col(col), F.transform("_ms", lambda s: s["m"]), lambda x, m: x - m))
     axes = [F.array(*[F.lit(float(v)) for v in basis[:, r]]) for r in range(rank)]
 

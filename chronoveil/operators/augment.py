@@ -39,10 +39,10 @@ def shuffled_partner(windows: DataFrame, ids: Sequence[str], seed: int, parts: i
     """
     def ranked(role: str, prefix: str) -> DataFrame:
         tagged = windows.select(*[F.col(c).alias(f"{prefix}{c}") for c in ids],
-                                uniform(seed, role, *[F.col(c) for c in ids]).alias("_u")).withColumn("_all", F.lit(0))
+                                uniform(seed, role, *[F.col(c) for c in ids]).alias("_u"))
         names = [f"{prefix}{c}" for c in ids]
         block = split_index(F.col("_u"), [i / parts for i in range(1, parts)])
-        return running_sum(tagged, ["_all"], ["_u", *names], block, {"_rank": F.lit(1)}).drop("_u", "_all")
+        return running_sum(tagged, [], ["_u", *names], block, {"_rank": F.lit(1)}).drop("_u")
 
     return ranked("first", "").join(ranked("second", "other_"), "_rank").drop("_rank")
 

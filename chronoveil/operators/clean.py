@@ -56,7 +56,13 @@ def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], exprs: dict[str, Column]) -> DataFrame:
-    """Aggregate per key and join the result back, so that a hot key is combined map-side and never sorted."""
+    """Aggregate per key and attach the result to the rows, so that a hot key is combined map-side and never sorted.
+
+    Without keys the aggregate is one row and becomes a scalar subquery instead of a join.
+    """
+    if not keys:
+        one = df.agg(F.struct(*[e.alias(n) for n, e in exprs.items()])).scalar()
+        return df.withColumn("_stats", one).select(*df.columns, *[F.col("_stats")[n].alias(n) for n in exprs])
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
     return df.join(stats, list(keys))
 

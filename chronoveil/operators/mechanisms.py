@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoveil.functions import vectors as vec
 from chronoveil.functions.rng import gaussian, laplace, uniform
+from chronoveil.operators.clean import group_stats
 from chronoveil.operators.position import BLOCK_ROWS, framed, previous
 
 
@@ -289,6 +290,5 @@ def debias_counts(df: DataFrame, keys: Sequence[str], noisy: str, epsilon: float
     p = grr_keep_probability(epsilon, classes)
     q = (1.0 - p) / F.lit(float(classes - 1))
     seen = df.groupBy(*keys, noisy).agg(F.count(F.lit(1)).alias("observed"))
-    totals = seen.groupBy(*keys).agg(F.sum("observed").alias("_n")) if keys else seen.agg(F.sum("observed").alias("_n"))
-    joined = seen.join(totals, list(keys)) if keys else seen.crossJoin(F.broadcast(totals))
+    joined = group_stats(seen, keys, {"_n": F.sum("observed")})
     return joined.withColumn("estimate", (F.col("observed") - F.col("_n") * q) / (p - q)).drop("_n")

@@ -19,17 +19,12 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], score: str, label: str, pa
     """
     counts = df.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.sum(F.col(label).cast("bigint")).alias("_p"), F.sum(1 - F.col(label).cast("bigint")).alias("_n"))
-    scope = list(keys)
-    if not scope:
-        counts, scope = counts.withColumn("_all", F.lit(0)), ["_all"]
     block = split_index(F.col("_s"), value_splits(df, score, parts)) if parts > 1 else None
-    cum = running_sum(counts, scope, ["_s"], block, {"_cp": F.col("_p"), "_cn": F.col("_n")})
-    totals = counts.groupBy(*scope).agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    return cum.join(totals, scope)
-
-
-def _scope(keys: Sequence[str]) -> list[str]:
-    return list(keys) or ["_all"]
+    cum = running_sum(counts, keys, ["_s"], block, {"_cp": F.col("_p"), "_cn": F.col("_n")})
+    if not keys:
+        return cum.withColumns({"_tp": counts.agg(F.sum("_p")).scalar(), "_tn": counts.agg(F.sum("_n")).scalar()})
+    totals = counts.groupBy(*keys).agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
+    return cum.join(totals, list(keys))
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str, parts: int = 64) -> DataFrame:
@@ -41,7 +36,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str,
     at_least_p, at_least = total_p - below_p, total_p - below_p + total_n - below_n
     ap = F.sum(p / total_p * at_least_p / at_least)
     both = F.max((total_p > 0) & (total_n > 0))
-    return r.groupBy(*_scope(keys)).agg(F.when(both, wins).alias("auroc"), F.when(F.max(total_p) > 0, ap).alias("ap")).select(
+    return r.groupBy(*keys).agg(F.when(both, wins).alias("auroc"), F.when(F.max(total_p) > 0, ap).alias("ap")).select(
         *keys, "auroc", "ap")
 
 

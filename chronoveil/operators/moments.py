@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from chronoveil.functions import vectors as vec
 from chronoveil.functions.rng import pick, uniform
 from chronoveil.operators.mechanisms import clip_factor
-from chronoveil.operators.position import spread_sequence
+from chronoveil.operators.clean import group_stats
+from chronoveil.operators.position import join_sized, spread_sequence
 from chronoveil.operators.quantile import exact_quantiles
 from chronoveil.operators.sampling import balanced_intervals, bernoulli_hits
 
@@ -41,7 +42,7 @@ def count_sketch(df: DataFrame, keys: Sequence[str], col: str, dims: int, bucket
               .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))))
     bucket, sign = sketch_map(F.col("d"), F.lit(name), F.col("seed"), buckets)
     table = coords.select("d", "seed", bucket.alias("bucket"), sign.alias("_sign"))
-    rows = exploded(df, keys, col).join(F.broadcast(table), "d")
+    rows = join_sized(exploded(df, keys, col), table, ["d"], dims * len(seeds))
     return rows.groupBy(*keys, "seed", "bucket").agg(F.sum(F.col("x") * F.col("_sign")).alias("x"))
 
 
@@ -55,25 +56,51 @@ def norm_summary(df: DataFrame, keys: Sequence[str], col: str, loss: str, bound:
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def covariance(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+def covariance(df: DataFrame, keys: Sequence[str], col: str, held_keys: int = 64) -> DataFrame:
     """Population covariance in long form (i <= j).
 
-    Each vector emits its d(d+1)/2 products, which are summed map-side: the shuffle carries one row per entry and
-    task, never a group of vectors. Means are joined from a second aggregate of d rows. Vectors with a value that
-    is not finite fail the job.
+    Vectors are centred first (products of raw values would cancel). Each task then turns its Arrow batches into one
+    d*d partial product per key, so the shuffle carries d(d+1)/2 rows per key and task however many vectors there
+    are. Vectors with a value that is not finite fail the job.
     """
     v = F.col(col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     safe = F.when(bad, F.raise_error(F.lit("vector with a value that is not finite"))).otherwise(v)
     checked = df.select(*keys, safe.alias("_v"))
     means = exploded(checked, keys, "_v").groupBy(*keys, "d").agg(F.avg("x").alias("m"))
-    # Centre before multiplying: products of raw values would cancel.
-    packed = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("_ms"))
-    centred = (checked.join(packed, list(keys)) if keys else checked.crossJoin(F.broadcast(packed))).select(
-        *keys, F.zip_with("_v", F.transform("_ms", lambda s: s["m"]), lambda x, m: x - m).alias("_c"))
-    rows = centred.select(*keys, "_c", F.posexplode("_c").alias("i", "xi"))
-    pairs = rows.select(*keys, "i", "xi", F.posexplode("_c").alias("j", "xj")).filter(F.col("j") >= F.col("i"))
-    return pairs.groupBy(*keys, "i", "j").agg(F.avg(F.col("xi") * F.col("xj")).alias("cov"))
+    packed = F.array_sort(F.collect_list(F.struct("d", "m")))  # d entries
+    if keys:
+        with_mean = checked.join(means.groupBy(*keys).agg(packed.alias("_ms")), list(keys))
+    else:
+        with_mean = checked.withColumn("_ms", means.agg(packed).scalar())
+    centred = with_mean.select(
+        *keys, F.zip_with("_v", F.transform("_ms", lambda s: s["m"]), lambda x, m: x - m).alias("c"))
+    fields = {f.name: f.dataType.simpleString() for f in centred.schema.fields}
+    schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "i int", "j int", "s double", "n bigint"])
+
+    def emit(grams: dict) -> pd.DataFrame:
+        parts = []
+        for key, (gram, n) in grams.items():
+            i, j = np.triu_indices(len(gram))
+            parts.append(pd.DataFrame({**dict(zip(keys, key)), "i": i, "j": j, "s": gram[i, j], "n": n}))
+        return pd.concat(parts)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams: dict = {}
+        for pdf in batches:
+            groups = pdf.groupby(list(keys), sort=False) if keys else [((), pdf)]
+            for key, part in groups:
+                x = np.stack(part["c"].to_list())
+                old, n = grams.get(key, (0.0, 0))
+                grams[key] = (old + x.T @ x, n + len(x))
+            if len(grams) > held_keys:
+                yield emit(grams)
+                grams = {}
+        if grams:
+            yield emit(grams)
+
+    sums = centred.mapInPandas(partial, schema)
+    return sums.groupBy(*keys, "i", "j").agg((F.sum("s") / F.sum("n")).alias("cov"))
 
 
 def trace_frobenius(cov: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -207,8 +234,7 @@ def compare_traces(baseline: DataFrame, method: DataFrame) -> DataFrame:
 
 def against_baseline(df: DataFrame, keys: Sequence[str], method: str, value: str, baseline: str) -> DataFrame:
     """Ratio and reduction of each method against the baseline row of the same key (null for a zero baseline)."""
-    base = df.filter(F.col(method) == baseline).select(*keys, F.col(value).alias("_b"))
-    joined = df.join(base, list(keys), "left") if keys else df.crossJoin(F.broadcast(base))
+    joined = group_stats(df, keys, {"_b": F.max(F.when(F.col(method) == baseline, F.col(value)))})
     ratio = F.col(value) / F.when(F.col("_b") != 0, F.col("_b"))
     return joined.withColumn("ratio", ratio).withColumn("reduction", 1.0 - F.col("ratio")).drop("_b")
 

@@ -24,8 +24,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         splits = value_splits(df.select(F.col(value).cast("double").alias(value)), value, parts)
         block = split_index(F.col("_v").cast("double"), splits)
     ranked = running_sum(counts, keys, ["_v"], block, {"_hi": F.col("_c")})
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = ranked.join(totals, list(keys)) if keys else ranked.crossJoin(F.broadcast(totals))
+    if keys:
+        joined = ranked.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))
+    else:
+        joined = ranked.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     aggs = []
     for name, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))

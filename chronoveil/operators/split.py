@@ -78,7 +78,7 @@ def pooled_position(df: DataFrame, keys: Sequence[str], pos: str, block_rows: in
     """
     lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
     blk = F.floor(F.col(keys[0]) / F.lit(block_rows)).cast("bigint") if len(keys) == 1 else None
-    summed = running_sum(lengths.withColumn("_all", F.lit(0)), ["_all"], list(keys), blk, {"_cum": F.col("_len")})
+    summed = running_sum(lengths, [], list(keys), blk, {"_cum": F.col("_len")})
     offsets = summed.select(*keys, (F.col("_cum") - F.col("_len")).alias("_off"))
     return df.join(offsets, list(keys)).withColumn("pool_pos", F.col("_off") + F.col(pos)).drop("_off")
 

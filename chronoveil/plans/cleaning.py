@@ -196,8 +196,8 @@ SELECT event_id, round((value - g.m) / g.s, 6) AS enc, round(((value - g.m) / g.
   round((value - p.m) / p.s, 6) AS enc_point FROM ev, g, p WHERE p.event_type = ev.event_type
 """)
 def gaussian_norm(spark, sf):
-    ev = fx.events(spark, sf).select("event_id", "event_type", "value").withColumn("all_rows", F.lit(0))
-    whole = clean.gaussian_norm(ev, ["all_rows"], "value")
+    ev = fx.events(spark, sf).select("event_id", "event_type", "value")
+    whole = clean.gaussian_norm(ev, [], "value")
     whole = whole.withColumnsRenamed({"enc": "enc_all", "dec": "dec_all"})
     out = clean.gaussian_norm(whole, ["event_type"], "value")
     return out.select("event_id", r6(F.col("enc_all"), "enc"), r6(F.col("dec_all"), "dec"), r6(F.col("enc"), "enc_point"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from chronoveil.plans import fixtures as fx
 from chronoveil.plans.mechanism_queries import VALUE_RANGE, grr_sql
 from chronoveil.plans.registry import query
+from chronoveil.session import prepare
 from chronoveil.streaming import streams as st
 
 EVENT_SCHEMA = T.StructType([
@@ -16,8 +17,7 @@ EVENT_SCHEMA = T.StructType([
 
 
 def event_stream(spark, sf):
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    prepare(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
     raw = st.replay(spark, sf, EVENT_SCHEMA, "events.parquet")
     return raw.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value",

@@ -24,7 +24,7 @@ def r9(c, name):
 def population(spark, sf):
     """Vectors with their index 0..n-1 and the population size."""
     v = fx.vectors(spark, sf)
-    return v.crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("n"))))
+    return v.withColumn("n", v.agg(F.count(F.lit(1))).scalar())
 
 
 SKETCH_SQL = fx.VECTORS_SQL + f""",
@@ -169,7 +169,7 @@ def half(spark, sf, parity):
 
     v = fx.vectors(spark, sf).filter(F.col("label") % 2 == parity).withColumn("g", F.lit(0))
     placed = with_position(v, ["g"], "vec_id", out="idx")
-    return placed.crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))).select("idx", "n", "v")
+    return placed.withColumn("n", v.agg(F.count(F.lit(1))).scalar()).select("idx", "n", "v")
 
 
 @query("bootstrap_trace", f"""
@@ -208,7 +208,7 @@ def seed_traces(spark, sf):
     sizes = v.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     per = rows.groupBy("seed", "part", "bucket").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     n = F.col("n")
-    return per.join(F.broadcast(sizes), "part").groupBy("seed", "part").agg(
+    return per.join(sizes, "part").groupBy("seed", "part").agg(
         F.sum(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n)).alias("trace"))
 
 
@@ -231,7 +231,7 @@ def seed_comparison(spark, sf):
     wide = seed_traces(spark, sf).groupBy("seed").pivot("part", [0, 1]).agg(F.first("trace"))
     v = fx.vectors(spark, sf).withColumn("part", F.col("label") % 2)
     raw = (mo.exploded(v, ["part"], "v").groupBy("part", "d").agg(F.var_pop("x").alias("x")).groupBy("part").agg(F.sum("x").alias("t")))
-    reduction = raw.agg((1.0 - F.max(F.when(F.col("part") == 1, F.col("t"))) / F.max(F.when(F.col("part") == 0, F.col("t")))).alias("raw"))
-    out = mo.seed_comparison(wide.crossJoin(F.broadcast(reduction)), [], "0", "1", F.col("raw"))
+    reduction = raw.agg((1.0 - F.max(F.when(F.col("part") == 1, F.col("t"))) / F.max(F.when(F.col("part") == 0, F.col("t"))))).scalar()
+    out = mo.seed_comparison(wide.withColumn("raw", reduction), [], "0", "1", F.col("raw"))
     return out.select("seeds", "worse", r6(F.col("worse_fraction"), "worse_fraction"), "worse_always",
                       r6(F.col("bias_mean"), "bias_mean"), r6(F.col("bias_std"), "bias_std"), "favourable")

@@ -28,6 +28,16 @@ def build_session(app: str = "chronoveil", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators rely on: UTC instants, and skewed joins split even where that costs a shuffle."""
+    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true",
+                       "spark.sql.adaptive.skewJoin.enabled": "true",
+                       "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

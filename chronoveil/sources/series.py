@@ -45,10 +45,10 @@ def labelled(df: DataFrame, label: str, out: str = "label") -> DataFrame:
     exact = F.col(label).cast("double")
     whole = F.when(exact != F.floor(exact), F.raise_error(F.lit("labels must be integers"))).otherwise(
         exact.cast("int"))
-    lowest = df.agg(F.min(F.col(label).cast("int")).alias("_lowest"))  # exactly one row
+    lowest = df.agg(F.min(F.col(label).cast("int"))).scalar()
     rest = [c for c in df.columns if c != label]
-    shifted = whole - F.when(F.col("_lowest") >= 1, F.lit(1)).otherwise(F.lit(0))
-    return df.crossJoin(F.broadcast(lowest)).select(*rest, shifted.alias(out))
+    shifted = whole - F.when(lowest >= 1, F.lit(1)).otherwise(F.lit(0))
+    return df.select(*rest, shifted.alias(out))
 
 
 def read_headerless(spark: SparkSession, path: str, width: int) -> DataFrame:

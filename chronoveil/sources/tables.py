@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoveil.session import prepare
+
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """``root/name.parquet`` with zone-less timestamps read as UTC instants.
 
     The cast is a projection over the scan: column pruning and filters on other columns still reach the files.
     """
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    prepare(spark)
     df = spark.read.parquet(f"{root}/{name}.parquet")
     zoneless = {f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
     if not zoneless:

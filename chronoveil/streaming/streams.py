@@ -134,10 +134,10 @@ class PrivateRelease(StatefulProcessor):
         if self.state.exists():
             publisher.restore(json.loads(self.state.get()[0]))
         x = pdf[self.cols].to_numpy(float)
-        z = pdf[[f"_n_{c}" for c in self.cols]].to_numpy(float)
+        z = pdf[[f"noise_{c}" for c in self.cols]].to_numpy(float)
         out, used = np.empty_like(x), np.empty((len(pdf), 2))
         first = publisher.i
-        for i, (uq, ut) in enumerate(zip(pdf["_uq"], pdf["_ut"])):
+        for i, (uq, ut) in enumerate(zip(pdf["u_query"], pdf["u_threshold"])):
             used[i] = publisher.publish(x[i], z[i], uq, ut)
             out[i] = publisher.out
         self.state.update((json.dumps(publisher.snapshot()),))
@@ -158,7 +158,7 @@ def private_release(stream: DataFrame, key: str, order: str, row_id: str, cols:
         return laplace(uniform("spas", role, F.lit(seed), F.col(row_id)), 1.0)
 
     noised = stream.select(*dict.fromkeys([key, order, row_id, *cols])).withColumns(
-        {**{f"_n_{c}": unit(c) for c in cols}, "_uq": unit("query"), "_ut": unit("threshold")})
+        {**{f"noise_{c}": unit(c) for c in cols}, "u_query": unit("query"), "u_threshold": unit("threshold")})
     schema = ", ".join(["series_id BIGINT", "pos BIGINT", *[f"{c} DOUBLE" for c in cols], "eps_used DOUBLE", "svt_used DOUBLE"])
     return noised.groupBy(key).transformWithStateInPandas(
         PrivateRelease(order, cols, epsilon, s_p, s_s, window, windows_back), schema, "append", "none")
