@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, framed
+from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, explode_range, framed
 
 
 def interpolate_index(df: DataFrame, keys: Sequence[str], pos: str, col: str, out: str | None = None,
@@ -49,7 +49,7 @@ def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str
     # A column that is null in a bin (all inputs missing) is filled like an empty bin.
     nxt = carry(nxt, keys, "bin", blk, {f"_f_{c}": F.col(c) for c in cols})
     end = F.coalesce(F.col("_next") - 1, F.col("bin"))
-    return (nxt.withColumn("_b", F.explode(F.sequence(F.col("bin"), end)))
+    return (explode_range(nxt, F.col("bin"), end, "_b")
             .select(*keys, F.col("_b").alias("bin"), (F.col("_b") * step).alias(t),
                     (F.col("_b") != F.col("bin")).alias("filled"),
                     *[F.col(f"_f_{c}").alias(c) for c in cols]))
@@ -174,8 +174,7 @@ def regrid(df: DataFrame, keys: Sequence[str], pos: str, t: str, cols: Sequence[
     first = F.ceil((F.greatest(F.col(t), F.col(low)) - o) / s)
     upto = F.least(F.coalesce(F.col("_n")["t"] - 1, F.col(t)), F.col(high))
     last = F.floor((upto - o) / s)
-    pts = (nxt.withColumn("_i0", first).withColumn("_i1", last).filter(F.col("_i1") >= F.col("_i0"))
-           .withColumn("_i", F.explode(F.sequence(F.col("_i0").cast("bigint"), F.col("_i1").cast("bigint")))))
+    pts = explode_range(nxt, first, last, "_i")
     g = o + F.col("_i") * s
     w = (g - F.col(t)) / (F.col("_n")["t"] - F.col(t))
     return pts.select(*[k for k in df.columns if k not in (pos, t, *cols)], g.alias("grid"), F.col(t).alias("t_prev"),

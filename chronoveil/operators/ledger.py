@@ -197,7 +197,7 @@ def rdp_spaced_poisson(geo: DataFrame, candidates: str, affected: str, batch: in
                               F.coalesce(F.exp(xs[0] - top), F.lit(0.0))))
 
     def term(k: Column, lnc: Column) -> Column:
-        # With every interval active the reference bound adds the terms without binomial weights.
+        # With every interval active the published bound adds the terms without binomial weights.
         mixed = lnc + (m - k) * F.ln(1.0 - xi) + k * F.ln(xi)
         return three(k) + F.when(xi == 1.0, F.lit(0.0)).otherwise(mixed)
 
@@ -246,8 +246,16 @@ def search_grid(geo: DataFrame, candidates: str, batch: int, step: float = 0.01,
     grid = (geo.filter(t >= 2).withColumn("base_spacing", t.cast("bigint"))
             .withColumn("_i", F.explode(F.sequence(F.lit(0), count - 1)))
             .withColumn("lam", lower + F.col("_i") * F.lit(step)).drop("_i"))
-    per = F.greatest(F.lit(1), F.floor(F.lit(float(batch)) / F.col("lam")))
-    return grid.filter((per <= F.col(candidates)) & (F.floor(F.col(candidates) / per) >= min_zeta))
+    per = F.greatest(F.lit(1), F.floor(F.lit(float(batch)) / F.col("lam"))).cast("bigint")
+    return grid.withColumn("intervals", per).filter(
+        (F.col("intervals") <= F.col(candidates)) & (F.floor(F.col(candidates) / F.col("intervals")) >= min_zeta))
+
+
+def merge_equal_rates(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rates with the same number of intervals have the same bound: keep the largest and count them."""
+    rest = [c for c in grid.columns if c not in (*keys, "intervals", "lam")]
+    return grid.groupBy(*keys, "intervals").agg(
+        F.max("lam").alias("lam"), F.count(F.lit(1)).alias("rates"), *[F.first(c).alias(c) for c in rest])
 
 
 def select_lambda(geo: DataFrame, keys: Sequence[str], candidates: str, affected: str, batch: int, sigma: float,
@@ -255,12 +263,12 @@ def select_lambda(geo: DataFrame, keys: Sequence[str], candidates: str, affected
     """Rate that allows most steps within ``epsilon`` (at most ``epochs`` epochs); the larger rate wins ties.
 
     Without a feasible rate the result is 1/t with 0 steps."""
-    grid = search_grid(geo, candidates, batch, step, min_zeta)
+    grid = merge_equal_rates(search_grid(geo, candidates, batch, step, min_zeta), keys)
     rdp = rdp_spaced_poisson(grid, candidates, affected, batch, "lam", sigma, 2, 64)
-    packed = collapse(rdp, [*keys, "base_spacing", "lam"], delta)
+    packed = collapse(rdp, [*keys, "base_spacing", "lam", "rates"], delta)
     scored = max_steps(packed, "orders", F.lit(float(epsilon)), F.col("base_spacing") * epochs)
     best = scored.groupBy(*keys).agg(F.max_by(F.struct("lam", "steps"), F.struct("steps", "lam")).alias("_b"),
-                                     F.count(F.lit(1)).alias("evaluated"))
+                                     F.sum("rates").alias("evaluated"))
     lower = F.lit(1.0) / F.floor(F.col(candidates) / F.lit(batch))
     feasible = F.coalesce(F.col("_b.steps"), F.lit(0)) > 0
     return geo.join(best, list(keys), "left").select(
@@ -272,7 +280,7 @@ def select_lambda(geo: DataFrame, keys: Sequence[str], candidates: str, affected
 def select_lambda_fixed_steps(geo: DataFrame, keys: Sequence[str], candidates: str, affected: str, batch: int,
                               sigma: float, delta: float, steps: int, step: float = 0.01, min_zeta: int = 7) -> DataFrame:
     """Rate with the least epsilon at a fixed number of steps; the larger rate wins ties."""
-    grid = search_grid(geo, candidates, batch, step, min_zeta)
+    grid = merge_equal_rates(search_grid(geo, candidates, batch, step, min_zeta), keys)
     rdp = rdp_spaced_poisson(grid, candidates, affected, batch, "lam", sigma, 2, 63)
     loss = rdp.groupBy(*keys, "lam").agg(F.min(F.lit(float(steps)) * F.col("rdp") + conversion(F.col("alpha"), delta))
                                          .alias("loss"))

@@ -174,6 +174,16 @@ def split_index(col: Column, splits: Sequence[float]) -> Column:
     return F.size(F.filter(cuts, lambda s: s <= col))
 
 
+def explode_range(df: DataFrame, first: Column, last: Column, out: str, chunk: int = 1 << 16) -> DataFrame:
+    """One row per integer first..last (none when last < first), without ever building a long array."""
+    bounds = df.withColumn("_first", first.cast("bigint")).withColumn("_last", last.cast("bigint")).filter(
+        F.col("_last") >= F.col("_first"))
+    low = F.explode(F.sequence(F.col("_first"), F.col("_last"), F.lit(chunk).cast("bigint")))
+    parts = bounds.withColumn("_low", low)
+    high = F.least(F.col("_low") + (chunk - 1), F.col("_last"))
+    return parts.withColumn(out, F.explode(F.sequence(F.col("_low"), high))).drop("_first", "_last", "_low")
+
+
 def spread_sequence(df: DataFrame, keys: Sequence[str], count: str, out: str, chunk: int = 1 << 16) -> DataFrame:
     """One row per index 0..count-1. Long sequences are first cut into chunks that are spread over the tasks, so a
     row with a very large count is not expanded inside one task."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoveil.functions.rng import pick, uniform
-from chronoveil.operators.position import spread_sequence
+from chronoveil.operators.position import explode_range, spread_sequence
 
 # A chunk has at most one expected hit; more than this many has probability below the resolution of a double.
 MAX_HITS = 24
@@ -52,13 +52,19 @@ def distinct_picks(hits: Column, size: Column, draw) -> Column:
 
 
 def bernoulli_hits(units: DataFrame, keys: Sequence[str], unit: str, p: str, steps: str, seed: int,
-                   method: str = "md5") -> DataFrame:
-    """Independent Bernoulli(p) selection of every unit at every step 0..steps-1; one row per hit, with ``step``."""
+                   method: str = "md5", spread: bool = True) -> DataFrame:
+    """Independent Bernoulli(p) selection of every unit at every step 0..steps-1; one row per hit, with ``step``.
+
+    ``spread=False`` leaves the units in their tasks: right when a unit is hit a few times at most.
+    """
     prob = F.col(p)
     chunk = F.when(prob >= 1.0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(1.0 / prob))).cast("bigint")
     live = units.filter((prob > 0) & (F.col(steps) > 0)).withColumn("_size", chunk).withColumn(
         "_chunks", F.ceil(F.col(steps) / F.col("_size")).cast("bigint"))
-    parts = spread_sequence(live, [*keys, unit], "_chunks", "_i")
+    if spread:
+        parts = spread_sequence(live, [*keys, unit], "_chunks", "_i")
+    else:
+        parts = explode_range(live, F.lit(0), F.col("_chunks") - 1, "_i")
     ids = [F.col(k) for k in [*keys, unit, "_i"]]
     size = F.least(F.col("_size"), F.col(steps) - F.col("_i") * F.col("_size"))
     counted = parts.withColumn("_c", size).withColumn(
@@ -87,10 +93,12 @@ def candidates(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride
 
 def poisson(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride: int, batch: int, seed: int,
             method: str = "md5") -> DataFrame:
-    """Each candidate enters each batch with probability min(1, K/candidates). Empty batches have no rows."""
+    """Each candidate enters each batch with probability min(1, K/candidates). Empty batches have no rows.
+
+    A candidate is hit about once per epoch, so its hits are generated next to it and nothing is shuffled."""
     cand = candidates(df, keys, pos, length, stride, batch).withColumn(
         "_p", F.least(F.lit(1.0), F.lit(float(batch)) / F.col("candidates")))
-    return bernoulli_hits(cand, keys, "cand_id", "_p", "steps", seed, method).select(
+    return bernoulli_hits(cand, keys, "cand_id", "_p", "steps", seed, method, spread=False).select(
         *keys, "step", "cand_id", "start_pos")
 
 
