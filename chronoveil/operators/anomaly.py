@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, framed, previous
+from chronoveil.operators.position import BLOCK_ROWS, framed, previous, series_stats
 from chronoveil.operators.windows import window_rows
 
 
@@ -88,7 +88,7 @@ def window_mean_scores(df: DataFrame, keys: Sequence[str], pos: str, cols: Seque
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same scores without copying rows: the mean of (x - m_w)^2 over covering windows is
     (x - E[m_w])^2 + Var[m_w], and both moments are moving aggregates of the window means."""
-    sized = group_stats(df.select(*keys, pos, *cols), keys, {"_n": F.count(F.lit(1))}).filter(F.col("_n") >= length)
+    sized = series_stats(df.select(*keys, pos, *cols), keys, pos, {"_n": F.count(F.lit(1))}, block_rows).filter(F.col("_n") >= length)
     starts = framed(sized, keys, pos, 0, length - 1, {
         f"_w_{c}": (lambda w, c=c: F.avg(c).over(w.rowsBetween(0, length - 1))) for c in cols}, block_rows)
     valid = F.col(pos) + length <= F.col("_n")

@@ -36,15 +36,18 @@ def fill_forward_back(df: DataFrame, keys: Sequence[str], pos: str, col: str, ou
 
 
 def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str], step: int,
-                  block_bins: int | None = BLOCK_ROWS) -> DataFrame:
+                  block_bins: int = BLOCK_ROWS) -> DataFrame:
     """Mean per bin of width ``step`` on a dense grid; an empty bin repeats the bin before it.
 
     Bins are pre-aggregated map-side. Instead of joining to a generated grid, every bin emits itself and the empty
-    bins up to the next one, so no grid wider than a gap exists anywhere.
+    bins up to the next one, so no grid wider than a gap exists anywhere. The time range bounds the bins of a key: up
+    to ``block_bins`` a plain window is used, beyond it blocks of that many bins.
     """
+    low, high = df.agg(F.min(t), F.max(t)).first()
+    few = low is None or (high - low) // step + 1 <= block_bins
     bins = (df.withColumn("bin", F.floor(F.col(t) / F.lit(step)).cast("bigint"))
             .groupBy(*keys, "bin").agg(*[F.avg(c).alias(c) for c in cols]))
-    blk = None if block_bins is None else F.floor(F.col("bin") / F.lit(block_bins)).cast("bigint")
+    blk = None if few else F.floor(F.col("bin") / F.lit(block_bins)).cast("bigint")
     nxt = carry(bins, keys, "bin", blk, {"_next": F.col("bin")}, forward=False, inclusive=False)
     # A column that is null in a bin (all inputs missing) is filled like an empty bin.
     nxt = carry(nxt, keys, "bin", blk, {f"_f_{c}": F.col(c) for c in cols})

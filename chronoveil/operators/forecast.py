@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, framed
+from chronoveil.operators.position import BLOCK_ROWS, framed, series_stats
 
 
 def moving_trends(df: DataFrame, keys: Sequence[str], pos: str, col: str, kernels: Sequence[int],
@@ -21,7 +20,7 @@ def moving_trends(df: DataFrame, keys: Sequence[str], pos: str, col: str, kernel
 
     The padding is arithmetic (missing rows times the edge value), so no padded rows are made.
     """
-    ends = group_stats(df, keys, {"_n": F.count(F.lit(1)), "_a": F.min_by(col, pos), "_z": F.max_by(col, pos)})
+    ends = series_stats(df, keys, pos, {"_n": F.count(F.lit(1)), "_a": F.min_by(col, pos), "_z": F.max_by(col, pos)}, block_rows)
     half = max(kernels) // 2
     exprs = {f"_s{k}": (lambda w, h=k // 2: F.sum(col).over(w.rowsBetween(-h, h))) for k in kernels}
     out = framed(ends, keys, pos, half, half, exprs, block_rows)

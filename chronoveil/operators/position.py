@@ -85,6 +85,20 @@ def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int
             .drop(BLK))
 
 
+def series_stats(df: DataFrame, keys: Sequence[str], pos: str, exprs: dict[str, Column],
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Attach plain aggregates of each series to its rows.
+
+    Series known to be short take an unordered window: positions already placed a series in one partition, so this
+    needs no further shuffle or scan. Otherwise the aggregate is combined map-side and joined back.
+    """
+    if is_short(df, pos, block_rows):
+        spec = Window.partitionBy(*keys)
+        return df.select("*", *[e.over(spec).alias(n) for n, e in exprs.items()])
+    stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
+    return df.join(stats, list(keys))
+
+
 def previous(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str], step: int = 1,
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``lag`` columns: ``cols`` maps the new name to the source column."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoveil.functions.rng import pick, uniform
-from chronoveil.operators.position import explode_range, spread_sequence
+from chronoveil.operators.position import explode_range, series_stats, spread_sequence
 
 # A chunk has at most one expected hit; more than this many has probability below the resolution of a double.
 MAX_HITS = 24
@@ -77,7 +77,10 @@ def bernoulli_hits(units: DataFrame, keys: Sequence[str], unit: str, p: str, ste
 
 def candidate_counts(df: DataFrame, keys: Sequence[str], length: int, stride: int, batch: int) -> DataFrame:
     """Per series: rows ``n``, candidates (n-L)//stride + 1 and steps per epoch; series without K candidates drop."""
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return count_candidates(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), length, stride, batch)
+
+
+def count_candidates(sized: DataFrame, length: int, stride: int, batch: int) -> DataFrame:
     return (sized.withColumn("candidates", (F.floor((F.col("n") - length) / F.lit(stride)) + 1).cast("bigint"))
             .filter(F.col("candidates") >= batch)
             .withColumn("steps", batch_steps(F.col("candidates"), batch)))
@@ -85,10 +88,10 @@ def candidate_counts(df: DataFrame, keys: Sequence[str], length: int, stride: in
 
 def candidates(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride: int, batch: int) -> DataFrame:
     """Window starts 0, stride, 2*stride, …, as a filter of the series rows (no sequence is generated)."""
-    sized = candidate_counts(df, keys, length, stride, batch)
-    starts = df.filter(F.col(pos) % stride == 0).select(
-        *keys, (F.col(pos) / stride).cast("bigint").alias("cand_id"), F.col(pos).alias("start_pos"))
-    return starts.join(sized, list(keys)).filter(F.col("cand_id") < F.col("candidates"))
+    sized = series_stats(df.select(*keys, pos), keys, pos, {"n": F.count(F.lit(1))})
+    starts = sized.filter(F.col(pos) % stride == 0).select(
+        *keys, (F.col(pos) / stride).cast("bigint").alias("cand_id"), F.col(pos).alias("start_pos"), "n")
+    return count_candidates(starts, length, stride, batch).filter(F.col("cand_id") < F.col("candidates"))
 
 
 def poisson(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride: int, batch: int, seed: int,

@@ -7,13 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, running_sum
+from chronoveil.operators.position import BLOCK_ROWS, running_sum, series_stats
 
 
 def split_ratio(df: DataFrame, keys: Sequence[str], pos: str, train: float = 0.7, test: float = 0.2) -> DataFrame:
     """Add ``split``: train = int(n*train) rows, test = int(n*test) last rows, val between (double arithmetic)."""
-    sized = group_stats(df, keys, {"n": F.count(F.lit(1))})
+    sized = series_stats(df, keys, pos, {"n": F.count(F.lit(1))})
     n_train = F.floor(F.col("n") * F.lit(float(train)))
     n_test = F.floor(F.col("n") * F.lit(float(test)))
     label = (F.when(F.col(pos) < n_train, "train").when(F.col(pos) < F.col("n") - n_test, "val").otherwise("test"))
@@ -33,7 +32,7 @@ def split_with_context(df: DataFrame, keys: Sequence[str], pos: str, seq_len: in
 
     ``val`` fixes the validation share; by default validation is what train and test leave.
     """
-    sized = group_stats(df, keys, {"n": F.count(F.lit(1))})
+    sized = series_stats(df, keys, pos, {"n": F.count(F.lit(1))})
     n = F.col("n")
     n_train, n_test = F.floor(n * F.lit(float(train))), F.floor(n * F.lit(float(test)))
     n_val = n - n_train - n_test if val is None else F.floor(n * F.lit(float(val)))
@@ -63,7 +62,7 @@ def split_eval_gap(df: DataFrame, keys: Sequence[str], pos: str, fraction: float
     """Per sequence: development = [0, cut), held_out = [cut + gap, n), cut = int(n * fraction).
 
     Adds ``split`` and ``new_pos``, the position inside the selected part."""
-    sized = group_stats(df, keys, {"n": F.count(F.lit(1))})
+    sized = series_stats(df, keys, pos, {"n": F.count(F.lit(1))})
     cut = F.floor(F.col("n") * F.lit(float(fraction))).cast("bigint")
     part = F.when(F.col(pos) < cut, "development").when(F.col(pos) >= cut + gap, "held_out")
     return (sized.withColumn("split", part).filter(F.col("split").isNotNull())

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import (BLOCK_ROWS, block_of, carry, framed, running_sum, split_index,
-                                            spread_sequence, value_splits)
+from chronoveil.operators.position import (BLOCK_ROWS, block_of, carry, framed, running_sum, series_stats,
+                                            split_index, spread_sequence, value_splits)
 
 
 def unit_windows(df: DataFrame, keys: Sequence[str], pos: str, value: Column, context: int, horizon: int,
@@ -35,7 +35,7 @@ def window_rows(df: DataFrame, keys: Sequence[str], pos: str, length: int, strid
 
     Windows that run past the end of the series are not emitted.
     """
-    sized = group_stats(df, keys, {"_n": F.count(F.lit(1))})
+    sized = series_stats(df, keys, pos, {"_n": F.count(F.lit(1))})
     p = F.col(pos)
     last_win = F.floor((F.col("_n") - length) / F.lit(stride))
     first = F.greatest(F.lit(0), F.ceil((p - (length - 1)) / F.lit(stride)))
@@ -49,7 +49,7 @@ def window_rows(df: DataFrame, keys: Sequence[str], pos: str, length: int, strid
 
 def tumbling_rows(df: DataFrame, keys: Sequence[str], pos: str, length: int) -> DataFrame:
     """Non-overlapping windows without the incomplete tail; no row is copied."""
-    sized = group_stats(df, keys, {"_n": F.count(F.lit(1))})
+    sized = series_stats(df, keys, pos, {"_n": F.count(F.lit(1))})
     return (sized.withColumn("win_id", F.floor(F.col(pos) / F.lit(length)).cast("bigint"))
             .filter((F.col("win_id") + 1) * length <= F.col("_n"))
             .withColumn("offset", (F.col(pos) % length).cast("int")).drop("_n"))
@@ -68,7 +68,7 @@ def zero_padded_windows(df: DataFrame, keys: Sequence[str], pos: str, value: Col
     Start s covers original rows [s-L, s+P); rows before the series are zeros. Only existing rows are exploded; the
     padding is added as constants to the few windows that need it.
     """
-    sized = group_stats(df.select(*keys, pos, value.alias("_v")), keys, {"_n": F.count(F.lit(1))})
+    sized = series_stats(df.select(*keys, pos, value.alias("_v")), keys, pos, {"_n": F.count(F.lit(1))})
     p = F.col(pos)
     last_win = F.floor((F.col("_n") - horizon) / F.lit(stride))
     first = F.greatest(F.lit(0), F.ceil((p - (horizon - 1)) / F.lit(stride)))
@@ -96,14 +96,13 @@ def starts_in_intervals(bounds: DataFrame, start: str, stop: str, length: int, s
 
 def label_runs(df: DataFrame, keys: Sequence[str], pos: str, label: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Maximal runs of equal labels: (keys, run_start, run_stop, label), half-open, from two boundary carries."""
-    lagged = framed(df.select(*keys, pos, label), keys, pos, 1, 0,
-                    {"_prev": lambda w: F.lag(label).over(w)}, block_rows)
+    sized = series_stats(df.select(*keys, pos, label), keys, pos, {"_last": F.max(pos)}, block_rows)
+    lagged = framed(sized, keys, pos, 1, 0, {"_prev": lambda w: F.lag(label).over(w)}, block_rows)
     heads = lagged.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(label))).drop("_prev")
-    ends = df.groupBy(*keys).agg((F.max(pos) + 1).alias("_n"))
     # Heads keep sparse positions, so the next head is a carry and not a fixed-distance frame.
     nxt = carry(heads, keys, pos, block_of(df, pos, block_rows), {"_next": F.col(pos)}, forward=False, inclusive=False)
-    return nxt.join(ends, list(keys)).select(
-        *keys, F.col(pos).alias("run_start"), F.coalesce("_next", "_n").alias("run_stop"), label)
+    return nxt.select(*keys, F.col(pos).alias("run_start"), F.coalesce(F.col("_next"), F.col("_last") + 1).alias("run_stop"),
+                      label)
 
 
 def windows_in_runs(runs: DataFrame, length: int) -> DataFrame:
