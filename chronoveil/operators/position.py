@@ -54,18 +54,43 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
         *keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(block_rows))).alias("_width"))
     tagged = join_sized(df, cuts, keys, n_long, "left").withColumn(
         BLK, F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("bigint"))
-    counts = tagged.filter(F.col("_lo").isNotNull()).groupBy(*keys, BLK).agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, BLK, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(*keys, BLK).orderBy(order, *tie)
-    placed = (tagged.repartition(*keys, BLK)
+    tagged = _refine(tagged.withColumn("_long", F.col("_lo").isNotNull()).drop("_lo", "_width"), keys, order, tie, block_rows)
+    blocks = [BLK, "_sub"]
+    counts = tagged.filter("_long").groupBy(*keys, *blocks).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, *blocks, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*keys, *blocks).orderBy(order, *tie)
+    placed = (tagged.repartition(*keys, *blocks)
               .withColumn("_rn", F.row_number().over(local))
-              .join(offsets, [*keys, BLK], "left")
+              .join(offsets, [*keys, *blocks], "left")
               .withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_rn") - 1).cast("bigint"))
-              .drop(BLK, "_lo", "_width", "_rn", "_off"))
+              .drop(*blocks, "_long", "_rn", "_off"))
     return mark_bound(placed, out, longest)
 
 
+def _refine(tagged: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], block_rows: int) -> DataFrame:
+    """Cut blocks of long keys that are still too large (bursts, equal times) once more; adds ``_sub``.
+
+    A block is cut by its own range of ``order``, or by the first tie column where all its times are equal. All cuts
+    come from exact counts and extremes, so every evaluation of the plan agrees on them.
+    """
+    second = tie[0] if tie and tagged.schema[tie[0]].dataType.typeName() in ("long", "integer", "short", "byte") else None
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")]
+    if second:
+        aggs += [F.min(second).alias("_tlo"), F.max(second).alias("_thi")]
+    large = tagged.filter("_long").groupBy(*keys, BLK).agg(*aggs).filter(F.col("_n") > 4 * block_rows)
+    n_large = large.count()
+    if not n_large:
+        return tagged.withColumn("_sub", F.lit(0).cast("bigint"))
+    parts = F.ceil(F.col("_n") / F.lit(block_rows))
+    by_time = F.floor((F.col(order) - F.col("_lo")) * parts / (F.col("_hi") - F.col("_lo") + 1))
+    by_tie = F.floor((F.col(second) - F.col("_tlo")) * parts / (F.col("_thi") - F.col("_tlo") + 1)) if second else F.lit(0)
+    cut = F.when(F.col("_hi") > F.col("_lo"), by_time).otherwise(by_tie)
+    joined = join_sized(tagged, large, [*keys, BLK], n_large, "left")
+    extra = ["_n", "_lo", "_hi"] + (["_tlo", "_thi"] if second else [])
+    return joined.withColumn("_sub", F.coalesce(cut, F.lit(0)).cast("bigint")).drop(*extra)
+
+
 def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int,
            exprs: dict[str, Callable[[WindowSpec], Column]], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead of a dense position.

@@ -47,8 +47,9 @@ def distinct_picks(hits: Column, size: Column, draw) -> Column:
         t = (F.floor(draw(j) * j) + 1).cast("bigint")
         return F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t)))
 
-    return F.aggregate(F.sequence((size - hits + 1).cast("bigint"), size.cast("bigint")),
-                       F.array().cast("array<bigint>"), step)
+    single = F.array((F.floor(draw(size) * size) + 1).cast("bigint"))  # the loop's result for one hit
+    return F.when(hits == 1, single).otherwise(F.aggregate(
+        F.sequence((size - hits + 1).cast("bigint"), size.cast("bigint")), F.array().cast("array<bigint>"), step))
 
 
 def bernoulli_hits(units: DataFrame, keys: Sequence[str], unit: str, p: str, steps: str, seed: int,

@@ -47,6 +47,22 @@ def test_position_equals_plain_row_number(short, long):
     same(short.select(*ID, "event_id"), long.select(*ID, "event_id"), ID)
 
 
+@pytest.mark.parametrize("kind", ["equal", "burst"])
+def test_position_of_bursts_and_equal_times(spark, kind):
+    """Most rows of the long series share one time, or lie in a sliver of its range."""
+    i = F.col("id")
+    t = F.when(i < 700, 5000) if kind == "equal" else F.when(i < 700, 5000 + F.pmod(i * 7919, F.lit(601)))
+    df = spark.range(1000).select(F.when(i % 50 == 0, 9).otherwise(0).cast("bigint").alias("series_id"), i.alias("event_id"),
+                                  t.otherwise(i * 1000).cast("bigint").alias("t")).repartition(4)
+    cols = ["series_id", "event_id", "pos"]
+    plain = ps.with_position(df, K, "t", ["event_id"])
+    cut = ps.with_position(df, K, "t", ["event_id"], block_rows=SMALL)
+    same(plain.select(*cols), cut.select(*cols), ["series_id", "event_id"])
+    sizes = ps._refine(df.withColumn("_long", F.col("series_id") == 0).withColumn(ps.BLK, F.floor(F.col("t") / 20000)), K, "t",
+                       ["event_id"], SMALL).filter("_long").groupBy(ps.BLK, "_sub").count().agg(F.max("count")).first()[0]
+    assert sizes <= 4 * SMALL
+
+
 def test_bound_is_recorded(short, long):
     assert ps.is_short(short, "pos", 1000)
     assert not ps.is_short(long, "pos", SMALL)
