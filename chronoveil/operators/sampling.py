@@ -27,14 +27,17 @@ def batch_steps(candidates: Column, batch: int) -> Column:
 
 
 def binomial_count(u: Column, trials: Column, p: Column) -> Column:
-    """Inverse-CDF binomial draw for trials*p <= 1."""
-    odds = F.try_divide(p, 1.0 - p)
-    start = F.struct(F.pow(1.0 - p, trials.cast("double")).alias("pmf"), F.lit(0.0).alias("cdf"), F.lit(0).alias("hits"))
+    """Inverse-CDF binomial draw for trials*p <= 1.
+
+    The uniform and the odds travel in the accumulator, so that they are computed once and not per term."""
+    start = F.struct(F.pow(1.0 - p, trials.cast("double")).alias("pmf"), F.lit(0.0).alias("cdf"), F.lit(0).alias("hits"),
+                     u.alias("u"), F.try_divide(p, 1.0 - p).alias("odds"))
 
     def step(acc: Column, k: Column) -> Column:
         cdf = acc["cdf"] + acc["pmf"]
-        nxt = acc["pmf"] * (trials - k) / (k + 1) * odds
-        return F.struct(nxt.alias("pmf"), cdf.alias("cdf"), (acc["hits"] + (u >= cdf).cast("int")).alias("hits"))
+        nxt = acc["pmf"] * (trials - k) / (k + 1) * acc["odds"]
+        return F.struct(nxt.alias("pmf"), cdf.alias("cdf"), (acc["hits"] + (acc["u"] >= cdf).cast("int")).alias("hits"),
+                        acc["u"].alias("u"), acc["odds"].alias("odds"))
 
     ks = F.sequence(F.lit(0), (F.least(trials, F.lit(MAX_HITS)) - 1).cast("int"))
     drawn = F.aggregate(ks, start, step, lambda acc: acc["hits"])
@@ -48,7 +51,7 @@ def distinct_picks(hits: Column, size: Column, draw) -> Column:
         return F.concat(acc, F.array(F.when(F.array_contains(acc, t), j).otherwise(t)))
 
     single = F.array((F.floor(draw(size) * size) + 1).cast("bigint"))  # the loop's result for one hit
-    return F.when(hits == 1, single).otherwise(F.aggregate(
+    return F.when(hits == 0, F.array().cast("array<bigint>")).when(hits == 1, single).otherwise(F.aggregate(
         F.sequence((size - hits + 1).cast("bigint"), size.cast("bigint")), F.array().cast("array<bigint>"), step))
 
 
@@ -71,7 +74,8 @@ def bernoulli_hits(units: DataFrame, keys: Sequence[str], unit: str, p: str, ste
     counted = parts.withColumn("_c", size).withColumn(
         "_hits", binomial_count(uniform(seed, "count", *ids, method=method), F.col("_c"), prob))
     picks = distinct_picks(F.col("_hits"), F.col("_c"), lambda j: uniform(seed, "step", *ids, j, method=method))
-    return (counted.filter(F.col("_hits") > 0).withColumn("_pick", F.explode(picks))
+    # No filter on the count: it would be pushed below and compute the draw twice. Empty arrays give no rows.
+    return (counted.withColumn("_pick", F.explode(picks))
             .withColumn("step", (F.col("_i") * F.col("_size") + F.col("_pick") - 1).cast("bigint"))
             .drop("_size", "_chunks", "_i", "_c", "_hits", "_pick"))
 
