@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, framed, previous, series_stats
+from chronoveil.operators.position import BLOCK_ROWS, framed, group_bound, join_sized, previous, series_stats
 from chronoveil.operators.windows import window_rows
 
 
@@ -42,7 +42,7 @@ def ar1_scores(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str]
     both = F.array(*[F.struct(F.col(f"_p_{c}").alias("x"), F.col(c).alias("y")) for c in cols])
     fit = (ready.select(*keys, F.inline(both)).groupBy(*keys)
            .agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")))
-    scored = ready.join(fit, list(keys))
+    scored = join_sized(ready, fit, keys, group_bound(df, keys))
     err = _mean([_squared(F.col(c) - F.col("slope") * F.col(f"_p_{c}") - F.col("intercept")) for c in cols])
     return scored.withColumn("score", err).drop(*[f"_p_{c}" for c in cols])
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, explode_range, framed
+from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, explode_range, framed, group_bound, join_sized
 
 
 def interpolate_index(df: DataFrame, keys: Sequence[str], pos: str, col: str, out: str | None = None,
@@ -58,16 +58,17 @@ def resample_mean(df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str
                     *[F.col(f"_f_{c}").alias(c) for c in cols]))
 
 
-def group_stats(df: DataFrame, keys: Sequence[str], exprs: dict[str, Column]) -> DataFrame:
+def group_stats(df: DataFrame, keys: Sequence[str], exprs: dict[str, Column], groups: int | None = None) -> DataFrame:
     """Aggregate per key and attach the result to the rows, so that a hot key is combined map-side and never sorted.
 
-    Without keys the aggregate is one row and becomes a scalar subquery instead of a join.
+    Without keys the aggregate is one row and becomes a scalar subquery instead of a join. ``groups`` is a known bound
+    on the number of groups (by default the one measured with the positions); only then the statistics are broadcast.
     """
     if not keys:
         one = df.agg(F.struct(*[e.alias(n) for n, e in exprs.items()])).scalar()
         return df.withColumn("_stats", one).select(*df.columns, *[F.col("_stats")[n].alias(n) for n in exprs])
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
-    return df.join(stats, list(keys))
+    return join_sized(df, stats, keys, group_bound(df, keys) if groups is None else groups)
 
 
 def zscore(df: DataFrame, keys: Sequence[str], cols: Sequence[str], population: bool = True,
@@ -127,7 +128,7 @@ def fit_scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str], train: Co
 
 
 def apply_scale(df: DataFrame, params: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    out = df.join(params, list(keys))
+    out = join_sized(df, params, keys, group_bound(df, keys))
     return out.withColumns({f"{c}_s": (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in cols})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoveil.functions import vectors as vec
+from chronoveil.operators.clean import group_stats
 from chronoveil.operators.position import running_sum, split_index, value_splits
 
 
@@ -59,11 +60,14 @@ def forecast_metrics(df: DataFrame, keys: Sequence[str], true: str, pred: str) -
     return out.withColumn("rse", F.try_divide("_e", "_d")).drop("_e", "_d")
 
 
-def scaled_correlation(df: DataFrame, keys: Sequence[str], cell: Sequence[str], true: str, pred: str) -> DataFrame:
-    """0.01 * mean over cells of sum(dt*dp) / (sqrt(sum(dt^2 dp^2)) + 1e-12); not a Pearson correlation."""
-    means = df.groupBy(*keys, *cell).agg(F.avg(true).alias("_t"), F.avg(pred).alias("_p"))
+def scaled_correlation(df: DataFrame, keys: Sequence[str], cell: Sequence[str], true: str, pred: str,
+                       cells: int | None = None) -> DataFrame:
+    """0.01 * mean over cells of sum(dt*dp) / (sqrt(sum(dt^2 dp^2)) + 1e-12); not a Pearson correlation.
+
+    ``cells`` is the number of (key, cell) groups where it is a parameter (horizon times channels)."""
+    centred = group_stats(df, [*keys, *cell], {"_t": F.avg(true), "_p": F.avg(pred)}, groups=cells)
     dt, dp = F.col(true) - F.col("_t"), F.col(pred) - F.col("_p")
-    per = df.join(means, [*keys, *cell]).groupBy(*keys, *cell).agg(
+    per = centred.groupBy(*keys, *cell).agg(
         (F.sum(dt * dp) / (F.sqrt(F.sum(dt * dt * dp * dp)) + 1e-12)).alias("_u"))
     return per.groupBy(*keys).agg((0.01 * F.avg("_u")).alias("corr"))
 

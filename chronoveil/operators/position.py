@@ -21,17 +21,27 @@ from pyspark.sql.window import Window, WindowSpec
 BLOCK_ROWS = 1 << 18
 BROADCAST_ROWS = 100_000
 ROW_BOUND = "max_series_rows"
+SERIES_COUNT = "series_count"
+SERIES_KEYS = "series_keys"
 BLK = "_blk"
 
 
-def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int, how: str = "inner") -> DataFrame:
-    """Broadcast ``small`` only when its measured row count is small; otherwise let AQE choose (skew join included)."""
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, list(on), how)
+def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int | None, how: str = "inner") -> DataFrame:
+    """Broadcast ``small`` only when its row count is known to be small; otherwise let AQE choose (skew join included)."""
+    return big.join(F.broadcast(small) if rows is not None and rows <= BROADCAST_ROWS else small, list(on), how)
 
 
-def mark_bound(df: DataFrame, pos: str, rows: int) -> DataFrame:
-    """Record on the position column that no series has more than ``rows`` rows."""
-    return df.withMetadata(pos, {ROW_BOUND: int(rows)})
+def mark_bound(df: DataFrame, pos: str, rows: int, keys: Sequence[str], series: int) -> DataFrame:
+    """Record on the position column how long the longest series is and how many series there are."""
+    return df.withMetadata(pos, {ROW_BOUND: int(rows), SERIES_COUNT: int(series), SERIES_KEYS: list(keys)})
+
+
+def group_bound(df: DataFrame, keys: Sequence[str]) -> int | None:
+    """Measured upper bound on the number of groups of ``keys``, if positions recorded one."""
+    for field in df.schema.fields:
+        if keys and set(keys) <= set(field.metadata.get(SERIES_KEYS, [])):
+            return field.metadata[SERIES_COUNT]
+    return None
 
 
 def is_short(df: DataFrame, pos: str, block_rows: int) -> bool:
@@ -44,11 +54,11 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
     """Add the 0-based position of each row in its series, ordered by ``order`` (a BIGINT) then ``tie``."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     long_keys = sizes.filter(F.col("_n") > block_rows)
-    longest, n_long = sizes.agg(F.max("_n"), F.count_if(F.col("_n") > block_rows)).first()
+    longest, n_long, n_series = sizes.agg(F.max("_n"), F.count_if(F.col("_n") > block_rows), F.count(F.lit(1))).first()
     if not n_long:
         spec = Window.partitionBy(*keys).orderBy(order, *tie)
         placed = df.withColumn(out, F.row_number().over(spec).cast("bigint") - 1)
-        return mark_bound(placed, out, longest or 0)
+        return mark_bound(placed, out, longest or 0, keys, n_series)
 
     cuts = long_keys.select(
         *keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(block_rows))).alias("_width"))
@@ -65,7 +75,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
               .join(offsets, [*keys, *blocks], "left")
               .withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_rn") - 1).cast("bigint"))
               .drop(*blocks, "_long", "_rn", "_off"))
-    return mark_bound(placed, out, longest)
+    return mark_bound(placed, out, longest, keys, n_series)
 
 
 def _refine(tagged: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], block_rows: int) -> DataFrame:
@@ -121,7 +131,7 @@ def series_stats(df: DataFrame, keys: Sequence[str], pos: str, exprs: dict[str,
         spec = Window.partitionBy(*keys)
         return df.select("*", *[e.over(spec).alias(n) for n, e in exprs.items()])
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
-    return df.join(stats, list(keys))
+    return join_sized(df, stats, keys, group_bound(df, keys))
 
 
 def previous(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str], step: int = 1,

@@ -231,6 +231,24 @@ def pooled_geometry(geo: DataFrame, length: int, stride: int, fraction: float) -
             .drop("_most"))
 
 
+# Samplers by method name; each maps (series, keys, length, stride, batch, seed) to rows (keys, step, cand_id, start_pos).
+SAMPLERS = {
+    "poisson": lambda df, keys, length, stride, batch, seed, **kw: poisson(df, keys, kw.get("pos", "pos"), length, stride, batch, seed),
+    "pss": lambda df, keys, length, stride, batch, seed, **kw: draw_members(
+        pss_partition(candidate_counts(df, keys, length, stride, batch), keys, batch, kw["lam"], kw.get("mode", "forecasting")),
+        keys, stride, seed),
+    "structured": lambda df, keys, length, stride, batch, seed, **kw: structured_wr(df, keys, length, stride, batch, seed),
+}
+
+
+def draw(method: str, df: DataFrame, keys: Sequence[str], length: int, stride: int, batch: int, seed: int, **options) -> DataFrame:
+    """Batches of one epoch by the named sampler."""
+    if method not in SAMPLERS:
+        raise ValueError(f"unknown sampling method {method!r}; use one of {sorted(SAMPLERS)}")
+    rows = SAMPLERS[method](df, keys, length, stride, batch, seed, **options)
+    return rows.select(*keys, "step", "cand_id", "start_pos")
+
+
 def batch_stats(draws: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean, population deviation, minimum and maximum batch size; batches without rows count as size 0.
 

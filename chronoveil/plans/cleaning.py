@@ -280,7 +280,7 @@ SELECT series_id, event_id, split, new_pos,
 def split_eval_gap(spark, sf):
     parts = split.split_eval_gap(fx.series(spark, sf), K, "pos", fraction=0.3, gap=5)
     flag = F.col("event_type") == "error"
-    out = clean.group_stats(parts, ["split"], {"both_classes": F.bool_or(flag) & ~F.bool_and(flag)})
+    out = clean.group_stats(parts, ["split"], {"both_classes": F.bool_or(flag) & ~F.bool_and(flag)}, groups=2)
     return out.select("series_id", "event_id", "split", "new_pos", "both_classes")
 
 

@@ -255,7 +255,7 @@ u AS (SELECT h, channel, sum(dt * dp) / (sqrt(sum(dt * dt * dp * dp)) + 1e-12::D
 SELECT h::INT AS h, round(0.01::DOUBLE * avg(u), 6) AS corr FROM u GROUP BY 1
 """)
 def corr_metric(spark, sf):
-    out = mt.scaled_correlation(forecast_pairs(spark, sf), ["h"], ["channel"], "true", "pred")
+    out = mt.scaled_correlation(forecast_pairs(spark, sf), ["h"], ["channel"], "true", "pred", cells=4 * 2)
     return out.select("h", r6(F.col("corr"), "corr"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,11 @@ def table_identity(df: DataFrame, pos: str, cols: Sequence[str], fanout: int = 1
     return node.select(F.col("_h").alias("identity"))
 
 
+def derived_identity(identity: Column, signature: str) -> Column:
+    """Identity of a subset: the identity of its source and a text that names the subset."""
+    return F.sha2(F.concat(identity, F.lit(signature)), 256)
+
+
 def file_identity(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file's bytes."""
     files = spark.read.format("binaryFile").load(path)

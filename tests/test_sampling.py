@@ -74,6 +74,14 @@ def test_spaced_draws_at_most_one_per_interval(series, lam, rounding, empty):
         assert [r["count"] for r in per_step] == [20]
 
 
+def test_samplers_by_name(series):
+    for method, options in (("poisson", {}), ("pss", {"lam": 0.5}), ("pss", {"lam": 0.5, "mode": "paper"}), ("structured", {})):
+        rows = sp.draw(method, series, K, 10, 2, 20, 3, **options)
+        assert rows.columns == ["series_id", "step", "cand_id", "start_pos"] and rows.count() > 0
+    with pytest.raises(ValueError):
+        sp.draw("none", series, K, 10, 2, 20, 3)
+
+
 def test_structured_draws_every_slot(series):
     draws = sp.structured_wr(series, K, 10, 2, 20, 3)
     assert draws.groupBy(*K, "step").agg(F.count_distinct("slot").alias("n")).filter("n != 20").isEmpty()
