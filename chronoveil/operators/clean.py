@@ -15,7 +15,7 @@ def interpolate_index(df: DataFrame, keys: Sequence[str], pos: str, col: str, ou
     """Linear interpolation by row position; gaps at either end take the nearest value."""
     out = out or col
     known = F.when(F.col(col).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(col).alias("v")))
-    blk = block_of(df, pos, block_rows)
+    blk = block_of(df, keys, pos, block_rows)
     both = carry(df, keys, pos, blk, {"_prev": known})
     both = carry(both, keys, pos, blk, {"_next": known}, forward=False)
     lo, hi, p = F.col("_prev"), F.col("_next"), F.col(pos)
@@ -29,7 +29,7 @@ def fill_forward_back(df: DataFrame, keys: Sequence[str], pos: str, col: str, ou
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Forward fill, then backward fill of what is left at the start."""
     out = out or col
-    blk = block_of(df, pos, block_rows)
+    blk = block_of(df, keys, pos, block_rows)
     both = carry(df, keys, pos, blk, {"_prev": F.col(col)})
     both = carry(both, keys, pos, blk, {"_next": F.col(col)}, forward=False)
     return both.withColumn(out, F.coalesce("_prev", "_next")).drop("_prev", "_next")

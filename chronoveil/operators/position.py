@@ -44,9 +44,11 @@ def group_bound(df: DataFrame, keys: Sequence[str]) -> int | None:
     return None
 
 
-def is_short(df: DataFrame, pos: str, block_rows: int) -> bool:
-    bound = df.schema[pos].metadata.get(ROW_BOUND)
-    return bound is not None and bound <= block_rows
+def is_short(df: DataFrame, keys: Sequence[str], pos: str, block_rows: int) -> bool:
+    """Whether every group of ``keys`` is known to have at most ``block_rows`` rows: the bound was measured for series
+    whose keys are all among ``keys``."""
+    measured = df.schema[pos].metadata
+    return ROW_BOUND in measured and measured[ROW_BOUND] <= block_rows and set(measured[SERIES_KEYS]) <= set(keys)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = (), out: str = "pos",
@@ -107,7 +109,7 @@ def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int
 
     ``exprs`` maps a column name to a function of the ordered window.
     """
-    if is_short(df, pos, block_rows):
+    if is_short(df, keys, pos, block_rows):
         spec = Window.partitionBy(*keys).orderBy(pos)
         return df.select("*", *[fn(spec).alias(name) for name, fn in exprs.items()])
     p = F.col(pos)
@@ -127,7 +129,7 @@ def series_stats(df: DataFrame, keys: Sequence[str], pos: str, exprs: dict[str,
     Series known to be short take an unordered window: positions already placed a series in one partition, so this
     needs no further shuffle or scan. Otherwise the aggregate is combined map-side and joined back.
     """
-    if is_short(df, pos, block_rows):
+    if is_short(df, keys, pos, block_rows):
         spec = Window.partitionBy(*keys)
         return df.select("*", *[e.over(spec).alias(n) for n, e in exprs.items()])
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in exprs.items()])
@@ -141,9 +143,9 @@ def previous(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str],
                   {new: (lambda w, c=src: F.lag(c, step).over(w)) for new, src in cols.items()}, block_rows)
 
 
-def block_of(df: DataFrame, pos: str, block_rows: int = BLOCK_ROWS) -> Column | None:
+def block_of(df: DataFrame, keys: Sequence[str], pos: str, block_rows: int = BLOCK_ROWS) -> Column | None:
     """Block id of a row, or None when every series is known to fit one block."""
-    if is_short(df, pos, block_rows):
+    if is_short(df, keys, pos, block_rows):
         return None
     return F.floor(F.col(pos) / F.lit(block_rows)).cast("bigint")
 

@@ -92,7 +92,7 @@ def early_stop(df: DataFrame, keys: Sequence[str], step: str, loss: str, patienc
     A step improves when its loss is not above (``strict``: is below) the best before it; the counter of a step is
     the distance to the last improvement, so no row-by-row scan is needed. ``step`` is dense from 0.
     """
-    blk = block_of(df, step, block_rows)
+    blk = block_of(df, keys, step, block_rows)
     prior = minimum_before(df.select(*keys, step, loss), keys, step, blk, loss, "_best")
     better = F.col(loss) < F.col("_best") if strict else F.col(loss) <= F.col("_best")
     gain = F.when(F.col("_best").isNull() | better, F.col(step))

@@ -100,7 +100,7 @@ def label_runs(df: DataFrame, keys: Sequence[str], pos: str, label: str, block_r
     lagged = framed(sized, keys, pos, 1, 0, {"_prev": lambda w: F.lag(label).over(w)}, block_rows)
     heads = lagged.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col(label))).drop("_prev")
     # Heads keep sparse positions, so the next head is a carry and not a fixed-distance frame.
-    nxt = carry(heads, keys, pos, block_of(df, pos, block_rows), {"_next": F.col(pos)}, forward=False, inclusive=False)
+    nxt = carry(heads, keys, pos, block_of(df, keys, pos, block_rows), {"_next": F.col(pos)}, forward=False, inclusive=False)
     return nxt.select(*keys, F.col(pos).alias("run_start"), F.coalesce(F.col("_next"), F.col("_last") + 1).alias("run_stop"),
                       label)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoveil.operators import clean, split
 from chronoveil.operators.relational import common_range
-from chronoveil.operators.position import with_position
+from chronoveil.operators.position import group_bound, join_sized, with_position
 from chronoveil.plans import fixtures as fx
 from chronoveil.plans.registry import query
 
@@ -81,7 +81,7 @@ def regrid_interp(spark, sf):
     rng = common_range(ev, K, ["event_type"], "t_us")
     sensor = ["series_id", "event_type"]
     placed = with_position(ev.select(*sensor, "t_us", "event_id", "value"), sensor, "t_us", ["event_id"])
-    out = clean.regrid(placed.join(rng, K), sensor, "pos", "t_us", ["value"], HOUR_US, "t_start", "t_start", "t_end")
+    out = clean.regrid(join_sized(placed, rng, K, group_bound(placed, K)), sensor, "pos", "t_us", ["value"], HOUR_US, "t_start", "t_start", "t_end")
     return out.select("series_id", "event_type", "grid", r6(F.col("value"), "value"))
 
 

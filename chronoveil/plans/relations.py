@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoveil.operators import checks, clean, geo, relational as rel, split, textscan, windows as wn
-from chronoveil.operators.position import with_position
+from chronoveil.operators.position import group_bound, join_sized, with_position
 from chronoveil.plans import fixtures as fx
 from chronoveil.plans.registry import query
 from chronoveil.session import scratch_path
@@ -482,7 +482,7 @@ def align_positions(spark, sf):
     rng = rel.common_range(ev, K, ["event_type"], "t_us")
     sensor = ["series_id", "event_type"]
     placed = with_position(ev.select(*sensor, "t_us", "event_id", "value"), sensor, "t_us", ["event_id"])
-    grid = clean.regrid(placed.join(rng, K), sensor, "pos", "t_us", ["value"], 6 * HOUR_US, "t_start", "t_start", "t_end")
+    grid = clean.regrid(join_sized(placed, rng, K, group_bound(placed, K)), sensor, "pos", "t_us", ["value"], 6 * HOUR_US, "t_start", "t_start", "t_end")
     wide = rel.align_columns(grid, ["series_id", "grid"], "event_type", "value", fx.EVENT_TYPES)
     return wide.select("series_id", "grid", *[r6(F.col(c), c) for c in fx.EVENT_TYPES])
 

@@ -64,8 +64,10 @@ def test_position_of_bursts_and_equal_times(spark, kind):
 
 
 def test_bound_is_recorded(short, long):
-    assert ps.is_short(short, "pos", 1000)
-    assert not ps.is_short(long, "pos", SMALL)
+    assert ps.is_short(short, K, "pos", 1000) and ps.is_short(short, [*K, "x"], "pos", 1000)
+    assert not ps.is_short(short, [], "pos", 1000)  # measured for single series, not for all rows
+    assert ps.group_bound(short, K) == 4 and ps.group_bound(short, ["label"]) is None
+    assert not ps.is_short(long, K, "pos", SMALL)
     assert long.schema["pos"].metadata[ps.ROW_BOUND] == 500
 
 
