@@ -8,6 +8,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoveil.operators.clean import group_stats
 from chronoveil.operators.position import BLOCK_ROWS, framed, group_bound, join_sized, previous, series_stats
@@ -87,18 +88,36 @@ def window_mean_scores_exploded(df: DataFrame, keys: Sequence[str], pos: str, co
 def window_mean_scores(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], length: int,
                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same scores without copying rows: the mean of (x - m_w)^2 over covering windows is
-    (x - E[m_w])^2 + Var[m_w], and both moments are moving aggregates of the window means."""
-    sized = series_stats(df.select(*keys, pos, *cols), keys, pos, {"_n": F.count(F.lit(1))}, block_rows).filter(F.col("_n") >= length)
-    starts = framed(sized, keys, pos, 0, length - 1, {
-        f"_w_{c}": (lambda w, c=c: F.avg(c).over(w.rowsBetween(0, length - 1))) for c in cols}, block_rows)
-    valid = F.col(pos) + length <= F.col("_n")
-    marked = starts.withColumns({f"_w_{c}": F.when(valid, F.col(f"_w_{c}")) for c in cols})
-    exprs = {}
-    for c in cols:
-        exprs[f"_a_{c}"] = lambda w, c=c: F.avg(f"_w_{c}").over(w.rowsBetween(-(length - 1), 0))
-        exprs[f"_b_{c}"] = lambda w, c=c: F.var_pop(f"_w_{c}").over(w.rowsBetween(-(length - 1), 0))
-    exprs["windows"] = lambda w: F.count(f"_w_{cols[0]}").over(w.rowsBetween(-(length - 1), 0))
-    out = framed(marked, keys, pos, length - 1, 0, exprs, block_rows)
-    score = _mean([_squared(F.col(c) - F.col(f"_a_{c}")) + F.col(f"_b_{c}") for c in cols])
-    return out.select(*keys, pos, score.alias("score"), "windows")
-
+    (x - E[m_w])^2 + Var[m_w].
+
+    Window means and both moments are differences of prefix sums of centred values, so the cost per row does not
+    depend on the window length, and one shuffle serves all stages.
+    """
+    stats = {"_n": F.count(F.lit(1)), **{f"_mu_{c}": F.avg(c) for c in cols}}
+    sized = series_stats(df.select(*keys, pos, *cols), keys, pos, stats, block_rows).filter(F.col("_n") >= length)
+    centred = sized.withColumns({f"_x_{c}": F.col(c) - F.col(f"_mu_{c}") for c in cols})
+    zero = F.lit(0.0)
+    full = F.col(pos) + length <= F.col("_n")
+
+    def prefix(c: Column):
+        return lambda w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    def mean_of(c: str):
+        return lambda w: F.when(full, (F.lead(f"_s_{c}", length - 1).over(w) - F.coalesce(F.lag(f"_s_{c}", 1).over(w), zero))
+                                / float(length))
+
+    def recent(name: str):
+        return lambda w: F.coalesce(name, zero) - F.coalesce(F.lag(name, length).over(w), zero)
+
+    stages = [{f"_s_{c}": prefix(F.col(f"_x_{c}")) for c in cols},
+              {f"_w_{c}": mean_of(c) for c in cols},
+              {"_cn": prefix(full.cast("double")), **{f"_c1_{c}": prefix(F.col(f"_w_{c}")) for c in cols},
+               **{f"_c2_{c}": prefix(_squared(F.col(f"_w_{c}"))) for c in cols}},
+              {"_k": recent("_cn"), **{f"_a_{c}": recent(f"_c1_{c}") for c in cols}, **{f"_b_{c}": recent(f"_c2_{c}") for c in cols}}]
+    out = framed(centred, keys, pos, length, length - 1, stages, block_rows)
+
+    def score(c: str) -> Column:
+        mean = F.col(f"_a_{c}") / F.col("_k")
+        return _squared(F.col(f"_x_{c}") - mean) + F.greatest(zero, F.col(f"_b_{c}") / F.col("_k") - _squared(mean))
+
+    return out.select(*keys, pos, _mean([score(c) for c in cols]).alias("score"), F.col("_k").cast("bigint").alias("windows"))

@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronoveil.functions import vectors as vec
 from chronoveil.functions.rng import gaussian, laplace, uniform
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, framed, previous
+from chronoveil.operators.position import BLOCK_ROWS, framed, merge_stages, previous, trailing_sum
 
 
 def clip_factor(norm: Column, bound: float, eps: float = 1e-12) -> Column:
@@ -89,13 +90,12 @@ def stream_dissimilarity(df: DataFrame, keys: Sequence[str], pos: str, cols: Seq
     steps = lagged.withColumn("dis", _sum([F.abs(d) for d in diffs]) / dim).withColumn(
         "sq", _sum([d * d for d in diffs]) / dim)
     used = (F.col(pos) >= 2) & (F.col("sq") > 0)
-    reach = window * windows_back - 2
-    out = framed(steps, keys, pos, reach, 0, {
-        "_c": lambda w: F.count(F.when(used, 1)).over(w.rowsBetween(-reach, 0)),
-        "_q": lambda w: F.sum(F.when(used, F.col("sq"))).over(w.rowsBetween(-reach, 0)),
-        "_a": lambda w: F.sum(F.when(used, F.col("dis"))).over(w.rowsBetween(-reach, 0))}, block_rows)
+    pairs = window * windows_back - 1
+    sums = {"_c": F.lit(1.0), "_q": F.col("sq"), "_a": F.col("dis")}
+    stages = merge_stages(*[trailing_sum(n, F.when(used, v), pairs) for n, v in sums.items()])
+    out = framed(steps, keys, pos, pairs, 0, stages, block_rows).drop(*[f"_cum_{n}" for n in sums])
     mean_abs = F.col("_a") / F.col("_c")
-    return (out.withColumn("proxy", F.when(F.col("_c") > 0, F.col("_q") / F.col("_c") - mean_abs * mean_abs)
+    return (out.withColumn("proxy", F.when(F.col("_c") > 0.5, F.col("_q") / F.col("_c") - mean_abs * mean_abs)
                            .otherwise(F.lit(0.0)))
             .drop("_c", "_q", "_a", *[f"_p_{c}" for c in cols]))
 
@@ -119,11 +119,18 @@ def budget_window_ledger(df: DataFrame, keys: Sequence[str], pos: str, eps_used:
                          block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Budget left for each row from the window-1 rows before it, and the first of them that spent budget."""
     back = window - 1
-    out = framed(df, keys, pos, back, 0, {
-        "_spent": lambda w: F.sum(eps_used).over(w.rowsBetween(-back, -1)),
-        "_first": lambda w: F.min(F.when(F.col(eps_used) > 0, F.col(pos))).over(w.rowsBetween(-back, -1))}, block_rows)
-    return out.withColumn("eps_remain", F.lit(float(eps_p)) - F.coalesce("_spent", F.lit(0.0))).withColumn(
-        "first_sampled", F.coalesce("_first", F.col(pos))).drop("_spent", "_first")
+    spends = F.when(F.col(eps_used) > 0, F.col(pos))
+    stages = merge_stages(
+        trailing_sum("_sum", F.col(eps_used), window),
+        # First spending row at or after each position, read where the window starts.
+        [{"_at": ("desc", lambda w: F.min(spends).over(w.rowsBetween(Window.unboundedPreceding, 0)))},
+         {"_first": lambda w: F.lag("_at", back).over(w), "_top": lambda w: F.first("_at").over(
+             w.rowsBetween(Window.unboundedPreceding, 0))}])
+    out = framed(df, keys, pos, window, 0, stages, block_rows)
+    candidate = F.coalesce("_first", F.when(F.col(pos) < back, F.col("_top")))
+    return (out.withColumn("eps_remain", F.lit(float(eps_p)) - (F.col("_sum") - F.col(eps_used)))
+            .withColumn("first_sampled", F.when(candidate < F.col(pos), candidate).otherwise(F.col(pos)))
+            .drop("_sum", "_cum__sum", "_at", "_first", "_top"))
 
 
 class StreamPublisher:

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 20
+DIRECT_ROWS = 64
 BROADCAST_ROWS = 100_000
 ROW_BOUND = "max_series_rows"
 SERIES_COUNT = "series_count"
@@ -103,25 +104,56 @@ def _refine(tagged: DataFrame, keys: Sequence[str], order: str, tie: Sequence[st
     return joined.withColumn("_sub", F.coalesce(cut, F.lit(0)).cast("bigint")).drop(*extra)
 
 
-def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int,
-           exprs: dict[str, Callable[[WindowSpec], Column]], block_rows: int = BLOCK_ROWS) -> DataFrame:
+Stage = dict[str, Callable[[WindowSpec], Column] | tuple[str, Callable[[WindowSpec], Column]]]
+
+
+def _stages(df: DataFrame, part: Sequence[str], pos: str, stages: Sequence[Stage]) -> DataFrame:
+    asc = Window.partitionBy(*part).orderBy(pos)
+    desc = Window.partitionBy(*part).orderBy(F.col(pos).desc())
+    for stage in stages:
+        df = df.select("*", *[(fn[1](desc) if isinstance(fn, tuple) else fn(asc)).alias(name) for name, fn in stage.items()])
+    return df
+
+
+def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int, exprs: Stage | Sequence[Stage],
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead of a dense position.
 
-    ``exprs`` maps a column name to a function of the ordered window.
+    ``exprs`` maps a column name to a function of the ordered window, or to ``("desc", function)`` for the descending
+    one. A list of such maps is applied in order inside the same shuffle; later stages see the columns of earlier ones.
     """
+    stages = [exprs] if isinstance(exprs, dict) else exprs
     if is_short(df, keys, pos, block_rows):
-        spec = Window.partitionBy(*keys).orderBy(pos)
-        return df.select("*", *[fn(spec).alias(name) for name, fn in exprs.items()])
+        return _stages(df, keys, pos, stages)
     p = F.col(pos)
     first = F.greatest(F.lit(0), F.floor((p - after) / F.lit(block_rows))).cast("bigint")
     last = F.floor((p + before) / F.lit(block_rows)).cast("bigint")
     spread = df.withColumn(BLK, F.explode(F.sequence(first, last))).repartition(*keys, BLK)
-    spec = Window.partitionBy(*keys, BLK).orderBy(pos)
-    return (spread.select("*", *[fn(spec).alias(name) for name, fn in exprs.items()])
+    return (_stages(spread, [*keys, BLK], pos, stages)
             .filter(F.col(BLK) == F.floor(F.col(pos) / F.lit(block_rows)))
             .drop(BLK))
 
 
+def trailing_sum(name: str, value: Column, rows: int) -> list[Stage]:
+    """Stages for the sum over the last ``rows`` rows, the current one included (null counts as 0).
+
+    Spark re-aggregates a sliding frame at every row. That is the more exact way for short frames; long ones are the
+    difference of two prefix sums, which costs the same at any length.
+    """
+    v = F.coalesce(value, F.lit(0).cast("double"))
+    if rows <= DIRECT_ROWS:
+        return [{name: lambda w: F.sum(v).over(w.rowsBetween(-(rows - 1), 0))}]
+    cum = f"_cum_{name}"
+    return [{cum: lambda w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))},
+            {name: lambda w: F.col(cum) - F.coalesce(F.lag(cum, rows).over(w), F.lit(0.0))}]
+
+
+def merge_stages(*parts: list[Stage]) -> list[Stage]:
+    """Run several stage lists side by side."""
+    depth = max(len(p) for p in parts)
+    return [{k: v for p in parts if i < len(p) for k, v in p[i].items()} for i in range(depth)]
+
+
 def series_stats(df: DataFrame, keys: Sequence[str], pos: str, exprs: dict[str, Column],
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Attach plain aggregates of each series to its rows.

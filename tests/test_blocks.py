@@ -132,10 +132,29 @@ def test_other_frames(short, long):
          forecast.moving_trends(long, K, "pos", "value", [5, 25], SMALL).select(*ID, "trend_5", "trend_25"), ID)
     same(mechanisms.stream_dissimilarity(short, K, "pos", ["value", "k"], 10, 2).select(*ID, "dis", "sq", "proxy"),
          mechanisms.stream_dissimilarity(long, K, "pos", ["value", "k"], 10, 2, SMALL).select(*ID, "dis", "sq", "proxy"), ID)
+    spent = lambda df: df.withColumn("eps", F.when(F.col("event_id") % 9 == 0, 0.25).otherwise(0.0))
+    for window in (5, 90):
+        same(mechanisms.budget_window_ledger(spent(short), K, "pos", "eps", 4.0, window).select(*ID, "eps_remain", "first_sampled"),
+             mechanisms.budget_window_ledger(spent(long), K, "pos", "eps", 4.0, window, SMALL).select(*ID, "eps_remain", "first_sampled"), ID)
     for strict in (False, True):
         same(runs.early_stop(short, K, "pos", "value", 4, strict), runs.early_stop(long, K, "pos", "value", 4, strict, SMALL), K)
 
 
+def test_long_frames_by_prefix_sums(short, long):
+    """Frames beyond the direct limit equal Spark's own sliding frames."""
+    from pyspark.sql.window import Window
+    w = Window.partitionBy(*K).orderBy("pos")
+    rows = 200
+    plain = short.withColumn("s", F.sum("value").over(w.rowsBetween(-(rows - 1), 0)))
+    for df, size in ((short, 10 ** 6), (long, SMALL)):
+        same(plain.select(*ID, "s"), ps.framed(df, K, "pos", rows, 0, ps.trailing_sum("s", F.col("value"), rows), size).select(*ID, "s"), ID)
+    eps = short.withColumn("eps", F.when(F.col("event_id") % 9 == 0, 0.25).otherwise(0.0))
+    frame = w.rowsBetween(-(rows - 1), -1)
+    want = eps.select(*ID, (4.0 - F.coalesce(F.sum("eps").over(frame), F.lit(0.0))).alias("eps_remain"),
+                      F.coalesce(F.min(F.when(F.col("eps") > 0, F.col("pos"))).over(frame), "pos").alias("first_sampled"))
+    same(want, mechanisms.budget_window_ledger(eps, K, "pos", "eps", 4.0, rows).select(*want.columns), ID)
+
+
 def test_regrid(short, long):
     def grid(df, **kw):
         ends = df.withColumn("lo", F.lit(0).cast("bigint")).withColumn("hi", F.lit(4_000_000).cast("bigint"))
