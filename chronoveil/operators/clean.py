@@ -105,6 +105,19 @@ def minmax(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame
     return out.drop(*exprs)
 
 
+# Normalisations by name: suffix of the added columns and the operator.
+NORMALISERS = {"zscore": ("_z", zscore), "minmax": ("_mm", minmax)}
+
+
+def normalise(df: DataFrame, keys: Sequence[str], cols: Sequence[str], method: str) -> DataFrame:
+    """Replace the columns by their normalised values, per key."""
+    if method not in NORMALISERS:
+        raise ValueError(f"unknown normalisation {method!r}; use one of {sorted(NORMALISERS)}")
+    suffix, fn = NORMALISERS[method]
+    out = fn(df, keys, cols)
+    return out.select(*[F.col(f"{c}{suffix}").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def long_channels(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Wide to long: one row per channel."""
     return df.unpivot(list(ids), list(cols), "channel", "value")

@@ -84,6 +84,19 @@ def linear_forecast(spark, sf):
     return out.select("series_id", "pos", r6(F.col("f1"), "f1"), r6(F.col("f2"), "f2"))
 
 
+@query("linear_forecast_one_lag", f"""
+WITH {fx.SERIES_SQL}, l AS (SELECT series_id, pos, value AS x, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2 FROM series
+  WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+t AS (SELECT * FROM l WHERE y2 IS NOT NULL),
+c AS (SELECT regr_slope(y1, x) AS s1, regr_intercept(y1, x) AS i1, regr_slope(y2, x) AS s2, regr_intercept(y2, x) AS i2 FROM t)
+SELECT series_id, pos, round(s1 * x + i1, 6) AS f1, round(s2 * x + i2, 6) AS f2 FROM t, c
+""")
+def linear_forecast_one_lag(spark, sf):
+    """The same fit with one lag, where least squares has a closed form in SQL."""
+    out = fc.linear_forecast(fx.series(spark, sf), K, "pos", "value", 1, 2)
+    return out.select("series_id", "pos", r6(F.col("f1"), "f1"), r6(F.col("f2"), "f2"))
+
+
 @query("gbt_forecast")
 def gbt_forecast(spark, sf):
     out = fc.tree_forecast(fx.series(spark, sf).select("series_id", "pos", "value"), "series_id", "pos", "value")

@@ -86,6 +86,14 @@ def test_fill_and_scale(spark):
     assert column(clean.minmax(line(spark, [2.0, 4.0, 6.0]), K, ["v"]), "v_mm") == [0.0, 0.5, 1.0]
 
 
+def test_normalise_by_name(spark):
+    s = line(spark, [2.0, 4.0, 6.0])
+    assert column(clean.normalise(s, K, ["v"], "minmax"), "v") == [0.0, 0.5, 1.0]
+    assert sum(column(clean.normalise(s, K, ["v"], "zscore"), "v")) == pytest.approx(0.0)
+    with pytest.raises(ValueError):
+        clean.normalise(s, K, ["v"], "none")
+
+
 def test_constant_trend(spark):
     from chronoveil.operators import forecast
     out = forecast.decompose(line(spark, [7.0] * 40), K, "pos", "v", 25)
