@@ -170,7 +170,27 @@ def anomaly_ar1(spark, sf):
     return out.select("event_id", F.round("score", 6).alias("score"))
 
 
-@query("anomaly_linear_rank")
+def _deflated(rank: int) -> str:
+    """CTEs p1..p<rank>: projectors on the leading eigenvectors, each matrix without the ones before."""
+    parts, matrix = [], "c0"
+    for r in range(1, rank + 1):
+        parts.append(fx.projector_sql(f"p{r}", matrix))
+        parts.append(f"c{r} AS MATERIALIZED (SELECT m.part, m.i, m.j, m.v - e.ev * p.v AS v FROM {matrix} m JOIN p{r} p USING (part, i, j) "
+                     f"JOIN {fx.eigenvalue_sql(matrix, f'p{r}')} e USING (part))")
+        matrix = f"c{r}"
+    return ", ".join(parts)
+
+
+@query("anomaly_linear_rank", f"""
+WITH RECURSIVE {fx.VECTORS_SQL}, mu AS (SELECT d, avg(x) AS m FROM dims GROUP BY 1),
+ce AS MATERIALIZED (SELECT vec_id, dims.d AS d, x - m AS x FROM dims JOIN mu USING (d)),
+c0 AS MATERIALIZED (SELECT 0 AS part, a.d AS i, b.d AS j, avg(a.x * b.x) AS v FROM ce a JOIN ce b ON a.vec_id = b.vec_id GROUP BY 2, 3),
+{_deflated(4)},
+kept AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM p1 UNION ALL SELECT i, j, v FROM p2 UNION ALL SELECT i, j, v FROM p3 UNION ALL SELECT i, j, v FROM p4) GROUP BY 1, 2),
+pe AS (SELECT a.vec_id AS vec_id, sum(a.x * b.x * k.v) AS e FROM ce a JOIN kept k ON a.d = k.i JOIN ce b ON b.vec_id = a.vec_id AND b.d = k.j GROUP BY 1),
+te AS (SELECT vec_id, sum(x * x) AS e FROM ce GROUP BY 1)
+SELECT vec_id, round((te.e - pe.e) / 64, 6) AS score FROM te JOIN pe USING (vec_id)
+""")
 def anomaly_linear_rank(spark, sf):
     return an.rank_scores(fx.vectors(spark, sf), "v", 4).select("vec_id", r6(F.col("score"), "score"))
 

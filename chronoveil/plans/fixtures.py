@@ -96,6 +96,23 @@ daily AS (SELECT 'orders' AS series_id, date_diff('day', DATE '1970-01-01', o_or
 """
 
 
+def projector_sql(name: str, matrix: str, squarings: int = 13) -> str:
+    """CTE ``<name>(part, i, j, v)``: projector on the top eigenvector of a symmetric ``matrix(part, i, j, v)``.
+
+    The matrix is squared again and again and kept at trace 1; 13 squarings are its 8192nd power."""
+    return f"""
+{name}_p AS (SELECT 0 AS k, part, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY part) AS v FROM {matrix}
+  UNION ALL SELECT k, part, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY part) AS v FROM (
+    SELECT a.k + 1 AS k, a.part AS part, a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM {name}_p a JOIN {name}_p b ON a.part = b.part AND a.j = b.i
+    WHERE a.k < {squarings} GROUP BY a.k, a.part, a.i, b.j)),
+{name} AS MATERIALIZED (SELECT part, i, j, v FROM {name}_p WHERE k = {squarings})"""
+
+
+def eigenvalue_sql(matrix: str, projector: str) -> str:
+    """Subquery (part, ev): Rayleigh quotient of a matrix on a projector."""
+    return f"(SELECT part, sum(m.v * p.v) AS ev FROM {matrix} m JOIN {projector} p USING (part, i, j) GROUP BY part)"
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")

@@ -78,7 +78,17 @@ def cov_metrics(spark, sf):
     return out.select(r9(F.col("trace"), "trace"), r9(F.col("frobenius"), "frobenius"))
 
 
-@query("cov_spectrum")
+@query("cov_spectrum", f"""
+WITH RECURSIVE {fx.VECTORS_SQL}, pd AS (SELECT vec_id, vec_id % 2 AS part, d, x FROM dims), mu AS (SELECT part, d, avg(x) AS m FROM pd GROUP BY 1, 2),
+ce AS (SELECT vec_id, part, d, x - m AS x FROM pd JOIN mu USING (part, d)),
+mt AS MATERIALIZED (SELECT a.part AS part, a.d AS i, b.d AS j, avg(a.x * b.x) AS v FROM ce a JOIN ce b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3),
+{fx.projector_sql('hi', 'mt')}, top AS MATERIALIZED {fx.eigenvalue_sql('mt', 'hi')},
+sh AS MATERIALIZED (SELECT part, i, j, CASE WHEN i = j THEN ev ELSE 0 END - v AS v FROM mt JOIN top USING (part)),
+{fx.projector_sql('lo', 'sh')}, bot AS {fx.eigenvalue_sql('mt', 'lo')},
+tf AS (SELECT part, sum(CASE WHEN i = j THEN v END) AS tr, sum(v * v) AS sq FROM mt GROUP BY 1)
+SELECT part, round(tr, 6) AS trace, round(sqrt(sq), 6) AS frobenius, round(top.ev, 6) AS spectral, round(bot.ev, 6) AS minimum_eigenvalue,
+  round(tr * tr / sq, 6) AS effective_rank FROM tf JOIN top USING (part) JOIN bot USING (part)
+""")
 def cov_spectrum(spark, sf):
     v = fx.vectors(spark, sf).withColumn("part", F.col("vec_id") % 2)
     out = mo.spectrum(mo.covariance(v, ["part"], "v"), ["part"])
