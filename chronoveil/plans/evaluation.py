@@ -78,7 +78,23 @@ def mean_init_forecast(spark, sf):
     return out.select("series_id", "pos", r6(F.col("forecast"), "forecast"))
 
 
-@query("linear_forecast")
+@query("linear_forecast", f"""
+WITH RECURSIVE {fx.SERIES_SQL}, l AS (SELECT series_id, pos, lag(value, 3) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 1) OVER w AS x3,
+  value AS x4, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+t AS MATERIALIZED (SELECT * FROM l WHERE x1 IS NOT NULL AND y2 IS NOT NULL),
+xs AS MATERIALIZED (SELECT series_id, pos, unnest([1, 2, 3, 4]) AS i, unnest([x1 - m1, x2 - m2, x3 - m3, x4 - m4]) AS x, y1, y2 FROM t,
+  (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(x4) AS m4 FROM t)),
+a AS MATERIALIZED (SELECT p.i AS i, q.i AS j, avg(p.x * q.x) AS v FROM xs p JOIN xs q USING (series_id, pos) GROUP BY 1, 2),
+-- Inverse of the 4x4 lag covariance by Newton's iteration.
+inv AS (SELECT 0 AS k, i, j, CASE WHEN i = j THEN 1.0::DOUBLE / (SELECT sum(v) FROM a WHERE i = j) ELSE 0 END AS v FROM a
+  UNION ALL SELECT z.k + 1, z.i, z.j, 2 * z.v - y.v FROM inv z JOIN (
+    SELECT u.k AS k, u.i AS i, w.j AS j, sum(u.v * a.v * w.v) AS v FROM inv u JOIN a ON u.j = a.i JOIN inv w ON a.j = w.i AND u.k = w.k GROUP BY 1, 2, 3) y
+    ON z.k = y.k AND z.i = y.i AND z.j = y.j WHERE z.k < 30),
+b AS (SELECT inv.i AS i, sum(inv.v * c.c1) AS b1, sum(inv.v * c.c2) AS b2 FROM inv JOIN (
+  SELECT i, avg(x * y1) AS c1, avg(x * y2) AS c2 FROM xs GROUP BY 1) c ON inv.j = c.i WHERE k = 30 GROUP BY 1)
+SELECT series_id, pos, round(any_value(m.y1) + sum(x * b1), 6) AS f1, round(any_value(m.y2) + sum(x * b2), 6) AS f2
+FROM xs JOIN b USING (i), (SELECT avg(y1) AS y1, avg(y2) AS y2 FROM t) m GROUP BY 1, 2
+""")
 def linear_forecast(spark, sf):
     out = fc.linear_forecast(fx.series(spark, sf), K, "pos", "value", 4, 2)
     return out.select("series_id", "pos", r6(F.col("f1"), "f1"), r6(F.col("f2"), "f2"))
