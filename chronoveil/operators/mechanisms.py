@@ -199,18 +199,19 @@ class StreamPublisher:
         first = next((k for k, e in enumerate(history) if e > 0), len(history))
         age = len(history) - first
         left = self.window - age
-        if left <= int(remain / share):
+        # Counts of shares are compared with a tolerance: they are exact integers but for rounding.
+        if left <= int(remain / share + 1e-9):
             svt_left = max(0.0, self.eps_query - sum(list(self.svt)[first:])) / self.c
             spent = remain / left
             return row + noise * (self.s_p / (spent + svt_left)), spent, svt_left
         threshold = self.c * self.s_p / self.eps_p + self.rho
         drift = float(np.abs(row - self.last_raw).sum()) / self.dim
         noisy = drift + u_query * self.s_s * 2.0 * self.c / self.eps_query
-        if noisy > threshold and remain >= share:
+        if noisy > threshold and remain >= share * (1.0 - 1e-9):
             tested = self.eps_query / self.c
             bonus = self.eps_query - sum(list(self.svt)[1:]) - tested
             total = share + bonus if bonus > 0 else share
-            return row + noise * (self.s_p / total), share, tested
+            return row + noise * (self.s_p / total), min(share, remain), tested
         return self.out, 0.0, 0.0
 
     def _target_count(self) -> int:

@@ -113,10 +113,51 @@ def budget_window_ledger(spark, sf):
     return out.select("series_id", "pos", r6(F.col("eps_remain"), "eps_remain"), "first_sampled")
 
 
-@query("spas_publish")
+def release_sql(noise_ids: list[str], grid: str) -> str:
+    """CTE ``rec``: the private release by recursion over positions, all streams in lockstep; W = 20, two windows of history.
+
+    ``grid`` lists (epsilon, seed); ``noise_ids`` are the SQL identifiers behind the noise."""
+    def unit(role: str) -> str:
+        return fx.laplace_sql(fx.u_sql(f"'{role}'", *noise_ids, seed="spas"), "1.0::DOUBLE")
+
+    ep, eq, r = "(0.75::DOUBLE * epsilon)", "(0.125::DOUBLE * epsilon)", f"{VALUE_RANGE}::DOUBLE"
+    return f"""
+base AS MATERIALIZED (SELECT series_id, epsilon::DOUBLE AS epsilon, seed, pos, value AS xv, k AS xk, {unit('value')} AS nv, {unit('k')} AS nk,
+  {unit('query')} AS uq, {unit('threshold')} AS ut, (abs(value - pv0) + abs(k - pk0)) / 2 AS drift
+  FROM (SELECT *, lag(value) OVER w AS pv0, lag(k) OVER w AS pk0 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY pos)), {grid} g(epsilon, seed)),
+rec AS (
+  SELECT series_id, epsilon, seed, pos, [{ep}] AS eps, [0.0::DOUBLE] AS svt, [xv + nv * ({r} / {ep})] AS pv, [xk + nk * ({r} / {ep})] AS pk,
+    1::BIGINT AS c, 0.0::DOUBLE AS rho FROM base WHERE pos = 0
+  UNION ALL
+  SELECT series_id, epsilon, seed, pos, eps, svt, pv, pk, CASE WHEN pos < 19 THEN 1 ELSE greatest(1, floor(sqrt(0.75::DOUBLE * greatest(0,
+      coalesce(list_avg(list_transform(moved, lambda d: d.sq)) - list_avg(list_transform(moved, lambda d: d.ab)) ^ 2, 0))) * {ep} / {r} / 3)) END::BIGINT AS c, rho
+  FROM (SELECT *, list_filter(list_transform(generate_series(greatest(2, pos - 38), pos), lambda q: {{
+        'sq': ((pv[q + 1] - pv[q]) ^ 2 + (pk[q + 1] - pk[q]) ^ 2) / 2, 'ab': (abs(pv[q + 1] - pv[q]) + abs(pk[q + 1] - pk[q])) / 2}}), lambda d: d.sq > 0) AS moved
+  FROM (SELECT series_id, epsilon, seed, pos, rho,
+      list_append(eps, CASE mode WHEN 1 THEN remain / togo WHEN 2 THEN least(share, remain) ELSE 0 END) AS eps,
+      list_append(svt, CASE mode WHEN 1 THEN rest WHEN 2 THEN {eq} / c ELSE 0 END) AS svt,
+      list_append(pv, CASE mode WHEN 0 THEN pv[pos] ELSE xv + nv * ({r} / eff) END) AS pv, list_append(pk, CASE mode WHEN 0 THEN pk[pos] ELSE xk + nk * ({r} / eff) END) AS pk
+    FROM (SELECT *, CASE mode WHEN 1 THEN remain / togo + rest ELSE share + greatest(0, {eq} - coalesce(list_sum(hs[2:]), 0) - {eq} / c) END AS eff
+    FROM (SELECT *, greatest(0, {eq} - CASE WHEN first_used > 0 THEN coalesce(list_sum(hs[first_used:]), 0) ELSE 0 END) / c AS rest,
+      CASE WHEN pos < 20 THEN 0 WHEN togo <= floor(remain / share + 1e-9::DOUBLE) THEN 1
+        WHEN drift + uq * {r} * 2 * c / {eq} > c * {r} / {ep} + rho AND remain >= share * (1 - 1e-9::DOUBLE) THEN 2 ELSE 0 END AS mode
+    FROM (SELECT *, CASE WHEN first_used > 0 THEN first_used ELSE 20 END AS togo
+    FROM (SELECT *, {ep} - coalesce(list_sum(h), 0) AS remain, {ep} / c AS share, list_position(list_transform(h, lambda e: e > 0), true) AS first_used
+    FROM (SELECT b.series_id AS series_id, b.epsilon AS epsilon, b.seed AS seed, b.pos AS pos, b.xv AS xv, b.xk AS xk, b.nv AS nv, b.nk AS nk, b.uq AS uq, b.drift AS drift,
+        p.eps AS eps, p.svt AS svt, p.pv AS pv, p.pk AS pk, p.c AS c, CASE WHEN b.pos = 20 THEN b.ut * {r} / (0.125::DOUBLE * b.epsilon) ELSE p.rho END AS rho,
+        list_slice(p.eps, greatest(1, b.pos - 18), b.pos) AS h, list_slice(p.svt, greatest(1, b.pos - 18), b.pos) AS hs
+      FROM rec p JOIN base b ON b.series_id = p.series_id AND b.epsilon = p.epsilon AND b.seed = p.seed AND b.pos = p.pos + 1))))))))
+"""
+
+
+@query("spas_publish", f"""
+WITH RECURSIVE {fx.SERIES_SQL}, {release_sql(['seed', '(epsilon * 1e6)::BIGINT', 'series_id', 'pos'], '(VALUES (1.0, 42), (1.0, 43), (4.0, 42), (4.0, 43))')}
+SELECT series_id, epsilon, seed, pos, round(pv[pos + 1], 6) AS value, round(pk[pos + 1], 6) AS k, round(eps[pos + 1], 9) AS eps_used, round(svt[pos + 1], 9) AS svt_used FROM rec
+""")
 def spas_publish(spark, sf):
     out = me.publish_streams(fx.series(spark, sf), K, "pos", ["value", "k"], [1.0, 4.0], [42, 43], VALUE_RANGE, VALUE_RANGE, 20)
-    return out.select("series_id", "epsilon", "seed", "pos", "value", "k", "eps_used", "svt_used")
+    return out.select("series_id", "epsilon", "seed", "pos", r6(F.col("value"), "value"), r6(F.col("k"), "k"),
+                      F.round("eps_used", 9).alias("eps_used"), F.round("svt_used", 9).alias("svt_used"))
 
 
 GRR_SQL = fx.SERIES_SQL + f""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoveil.plans import fixtures as fx
-from chronoveil.plans.mechanism_queries import VALUE_RANGE, grr_sql
+from chronoveil.plans.mechanism_queries import VALUE_RANGE, grr_sql, release_sql
 from chronoveil.plans.registry import query
 from chronoveil.session import prepare
 from chronoveil.streaming import streams as st
@@ -64,8 +64,13 @@ def stream_change_runs(spark, sf):
     return st.run_available(st.change_runs(event_stream(spark, sf), "series_id", "event_id", "label"), "runs")
 
 
-@query("stream_spas")
+@query("stream_spas", f"""
+WITH RECURSIVE {fx.SERIES_SQL}, {release_sql(['seed', 'event_id'], '(VALUES (1.0, 42))')}
+SELECT series_id, pos, round(pv[pos + 1], 6) AS value, round(pk[pos + 1], 6) AS k, round(eps[pos + 1], 9) AS eps_used, round(svt[pos + 1], 9) AS svt_used FROM rec
+""")
 def stream_spas(spark, sf):
     out = st.private_release(event_stream(spark, sf), "series_id", "event_id", "event_id", ["value", "k"], 1.0, VALUE_RANGE,
                              VALUE_RANGE, 20)
-    return st.run_available(out, "spas")
+    done = st.run_available(out, "spas")
+    return done.select("series_id", "pos", F.round("value", 6).alias("value"), F.round("k", 6).alias("k"),
+                       F.round("eps_used", 9).alias("eps_used"), F.round("svt_used", 9).alias("svt_used"))

@@ -126,14 +126,14 @@ def publish_whole(x, z, uq, ut, eps, s_p, s_s, window, back):
             first = lo + used[0] if len(used) else i
             left = window - (i - first)
             drift = np.abs(x[i] - x[i - 1]).sum() / dim + uq[i] * s_s * 2 * c / eps_q
-            if left <= int(remain / share):
+            if left <= int(remain / share + 1e-9):
                 rest = max(0.0, eps_q - tested[first:i].sum()) / c
                 spent[i], tested[i] = remain / left, rest
                 out[i] = x[i] + z[i] * s_p / (remain / left + rest)
-            elif drift > c * s_p / eps_p + rho and remain >= share:
+            elif drift > c * s_p / eps_p + rho and remain >= share * (1 - 1e-9):
                 tested[i] = eps_q / c
                 bonus = eps_q - tested[lo + 1:i + 1].sum()
-                spent[i] = share
+                spent[i] = min(share, remain)
                 out[i] = x[i] + z[i] * s_p / (share + max(bonus, 0.0))
             else:
                 out[i] = out[i - 1]
