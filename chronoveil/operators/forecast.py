@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoveil.operators.moments import covariance
 from chronoveil.operators.position import BLOCK_ROWS, framed, series_stats
 
 
@@ -78,13 +80,28 @@ def lag_table(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags: int,
 
 
 def linear_forecast(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags: int, horizon: int) -> DataFrame:
-    """One least-squares map from the lags to each horizon, fitted over all windows by Spark ML; adds ``f1..fP``."""
+    """One least-squares map from the lags to every horizon, fitted over all windows; adds ``f1..fP``.
+
+    All horizons share one distributed covariance of lags and targets, of which only (L+P)^2/2 numbers reach the
+    driver for the L*L solve; the forecasts are column expressions.
+    """
     table = lag_table(df, keys, pos, col, lags, horizon)
-    out = VectorAssembler(inputCols=[f"x{i + 1}" for i in range(lags)], outputCol="_x").transform(table)
-    for h in range(1, horizon + 1):
-        model = LinearRegression(featuresCol="_x", labelCol=f"y{h}", predictionCol=f"f{h}", solver="normal").fit(out)
-        out = model.transform(out)
-    return out.drop("_x")
+    xs = [f"x{i + 1}" for i in range(lags)]
+    names = xs + [f"y{h}" for h in range(1, horizon + 1)]
+    means = np.array(table.agg(*[F.avg(c) for c in names]).first(), dtype=float)
+    cov = np.zeros((len(names), len(names)))
+    for r in covariance(table.select(F.array(*names).alias("v")), [], "v").collect():
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
+    beta = np.linalg.lstsq(cov[:lags, :lags], cov[:lags, lags:], rcond=None)[0]
+    base = means[lags:] - means[:lags] @ beta
+
+    def line(h: int) -> Column:
+        out = F.lit(float(base[h]))
+        for i, c in enumerate(xs):
+            out = out + F.col(c) * F.lit(float(beta[i, h]))
+        return out
+
+    return table.withColumns({f"f{h + 1}": line(h) for h in range(horizon)})
 
 
 def tree_forecast(df: DataFrame, key: str, pos: str, col: str, trees: int = 5, depth: int = 3, seed: int = 42) -> DataFrame:

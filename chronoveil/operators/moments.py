@@ -63,10 +63,7 @@ def covariance(df: DataFrame, keys: Sequence[str], col: str, held_keys: int = 64
     d*d partial product per key, so the shuffle carries d(d+1)/2 rows per key and task however many vectors there
     are. Vectors with a value that is not finite fail the job.
     """
-    v = F.col(col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    safe = F.when(bad, F.raise_error(F.lit("vector with a value that is not finite"))).otherwise(v)
-    checked = df.select(*keys, safe.alias("_v"))
+    checked = df.select(*keys, F.col(col).alias("_v"))
     means = exploded(checked, keys, "_v").groupBy(*keys, "d").agg(F.avg("x").alias("m"))
     packed = F.array_sort(F.collect_list(F.struct("d", "m")))  # d entries
     if keys:
@@ -90,7 +87,9 @@ def covariance(df: DataFrame, keys: Sequence[str], col: str, held_keys: int = 64
         for pdf in batches:
             groups = pdf.groupby(list(keys), sort=False) if keys else [((), pdf)]
             for key, part in groups:
-                x = np.stack(part["c"].to_list())
+                x = np.array(part["c"].to_list(), dtype=float)
+                if not np.isfinite(x).all():
+                    raise ValueError("vector with a value that is not finite")
                 old, n = grams.get(key, (0.0, 0))
                 grams[key] = (old + x.T @ x, n + len(x))
             if len(grams) > held_keys:
