@@ -82,6 +82,17 @@ def test_samplers_by_name(series):
         sp.draw("none", series, K, 10, 2, 20, 3)
 
 
+def test_series_without_enough_candidates_are_left_out(spark):
+    """A series with fewer than K candidates has no batches and must not trip the interval check."""
+    df = spark.range(600).select(F.when(F.col("id") < 560, 0).otherwise(1).alias("series_id"), F.col("id").alias("t"))
+    s = with_position(df, K, "t")
+    for rows in (sp.spaced(s, K, 10, 2, 20, 0.4, 3), sp.poisson(s, K, "pos", 10, 2, 20, 3), sp.structured_wr(s, K, 10, 2, 20, 3),
+                 sp.draw("pss", s, K, 10, 2, 20, 3, lam=0.4)):
+        assert [r["series_id"] for r in rows.select("series_id").distinct().collect()] == [0]
+    with pytest.raises(Exception, match="more spacing intervals"):
+        sp.spaced(s, K, 10, 2, 10, 0.1, 3).collect()
+
+
 def test_structured_draws_every_slot(series):
     draws = sp.structured_wr(series, K, 10, 2, 20, 3)
     assert draws.groupBy(*K, "step").agg(F.count_distinct("slot").alias("n")).filter("n != 20").isEmpty()
