@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoveil.llm import chat, secrets
+from chronoveil.llm import chat, packing, secrets, token_codec
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,13 @@ select conv_id, participant, row_number() over (partition by conv_id, participan
 @query("op10_perspectives", _CHAT_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_slack_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codec.round_trip(table(spark, sf_dir, "documents"))
