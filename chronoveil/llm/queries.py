@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoveil.llm import chat, packing, secrets, token_codec
+from chronoveil.llm import chat, packing, secrets, token_codec, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_files")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
+_BASE32_SQL = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha, {5 * i + 1}, 5))::int >> {shift}) & 31) + 1, 1)"
+    for i in range(8) for shift in (15, 10, 5, 0))
+
+
+@query("op3_archive_merge", f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+f as (select *, min(page_id) over (partition by sha) as first from p)
+select page_id, octet_length(encode(html))::bigint as payload_bytes, {_BASE32_SQL} as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from f""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archived_pages(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
