@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoveil.llm import chat, packing, secrets, token_codec, warc
+from chronoveil.llm import chat, fingerprint, language, learning, packing, secrets, token_codec, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,15 @@ select page_id, octet_length(encode(html))::bigint as payload_bytes, {_BASE32_SQ
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archived_pages(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_phrase_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op1_byte_network")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
