@@ -6,14 +6,22 @@ words, one after another. Each distinct word is encoded once per worker and kept
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
 from chronoveil.llm import base
 
 #: Words a worker remembers (about 150 bytes each); at the limit it forgets all and goes on.
-REMEMBERED = 400_000
-_PUNCTUATION = frozenset(".,;:!?")
+REMEMBERED = 600_000
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
+#: Letters only, none of which normalisation turns into anything but a letter: one word for the tokenizer.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Plain words that are encoded as one text.
+_LINE = 256
 _workers: dict[str, "WordEncoder"] = {}
 
 
@@ -29,9 +37,33 @@ def word_encoder(path: str) -> "WordEncoder":
     return _workers[path]
 
 
-def _latin(c: str) -> bool:
-    """A letter that normalisation leaves a letter whatever follows it."""
-    return "a" <= c <= "z" or "A" <= c <= "Z" or ("\xc0" <= c <= "\xff" and c not in "\xd7\xf7")
+def pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Like ``base.words``, in lower case as far as ASCII goes and with a closing mark as a word of its own.
+
+    A mark behind a Latin letter and before white space begins a word for the tokenizer too, and it lower-cases anyway.
+    Only its special tokens are matched before that, so texts that may have one are split at white space alone.
+    """
+    data, offsets = base.utf8(column)
+    if not len(data) or (data[:-1][data[1:] == ord("|")] == ord("<")).any():
+        return base.words(column)
+    data = _LOWER[data]
+    space = _SPACE[data]
+    firsts = offsets[:-1][np.diff(offsets) > 0]
+    lasts = offsets[1:][np.diff(offsets) > 0] - 1
+    before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    before[firsts], after[lasts] = True, True
+    marks = np.flatnonzero(_MARK[data] & after & ~before)
+    last = data[marks - 1]
+    accented = (data[marks - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (marks > 1)
+    begins = before & ~space
+    begins[marks[((last >= ord("a")) & (last <= ord("z"))) | accented]] = True
+    kept = ~space
+    packed = data[kept]
+    starts = np.append((np.cumsum(kept) - kept)[begins], len(packed))
+    flat = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(packed))
+    coded = flat.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(begins)))[offsets]
 
 
 class WordEncoder:
@@ -42,42 +74,44 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.closing = np.zeros(self.vocabulary, dtype=bool)
+        self.closing[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """Word and closing punctuation, where that is a boundary for the tokenizer too; case where it doesn't matter."""
-        if "<|" in word:  # may be a special token, which is matched before anything else
-            return word, ""
-        if word.isascii():
-            word = word.lower()
-        if len(word) > 1 and word[-1] in _PUNCTUATION and _latin(word[-2]):
-            return word[:-1], word[-1]
-        return word, ""
+        """Ids of each part. Plain words are encoded many at a time: in each, the last id alone closes a word."""
+        plain = [bool(_PLAIN.fullmatch(p)) for p in parts]
+        joined = [p for p, one in zip(parts, plain) if one]
+        lines = [" ".join(joined[i:i + _LINE]) for i in range(0, len(joined), _LINE)]
+        flat = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = np.flatnonzero(self.closing[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
+        if len(ends) != len(joined) or (len(ends) and ends[-1] != len(flat)):  # a vocabulary without marks at word ends
+            plain = [False] * len(parts)
+            ends = ends[:0]
+        data = flat.tobytes()
+        whole = iter([data[4 * a:4 * b] for a, b in zip([0, *ends.tolist()[:-1]], ends.tolist())])
+        rest = [p for p, one in zip(parts, plain) if not one]
+        each = iter([np.array(e.ids, dtype="<u4").tobytes()
+                     for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        return [next(whole if one else each) for one in plain]
 
     def _words(self, dictionary: list[str]) -> list[bytes]:
         known = self.known
         out = [known.get(w) for w in dictionary]
-        missing = [i for i, v in enumerate(out) if v is None]
-        if missing:
+        new = [w for w, v in zip(dictionary, out) if v is None]
+        if new:
             if len(known) > self.remembered:
                 known.clear()
-            parts = [self._parts(dictionary[i]) for i in missing]
-            new = sorted({p for pair in parts for p in pair if p and p not in known})
-            local = dict(zip(new, self._ids(new))) if new else {}
-            known.update(local)
-            for i, (stem, end) in zip(missing, parts):
-                out[i] = known[stem] + known[end] if end else known[stem]
+            found = self._ids(new)
+            known.update(zip(new, found))
+            rest = iter(found)
+            out = [next(rest) if v is None else v for v in out]
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one text after another (null: no id), and the offset at which each text begins, plus the end."""
-        dictionary, codes, offsets = base.words(column)
+        dictionary, codes, offsets = pieces(column)
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         each = self._words(dictionary.to_pylist())
