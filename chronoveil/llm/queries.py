@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoveil.llm import chat, fingerprint, language, learning, packing, secrets, token_codec, warc
+from chronoveil.llm import chat, fingerprint, language, learning, packing, secrets, token_codec, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
     return found.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_toxicity_network")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.with_scores(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
