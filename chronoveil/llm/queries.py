@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoveil.llm import chat, fingerprint, language, learning, packing, secrets, token_codec, toxicity, warc
+from chronoveil.llm import chat, decontaminate, fingerprint, language, learning, packing, secrets, token_codec, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.with_scores(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "score",
                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op6_spaced_seeds")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
