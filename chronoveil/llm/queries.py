@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoveil.llm import chat, decontaminate, fingerprint, language, learning, packing, secrets, token_codec, toxicity, warc
+from chronoveil.llm import chat, decontaminate, fingerprint, language, learning, ngram_join, packing, secrets, token_codec, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_spaced_seeds")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
