@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from chronoveil.session import prepare, scratch_path
 
-#: Rows of text that one Arrow batch carries to a Python worker; bounds the worker's memory with texts of usual length.
-ARROW_ROWS = 500
+#: Rows, and bytes, that one Arrow batch carries to a Python worker; they bound the worker's memory.
+ARROW_ROWS = 2_000
+ARROW_BYTES = "4m"
 #: Most blocks an ordered table is cut into. Their bounds are the only thing the driver holds (8 bytes each).
 MAX_BLOCKS = 65_536
 
@@ -22,7 +23,7 @@ def set_up(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and Arrow batches small enough for whole texts."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

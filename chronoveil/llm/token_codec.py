@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,19 +131,20 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> n
     return out.T.reshape(-1)[:n]
 
 
-def _encode_texts(path: str, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
+def _encode_texts(path: str, end_id: int, bounds: list[int]):
+    schema = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        encoder = tokens.word_encoder(path)
+        encoder, cuts = tokens.word_encoder(path), np.array(bounds, dtype=np.int64)
         kind = "<u2" if max(encoder.vocabulary, end_id) < 1 << 16 else "<u4"
         for batch in batches:
             ids, offsets = encoder.encode(batch.column("text"))
             ids, end = ids.astype(kind), np.array([end_id], dtype=kind).tobytes()
             each = [ids[a:b].tobytes() + end for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             size = np.dtype(kind).itemsize
+            keys = pc.fill_null(batch.column("doc_id"), -(2 ** 63)).to_numpy()
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(x) // size for x in each], pa.int64()),
+                pa.array(np.searchsorted(cuts, keys).astype(np.int32)), batch.column("doc_id"), pa.array([len(x) // size for x in each], pa.int64()),
                 pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary())], schema=schema)
     return run
 
@@ -211,8 +213,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     spark = base.set_up(docs.sparkSession)
     rows = base.documents(docs, doc_id, text)
     bounds = base.ordered_bounds(rows.select("doc_id"), "doc_id", rows_per_range)
-    encoded = rows.mapInArrow(_encode_texts(tokenizer or tokens.public_tokenizer(), end_id), "doc_id bigint, n bigint, crc bigint, ids binary")
-    ranged = encoded.withColumn("range", base.block_of("doc_id", bounds))
+    ranged = rows.mapInArrow(_encode_texts(tokenizer or tokens.public_tokenizer(), end_id, bounds),
+                             "range int, doc_id bigint, n bigint, crc bigint, ids binary")
     inorder = ranged.repartition("range").sortWithinPartitions("range", "doc_id", "n", "crc").select("range", "doc_id", "n", "ids")
     gathered = base.written(inorder.mapInArrow(_gather, _GATHERED), "token-ids", compression="zstd")
     counts = gathered.select("ids", "wide").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))

@@ -13,8 +13,8 @@ import pyarrow as pa
 
 from chronoveil.llm import base
 
-#: Words a worker remembers (about 150 bytes each); at the limit it forgets all and goes on.
-REMEMBERED = 600_000
+#: Words a worker remembers at least (about 150 bytes each): beyond twice as many, those not seen lately are forgotten.
+REMEMBERED = 300_000
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _MARK = np.isin(np.arange(256), list(b".,;:!?"))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
@@ -78,6 +78,7 @@ class WordEncoder:
         self.closing[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Ids of each part. Plain words are encoded many at a time: in each, the last id alone closes a word."""
@@ -97,16 +98,17 @@ class WordEncoder:
         return [next(whole if one else each) for one in plain]
 
     def _words(self, dictionary: list[str]) -> list[bytes]:
-        known = self.known
+        known, earlier = self.known, self.earlier
         out = [known.get(w) for w in dictionary]
         new = [w for w, v in zip(dictionary, out) if v is None]
         if new:
+            again = {w: earlier[w] for w in new if w in earlier}
+            unseen = [w for w in new if w not in again]
+            again.update(zip(unseen, self._ids(unseen)))
+            known.update(again)
+            out = [again[w] if v is None else v for w, v in zip(dictionary, out)]
             if len(known) > self.remembered:
-                known.clear()
-            found = self._ids(new)
-            known.update(zip(new, found))
-            rest = iter(found)
-            out = [next(rest) if v is None else v for v in out]
+                self.known, self.earlier = {}, known
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
