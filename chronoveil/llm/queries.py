@@ -32,9 +32,9 @@ _SECRET_KINDS = [
 _SECRETS_SQL = "with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), e as (" + " union all ".join(
     f"select r, {i} as k, '{kind}' as kind, {least} as least, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}', 0) as ms, "
     f"regexp_extract_all(t, '{p}', {g}) as vs from d" for i, (kind, p, g, least) in enumerate(_SECRET_KINDS)) + """),
-u as (select r, k, kind, least, gaps, ms, vs, unnest(range(1, len(ms) + 1)) as i from e),
-g as (select r, k, kind, length(ms[i]) as width, length(vs[i]) as value, least,
-  sum(length(gaps[i]) + length(ms[i])) over (partition by r, k order by i) as stop from u),
+u as (select r, k, kind, least, unnest(gaps[1:len(ms)]) as gap, unnest(ms) as m, unnest(vs) as v, unnest(range(1, len(ms) + 1)) as i from e),
+g as (select r, k, kind, length(m) as width, length(v) as value, least,
+  sum(length(gap) + length(m)) over (partition by r, k order by i) as stop from u),
 s as (select r, k, kind, (stop - width)::bigint as start, stop::bigint as stop from g where value >= least),
 a as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
   count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) as spans
