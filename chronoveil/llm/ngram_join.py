@@ -294,13 +294,13 @@ def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LI
 
 
 def one_of_each(docs: DataFrame, size: int = 5, link: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, in the columns of ``docs``: the smallest id, of equal ids the smallest text hash.
+    """One row of each component, in the columns of ``docs``: the smallest id (null last), of equal ids the smallest text hash.
 
     Rows with an empty set are linked with nothing and all stay.
     """
     found = link_documents(docs, size, link, doc_id, text)
     lowest = F.lit(-(2 ** 63))
-    row = F.struct(F.coalesce("doc_id", lowest).alias("doc"), "text_hash")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", lowest).alias("doc"), "text_hash")
     linked = found.filter("n_shingles > 0").groupBy(F.coalesce("component_id", lowest).alias("c")).agg(F.min(row).alias("k")).select("k.doc", "k.text_hash")
     doc, mark, turn = base.fresh(docs, "doc"), base.fresh(docs, "hash"), base.fresh(docs, "turn")
     keep = base.written(linked.distinct().select(F.col("doc").alias(doc), F.col("text_hash").alias(mark)), "kept")
