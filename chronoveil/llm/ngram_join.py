@@ -256,7 +256,8 @@ def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LI
     other = F.ceil(F.col("n") * link[0] / float(link[1]))
     alive = classes.join(met, "cls").filter(F.col("met") >= F.greatest(F.lit(1), F.floor(other / 10) - 1)).select("cls", "holder")
     alive = base.written(alive, "screened-in")
-    texts = rows.select(F.coalesce("doc_id", lowest).alias("holder"), "text").join(alive, "holder").select("cls", "text")
+    # What is screened in grows with the corpus: it is never broadcast, so the plan is the same at every size.
+    texts = rows.select(F.coalesce("doc_id", lowest).alias("holder"), "text").hint("merge").join(alive.hint("merge"), "holder").select("cls", "text")
     matrix = base.written(texts.mapInArrow(_rows_of_matrix(size), "cls bigint, n bigint, hashes array<bigint>"), "matrix")
     cells = matrix.select("cls", "n", F.explode("hashes").alias("h"))
     counts = base.written(cells.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "columns")
