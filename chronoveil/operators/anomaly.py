@@ -8,10 +8,10 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, framed, group_bound, join_sized, previous, series_stats
+from chronoveil.operators.position import (BLOCK_ROWS, framed, group_bound, join_sized, merge_stages, previous,
+                                           series_stats, trailing_sum)
 from chronoveil.operators.windows import window_rows
 
 
@@ -90,8 +90,8 @@ def window_mean_scores(df: DataFrame, keys: Sequence[str], pos: str, cols: Seque
     """The same scores without copying rows: the mean of (x - m_w)^2 over covering windows is
     (x - E[m_w])^2 + Var[m_w].
 
-    Window means and both moments are differences of prefix sums of centred values, so the cost per row does not
-    depend on the window length, and one shuffle serves all stages.
+    Window means and both moments are trailing sums of centred values, so the cost per row does not depend on the window
+    length, one shuffle serves all stages, and a value only reaches the windows that hold it.
     """
     stats = {"_n": F.count(F.lit(1)), **{f"_mu_{c}": F.avg(c) for c in cols}}
     sized = series_stats(df.select(*keys, pos, *cols), keys, pos, stats, block_rows).filter(F.col("_n") >= length)
@@ -99,22 +99,16 @@ def window_mean_scores(df: DataFrame, keys: Sequence[str], pos: str, cols: Seque
     zero = F.lit(0.0)
     full = F.col(pos) + length <= F.col("_n")
 
-    def prefix(c: Column):
-        return lambda w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
     def mean_of(c: str):
-        return lambda w: F.when(full, (F.lead(f"_s_{c}", length - 1).over(w) - F.coalesce(F.lag(f"_s_{c}", 1).over(w), zero))
-                                / float(length))
-
-    def recent(name: str):
-        return lambda w: F.coalesce(name, zero) - F.coalesce(F.lag(name, length).over(w), zero)
-
-    stages = [{f"_s_{c}": prefix(F.col(f"_x_{c}")) for c in cols},
-              {f"_w_{c}": mean_of(c) for c in cols},
-              {"_cn": prefix(full.cast("double")), **{f"_c1_{c}": prefix(F.col(f"_w_{c}")) for c in cols},
-               **{f"_c2_{c}": prefix(_squared(F.col(f"_w_{c}"))) for c in cols}},
-              {"_k": recent("_cn"), **{f"_a_{c}": recent(f"_c1_{c}") for c in cols}, **{f"_b_{c}": recent(f"_c2_{c}") for c in cols}}]
-    out = framed(centred, keys, pos, length, length - 1, stages, block_rows)
+        return lambda w: F.when(full, F.lead(f"_s_{c}", length - 1).over(w) / float(length))
+
+    means = merge_stages(*[trailing_sum(f"_s_{c}", F.col(f"_x_{c}"), length, pos) for c in cols]) + [
+        {f"_w_{c}": mean_of(c) for c in cols}]
+    moments = merge_stages(
+        trailing_sum("_k", full.cast("double"), length, pos),
+        *[trailing_sum(f"_a_{c}", F.col(f"_w_{c}"), length, pos) for c in cols],
+        *[trailing_sum(f"_b_{c}", _squared(F.col(f"_w_{c}")), length, pos) for c in cols])
+    out = framed(centred, keys, pos, length, length - 1, [*means, *moments], block_rows)
 
     def score(c: str) -> Column:
         mean = F.col(f"_a_{c}") / F.col("_k")

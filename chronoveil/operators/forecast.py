@@ -6,14 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoveil.operators.moments import covariance
-from chronoveil.operators.position import BLOCK_ROWS, framed, series_stats
+from chronoveil.operators.position import BLOCK_ROWS, block_of, framed, running_sum, series_stats
 
 
 def moving_trends(df: DataFrame, keys: Sequence[str], pos: str, col: str, kernels: Sequence[int],
@@ -104,11 +102,31 @@ def linear_forecast(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags
     return table.withColumns({f"f{h + 1}": line(h) for h in range(horizon)})
 
 
-def tree_forecast(df: DataFrame, key: str, pos: str, col: str, trees: int = 5, depth: int = 3, seed: int = 42) -> DataFrame:
-    """Gradient-boosted trees on (series, time index); adds ``forecast``."""
-    out = VectorAssembler(inputCols=[key, pos], outputCol="_x").transform(df)
-    model = GBTRegressor(featuresCol="_x", labelCol=col, predictionCol="forecast", maxIter=trees, maxDepth=depth, seed=seed)
-    return model.fit(out).transform(out).drop("_x")
+def boosted_forecast(df: DataFrame, keys: Sequence[str], pos: str, col: str, horizon: int, rounds: int = 5, rate: float = 0.5,
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Gradient-boosted splits of each series on its time index; forecasts of the ``horizon`` positions behind it.
+
+    A round finds the split of the residual with the largest reduction of squared error from prefix sums (the earliest of
+    those equal to six digits), and moves both sides by ``rate`` of their mean. A series of one row keeps its mean.
+    """
+    sized = series_stats(df.select(*keys, pos, F.col(col).cast("double").alias("_y")), keys, pos,
+                         {"_n": F.count(F.lit(1)), "_f": F.avg("_y")}, block_rows)
+    now = sized.withColumn("_r", F.col("_y") - F.col("_f")).drop("_y")
+    block = block_of(df, keys, pos, block_rows)
+    for _ in range(rounds):
+        total = series_stats(running_sum(now, keys, [pos], block, {"_s": F.col("_r")}), keys, pos, {"_t": F.sum("_r")}, block_rows)
+        left, right = F.col(pos) + 1, F.col("_n") - F.col(pos) - 1
+        s, rest = F.col("_s"), F.col("_t") - F.col("_s")
+        gain = F.round(s * s / left + rest * rest / F.when(right > 0, right), 6)
+        order = F.struct(gain.alias("gain"), (-F.col(pos)).alias("early"))
+        split = F.struct(F.col(pos).alias("cut"), (s / left).alias("low"), (rest / F.when(right > 0, right)).alias("high"))
+        found = series_stats(total, keys, pos, {"_b": F.max_by(F.when(right > 0, split), F.when(right > 0, order))}, block_rows)
+        move = F.when(F.col(pos) <= F.col("_b.cut"), F.col("_b.low")).otherwise(F.col("_b.high"))
+        now = (found.withColumn("_r", F.col("_r") - F.coalesce(F.lit(rate) * move, F.lit(0.0)))
+               .withColumn("_f", F.col("_f") + F.coalesce(F.lit(rate) * F.col("_b.high"), F.lit(0.0))).drop("_s", "_t", "_b"))
+    ends = now.groupBy(*keys).agg(F.any_value("_n").alias("_n"), F.any_value("_f").alias("forecast"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))
+    return ends.withColumn("_h", steps).select(*keys, (F.col("_n") + F.col("_h")).alias(pos), "forecast")
 
 
 def periodic_rows(windows: DataFrame, keys: Sequence[str], x: str, length: int, period: int) -> DataFrame:

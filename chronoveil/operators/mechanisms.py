@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -14,7 +15,8 @@ from pyspark.sql.window import Window
 from chronoveil.functions import vectors as vec
 from chronoveil.functions.rng import gaussian, laplace, uniform
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import BLOCK_ROWS, framed, merge_stages, previous, trailing_sum
+from chronoveil.operators.position import (BLOCK_ROWS, framed, merge_stages, previous, trailing_scratch,
+                                           trailing_sum)
 
 
 def clip_factor(norm: Column, bound: float, eps: float = 1e-12) -> Column:
@@ -92,8 +94,8 @@ def stream_dissimilarity(df: DataFrame, keys: Sequence[str], pos: str, cols: Seq
     used = (F.col(pos) >= 2) & (F.col("sq") > 0)
     pairs = window * windows_back - 1
     sums = {"_c": F.lit(1.0), "_q": F.col("sq"), "_a": F.col("dis")}
-    stages = merge_stages(*[trailing_sum(n, F.when(used, v), pairs) for n, v in sums.items()])
-    out = framed(steps, keys, pos, pairs, 0, stages, block_rows).drop(*[f"_cum_{n}" for n in sums])
+    stages = merge_stages(*[trailing_sum(n, F.when(used, v), pairs, pos) for n, v in sums.items()])
+    out = framed(steps, keys, pos, pairs, 0, stages, block_rows).drop(*trailing_scratch(*sums))
     mean_abs = F.col("_a") / F.col("_c")
     return (out.withColumn("proxy", F.when(F.col("_c") > 0.5, F.col("_q") / F.col("_c") - mean_abs * mean_abs)
                            .otherwise(F.lit(0.0)))
@@ -121,7 +123,7 @@ def budget_window_ledger(df: DataFrame, keys: Sequence[str], pos: str, eps_used:
     back = window - 1
     spends = F.when(F.col(eps_used) > 0, F.col(pos))
     stages = merge_stages(
-        trailing_sum("_sum", F.col(eps_used), window),
+        trailing_sum("_sum", F.col(eps_used), window, pos),
         # First spending row at or after each position, read where the window starts.
         [{"_at": ("desc", lambda w: F.min(spends).over(w.rowsBetween(Window.unboundedPreceding, 0)))},
          {"_first": lambda w: F.lag("_at", back).over(w), "_top": lambda w: F.first("_at").over(
@@ -130,7 +132,7 @@ def budget_window_ledger(df: DataFrame, keys: Sequence[str], pos: str, eps_used:
     candidate = F.coalesce("_first", F.when(F.col(pos) < back, F.col("_top")))
     return (out.withColumn("eps_remain", F.lit(float(eps_p)) - (F.col("_sum") - F.col(eps_used)))
             .withColumn("first_sampled", F.when(candidate < F.col(pos), candidate).otherwise(F.col(pos)))
-            .drop("_sum", "_cum__sum", "_at", "_first", "_top"))
+            .drop("_sum", *trailing_scratch("_sum"), "_at", "_first", "_top"))
 
 
 class StreamPublisher:
@@ -139,92 +141,124 @@ class StreamPublisher:
     Memory is bounded by the window: the last W spends and the last W*k published changes.
     """
 
-    def __init__(self, epsilon: float, s_p: float, s_s: float, window: int, windows_back: int, dim: int):
+    def __init__(self, epsilon: float, s_p: float, s_s: float, window: int, windows_back: int, dim: int, warm_rows: int | None = None):
         self.eps_p, self.eps_s = 0.75 * epsilon, 0.25 * epsilon
         self.eps_threshold = self.eps_query = self.eps_s / 2.0
         self.s_p, self.s_s, self.window, self.dim = s_p, s_s, window, dim
+        self.warm_rows = window if warm_rows is None else warm_rows
         # Warm-up releases share the budget exactly: one every ``interval`` rows.
         self.interval = min(20, window)
         self.warm_eps = self.eps_p / -(-window // self.interval)
-        self.eps = deque([0.0] * (window - 1), maxlen=window - 1)
-        self.svt = deque([0.0] * (window - 1), maxlen=window - 1)
-        self.changes: deque[tuple[float, float]] = deque(maxlen=window * windows_back - 1)
+        self.history = window * windows_back - 1
+        # Rows that spent budget within the last window - 1 rows: (row, release budget, comparison budget). The sums
+        # over a window are kept up to date and summed anew once per window, so a row costs the same at any window.
+        self.spent: deque[tuple[int, float, float]] = deque()
+        self.sum_eps = self.sum_svt = 0.0
+        self.changes: deque[tuple[float, float]] = deque()
+        self.moved, self.sum_squares, self.sum_sizes = 0, 0.0, 0.0
         self.i, self.c, self.rho = 0, 1, 0.0
         self.last_raw: np.ndarray | None = None
         self.out: np.ndarray | None = None
 
     def publish(self, row: np.ndarray, noise: np.ndarray, u_query: float, u_threshold: float) -> tuple[float, float]:
-        """Publish ``row``; ``noise`` is unit Laplace per channel, the others unit Laplace scalars. Returns the
-        budgets used for publishing and for the comparison."""
+        """Publish ``row``; ``noise`` is unit Laplace per channel, the others unit Laplace scalars. Returns the budgets
+        booked: that of the release (what its noise spends, but for a share of comparison budget that is booked as such)
+        and that of comparisons."""
         spent = tested = 0.0
-        if self.i < self.window:
+        if self.i < self.warm_rows:
             if self.i % self.interval == 0:
                 spent = self.warm_eps
                 fresh = row + noise * (self.s_p / spent)
             else:
                 fresh = self.out
         else:
-            if self.i == self.window:
+            if self.i == self.warm_rows:
                 self.rho = u_threshold * self.s_s / self.eps_threshold
             fresh, spent, tested = self._decide(row, noise, u_query)
         if self.out is not None and self.i >= 2:
             d = fresh - self.out
-            self.changes.append((float(d @ d) / self.dim, float(np.abs(d).sum()) / self.dim))
+            self._note_change(float(d @ d) / self.dim, float(np.abs(d).sum()) / self.dim)
         self.out, self.last_raw = fresh, row
-        self.eps.append(spent)
-        self.svt.append(tested)
+        self._book(spent, tested)
         self.i += 1
-        if self.i >= self.window:
+        if self.i >= self.warm_rows:
             self.c = self._target_count()
         return spent, tested
 
+    def _book(self, spent: float, tested: float) -> None:
+        if spent > 0 or tested > 0:
+            self.spent.append((self.i, spent, tested))
+            self.sum_eps += spent
+            self.sum_svt += tested
+        # The next row looks back over window - 1 rows, this one included.
+        while self.spent and self.spent[0][0] <= self.i + 1 - self.window:
+            _, eps, svt = self.spent.popleft()
+            self.sum_eps -= eps
+            self.sum_svt -= svt
+        if self.i % self.window == 0:
+            self.sum_eps, self.sum_svt = (math.fsum(x[k] for x in self.spent) for k in (1, 2))
+
+    def _note_change(self, square: float, size: float) -> None:
+        self.changes.append((square, size))
+        old = self.changes.popleft() if len(self.changes) > self.history else (0.0, 0.0)
+        for (sq, ab), sign in (((square, size), 1), (old, -1)):
+            if sq > 0:
+                self.moved += sign
+                self.sum_squares += sign * sq
+                self.sum_sizes += sign * ab
+        if self.i % self.window == 0:
+            self.sum_squares, self.sum_sizes = (math.fsum(x[k] for x in self.changes if x[0] > 0) for k in (0, 1))
+
     def snapshot(self) -> dict:
         """State as plain values."""
-        return {"i": self.i, "c": self.c, "rho": self.rho, "eps": list(self.eps), "svt": list(self.svt),
-                "changes": list(self.changes), "raw": None if self.last_raw is None else self.last_raw.tolist(),
-                "out": None if self.out is None else self.out.tolist()}
+        return {"i": self.i, "c": self.c, "rho": self.rho, "spent": [list(x) for x in self.spent], "sums": [self.sum_eps, self.sum_svt],
+                "changes": [list(x) for x in self.changes], "moved": [self.moved, self.sum_squares, self.sum_sizes],
+                "raw": None if self.last_raw is None else self.last_raw.tolist(), "out": None if self.out is None else self.out.tolist()}
 
     def restore(self, doc: dict) -> None:
         self.i, self.c, self.rho = doc["i"], doc["c"], doc["rho"]
-        self.eps.extend(doc["eps"])
-        self.svt.extend(doc["svt"])
-        self.changes.extend((a, b) for a, b in doc["changes"])
+        self.spent = deque((int(n), eps, svt) for n, eps, svt in doc["spent"])
+        self.sum_eps, self.sum_svt = doc["sums"]
+        self.changes = deque((a, b) for a, b in doc["changes"])
+        self.moved, self.sum_squares, self.sum_sizes = doc["moved"]
         self.last_raw = None if doc["raw"] is None else np.asarray(doc["raw"])
         self.out = None if doc["out"] is None else np.asarray(doc["out"])
 
     def _decide(self, row, noise, u_query):
-        remain = self.eps_p - sum(self.eps)
-        share = self.eps_p / self.c
-        history = list(self.eps)
-        first = next((k for k, e in enumerate(history) if e > 0), len(history))
-        age = len(history) - first
-        left = self.window - age
+        """Every release adds noise for exactly the budget that is booked for it.
+
+        Of the release budget a window has ``remain`` left, to be given out in shares of ``eps_p / c``. When as many rows
+        are left in the window as shares, each is released; otherwise a row is released if it has moved far enough.
+        """
+        remain, share = self.eps_p - self.sum_eps, self.eps_p / self.c
+        # Rows from the first release in sight to the row before this one; all budget returns after the window of that release.
+        first = next((n for n, eps, _ in self.spent if eps > 0), self.i)
+        left = self.window - (self.i - first)
         # Counts of shares are compared with a tolerance: they are exact integers but for rounding.
         if left <= int(remain / share + 1e-9):
-            svt_left = max(0.0, self.eps_query - sum(list(self.svt)[first:])) / self.c
+            tested_since = math.fsum(svt for n, _, svt in self.spent if n >= first) if self.spent and self.spent[0][0] < first else self.sum_svt
+            svt_left = max(0.0, self.eps_query - tested_since) / self.c
             spent = remain / left
             return row + noise * (self.s_p / (spent + svt_left)), spent, svt_left
         threshold = self.c * self.s_p / self.eps_p + self.rho
         drift = float(np.abs(row - self.last_raw).sum()) / self.dim
         noisy = drift + u_query * self.s_s * 2.0 * self.c / self.eps_query
         if noisy > threshold and remain >= share * (1.0 - 1e-9):
-            tested = self.eps_query / self.c
-            bonus = self.eps_query - sum(list(self.svt)[1:]) - tested
-            total = share + bonus if bonus > 0 else share
-            return row + noise * (self.s_p / total), min(share, remain), tested
+            spent = min(share, remain)
+            return row + noise * (self.s_p / spent), spent, self.eps_query / self.c
         return self.out, 0.0, 0.0
 
     def _target_count(self) -> int:
-        moved = [c for c in self.changes if c[0] > 0]
-        if not moved:
+        if not self.moved:
             return 1
-        squares, sizes = (sum(x) / len(moved) for x in zip(*moved))
+        squares, sizes = self.sum_squares / self.moved, self.sum_sizes / self.moved
         proxy = squares - sizes * sizes
         return max(int(np.sqrt(0.75 * max(proxy, 0.0)) * self.eps_p / self.s_p / 3.0), 1)
 
 
 def publish_streams(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], epsilons: Sequence[float],
-                    seeds: Sequence[int], s_p: float, s_s: float, window: int, windows_back: int = 2) -> DataFrame:
+                    seeds: Sequence[int], s_p: float, s_s: float, window: int, windows_back: int = 2,
+                    warm_rows: int | None = None) -> DataFrame:
     """Private release of every (series, epsilon, seed) stream with its budget use per row.
 
     One stream is sequential by definition; series, budgets and seeds are separate streams and run in parallel. The
@@ -262,7 +296,7 @@ def publish_streams(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
             for i, name in enumerate(names):
                 if name != current:
                     current = name
-                    state = StreamPublisher(name[-2], s_p, s_s, window, windows_back, len(values))
+                    state = StreamPublisher(name[-2], s_p, s_s, window, windows_back, len(values), warm_rows)
                 used[i] = state.publish(x[i], z[i], uq[i], ut[i])
                 out[i] = state.out
             res = pdf[[*stream, pos]].copy()

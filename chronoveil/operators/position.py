@@ -19,17 +19,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 BLOCK_ROWS = 1 << 20
-DIRECT_ROWS = 64
-BROADCAST_ROWS = 100_000
+# Rows times columns of a broadcast table: some 10 MB.
+BROADCAST_CELLS = 400_000
 ROW_BOUND = "max_series_rows"
 SERIES_COUNT = "series_count"
 SERIES_KEYS = "series_keys"
 BLK = "_blk"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key is a key like any other; the keys of ``left`` are kept."""
+    if not any(left.schema[k].nullable and right.schema[k].nullable for k in on):
+        return left.join(right, list(on), how)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in on])
+
+
 def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int | None, how: str = "inner") -> DataFrame:
-    """Broadcast ``small`` only when its row count is known to be small; otherwise let AQE choose (skew join included)."""
-    return big.join(F.broadcast(small) if rows is not None and rows <= BROADCAST_ROWS else small, list(on), how)
+    """Null-safe join that broadcasts ``small`` only when its row count is known to be small and its rows are of a few
+    columns; otherwise AQE chooses (skew join included)."""
+    few = rows is not None and rows * max(1, len(small.columns)) <= BROADCAST_CELLS
+    return join_null_safe(big, F.broadcast(small) if few else small, on, how)
 
 
 def mark_bound(df: DataFrame, pos: str, rows: int, keys: Sequence[str], series: int) -> DataFrame:
@@ -75,7 +88,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
     local = Window.partitionBy(*keys, *blocks).orderBy(order, *tie)
     placed = (tagged.repartition(*keys, *blocks)
               .withColumn("_rn", F.row_number().over(local))
-              .join(offsets, [*keys, *blocks], "left")
+              .transform(lambda d: join_null_safe(d, offsets, [*keys, *blocks], "left"))
               .withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_rn") - 1).cast("bigint"))
               .drop(*blocks, "_long", "_rn", "_off"))
     return mark_bound(placed, out, longest, keys, n_series)
@@ -104,14 +117,23 @@ def _refine(tagged: DataFrame, keys: Sequence[str], order: str, tie: Sequence[st
     return joined.withColumn("_sub", F.coalesce(cut, F.lit(0)).cast("bigint")).drop(*extra)
 
 
-Stage = dict[str, Callable[[WindowSpec], Column] | tuple[str, Callable[[WindowSpec], Column]]]
+Stage = dict[str, Callable[[WindowSpec], Column] | tuple]
 
 
 def _stages(df: DataFrame, part: Sequence[str], pos: str, stages: Sequence[Stage]) -> DataFrame:
     asc = Window.partitionBy(*part).orderBy(pos)
     desc = Window.partitionBy(*part).orderBy(F.col(pos).desc())
+
+    def column(fn) -> Column:
+        if not isinstance(fn, tuple):
+            return fn(asc)
+        if fn[0] == "desc":
+            return fn[1](desc)
+        _, rows, order, inner = fn
+        chunk = F.floor(F.col(pos) / F.lit(rows)).cast("bigint")
+        return inner(Window.partitionBy(*part, chunk).orderBy(pos if order == "asc" else F.col(pos).desc()))
     for stage in stages:
-        df = df.select("*", *[(fn[1](desc) if isinstance(fn, tuple) else fn(asc)).alias(name) for name, fn in stage.items()])
+        df = df.select("*", *[column(fn).alias(name) for name, fn in stage.items()])
     return df
 
 
@@ -119,8 +141,8 @@ def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int
            block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Window expressions that look at most ``before`` rows back and ``after`` rows ahead of a dense position.
 
-    ``exprs`` maps a column name to a function of the ordered window, or to ``("desc", function)`` for the descending
-    one. A list of such maps is applied in order inside the same shuffle; later stages see the columns of earlier ones.
+    ``exprs`` maps a column name to a function of the ordered window, to ``("desc", function)`` for the descending one,
+    or to ``("chunk", rows, "asc" or "desc", function)`` for windows that end at every ``rows``-th position. A list of such maps is applied in order inside the same shuffle; later stages see the columns of earlier ones.
     """
     stages = [exprs] if isinstance(exprs, dict) else exprs
     if is_short(df, keys, pos, block_rows):
@@ -134,18 +156,29 @@ def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int
             .drop(BLK))
 
 
-def trailing_sum(name: str, value: Column, rows: int) -> list[Stage]:
+def trailing_sum(name: str, value: Column, rows: int, pos: str = "pos") -> list[Stage]:
     """Stages for the sum over the last ``rows`` rows, the current one included (null counts as 0).
 
-    Spark re-aggregates a sliding frame at every row. That is the more exact way for short frames; long ones are the
-    difference of two prefix sums, which costs the same at any length.
+    Positions are cut into chunks of ``rows``. A frame is the end of one chunk and the beginning of the next, so it is one
+    sum from the right and one from the left: every row costs the same at any length, and only values inside the frame
+    enter it. Nothing is subtracted, so a NaN or a very large value does not reach rows behind its frame. The stages leave
+    ``trailing_scratch(name)`` behind.
     """
     v = F.coalesce(value, F.lit(0).cast("double"))
-    if rows <= DIRECT_ROWS:
-        return [{name: lambda w: F.sum(v).over(w.rowsBetween(-(rows - 1), 0))}]
-    cum = f"_cum_{name}"
-    return [{cum: lambda w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))},
-            {name: lambda w: F.col(cum) - F.coalesce(F.lag(cum, rows).over(w), F.lit(0.0))}]
+    before, behind = trailing_scratch(name)
+
+    def running(w: WindowSpec) -> Column:
+        return F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    def whole(w: WindowSpec) -> Column:
+        rest = F.when(F.col(pos) % rows != rows - 1, F.lag(behind, rows - 1).over(w))
+        return F.col(before) + F.coalesce(rest, F.lit(0.0))
+    return [{before: ("chunk", rows, "asc", running), behind: ("chunk", rows, "desc", running)}, {name: whole}]
+
+
+def trailing_scratch(*names: str) -> list[str]:
+    """Helper columns of ``trailing_sum``, to be dropped."""
+    return [f"_{side}_{n}" for n in names for side in ("pre", "suf")]
 
 
 def merge_stages(*parts: list[Stage]) -> list[Stage]:
@@ -206,7 +239,7 @@ def carry(df: DataFrame, keys: Sequence[str], order: str, block: Column | None,
     spec = Window.partitionBy(*keys, BLK).orderBy(asc).rowsBetween(Window.unboundedPreceding, edge)
     local = tagged.repartition(*keys, BLK).select(
         "*", *[F.last(v, ignorenulls=True).over(spec).alias(f"_l_{n}") for n, v in values.items()])
-    joined = local.join(seeds, [*keys, BLK], "left")
+    joined = join_null_safe(local, seeds, [*keys, BLK], "left")
     return joined.select(*df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values])
 
 
@@ -223,8 +256,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     spec = Window.partitionBy(*keys, BLK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.repartition(*keys, BLK).select(
         "*", *[F.sum(v).over(spec).alias(f"_l_{n}") for n, v in values.items()])
-    joined = local.join(offsets, [*keys, BLK], "left")
-    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.coalesce(f"_o_{n}", F.lit(0))).alias(n)
+    joined = join_null_safe(local, offsets, [*keys, BLK], "left")
+    return joined.select(*df.columns, *[F.coalesce(F.col(f"_l_{n}") + F.col(f"_o_{n}"), f"_l_{n}", f"_o_{n}").alias(n)
                                         for n in values])
 
 
@@ -240,7 +273,7 @@ def minimum_before(df: DataFrame, keys: Sequence[str], order: str, block: Column
     lows = tagged.groupBy(*keys, BLK).agg(F.min(col).alias("_m"))
     seeds = lows.select(*keys, BLK, F.min("_m").over(spec(keys, BLK)).alias("_p"))
     local = tagged.repartition(*keys, BLK).withColumn("_l", F.min(col).over(spec([*keys, BLK], order)))
-    return (local.join(seeds, [*keys, BLK], "left").withColumn(out, F.least("_l", "_p")).drop("_l", "_p", BLK))
+    return (join_null_safe(local, seeds, [*keys, BLK], "left").withColumn(out, F.least("_l", "_p")).drop("_l", "_p", BLK))
 
 
 def value_splits(df: DataFrame, col: str, parts: int, error: float = 0.001) -> list[float]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoveil.operators.position import join_null_safe
+
 
 def common_range(df: DataFrame, keys: Sequence[str], parts: Sequence[str], t: str) -> DataFrame:
     """Time range shared by all parts (sensors) of a key: latest start to earliest end; empty ranges are dropped."""
@@ -16,10 +18,10 @@ def common_range(df: DataFrame, keys: Sequence[str], parts: Sequence[str], t: st
 
 
 def both_sides(df: DataFrame, keys: Sequence[str], side: str, required: Sequence) -> DataFrame:
-    """Groups that have every required side, and which ones are missing where not."""
-    have = F.collect_set(side)
+    """Groups that have every required side, and which ones are missing where not (all of them, if a group has none)."""
+    have = F.collect_set(F.when(F.col(side).isin(list(required)), F.col(side)))
     need = F.array(*[F.lit(r) for r in required])
-    return (df.filter(F.col(side).isin(list(required))).groupBy(*keys).agg(have.alias("_have"))
+    return (df.groupBy(*keys).agg(have.alias("_have"))
             .select(*keys, (F.size("_have") == len(required)).alias("complete"),
                     F.concat_ws(",", F.array_sort(F.array_except(need, "_have")).cast("array<string>")).alias("missing")))
 
@@ -27,7 +29,7 @@ def both_sides(df: DataFrame, keys: Sequence[str], side: str, required: Sequence
 def keep_complete(df: DataFrame, keys: Sequence[str], side: str, required: Sequence) -> DataFrame:
     """Rows of the groups that have every required side (relational division by semi-join)."""
     good = both_sides(df, keys, side, required).filter("complete").select(*keys)
-    return df.join(good, list(keys), "left_semi")
+    return join_null_safe(df, good, keys, "left_semi")
 
 
 def align_columns(long: DataFrame, keys: Sequence[str], channel: str, value: str, channels: Sequence[str]) -> DataFrame:
@@ -74,10 +76,14 @@ def unseen_classes(train: DataFrame, other: DataFrame, label: str) -> DataFrame:
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Rows whose key repeats an earlier row. The first row per key is an aggregate, so a key shared by a third of
-    the table is never sorted in one task."""
-    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    return df.join(first, list(keys)).filter(F.col(order) > F.col("_first")).drop("_first")
+    """Rows whose key, null included, repeats an earlier row; of rows that tie in ``order`` the smallest is the first, and
+    all other copies of it are reported. Equal rows are counted and the first row per key is an aggregate, so a key shared
+    by a third of the table is never sorted in one task."""
+    row = F.struct(order, *[c for c in df.columns if c != order])
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    first = counted.groupBy(*keys).agg(F.min(row).alias("_first"))
+    again = join_null_safe(counted, first, keys).withColumn("_n", F.col("_n") - row.eqNullSafe(F.col("_first")).cast("int"))
+    return again.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*df.columns)
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

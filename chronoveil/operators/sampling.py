@@ -80,31 +80,40 @@ def bernoulli_hits(units: DataFrame, keys: Sequence[str], unit: str, p: str, ste
             .drop("_size", "_chunks", "_i", "_c", "_hits", "_pick"))
 
 
-def candidate_counts(df: DataFrame, keys: Sequence[str], length: int, stride: int, batch: int) -> DataFrame:
-    """Per series: rows ``n``, candidates (n-L)//stride + 1 and steps per epoch; series without K candidates drop."""
-    return count_candidates(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), length, stride, batch)
-
-
-def count_candidates(sized: DataFrame, length: int, stride: int, batch: int) -> DataFrame:
-    return (sized.withColumn("candidates", (F.floor((F.col("n") - length) / F.lit(stride)) + 1).cast("bigint"))
-            .filter(F.col("candidates") >= batch)
+def candidate_counts(df: DataFrame, keys: Sequence[str], length: int, stride: int, batch: int,
+                     short: str = "error") -> DataFrame:
+    """Per series: rows ``n``, candidates (n-L)//stride + 1 and steps per epoch; ``short`` as in ``count_candidates``."""
+    return count_candidates(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), length, stride, batch, short)
+
+
+def count_candidates(sized: DataFrame, length: int, stride: int, batch: int, short: str = "error") -> DataFrame:
+    """Candidates and steps from ``n``. A series with fewer than K candidates is an error for samplers that need K
+    different ones (``error``), drawn from all the same (``keep``; no window, no draw), or left out on purpose (``drop``)."""
+    count = F.greatest(F.lit(0), F.floor((F.col("n") - length) / F.lit(stride)) + 1).cast("bigint")
+    if short == "error":
+        count = F.when(count < batch, F.raise_error(F.lit(f"a series has fewer than {batch} candidate windows"))).otherwise(count)
+    elif short not in ("keep", "drop"):
+        raise ValueError(f"unknown treatment of short series {short!r}")
+    least = {"error": 0, "keep": 1, "drop": batch}[short]
+    return (sized.withColumn("candidates", count).filter(F.col("candidates") >= least)
             .withColumn("steps", batch_steps(F.col("candidates"), batch)))
 
 
-def candidates(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride: int, batch: int) -> DataFrame:
+def candidates(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride: int, batch: int,
+               short: str = "error") -> DataFrame:
     """Window starts 0, stride, 2*stride, …, as a filter of the series rows (no sequence is generated)."""
     sized = series_stats(df.select(*keys, pos), keys, pos, {"n": F.count(F.lit(1))})
     starts = sized.filter(F.col(pos) % stride == 0).select(
         *keys, (F.col(pos) / stride).cast("bigint").alias("cand_id"), F.col(pos).alias("start_pos"), "n")
-    return count_candidates(starts, length, stride, batch).filter(F.col("cand_id") < F.col("candidates"))
+    return count_candidates(starts, length, stride, batch, short).filter(F.col("cand_id") < F.col("candidates"))
 
 
 def poisson(df: DataFrame, keys: Sequence[str], pos: str, length: int, stride: int, batch: int, seed: int,
-            method: str = "md5") -> DataFrame:
+            method: str = "md5", short: str = "keep") -> DataFrame:
     """Each candidate enters each batch with probability min(1, K/candidates). Empty batches have no rows.
 
     A candidate is hit about once per epoch, so its hits are generated next to it and nothing is shuffled."""
-    cand = candidates(df, keys, pos, length, stride, batch).withColumn(
+    cand = candidates(df, keys, pos, length, stride, batch, short).withColumn(
         "_p", F.least(F.lit(1.0), F.lit(float(batch)) / F.col("candidates")))
     return bernoulli_hits(cand, keys, "cand_id", "_p", "steps", seed, method, spread=False).select(
         *keys, "step", "cand_id", "start_pos")
@@ -141,12 +150,12 @@ def interval_count(batch: int, lam: float, rounding: str) -> int:
 
 
 def spaced(df: DataFrame, keys: Sequence[str], length: int, stride: int, batch: int, lam: float, seed: int,
-           rounding: str = "ceil", empty: str = "error", method: str = "md5") -> DataFrame:
+           rounding: str = "ceil", empty: str = "error", method: str = "md5", short: str = "error") -> DataFrame:
     """Poisson-spaced batches: each interval is active with probability lambda and gives one uniform member.
 
     ``lam=1`` is the fixed-size spaced sampler: every interval gives exactly one window at every step.
     """
-    sized = candidate_counts(df, keys, length, stride, batch)
+    sized = candidate_counts(df, keys, length, stride, batch, short)
     layout = interval_layout(sized, keys, F.lit(interval_count(batch, lam, rounding)), F.lit(min(1.0, lam)), empty=empty)
     return draw_members(layout, keys, stride, seed, method)
 
@@ -175,8 +184,9 @@ def pss_partition(sized: DataFrame, keys: Sequence[str], batch: int, lam: float,
 
 def structured_wr(df: DataFrame, keys: Sequence[str], length: int, stride: int, batch: int, seed: int,
                   steps: Column | None = None, method: str = "md5") -> DataFrame:
-    """K uniform candidates with replacement at every step; long epochs are generated by many tasks."""
-    sized = candidate_counts(df, keys, length, stride, batch)
+    """K uniform candidates with replacement at every step, from any series with a window; long epochs are generated by
+    many tasks."""
+    sized = candidate_counts(df, keys, length, stride, batch, "keep")
     total = (steps if steps is not None else F.col("steps")) * batch
     slots = spread_sequence(sized.withColumn("_draws", total), keys, "_draws", "_d")
     step = F.floor(F.col("_d") / F.lit(batch)).cast("bigint")

@@ -137,7 +137,7 @@ rec AS (
       list_append(eps, CASE mode WHEN 1 THEN remain / togo WHEN 2 THEN least(share, remain) ELSE 0 END) AS eps,
       list_append(svt, CASE mode WHEN 1 THEN rest WHEN 2 THEN {eq} / c ELSE 0 END) AS svt,
       list_append(pv, CASE mode WHEN 0 THEN pv[pos] ELSE xv + nv * ({r} / eff) END) AS pv, list_append(pk, CASE mode WHEN 0 THEN pk[pos] ELSE xk + nk * ({r} / eff) END) AS pk
-    FROM (SELECT *, CASE mode WHEN 1 THEN remain / togo + rest ELSE share + greatest(0, {eq} - coalesce(list_sum(hs[2:]), 0) - {eq} / c) END AS eff
+    FROM (SELECT *, CASE mode WHEN 1 THEN remain / togo + rest ELSE least(share, remain) END AS eff
     FROM (SELECT *, greatest(0, {eq} - CASE WHEN first_used > 0 THEN coalesce(list_sum(hs[first_used:]), 0) ELSE 0 END) / c AS rest,
       CASE WHEN pos < 20 THEN 0 WHEN togo <= floor(remain / share + 1e-9::DOUBLE) THEN 1
         WHEN drift + uq * {r} * 2 * c / {eq} > c * {r} / {ep} + rho AND remain >= share * (1 - 1e-9::DOUBLE) THEN 2 ELSE 0 END AS mode
@@ -160,6 +160,17 @@ def spas_publish(spark, sf):
                       F.round("eps_used", 9).alias("eps_used"), F.round("svt_used", 9).alias("svt_used"))
 
 
+@query("spas_publish_active", f"""
+WITH RECURSIVE {fx.SERIES_SQL}, {release_sql(['seed', '(epsilon * 1e6)::BIGINT', 'series_id', 'pos'], '(VALUES (200.0, 42), (1000.0, 42))')}
+SELECT series_id, epsilon, seed, pos, round(pv[pos + 1], 4) AS value, round(eps[pos + 1], 6) AS eps_used, round(svt[pos + 1], 6) AS svt_used, (eps[pos + 1] > 0) AS released FROM rec
+""")
+def spas_publish_active(spark, sf):
+    """Budgets at which a window holds several releases."""
+    out = me.publish_streams(fx.series(spark, sf), K, "pos", ["value", "k"], [200.0, 1000.0], [42], VALUE_RANGE, VALUE_RANGE, 20)
+    return out.select("series_id", "epsilon", "seed", "pos", F.round("value", 4).alias("value"), F.round("eps_used", 6).alias("eps_used"),
+                      F.round("svt_used", 6).alias("svt_used"), (F.col("eps_used") > 0).alias("released"))
+
+
 GRR_SQL = fx.SERIES_SQL + f""",
 lab AS (SELECT event_id, event_type, ({fx.CODE_SQL} + 1)::INT AS label, count(*) OVER (PARTITION BY series_id) AS n FROM series)
 """

@@ -175,19 +175,21 @@ d_{name} AS (SELECT rep, any_value(n) AS n, d, sum(c * x) AS s, sum(c * x * x) A
 
 
 def half(spark, sf, parity):
-    """Vectors of even or odd labels with their own index and size."""
+    """Vectors of even or odd labels (all without ``parity``) with their own index and size."""
 
-    v = fx.vectors(spark, sf).filter(F.col("label") % 2 == parity).withColumn("g", F.lit(0))
+    v = fx.vectors(spark, sf).withColumn("g", F.lit(0))
+    if parity is not None:
+        v = v.filter(F.col("label") % 2 == parity)
     placed = with_position(v, ["g"], "vec_id", out="idx")
     return placed.withColumn("n", v.agg(F.count(F.lit(1))).scalar()).select("idx", "n", "v")
 
 
 @query("bootstrap_trace", f"""
-WITH {fx.VECTORS_SQL}, {boot_sql('boot', 'bt', 'label % 2 = 0')}
+WITH {fx.VECTORS_SQL}, {boot_sql('boot', 'bt', 'true')}
 SELECT round(quantile_cont(trace, 0.025), 6) AS low, round(quantile_cont(trace, 0.975), 6) AS high FROM bt
 """)
 def bootstrap_trace(spark, sf):
-    traces = mo.bootstrap_traces(half(spark, sf, 0), "idx", "n", "v", REPS, fx.SEED)
+    traces = mo.bootstrap_traces(half(spark, sf, None), "idx", "n", "v", REPS, fx.SEED)
     return mo.interval_95(traces, []).select(r6(F.col("low"), "low"), r6(F.col("high"), "high"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +29,21 @@ def build_session(app: str = "chronoveil", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, which do not see the path of the script that imported it."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(spark.sparkContext, "_chronoveil_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="chronoveil-")  # the driver serves the archive as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(folder, "chronoveil"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._chronoveil_shipped = True
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -41,7 +59,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary one is made and set.
+    Only where the session names none and everything runs in one process (tests, local mode) a temporary one is made and
+    set; a cluster without a shared folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -49,7 +68,11 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="chronoveil-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 

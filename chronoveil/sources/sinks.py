@@ -41,19 +41,24 @@ def load_cached(spark: SparkSession, path: str, split: str, identity: str) -> Da
 
 
 def table_identity(df: DataFrame, pos: str, cols: Sequence[str], fanout: int = 1024, levels: int = 4) -> DataFrame:
-    """SHA-256 of an ordered table as a hash tree: rows, then ``fanout`` hashes at a time, then the root.
+    """SHA-256 of an ordered table: names and types of its columns, its number of rows, and a hash tree of its values.
 
-    No task ever concatenates more than ``fanout`` hashes, except the root, which sees one per ``fanout**levels`` rows.
+    A value is written with its length and a null as a mark of its own, so no two tables have the same text. The tree has
+    rows, then ``fanout`` hashes at a time, then the root: no task ever concatenates more than ``fanout`` hashes, except
+    the root, which sees one per ``fanout**levels`` rows.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    node = df.select(F.col(pos).alias("_i"), F.sha2(text, 256).alias("_h"))
+    def sized(c: Column) -> Column:
+        return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
+    text = F.concat(*[sized(F.col(c).cast("string")) for c in cols])
+    head = "".join(f"{len(part)}:{part}" for c in cols for part in (c, df.schema[c].dataType.simpleString()))
+    node = df.select(F.col(pos).alias("_i"), F.sha2(text, 256).alias("_h"), F.lit(1).cast("bigint").alias("_n"))
     for level in range(levels + 1):
         group = F.floor(F.col("_i") / F.lit(fanout)) if level < levels else F.lit(0)
         ordered = F.array_sort(F.collect_list(F.struct("_i", "_h")))
         node = (node.withColumn("_g", group.cast("bigint")).groupBy("_g")
-                .agg(F.sha2(F.array_join(ordered["_h"], ""), 256).alias("_h"))
+                .agg(F.sha2(F.array_join(ordered["_h"], ""), 256).alias("_h"), F.sum("_n").alias("_n"))
                 .withColumnRenamed("_g", "_i"))
-    return node.select(F.col("_h").alias("identity"))
+    return node.select(F.sha2(F.concat(F.lit(head), F.col("_n").cast("string"), F.lit(":"), F.col("_h")), 256).alias("identity"))
 
 
 def derived_identity(identity: Column, signature: str) -> Column:

@@ -81,3 +81,39 @@ def test_randomised_response_rates(spark):
     assert all(abs(v - 6000) < 900 for v in est.values())
     kept = me.randomised_response(df, ["id"], "label", 60.0, 5, 3)
     assert kept.filter("label != noisy_label").isEmpty()
+
+
+def test_noise_spends_what_is_booked():
+    """The budget is recovered from the noise of every release; no window spends more than the total."""
+    rng = np.random.default_rng(3)
+    for eps, window, span in ((1.0, 20, 50.0), (40.0, 100, 500.0), (200.0, 100, 500.0), (1000.0, 100, 500.0)):
+        p = me.StreamPublisher(eps, span, span, window, 2, 1)
+        spends, targets, level = [], set(), 0.0
+        for _ in range(6 * window):
+            level += rng.normal(0, span / 40)
+            before = p.out
+            booked, tested = p.publish(np.array([level]), np.array([1.0]), rng.laplace(), rng.laplace())
+            targets.add(p.c)
+            released = before is None or p.out[0] != before[0]
+            actual = span / (p.out[0] - level) if released and booked > 0 else 0.0
+            assert abs(actual - booked) < 1e-6 * eps or abs(actual - booked - tested) < 1e-6 * eps
+            spends.append((actual, tested))
+        for a in range(len(spends) - window + 1):
+            part = spends[a:a + window]
+            assert sum(x for x, _ in part) <= eps * (1 + 1e-9)
+            assert sum(x for x, _ in part) <= 0.75 * eps + 0.125 * eps + 1e-6
+        if eps >= 200:
+            assert max(targets) > 1
+
+
+def test_time_per_row_does_not_grow_with_the_window():
+    import time
+    cost = []
+    for window in (200, 8000):
+        p, rng = me.StreamPublisher(50.0, 100.0, 100.0, window, 2, 2), np.random.default_rng(1)
+        rows = rng.normal(0, 30, (20_000, 2))
+        start = time.process_time()
+        for r in rows:
+            p.publish(r, np.ones(2), 0.1, 0.1)
+        cost.append(time.process_time() - start)
+    assert cost[1] < 3 * cost[0]

@@ -132,9 +132,8 @@ def publish_whole(x, z, uq, ut, eps, s_p, s_s, window, back):
                 out[i] = x[i] + z[i] * s_p / (remain / left + rest)
             elif drift > c * s_p / eps_p + rho and remain >= share * (1 - 1e-9):
                 tested[i] = eps_q / c
-                bonus = eps_q - tested[lo + 1:i + 1].sum()
                 spent[i] = min(share, remain)
-                out[i] = x[i] + z[i] * s_p / (share + max(bonus, 0.0))
+                out[i] = x[i] + z[i] * s_p / spent[i]
             else:
                 out[i] = out[i - 1]
         if i + 1 >= window:

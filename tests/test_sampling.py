@@ -82,13 +82,19 @@ def test_samplers_by_name(series):
         sp.draw("none", series, K, 10, 2, 20, 3)
 
 
-def test_series_without_enough_candidates_are_left_out(spark):
-    """A series with fewer than K candidates has no batches and must not trip the interval check."""
+def test_series_without_enough_candidates(spark):
+    """A series with fewer than K candidates is drawn from where that is possible and an error where it is not."""
     df = spark.range(600).select(F.when(F.col("id") < 560, 0).otherwise(1).alias("series_id"), F.col("id").alias("t"))
     s = with_position(df, K, "t")
-    for rows in (sp.spaced(s, K, 10, 2, 20, 0.4, 3), sp.poisson(s, K, "pos", 10, 2, 20, 3), sp.structured_wr(s, K, 10, 2, 20, 3),
-                 sp.draw("pss", s, K, 10, 2, 20, 3, lam=0.4)):
-        assert [r["series_id"] for r in rows.select("series_id").distinct().collect()] == [0]
+    for rows in (sp.poisson(s, K, "pos", 10, 2, 20, 3), sp.structured_wr(s, K, 10, 2, 20, 3)):
+        assert {r["series_id"] for r in rows.select("series_id").distinct().collect()} == {0, 1}
+    everything = sp.poisson(s, K, "pos", 10, 2, 20, 3).filter("series_id = 1").collect()
+    assert sorted(r["cand_id"] for r in everything) == list(range(16))  # probability 1
+    for rows in (sp.spaced(s, K, 10, 2, 20, 0.4, 3), sp.draw("pss", s, K, 10, 2, 20, 3, lam=0.4)):
+        with pytest.raises(Exception, match="fewer than 20 candidate windows"):
+            rows.collect()
+    kept = sp.spaced(s, K, 10, 2, 20, 0.4, 3, short="drop")
+    assert [r["series_id"] for r in kept.select("series_id").distinct().collect()] == [0]
     with pytest.raises(Exception, match="more spacing intervals"):
         sp.spaced(s, K, 10, 2, 10, 0.1, 3).collect()
 
