@@ -26,34 +26,45 @@ def _squared(c: Column) -> Column:
     return c * c
 
 
-def mean_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Squared distance to the per-channel mean of each key, averaged over channels."""
-    fitted = group_stats(df, keys, {f"_m_{c}": F.avg(c) for c in cols})
+def _fit_on(train: Column | None, value: Column | str) -> Column:
+    """The values that a fit may see: those of the training rows, or all."""
+    c = F.col(value) if isinstance(value, str) else value
+    return c if train is None else F.when(train, c)
+
+
+def mean_scores(df: DataFrame, keys: Sequence[str], cols: Sequence[str], train: Column | None = None) -> DataFrame:
+    """Squared distance to the per-channel mean of each key, averaged over channels. The mean is that of the rows where
+    ``train`` holds, and all rows are scored."""
+    fitted = group_stats(df, keys, {f"_m_{c}": F.avg(_fit_on(train, c)) for c in cols})
     score = _mean([_squared(F.col(c) - F.col(f"_m_{c}")) for c in cols])
     return fitted.withColumn("score", score).drop(*[f"_m_{c}" for c in cols])
 
 
 def ar1_scores(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str],
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, train: Column | None = None) -> DataFrame:
     """Squared error of x_t = slope*x_{t-1} + intercept, with one slope and intercept for all channels of a key.
 
-    The first row of a series has previous value 0. The fit is one pass of sums (``regr_*``)."""
+    The first row of a series has previous value 0. The fit is one pass of sums (``regr_*``) over the rows where ``train``
+    holds (all by default)."""
     lagged = previous(df, keys, pos, {f"_p_{c}": c for c in cols}, block_rows=block_rows)
     ready = lagged.withColumns({f"_p_{c}": F.coalesce(f"_p_{c}", F.lit(0.0)) for c in cols})
     both = F.array(*[F.struct(F.col(f"_p_{c}").alias("x"), F.col(c).alias("y")) for c in cols])
-    fit = (ready.select(*keys, F.inline(both)).groupBy(*keys)
+    seen = ready if train is None else ready.filter(train)
+    fit = (seen.select(*keys, F.inline(both)).groupBy(*keys)
            .agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept")))
     scored = join_sized(ready, fit, keys, group_bound(df, keys))
     err = _mean([_squared(F.col(c) - F.col("slope") * F.col(f"_p_{c}") - F.col("intercept")) for c in cols])
     return scored.withColumn("score", err).drop(*[f"_p_{c}" for c in cols])
 
 
-def rank_scores(df: DataFrame, col: str, rank: int) -> DataFrame:
-    """Squared error of the best rank-r linear reconstruction (principal components, fitted distributed)."""
+def rank_scores(df: DataFrame, col: str, rank: int, train: Column | None = None) -> DataFrame:
+    """Squared error of the best rank-r linear reconstruction (principal components of the rows where ``train`` holds,
+    fitted distributed); all rows are scored."""
     vectors = df.withColumn("_x", array_to_vector(F.col(col)))
-    means = df.select(F.posexplode(col).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"))
+    seen = df if train is None else df.filter(train)
+    means = seen.select(F.posexplode(col).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"))
     centre = means.agg(F.array_sort(F.collect_list(F.struct("d", "m")))).scalar()  # d entries
-    model = PCA(k=rank, inputCol="_x", outputCol="_z").fit(vectors)
+    model = PCA(k=rank, inputCol="_x", outputCol="_z").fit(vectors if train is None else vectors.filter(train))
     basis = model.pc.toArray()  # d x r
     centred = vectors.withColumn("_ms", centre).withColumn(
         "_c", F.zip_with(F.col(col), F.transform("_ms", lambda s: s["m"]), lambda x, m: x - m))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoveil.functions.rng import uniform
-from chronoveil.operators.position import running_sum, split_index
+from chronoveil.operators.position import range_count, running_sum
 
 
 def vertical_flip(x: Column) -> Column:
@@ -31,23 +31,24 @@ def jitter(x: Column, ids: Sequence[Column], seed: int, upto: int | None = None,
     return F.transform(x, one)
 
 
-def shuffled_partner(windows: DataFrame, ids: Sequence[str], seed: int, parts: int = 64) -> DataFrame:
+def shuffled_partner(windows: DataFrame, ids: Sequence[str], seed: int, parts: int | None = None) -> DataFrame:
     """A random permutation of the windows: (ids, partner ids).
 
     Windows are ranked by a random key in ranges of the unit interval (a two-level prefix sum, no global sort); the
-    window of rank r is paired with the window of rank r in a second random order.
+    window of rank r is paired with the window of rank r in a second random order. The ranges follow the number of windows.
     """
+    parts = parts or range_count(windows.count())
     def ranked(role: str, prefix: str) -> DataFrame:
         tagged = windows.select(*[F.col(c).alias(f"{prefix}{c}") for c in ids],
                                 uniform(seed, role, *[F.col(c) for c in ids]).alias("_u"))
         names = [f"{prefix}{c}" for c in ids]
-        block = split_index(F.col("_u"), [i / parts for i in range(1, parts)])
+        block = F.floor(F.col("_u") * parts).cast("bigint") if parts > 1 else None
         return running_sum(tagged, [], ["_u", *names], block, {"_rank": F.lit(1)}).drop("_u")
 
     return ranked("first", "").join(ranked("second", "other_"), "_rank").drop("_rank")
 
 
-def mix_pairs(windows: DataFrame, ids: Sequence[str], x: str, seed: int, parts: int = 64) -> DataFrame:
+def mix_pairs(windows: DataFrame, ids: Sequence[str], x: str, seed: int, parts: int | None = None) -> DataFrame:
     """Average of each window and its random partner."""
     partner = shuffled_partner(windows, ids, seed, parts)
     other = windows.select(*[F.col(c).alias(f"other_{c}") for c in ids], F.col(x).alias("_o"))

@@ -77,8 +77,10 @@ def lag_table(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags: int,
     return out.filter((F.col(pos) >= lags - 1) & F.col(f"y{horizon}").isNotNull())
 
 
-def linear_forecast(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags: int, horizon: int) -> DataFrame:
-    """One least-squares map from the lags to every horizon, fitted over all windows; adds ``f1..fP``.
+def linear_forecast(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags: int, horizon: int,
+                    train: Column | None = None) -> DataFrame:
+    """One least-squares map from the lags to every horizon, fitted over the windows where ``train`` holds (all by default);
+    adds ``f1..fP`` to all windows. ``train`` may use the keys, ``pos`` and the lags and targets of a window.
 
     All horizons share one distributed covariance of lags and targets, of which only (L+P)^2/2 numbers reach the
     driver for the L*L solve; the forecasts are column expressions.
@@ -86,9 +88,10 @@ def linear_forecast(df: DataFrame, keys: Sequence[str], pos: str, col: str, lags
     table = lag_table(df, keys, pos, col, lags, horizon)
     xs = [f"x{i + 1}" for i in range(lags)]
     names = xs + [f"y{h}" for h in range(1, horizon + 1)]
-    means = np.array(table.agg(*[F.avg(c) for c in names]).first(), dtype=float)
+    seen = table if train is None else table.filter(train)
+    means = np.array(seen.agg(*[F.avg(c) for c in names]).first(), dtype=float)
     cov = np.zeros((len(names), len(names)))
-    for r in covariance(table.select(F.array(*names).alias("v")), [], "v").collect():
+    for r in covariance(seen.select(F.array(*names).alias("v")), [], "v").collect():
         cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
     beta = np.linalg.lstsq(cov[:lags, :lags], cov[:lags, lags:], rcond=None)[0]
     base = means[lags:] - means[:lags] @ beta

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from chronoveil.functions import vectors as vec
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import running_sum, split_index, value_splits
+from chronoveil.operators.position import join_null_safe, range_count, running_sum, split_index, value_splits
 
 
-def ranked_counts(df: DataFrame, keys: Sequence[str], score: str, label: str, parts: int = 64) -> DataFrame:
+def ranked_counts(df: DataFrame, keys: Sequence[str], score: str, label: str, parts: int | None = None) -> DataFrame:
     """Positives and negatives per distinct score with the counts strictly below it and the totals of the key.
 
     Equal scores are merged map-side first. Prefix sums run inside equi-depth score ranges and are stitched with
-    one row per range, so neither a global sort in one task nor a group of rows is needed.
+    one row per range, so neither a global sort in one task nor a group of rows is needed. The number of ranges follows
+    the number of rows unless ``parts`` is given.
     """
+    parts = parts or range_count(df.count())
     counts = df.groupBy(*keys, F.col(score).alias("_s")).agg(
         F.sum(F.col(label).cast("bigint")).alias("_p"), F.sum(1 - F.col(label).cast("bigint")).alias("_n"))
     block = split_index(F.col("_s"), value_splits(df, score, parts)) if parts > 1 else None
@@ -25,10 +27,10 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], score: str, label: str, pa
     if not keys:
         return cum.withColumns({"_tp": counts.agg(F.sum("_p")).scalar(), "_tn": counts.agg(F.sum("_n")).scalar()})
     totals = counts.groupBy(*keys).agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    return cum.join(totals, list(keys))
+    return join_null_safe(cum, totals, keys)
 
 
-def ranking_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str, parts: int = 64) -> DataFrame:
+def ranking_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str, parts: int | None = None) -> DataFrame:
     """AUROC with tied ranks and average precision by the step rule, in one pass over the ranked counts."""
     r = ranked_counts(df, keys, score, label, parts)
     p, n, total_p, total_n = (F.col(c) for c in ("_p", "_n", "_tp", "_tn"))

@@ -25,6 +25,9 @@ ROW_BOUND = "max_series_rows"
 SERIES_COUNT = "series_count"
 SERIES_KEYS = "series_keys"
 BLK = "_blk"
+# Distinct values or keys that one sorted range holds, and the most ranges.
+RANGE_ROWS = 1 << 20
+MAX_RANGES = 1024
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -276,6 +279,31 @@ def minimum_before(df: DataFrame, keys: Sequence[str], order: str, block: Column
     return (join_null_safe(local, seeds, [*keys, BLK], "left").withColumn(out, F.least("_l", "_p")).drop("_l", "_p", BLK))
 
 
+def range_count(rows: int, rows_per_range: int = RANGE_ROWS) -> int:
+    """Ranges to cut so many rows into; ranges grow beyond ``MAX_RANGES`` of them, as every row is compared with all cuts."""
+    return max(1, min(MAX_RANGES, -(-rows // rows_per_range)))
+
+
+def key_ranges(df: DataFrame, cols: Sequence[str], rows_per_range: int = RANGE_ROWS) -> Column | None:
+    """Range number of a row in the order of ``cols`` of any type, None if all rows fit one range.
+
+    Cuts are the rows whose hash falls on one of a fixed fraction of values: the same in every evaluation of the plan, and
+    as evenly spread as the rows are.
+    """
+    parts = range_count(df.count(), rows_per_range)
+    if parts == 1:
+        return None
+    share = max(1, rows_per_range // 8)
+    types = {c: df.schema[c].dataType for c in cols}
+    drawn = df.select(*cols).filter(F.pmod(F.xxhash64(F.lit("cut"), *cols), F.lit(share)) == 0).distinct()
+    cuts = drawn.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).limit(16 * MAX_RANGES).collect()
+    cuts = cuts[::max(1, -(-len(cuts) // parts))]
+    if not cuts:
+        return None
+    rows = F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in cols]) for r in cuts])
+    return F.size(F.filter(rows, lambda r: r <= F.struct(*cols)))
+
+
 def value_splits(df: DataFrame, col: str, parts: int, error: float = 0.001) -> list[float]:
     """Approximate equi-depth cut points of a numeric column (at most ``parts - 1`` numbers reach the driver)."""
     probs = [i / parts for i in range(1, parts)]

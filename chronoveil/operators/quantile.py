@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import running_sum, split_index, value_splits
+from chronoveil.operators.position import join_null_safe, range_count, running_sum, split_index, value_splits
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    parts: int = 32) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """Linearly interpolated quantiles per key, one column per entry of ``probs``.
 
     ``percentile`` keeps every distinct value of a group in one buffer. Here equal values are counted map-side first,
-    ranks come from a two-level prefix sum over value ranges, and only the two rows around each rank are kept.
+    ranks come from a two-level prefix sum over value ranges (as many as the rows need), and only the two rows around each
+    rank are kept.
     """
+    parts = parts or range_count(df.count())
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
     block = None
@@ -25,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         block = split_index(F.col("_v").cast("double"), splits)
     ranked = running_sum(counts, keys, ["_v"], block, {"_hi": F.col("_c")})
     if keys:
-        joined = ranked.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))
+        joined = join_null_safe(ranked, counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
     else:
         joined = ranked.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     aggs = []

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import BLOCK_ROWS, running_sum, series_stats
+from chronoveil.operators.position import BLOCK_ROWS, join_null_safe, key_ranges, running_sum, series_stats
 
 
 def split_ratio(df: DataFrame, keys: Sequence[str], pos: str, train: float = 0.7, test: float = 0.2) -> DataFrame:
@@ -73,13 +73,13 @@ def split_eval_gap(df: DataFrame, keys: Sequence[str], pos: str, fraction: float
 def pooled_position(df: DataFrame, keys: Sequence[str], pos: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Position in the concatenation of all series (series in key order): offset of the series + own position.
 
-    Only one row per series takes part in the prefix sum; beyond a few million series that table is cut in blocks.
+    Only one row per series takes part in the prefix sum; beyond ``block_rows`` series that table is cut into ranges of its
+    keys, which may be of any type and number.
     """
     lengths = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
-    blk = F.floor(F.col(keys[0]) / F.lit(block_rows)).cast("bigint") if len(keys) == 1 else None
-    summed = running_sum(lengths, [], list(keys), blk, {"_cum": F.col("_len")})
+    summed = running_sum(lengths, [], list(keys), key_ranges(lengths, keys, block_rows), {"_cum": F.col("_len")})
     offsets = summed.select(*keys, (F.col("_cum") - F.col("_len")).alias("_off"))
-    return df.join(offsets, list(keys)).withColumn("pool_pos", F.col("_off") + F.col(pos)).drop("_off")
+    return join_null_safe(df, offsets, keys).withColumn("pool_pos", F.col("_off") + F.col(pos)).drop("_off")
 
 
 def forecast_tail(df: DataFrame, keys: Sequence[str], pos: str, t: str, value: str, seq_len: int, horizon: int,

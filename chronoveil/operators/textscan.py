@@ -16,6 +16,7 @@ NOISE_PATTERNS = {
     "noise_injection": r"(?i)\bnoise\s*=\s*torch\.randn",
     "gradient_clipping": r"(?i)clip_grad|grad_norm|clip_factor",
     "dp_comment": r"#\s*DP:",
+    "module_docstring": r'(?m)^"""[^"]*DP notes:',
 }
 NOISE_FORMULA = r"noise\s*=\s*torch\.randn[_a-z]*\([^)]+\)\s*\*\s*([^#\n]+)"
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from chronoveil.operators.clean import group_stats
 from chronoveil.operators.position import (BLOCK_ROWS, block_of, carry, framed, running_sum, series_stats,
-                                            split_index, spread_sequence, value_splits)
+                                            range_count, split_index, spread_sequence, value_splits)
 
 
 def unit_windows(df: DataFrame, keys: Sequence[str], pos: str, value: Column, context: int, horizon: int,
@@ -145,9 +145,11 @@ def majority_label(rows: DataFrame, win_keys: Sequence[str], label: str) -> Data
     return counts.groupBy(*win_keys).agg(best.alias("label"), F.max("_c").alias("votes"))
 
 
-def dense_labels(df: DataFrame, label: str, out: str = "dense", parts: int = 16) -> DataFrame:
-    """Remap labels to 0..k-1 in sorted order: rank of each distinct value by a prefix sum over value ranges."""
+def dense_labels(df: DataFrame, label: str, out: str = "dense", parts: int | None = None) -> DataFrame:
+    """Remap labels to 0..k-1 in sorted order: rank of each distinct value by a prefix sum over as many value ranges as
+    there are distinct values for."""
     distinct = df.select(label).distinct()
+    parts = parts or range_count(distinct.count())
     block = split_index(F.col(label), value_splits(distinct, label, parts)) if parts > 1 else None
     ranked = running_sum(distinct, [], [label], block, {"_rank": F.lit(1)})
     return df.join(ranked.select(label, (F.col("_rank") - 1).cast("int").alias(out)), label)

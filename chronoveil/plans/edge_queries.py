@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from chronoveil.operators import anomaly, clean, relational
+from chronoveil.operators import anomaly, clean, forecast, relational, split
 from chronoveil.operators import sampling as sp
 from chronoveil.operators.position import BLOCK_ROWS, carry, block_of, framed, running_sum, series_stats, trailing_scratch, trailing_sum, with_position
 from chronoveil.plans import fixtures as fx
@@ -158,3 +158,70 @@ SELECT series_id, d // {BATCH} AS step, d % {BATCH} AS slot, floor({fx.u_sql("'s
 """)
 def sample_structured_short(spark, sf):
     return sp.structured_wr(short_series(spark, sf), K, L, R, BATCH, fx.SEED).select("series_id", "step", "slot", "cand_id")
+
+
+# Fit on the first 70 % of each series, score the rest.
+TRAIN_SQL = fx.SERIES_SQL + """,
+tr AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n, lag(value) OVER w AS pv, lag(k) OVER w AS pk FROM series
+  WINDOW w AS (PARTITION BY series_id ORDER BY pos))
+"""
+TRAIN_ROW = "pos < floor(n * 0.7::DOUBLE)"
+
+
+def train_rows(spark, sf):
+    return series_stats(fx.series(spark, sf), K, "pos", {"n": F.count(F.lit(1))}), F.col("pos") < F.floor(F.col("n") * F.lit(0.7))
+
+
+@query("anomaly_mean_split", f"""
+WITH {TRAIN_SQL}, m AS (SELECT series_id, avg(value) AS mv, avg(k) AS mk FROM tr WHERE {TRAIN_ROW} GROUP BY 1)
+SELECT event_id, round(((value - mv) ^ 2 + (k - mk) ^ 2) / 2, 5) AS score FROM tr JOIN m USING (series_id) WHERE NOT {TRAIN_ROW}
+""")
+def anomaly_mean_split(spark, sf):
+    rows, train = train_rows(spark, sf)
+    return anomaly.mean_scores(rows, K, ["value", "k"], train).filter(~train).select("event_id", F.round("score", 5).alias("score"))
+
+
+@query("anomaly_ar1_split", f"""
+WITH {TRAIN_SQL}, p AS (SELECT series_id, coalesce(pv, 0) AS x, value AS y FROM tr WHERE {TRAIN_ROW} UNION ALL
+  SELECT series_id, coalesce(pk, 0), k FROM tr WHERE {TRAIN_ROW}),
+f AS (SELECT series_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM p GROUP BY 1)
+SELECT event_id, round(((value - a * coalesce(pv, 0) - b) ^ 2 + (k - a * coalesce(pk, 0) - b) ^ 2) / 2, 4) AS score
+FROM tr JOIN f USING (series_id) WHERE NOT {TRAIN_ROW}
+""")
+def anomaly_ar1_split(spark, sf):
+    rows, train = train_rows(spark, sf)
+    out = anomaly.ar1_scores(rows, K, "pos", ["value", "k"], train=train).filter(~train)
+    return out.select("event_id", F.round("score", 4).alias("score"))
+
+
+@query("linear_forecast_split", f"""
+WITH {fx.SERIES_SQL}, l AS (SELECT series_id, pos, value AS x, lead(value, 1) OVER w AS y FROM series WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
+c AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM l WHERE y IS NOT NULL AND pos < 35)
+SELECT series_id, pos, round(s * x + i, 6) AS f1 FROM l, c WHERE y IS NOT NULL AND pos >= 35
+""")
+def linear_forecast_split(spark, sf):
+    out = forecast.linear_forecast(fx.series(spark, sf), K, "pos", "value", 1, 1, F.col("pos") < 35).filter("pos >= 35")
+    return out.select("series_id", "pos", F.round("f1", 6).alias("f1"))
+
+
+@query("concat_ordered_any_key", f"""
+WITH {fx.SERIES_SQL} SELECT event_id, row_number() OVER (ORDER BY chr((65 + series_id % 7)::INT), series_id, pos) - 1 AS pool_pos FROM series
+""")
+def concat_ordered_any_key(spark, sf):
+    """A text and a number as keys, and ranges of a few series."""
+    rows = fx.series(spark, sf).withColumn("name", F.char(65 + F.col("series_id") % 7))
+    return split.pooled_position(rows, ["name", "series_id"], "pos", block_rows=16).select("event_id", "pool_pos")
+
+
+@query("both_sides_report", """
+WITH e AS (SELECT user_id // 10 AS unit, event_type AS action, CASE WHEN event_id % 5 = 0 THEN 'acc' ELSE 'Gyroscope' END AS sensor FROM events
+  WHERE event_id % 3 = 0 OR user_id % 2 = 0),
+h AS (SELECT unit, action, list_sort(list(DISTINCT sensor)) AS h FROM e GROUP BY 1, 2)
+SELECT unit, action, len(h) = 2 AS complete, array_to_string(list_sort(list_filter(['acc', 'Gyroscope'], lambda s: NOT list_contains(h, s))), ',') AS missing FROM h
+""")
+def both_sides_report(spark, sf):
+    """Which units are skipped, and for want of what."""
+    ev = fx.events(spark, sf).filter((F.col("event_id") % 3 == 0) | (F.col("series_id") % 2 == 0)).select(
+        F.floor(F.col("series_id") / 10).alias("unit"), F.col("event_type").alias("action"),
+        F.when(F.col("event_id") % 5 == 0, "acc").otherwise("Gyroscope").alias("sensor"))
+    return relational.both_sides(ev, ["unit", "action"], "sensor", ["acc", "Gyroscope"])

@@ -418,21 +418,26 @@ def check_finite_runs(spark, sf):
 TEXT_PATTERNS = {"license": r"(?i)licen[cs]e", "email": r"[a-z0-9.]+@[a-z0-9]+\.[a-z]+", "number": r"[0-9]{4,}"}
 
 
+NOISE_NAMES = {name: name.replace(".", "_") for name in textscan.NOISE_PATTERNS}
+NOISE_FLAGS = ",\n".join(f"  regexp_matches(text, '{p}') AS {NOISE_NAMES[n]}" for n, p in textscan.NOISE_PATTERNS.items())
+NOISE_COUNTS = ",\n".join(f"  count_if({n})::BIGINT AS {n}" for n in NOISE_NAMES.values())
+
+
 @query("pattern_scan", r"""
 WITH f AS (SELECT lang, regexp_matches(text, '(?i)licen[cs]e') AS license, regexp_matches(text, '[a-z0-9.]+@[a-z0-9]+\.[a-z]+') AS email,
-  regexp_matches(text, '[0-9]{4,}') AS number, regexp_matches(text, '(?i)torch\.randn') AS randn,
-  regexp_matches(text, '(?i)\bdp_sigma\b') AS dp_sigma,
+  regexp_matches(text, '[0-9]{4,}') AS number,
+FLAGS,
   CASE WHEN regexp_matches(text, 'token\s*=\s*"([0-9a-f]+)"') THEN regexp_extract(text, 'token\s*=\s*"([0-9a-f]+)"', 1) END AS formula
   FROM documents)
 SELECT lang, count(*) AS files, count_if(license)::BIGINT AS license, count_if(email)::BIGINT AS email, count_if(number)::BIGINT AS number,
-  count_if(randn)::BIGINT AS randn, count_if(dp_sigma)::BIGINT AS dp_sigma, count(formula) AS formulas,
+COUNTS, count(formula) AS formulas,
   count_if(coalesce(contains(formula, '00') OR contains(formula, 'ff'), false))::BIGINT AS doubled,
   count_if(coalesce(contains(formula, 'a') AND contains(formula, '7') AND NOT contains(formula, '00') AND NOT contains(formula, 'ff'), false))::BIGINT AS plain
 FROM f GROUP BY 1
-""")
+""".replace("FLAGS", NOISE_FLAGS).replace("COUNTS", NOISE_COUNTS))
 def pattern_scan(spark, sf):
     docs = fx.read_table(spark, sf, "documents").select("lang", "text")
-    noise = {"randn": textscan.NOISE_PATTERNS["torch.randn"], "dp_sigma": textscan.NOISE_PATTERNS["dp_sigma"]}
+    noise = {NOISE_NAMES[n]: p for n, p in textscan.NOISE_PATTERNS.items()}
     flags = textscan.flag_patterns(docs, "text", {**TEXT_PATTERNS, **noise})
     kinds = textscan.classify_formula(flags, "text", r'token\s*=\s*"([0-9a-f]+)"', ["00", "ff"], ["a", "7"])
     kinds = kinds.withColumns({"formulas": F.col("formula").isNotNull(), "doubled": F.col("kind").eqNullSafe("doubled"),

@@ -160,3 +160,24 @@ def test_upsample_matches_half_pixel_rule(spark):
     df = spark.range(1).select(F.array(*[F.lit(float(v)) for v in (0, 10, 20, 30)]).alias("x"))
     out = df.select(augment.upsample_half(F.col("x"), 4, F.lit(1))).first()[0]
     assert out == pytest.approx([10.0, 12.5, 17.5, 20.0])
+
+
+def test_noise_patterns_over_the_whole_text(spark):
+    from chronoveil.operators import textscan
+    rows = [("a", 'x' * 5000 + '\n"""Module.\nDP notes: none'), ("b", "noise = torch.randn(3) * sigma"), ("c", "# DP: here"), ("d", "# dp: CLIP_NORM")]
+    got = {r["id"]: r for r in textscan.flag_patterns(spark.createDataFrame(rows, "id string, text string"), "text", textscan.NOISE_PATTERNS).collect()}
+    assert got["a"]["module_docstring"] and not got["b"]["module_docstring"]
+    assert got["b"]["noise_injection"] and got["b"]["torch.randn"]
+    assert got["c"]["dp_comment"] and not got["d"]["dp_comment"] and got["d"]["clipping_norm"]
+
+
+def test_range_counts_follow_the_rows(spark):
+    from chronoveil.operators.position import MAX_RANGES, key_ranges, range_count
+    assert [range_count(n, 100) for n in (0, 1, 100, 101, 1000, 10 ** 9)] == [1, 1, 1, 2, 10, MAX_RANGES]
+    df = spark.range(4000).selectExpr("concat('k', lpad(id, 5, '0')) AS a", "id % 3 AS b")
+    block = key_ranges(df, ["a", "b"], 200)
+    tagged = df.withColumn("blk", block)
+    sizes = [r["count"] for r in tagged.groupBy("blk").count().collect()]
+    assert max(sizes) < 1000 and len(sizes) > 8
+    edges = tagged.groupBy("blk").agg({"a": "max"}).orderBy("blk").collect()
+    assert [r[1] for r in edges] == sorted(r[1] for r in edges)
