@@ -44,7 +44,8 @@ def batch_class_mix(spark: SparkSession, sf: str) -> DataFrame:
     labelled = per_label.groupBy(*win).agg(
         F.max_by(F.col("label"), F.struct(F.col("c"), -F.col("label"))).alias("label"), (F.sum("s") / F.sum("c")).alias("level"))
 
-    draws = sampling.spaced(train, K, LENGTH, STRIDE, BATCH, LAM, fx.SEED, empty="skip").select(
+    # Series whose training part has fewer windows than a batch take no part.
+    draws = sampling.spaced(train, K, LENGTH, STRIDE, BATCH, LAM, fx.SEED, empty="skip", short="drop").select(
         "series_id", "step", F.col("cand_id").alias("win_id"))
     return (draws.join(labelled, win).groupBy("step", "label")
             .agg(F.count(F.lit(1)).alias("windows"), F.round(F.avg("level"), 6).alias("level")))
