@@ -36,8 +36,9 @@ from chronoveil.llm import base, components
 SIZE = 4
 #: A link: LINK[1] * shared >= LINK[0] * union.
 LINK = (85, 100)
-#: n-grams that a screening bucket holds about, and that a task gathers before it deals them out.
-BUCKET = 2_000_000
+#: n-grams that a screening bucket holds about, at least and at most, and that a task gathers before it deals them out. Beyond
+#: 100 000 buckets they grow, so that what one task gives to one bucket does not shrink to single n-grams.
+BUCKET, MOST_IN_BUCKET = 2_000_000, 16_000_000
 FLUSH = 1_000_000
 LEAST_BUCKETS = 32
 
@@ -245,7 +246,8 @@ def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LI
     lowest = F.lit(-(2 ** 63))
     rows = base.documents(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, volume // 26 // BUCKET)  # about one screened n-gram in 26 bytes
+    screens = volume // 26  # about one screened n-gram in 26 bytes
+    buckets = max(LEAST_BUCKETS, screens // min(MOST_IN_BUCKET, max(BUCKET, screens // 100_000)))
     screened = base.written(rows.mapInArrow(_screen(size, link, buckets), _SCREEN_COLUMNS), "screened")
     members = screened.filter("bucket is null").select("doc_id", "text_hash", "n", "cls")
     classes = base.written(members.filter("n > 0").groupBy("cls").agg(
