@@ -18,11 +18,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         least = base.written(edges.groupBy("u").agg(F.min("v").alias("m")), "star")
         moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    out = base.written(moved.filter("u <> v").distinct(), "edges")
+    base.discard(edges, least)
+    return out
 
 
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); the root is the smallest node it reaches.
+    """(node, root) for every node of ``edges`` (a, b), as a written table; the root is the smallest node it reaches.
 
     A node with very many edges is no hot task: minima are combined before the shuffle and the joins are split by skew.
     """
@@ -32,7 +34,9 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first())
         if state == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+            out = base.written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+            base.discard(now)
+            return out
         before = state
-        now = base.written(_stars(base.written(_stars(now, True), "edges"), False), "edges")
+        now = _stars(_stars(now, True), False)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

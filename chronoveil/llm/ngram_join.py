@@ -276,7 +276,7 @@ def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LI
                           .select("h", F.col("p.cls").alias("a"), F.col("p.n").alias("m"), F.col("p.at").alias("from")), "pivots")
     star = entries.join(pivots, "h").filter("a <> cls").filter(_possible("m", "n", "from", "at", link)).select("a", F.col("cls").alias("b")).distinct()
     links = _verified(star, shared, link)
-    root = base.written(components.connected(links), "roots")
+    root = components.connected(links)
     labelled = base.written(entries.join(root, entries.cls == root.node, "left").select("h", "cls", "n", "at", F.coalesce("root", "cls").alias("root")), "labelled")
     mixed = base.written(labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h"), "mixed")
     open_ = labelled.join(mixed, "h")
@@ -285,12 +285,14 @@ def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LI
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     more = _verified(crossing, shared, link)
     if not more.isEmpty():
-        root = base.written(components.connected(links.unionByName(more)), "roots")
+        first, root = root, components.connected(links.unionByName(more))
+        base.discard(first)
     named = classes.select("cls", "smallest").join(root, classes.cls == root.node, "left").select("cls", "smallest", F.coalesce("root", "cls").alias("root"))
     named = base.written(named, "named")
     # Only linked classes meet here; a component of very many classes is reduced before the shuffle.
     least = base.written(named.groupBy("root").agg(F.min("smallest").alias("component_id")), "component-ids")
     final = base.written(named.join(least, "root").select("cls", "component_id"), "class-components")
+    base.discard(classes, alive, counts, shared, entries, pivots, links, labelled, mixed, more, root, named, least)
     out = members.join(final, "cls", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.col("component_id")).otherwise(
         F.col("doc_id")).alias("component_id"))
