@@ -45,6 +45,23 @@ def stream_count_windows(spark, sf):
     return out.select("series_id", "win_id", F.round(total, 6).alias("x_sum"))
 
 
+PASSED_SQL = """
+passed AS (SELECT * REPLACE (row_number() OVER (PARTITION BY series_id ORDER BY t_us, event_id) - 1 AS pos) FROM series
+  WHERE t_us // 1000 <= (SELECT max(t_us) // 1000 - 3600000 FROM series))
+"""
+
+
+@query("stream_count_windows_ordered", f"""
+WITH {fx.SERIES_SQL}, {PASSED_SQL}, t AS (SELECT *, pos // 16 AS win_id FROM passed)
+SELECT series_id, win_id, round(sum(value * (pos % 16 + 1)), 6) AS x_sum FROM t GROUP BY 1, 2 HAVING count(*) = 16
+""")
+def stream_count_windows_ordered(spark, sf):
+    """Windows of what an hour's watermark has passed, whatever the order of arrival."""
+    out = st.run_available(st.count_windows(event_stream(spark, sf), "series_id", "event_id", "value", 16, "ts", "1 hour"), "count-windows")
+    total = F.aggregate(F.zip_with("x", F.sequence(F.lit(1), F.size("x")), lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return out.select("series_id", "win_id", F.round(total, 6).alias("x_sum"))
+
+
 @query("stream_grr", f"""
 WITH lab AS (SELECT event_id, ({fx.CODE_SQL} + 1)::INT AS label FROM events), {grr_sql('1.0::DOUBLE')} SELECT event_id, label, noisy_label FROM grr
 """)

@@ -57,17 +57,77 @@ def randomised_labels(stream: DataFrame, ids: Sequence[str], label: str, epsilon
     return randomised_response(stream, ids, label, epsilon, classes, seed)
 
 
-class CountWindows(StatefulProcessor):
-    """Every ``length`` rows of a series (in order of ``order``) become one window; the state holds less than one."""
+class InOrder(StatefulProcessor):
+    """Rows of a series in the order of ``order``.
 
-    def __init__(self, length: int, order: str, value: str):
-        self.length, self.order, self.value = length, order, value
+    Without ``ts`` a micro-batch is sorted and taken at once: right if files arrive in order. With ``ts`` rows wait in the
+    state until the watermark has passed them, so the order does not depend on the micro-batches; a row that arrives behind
+    the watermark is dropped by the engine, and what the watermark has not passed at the end stays in the state.
+    """
+
+    fields: dict[str, str]  # the columns a subclass reads, with their SQL types
+
+    def __init__(self, order: str, ts: str | None):
+        self.order, self.ts = order, ts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pending", "win BIGINT, xs ARRAY<DOUBLE>")
+        self.handle = handle
+        if self.ts:
+            columns = ", ".join(f"{c} {t}" for c, t in self.fields.items())
+            self.waiting = handle.getListState("waiting", f"ms BIGINT, {columns}")
+        self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
+        if not self.ts:
+            yield from self.take(key, pd.concat(list(rows)).sort_values(self.order))
+            return
+        first = None
+        for pdf in rows:
+            if pdf.empty:  # a call for timers only
+                continue
+            ms = pdf["row_ms"].astype("int64")
+            self.waiting.appendList([tuple(r) for r in pdf.assign(_m=ms)[["_m", *self.fields]].itertuples(index=False, name=None)])
+            first = int(ms.min()) if first is None else min(first, int(ms.min()))
+        if first is not None:
+            self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["row_ms", *self.fields])
+        ready = rows["row_ms"] <= passed
+        rest = rows[~ready]
+        if len(rest):
+            self.waiting.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
+            self.handle.registerTimer(int(rest["row_ms"].min()))
+        else:
+            self.waiting.clear()
+        if ready.any():
+            yield from self.take(key, rows[ready].sort_values(self.order))
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, key: str, processor: InOrder, schema: str, delay: str | None) -> DataFrame:
+    if not processor.ts:
+        return stream.select(key, *processor.fields).groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
+    timed = stream.withWatermark(processor.ts, delay).select(
+        key, *processor.fields, processor.ts, F.unix_millis(F.col(processor.ts).cast("timestamp")).alias("row_ms"))
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventtime")
+
+
+class CountWindows(InOrder):
+    """Every ``length`` rows of a series become one window; the state holds less than one besides waiting rows."""
+
+    def __init__(self, length: int, order: str, value: str, ts: str | None = None):
+        super().__init__(order, ts)
+        self.length, self.value = length, value
+        self.fields = {order: "BIGINT", value: "DOUBLE"}
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("pending", "win BIGINT, xs ARRAY<DOUBLE>")
+
+    def take(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         win, pending = self.state.get() if self.state.exists() else (0, [])
         values = np.concatenate([np.asarray(pending, dtype=float), pdf[self.value].to_numpy(float)])
         whole = len(values) // self.length
@@ -76,27 +136,26 @@ class CountWindows(StatefulProcessor):
             yield pd.DataFrame({"series_id": key[0], "win_id": win + np.arange(whole), "x": list(blocks)})
         self.state.update((int(win + whole), [float(v) for v in values[whole * self.length:]]))
 
-    def close(self) -> None:
-        pass
-
 
-def count_windows(stream: DataFrame, key: str, order: str, value: str, length: int) -> DataFrame:
-    schema = "series_id BIGINT, win_id BIGINT, x ARRAY<DOUBLE>"
-    return stream.select(key, order, value).groupBy(key).transformWithStateInPandas(
-        CountWindows(length, order, value), schema, "append", "none")
+def count_windows(stream: DataFrame, key: str, order: str, value: str, length: int, ts: str | None = None,
+                  delay: str | None = None) -> DataFrame:
+    """Windows of ``length`` rows. With ``ts`` and ``delay`` rows are put in order up to that lateness (see ``InOrder``)."""
+    return _in_order(stream, key, CountWindows(length, order, value, ts), "series_id BIGINT, win_id BIGINT, x ARRAY<DOUBLE>", delay)
 
 
-class ChangeRuns(StatefulProcessor):
+class ChangeRuns(InOrder):
     """Closed runs of equal labels; the open run is the state."""
 
-    def __init__(self, order: str, label: str):
-        self.order, self.label = order, label
+    def __init__(self, order: str, label: str, ts: str | None = None):
+        super().__init__(order, ts)
+        self.label = label
+        self.fields = {order: "BIGINT", label: "INT"}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "label INT, start BIGINT, pos BIGINT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        labels = pd.concat(list(rows)).sort_values(self.order)[self.label].to_numpy(int)
+    def take(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        labels = pdf[self.label].to_numpy(int)
         current, start, pos = self.state.get() if self.state.exists() else (int(labels[0]), 0, 0)
         seen = np.concatenate([[current], labels])
         # Index i of the change is the row count of the batch before the new run starts.
@@ -107,14 +166,10 @@ class ChangeRuns(StatefulProcessor):
                                 "run_start": starts[:-1], "run_stop": starts[1:]})
         self.state.update((int(labels[-1]), int(starts[-1]), int(pos + len(labels))))
 
-    def close(self) -> None:
-        pass
-
 
-def change_runs(stream: DataFrame, key: str, order: str, label: str) -> DataFrame:
-    schema = "series_id BIGINT, label INT, run_start BIGINT, run_stop BIGINT"
-    return stream.select(key, order, label).groupBy(key).transformWithStateInPandas(
-        ChangeRuns(order, label), schema, "append", "none")
+def change_runs(stream: DataFrame, key: str, order: str, label: str, ts: str | None = None, delay: str | None = None) -> DataFrame:
+    """Closed runs of equal labels. With ``ts`` and ``delay`` rows are put in order up to that lateness (see ``InOrder``)."""
+    return _in_order(stream, key, ChangeRuns(order, label, ts), "series_id BIGINT, label INT, run_start BIGINT, run_stop BIGINT", delay)
 
 
 class PrivateRelease(StatefulProcessor):

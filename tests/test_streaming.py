@@ -69,3 +69,24 @@ def test_randomised_labels(spark, data):
     got = st.run_available(st.randomised_labels(s, ["event_id"], "label", 1.0, 3, 9), "rl")
     want = me.randomised_response(data[0].withColumn("label", F.col("label") + 1), ["event_id"], "label", 1.0, 3, 9)
     assert want.select("event_id", "noisy_label").exceptAll(got.select("event_id", "noisy_label")).isEmpty()
+
+
+def test_rows_out_of_order_wait_for_the_watermark(spark, data, tmp_path):
+    """Files in shuffled order, and rows that move between files: windows and runs are those of the sorted rows."""
+    df = data[0].withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60 + 1_700_000_000))
+    path = str(tmp_path / "shuffled")
+    for part in ("event_id % 2 = 1 and event_id < 250", "event_id % 2 = 0 and event_id < 250", "event_id >= 250"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    last = 299 - 260  # rows that a delay of 260 minutes has not passed in the end, the first two files are never late
+    seen = df.filter(F.col("event_id") <= last)
+    late = st.replay(spark, path, df.schema, bytes_per_batch=1)
+    got = st.run_available(st.count_windows(late, "series_id", "event_id", "value", 3, "ts", "260 minutes"), "cwo")
+    rows = wn.tumbling_rows(with_position(seen, K, "event_id"), K, "pos", 3)
+    want = wn.gather_arrays(rows, ["series_id", "win_id"], F.col("value")).select("series_id", "win_id", "x")
+    assert want.count() == got.count() > 0 and want.exceptAll(got.select(*want.columns)).isEmpty()
+    runs = st.run_available(st.change_runs(st.replay(spark, path, df.schema, bytes_per_batch=1), "series_id", "event_id", "label", "ts",
+                                           "260 minutes"), "cro")
+    whole = wn.label_runs(with_position(seen, K, "event_id"), K, "pos", "label")
+    ends = whole.groupBy("series_id").agg(F.max("run_stop").alias("n"))
+    closed = whole.join(ends, K).filter("run_stop < n").select("series_id", "label", "run_start", "run_stop")
+    assert closed.count() == runs.count() > 0 and closed.exceptAll(runs.select(*closed.columns)).isEmpty()
