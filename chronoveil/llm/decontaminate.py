@@ -3,8 +3,8 @@
 Words are lower-cased and lose everything but letters and digits. A mask takes some words of a stretch of ``SPAN`` and
 ignores the others, so a passage with substituted words still has equal hashes where the substitutions fall on ignored
 places. Hashes of the benchmark meet those of the corpus; each meeting fixes how item and document lie on each other, and
-there the two are compared word by word: the best stretch (a match counts 1, a substitution -3) must have ``LEAST``
-matching words (of shorter items four fifths) and four fifths of its words must match.
+there the two are compared word by word: any stretch with ``LEAST`` matching words (of shorter items four fifths) of which
+four fifths of the words match is an overlap, and the one with the most matching words is given.
 
 An item of 8 to 11 words is hashed as a whole; one with fewer is too short to prove anything and never matches. Up to
 ``SEEDS_IN_TASKS`` benchmark hashes are sent to the tasks, which then need no shuffle; a larger benchmark meets the
@@ -80,21 +80,29 @@ def seeds_of(words: np.ndarray, offsets: np.ndarray, items: bool):
 
 
 def best_overlap(item: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """(first word in the text, words, matching words) of the best stretch where ``item[i]`` lies on ``text[i + shift]``."""
+    """(first word in the text, words, matching words) of the best stretch where ``item[i]`` lies on ``text[i + shift]``.
+
+    That is the one with the most matching words among those of which four fifths match, the first of equal ones. It begins
+    and ends with a match.
+    """
     low, high = max(0, -shift), min(len(item), len(text) - shift)
     if high <= low:
         return None
     same = item[low:high] == text[low + shift:high + shift]
     if int(same.sum()) < needed(len(item)):
         return None
-    run = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-    floor = np.minimum.accumulate(run)
-    stop = int(np.argmax(run - floor))
-    begin = int(np.argmin(run[:stop + 1]))
-    matches = int(same[begin:stop].sum())
-    if matches < needed(len(item)) or matches < SHARE * (stop - begin):
+    # Four fifths match where the sum of 1 for a match and -4 for a substitution is not negative. For each end, the earliest
+    # begin with that has the most matches: the first place where the lowest sum so far is no higher than at the end.
+    run = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
+    begins = np.searchsorted(-np.minimum.accumulate(run), -run, side="left")
+    count = np.concatenate(([0], np.cumsum(same)))
+    matches = count - count[begins]
+    stop = int(np.argmax(matches))
+    if matches[stop] < needed(len(item)):
         return None
-    return low + begin + shift, stop - begin, matches
+    begin = int(begins[stop])
+    begin += int(np.argmax(same[begin:stop]))
+    return low + begin + shift, stop - begin, int(matches[stop])
 
 
 def needed(size: int) -> int:

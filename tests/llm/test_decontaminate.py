@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -78,3 +79,29 @@ def test_empty_tables(spark):
     docs = edge.documents(spark)
     assert dc.overlaps(docs, none).collect() == [] and dc.clean(docs, none).count() == docs.count()
     assert dc.overlaps(edge.empty(spark), none).collect() == []
+
+
+def stretches(same, size):
+    """Most matching words of any stretch that meets the rule, which is stated here on its own."""
+    least = min(13, -(-4 * size // 5))
+    found = [sum(same[b:e]) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if 5 * sum(same[b:e]) >= 4 * (e - b)]
+    return max((m for m in found if m >= least), default=None)
+
+
+def test_every_stretch_that_meets_the_rule_is_accepted():
+    rng = random.Random(11)
+    item = np.arange(1, 61, dtype=np.uint64)
+    patterns = [[k not in out for k in range(16)] for n in (1, 2, 3, 4) for out in itertools.combinations(range(16), n)]
+    patterns += [[rng.random() < rng.choice((0.6, 0.8, 0.9)) for _ in range(rng.randrange(16, 45))] for _ in range(400)]
+    accepted = 0
+    for same in patterns:
+        own = item[:len(same)]
+        shift = rng.randrange(5)
+        text = np.concatenate((np.full(shift, 99, np.uint64), np.where(same, own, np.uint64(0)), np.full(3, 98, np.uint64)))
+        found, want = dc.best_overlap(own, text, shift), stretches(same, len(own))
+        assert (found[2] if found else None) == want
+        if found:
+            part = same[found[0] - shift:found[0] - shift + found[1]]
+            assert len(part) == found[1] and sum(part) == found[2] and 5 * found[2] >= 4 * found[1] and part[0] and part[-1]
+            accepted += 1
+    assert accepted > 700
