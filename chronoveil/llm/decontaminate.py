@@ -8,10 +8,11 @@ four fifths of the words match is an overlap, and the one with the most matching
 
 An item of 8 to 11 words is hashed as a whole; one with fewer is too short to prove anything and never matches. Up to
 ``SEEDS_IN_TASKS`` benchmark hashes are sent to the tasks, which then need no shuffle; a larger benchmark meets the
-corpus in a shuffled join by hash.
+corpus in a shuffled join by hash, where distinct texts are compared and the overlaps joined back to every row. Both give
+the same rows; where an item lies on a document in several ways, the most matching words count, then the smallest shift.
 
 Defined results: null texts have no words; null and repeated document ids give rows of their own; repeated items count
-once for each item id; no result row where nothing overlaps; empty tables give no rows; further columns are ignored.
+once for each item id, and different texts under one item id are items of their own; no result row where nothing overlaps; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ class Benchmark:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def overlaps(self, column: pa.Array) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """The best verified overlap of each (text, item) of a batch."""
+        """The best verified overlap of each (text, item) of a batch: the most matching words, then the smallest shift."""
         words, offsets = word_hashes(column)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, shift in self.meetings(words, offsets).tolist():
@@ -179,29 +180,51 @@ def _in_tasks(bench: Benchmark):
 
 
 def _seed_rows(items: bool):
-    schema = pa.schema([("id", pa.int64()), ("address", pa.string()), ("place", pa.int64()), ("hash", pa.int64())])
+    schema = pa.schema([("address", pa.string()), ("place", pa.int64()), ("hash", pa.int64())])
 
     def run(batches):
         for batch in batches:
             words, offsets = word_hashes(batch.column("text"))
             _, text, place, hashes = seeds_of(words, offsets, items)
-            whose = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(whose), batch.column("address").take(whose), pa.array(place, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column("address").take(pa.array(text)), pa.array(place, pa.int64()),
                                               pa.array(hashes.view(np.int64))], schema=schema)
     return run
 
 
 def _verify(batches):
+    schema = pa.schema([("address", pa.string()), ("item_at", pa.string())] + [
+        (n, pa.int64()) for n in ("shift", "first_word", "words", "matches")])
     for batch in batches:
         rows = []
         item_words, item_at = word_hashes(batch.column("item_text"))
         words, at = word_hashes(batch.column("text"))
-        for k, (doc, item, shift) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shift")))):
+        for k, (address, item, shift) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("address", "item_at", "shift")))):
             found = best_overlap(item_words[item_at[k]:item_at[k + 1]], words[at[k]:at[k + 1]], shift)
             if found:
-                rows.append((doc, item, *found))
+                rows.append((address, item, shift, *found))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _shuffled(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """address, item_at and the best overlap of each distinct document text with each distinct item text.
+
+    ``rows`` and ``items`` have ``address`` and ``text``, repeated ones too.
+    """
+    kinds = "address string, place bigint, hash bigint"
+    rows, items = rows.select("address", "text"), items.select("address", "text").distinct()
+    left = rows.mapInArrow(_seed_rows(False), kinds)
+    right = items.mapInArrow(_seed_rows(True), kinds)
+    met = left.alias("d").join(right.alias("b"), F.col("d.hash") == F.col("b.hash")).select(
+        F.col("d.address").alias("address"), F.col("b.address").alias("item_at"),
+        (F.col("d.place") - F.col("b.place")).alias("shift")).distinct()
+    texts = rows.join(met.select("address").distinct(), "address", "left_semi").dropDuplicates(["address"])
+    full = met.join(texts, "address").join(items.select(F.col("address").alias("item_at"), F.col("text").alias("item_text")), "item_at")
+    checked = full.select("address", "item_at", "shift", "text", "item_text").mapInArrow(
+        _verify, "address string, item_at string, shift bigint, first_word bigint, words bigint, matches bigint")
+    best = checked.groupBy("address", "item_at").agg(
+        F.max(F.struct("matches", (-F.col("shift")).alias("back"), "first_word", "words")).alias("b"))
+    return best.select("address", "item_at", "b.first_word", "b.words", "b.matches")
 
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -228,24 +251,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     address = F.sha2(F.col("text").cast("binary"), 256)
     rows = rows.filter("text is not null").withColumn("address", address)
     items = items.withColumn("address", address)
-    kinds = "id bigint, address string, place bigint, hash bigint"
-    left = rows.select(F.col("doc_id").alias("id"), "address", "text").mapInArrow(_seed_rows(False), kinds)
-    right = items.select(F.col("item_id").alias("id"), "address", "text").mapInArrow(_seed_rows(True), kinds)
-    met = left.alias("d").join(right.alias("b"), F.col("d.hash") == F.col("b.hash")).select(
-        F.col("d.id").alias("doc"), F.col("d.address").alias("at"), F.col("b.id").alias("item"), F.col("b.address").alias("item_at"),
-        (F.col("d.place") - F.col("b.place")).alias("shift")).distinct()
-    full = met.join(rows, F.expr("doc <=> doc_id and at = address")).select("doc_id", "text", "item", "item_at", "shift")
-    full = full.join(items.select("item_id", "address", F.col("text").alias("item_text")), F.expr("item <=> item_id and item_at = address"))
-    checked = full.select("doc_id", "item_id", "shift", "text", "item_text").mapInArrow(_verify, COLUMNS)
-    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("matches", "words", (-F.col("first_word")).alias("back"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), "b.words", "b.matches")
+    best = _shuffled(rows, items).join(items.select("item_id", F.col("address").alias("item_at")), "item_at")
+    return rows.select("doc_id", "address").join(best, "address").select("doc_id", "item_id", "first_word", "words", "matches")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", most: int = SEEDS_IN_TASKS) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, in the columns of ``docs``."""
     base.set_up(docs.sparkSession)
-    bench = _small(_items(benchmark, item_id, item_text), most)
+    items = _items(benchmark, item_id, item_text)
+    bench = _small(items, most)
     if bench is not None:
         @F.arrow_udf("boolean")
         def leaks(column: pa.Array) -> pa.Array:
@@ -257,7 +272,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     # Whether a text overlaps depends on the text alone: rows are matched by its address.
     address = base.fresh(docs, "address")
     keyed = docs.withColumn(address, F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
-    texts = keyed.select(F.xxhash64(address).alias("doc_id"), F.col(text).alias("text"), F.col(address).alias("address"))
-    bad = overlaps(texts, benchmark, item_id=item_id, item_text=item_text, most=most).select("doc_id").distinct()
-    bad = texts.join(bad, "doc_id", "left_semi").select(F.col("address").alias(address)).distinct()
-    return keyed.join(bad, address, "left_anti").select(*docs.columns)
+    rows = keyed.select(F.col(address).alias("address"), F.col(text).cast("string").alias("text")).filter("text is not null")
+    bad = _shuffled(rows, items.withColumn("address", F.sha2(F.col("text").cast("binary"), 256)))
+    return keyed.join(bad.select(F.col("address").alias(address)).distinct(), address, "left_anti").select(*docs.columns)

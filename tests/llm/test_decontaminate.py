@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import edge
 import numpy as np
@@ -105,3 +106,20 @@ def test_every_stretch_that_meets_the_rule_is_accepted():
             assert len(part) == found[1] and sum(part) == found[2] and 5 * found[2] >= 4 * found[1] and part[0] and part[-1]
             accepted += 1
     assert accepted > 700
+
+
+def test_both_paths_give_the_same_rows(spark):
+    docs, items = fixture()
+    lost = [(None, t) for i, t in docs if i is not None and i >= 100]
+    twice = items[8][1].split()
+    docs = docs + lost + [(100, t) for _, t in lost] + docs[-3:] + [
+        (300, " ".join(twice + ["between"] + twice)), (301, " ".join(["x"] + twice[:20] + ["y", "y", "y"] + twice[:20]))]
+    items = items + [(7, items[8][1]), (8, items[7][1]), (8, items[8][1]), (None, items[6][1]), (500, " ".join(twice[:15] * 3))]
+    frame = edge.documents(spark, docs)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    tasks, shuffled = dc.overlaps(frame, bench), dc.overlaps(frame, bench, most=0)
+    assert tasks.schema == shuffled.schema
+    want = Counter(map(tuple, tasks.collect()))
+    assert Counter(map(tuple, shuffled.collect())) == want
+    assert sum(n for r, n in want.items() if r[0] is None) > 20 and max(want.values()) > 1
+    assert Counter(r.doc_id for r in dc.clean(frame, bench).collect()) == Counter(r.doc_id for r in dc.clean(frame, bench, most=0).collect())
