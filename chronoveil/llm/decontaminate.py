@@ -1,23 +1,31 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased and lose everything but letters and digits. A mask takes some words of a stretch of ``SPAN`` and
-ignores the others, so a passage with substituted words still has equal hashes where the substitutions fall on ignored
-places. Hashes of the benchmark meet those of the corpus; each meeting fixes how item and document lie on each other, and
-there the two are compared word by word: any stretch with ``LEAST`` matching words (of shorter items four fifths) of which
-four fifths of the words match is an overlap, and the one with the most matching words is given.
-
-An item of 8 to 11 words is hashed as a whole; one with fewer is too short to prove anything and never matches. Up to
-``SEEDS_IN_TASKS`` benchmark hashes are sent to the tasks, which then need no shuffle; a larger benchmark meets the
+Words are lower-cased and lose everything but letters and digits; of scripts without spaces each letter is a word. A mask
+takes some words of a stretch and ignores the others, so a passage with substituted words still has equal hashes where the
+substitutions fall on ignored places. Hashes of the benchmark meet those of the corpus; each meeting fixes how item and
+document lie on each other, and there the two are compared word by word: any stretch with ``LEAST`` matching words (of
+shorter items four fifths) of which four fifths of the words match is an overlap, and the one with the most matching words
+is given.
+
+Long items, of ``LONG`` words or more, are hashed by ``MASKS`` at every place: 13 words on end, or 14, 15 and 16 words with 1, 2
+and 3 substitutions are always found; a longer passage would be lost if its substitutions fell on all masks at all places.
+Items of 8 to 15 words have masks of their own size, enough that none that meets the rule is lost, also where the document
+begins or ends within it. Items of fewer words are found only where all their words stand one after another, so an item of
+one word overlaps with every document that has it.
+
+Up to ``SEEDS_IN_TASKS`` benchmark hashes are sent to the tasks, which then need no shuffle; a larger benchmark meets the
 corpus in a shuffled join by hash, where distinct texts are compared and the overlaps joined back to every row. Both give
 the same rows; where an item lies on a document in several ways, the most matching words count, then the smallest shift.
 
 Defined results: null texts have no words; null and repeated document ids give rows of their own; repeated items count
-once for each item id, and different texts under one item id are items of their own; no result row where nothing overlaps; empty tables give no rows; further columns are ignored.
+once for each item id, and different texts under one item id are items of their own; no result row where nothing
+overlaps; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +35,55 @@ from pyspark.sql import functions as F
 
 from chronoveil.llm import base
 
-SPAN = 12
-#: The places that each mask looks at.
-MASKS = ((0, 1, 3, 6, 8, 9, 11), (0, 2, 3, 5, 7, 10, 11), (0, 1, 2, 5, 8, 10, 11))
-SHORTEST = 8
+#: Long items have ``LONG`` words or more. The places that each of their masks looks at.
+LONG = 16
+MASKS = ((0, 1, 3, 6, 8, 9, 11), (0, 2, 3, 5, 7, 10, 11), (0, 1, 2, 5, 8, 10, 11), (0, 1, 2, 4, 6, 7, 8), (0, 1, 2, 3, 5, 9, 10),
+         (0, 1, 3, 7, 8, 9, 10))
+#: Items of fewer words than this must be there word by word.
+SPACED = 8
+SHORTEST = 1
 LEAST = 13
 SHARE = 0.8
 SEEDS_IN_TASKS = 1_000_000
 _FILTER_BITS = 22
+#: Scripts without spaces between words: each letter counts as a word.
+_UNSEGMENTED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 
-#: All masks, those of short items behind the spaced ones: (number, span, places).
-ALL_MASKS = tuple((i, SPAN, m) for i, m in enumerate(MASKS)) + tuple(
-    (len(MASKS) + n - SHORTEST, n, tuple(range(n))) for n in range(SHORTEST, SPAN))
+
+def needed(size: int) -> int:
+    return size if size < SPACED else min(LEAST, int(np.ceil(SHARE * size)))
+
+
+def short_masks(size: int) -> list[tuple[int, ...]]:
+    """Places of the masks of items of ``size`` words: whichever words differ, as many as may, one mask looks at none of them."""
+    differ = size - needed(size)
+    groups = differ + 2 if differ else 1
+    return [tuple(p for p in range(size) if p % groups in looked) for looked in combinations(range(groups), groups - differ)]
+
+
+#: All masks, those of short items behind the spaced ones of long items: (number, size of the items or 0 for long ones, first
+#: place looked at, places from there on).
+ALL_MASKS = tuple((k, size, places[0], tuple(p - places[0] for p in places)) for k, (size, places) in enumerate(
+    [(0, m) for m in MASKS] + [(n, m) for n in range(SHORTEST, LONG) for m in short_masks(n)]))
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one text after another, and where each text begins."""
     dictionary, codes, offsets = base.words(column)
     plain = pc.replace_substring_regex(pc.utf8_lower(dictionary), r"[^\p{L}\p{N}]+", "")
+    if pc.any(pc.match_substring_regex(plain, _UNSEGMENTED)).as_py():
+        parts, part, at = base.words(pc.replace_substring_regex(plain, f"({_UNSEGMENTED})", r" \1 "))
+        sizes = np.diff(at)[codes]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return base.hash_words(parts)[part[np.repeat(at[:-1][codes] - ends[:-1], sizes) + np.arange(ends[-1])]], ends[offsets]
     real = pc.not_equal(plain, "").to_numpy(zero_copy_only=False).astype(bool)
     keep = real[codes]
     return base.hash_words(plain)[codes[keep]], np.concatenate(([0], np.cumsum(keep)))[offsets]
 
 
-def seed_hashes(words: np.ndarray, number: int, places: tuple[int, ...], span: int) -> np.ndarray:
+def seed_hashes(words: np.ndarray, number: int, places: tuple[int, ...]) -> np.ndarray:
     """Hash of the words that the mask looks at, for every place where the stretch begins."""
-    n = len(words) - span + 1
+    n = len(words) - places[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.full(n, np.uint64(number * 2 + 1), dtype=np.uint64)
@@ -62,21 +93,30 @@ def seed_hashes(words: np.ndarray, number: int, places: tuple[int, ...], span: i
         return base.mix(total)
 
 
-def seeds_of(words: np.ndarray, offsets: np.ndarray, items: bool):
-    """(mask, text, place, hash) of all texts. Items are hashed by the spaced masks, or as a whole if they are short."""
+def seeds_of(words: np.ndarray, offsets: np.ndarray, items: bool, numbers: set[int] | None = None):
+    """(mask, text, place, hash) of all texts: of items by the masks of their size, of documents by those of ``numbers``.
+
+    The place of an item is where the stretch that the mask looks at begins.
+    """
     sizes = np.diff(offsets)
     out = []
-    for number, span, places in ALL_MASKS:
-        hashes = seed_hashes(words, number, places, span)
-        if not len(hashes):
+    for number, size, first, places in ALL_MASKS:
+        if numbers is not None and number not in numbers:
             continue
-        at = np.arange(len(hashes))
-        text = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + span <= offsets[text + 1]
-        if items:
-            inside &= (sizes[text] == span) if number >= len(MASKS) else (sizes[text] >= SPAN)
-        at, text = at[inside], text[inside]
-        out.append((np.full(len(at), number), text, at - offsets[text], hashes[at]))
+        if items and size:
+            text = np.flatnonzero(sizes == size)
+            at = offsets[text] + first
+            hashes = seed_hashes(words, number, places) if len(text) else None
+        else:
+            hashes = seed_hashes(words, number, places)
+            at = np.arange(len(hashes))
+            text = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + places[-1] < offsets[text + 1]
+            if items:
+                inside &= sizes[text] >= LONG
+            at, text = at[inside], text[inside]
+        if len(at):
+            out.append((np.full(len(at), number), text, at - offsets[text], hashes[at]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
 
 
@@ -106,10 +146,6 @@ def best_overlap(item: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, i
     return low + begin + shift, stop - begin, int(matches[stop])
 
 
-def needed(size: int) -> int:
-    return min(LEAST, int(np.ceil(SHARE * size)))
-
-
 @dataclass
 class Benchmark:
     """Items with their words, and their seeds ordered by hash."""
@@ -120,13 +156,14 @@ class Benchmark:
     item: np.ndarray
     place: np.ndarray
     hashes: np.ndarray
+    numbers: set[int]
 
     @classmethod
     def of(cls, rows: list) -> "Benchmark":
         words, offsets = word_hashes(pa.array([r[1] for r in rows], pa.large_string()))
         mask, item, place, hashes = seeds_of(words, offsets, items=True)
         order = np.argsort(hashes, kind="stable")
-        return cls([r[0] for r in rows], words, offsets, mask[order], item[order], place[order], hashes[order])
+        return cls([r[0] for r in rows], words, offsets, mask[order], item[order], place[order], hashes[order], set(mask.tolist()))
 
     def own(self, item: int) -> np.ndarray:
         return self.words[self.offsets[item]:self.offsets[item + 1]]
@@ -136,10 +173,10 @@ class Benchmark:
         flags = np.zeros(1 << _FILTER_BITS, dtype=bool)
         flags[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         found = []
-        for number, span, places in ALL_MASKS:
-            if not (self.mask == number).any():
+        for number, _, _, places in ALL_MASKS:
+            if number not in self.numbers:
                 continue
-            hashes = seed_hashes(words, number, places, span)
+            hashes = seed_hashes(words, number, places)
             at = np.flatnonzero(flags[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             low = np.searchsorted(self.hashes, hashes[at], side="left")
             many = np.searchsorted(self.hashes, hashes[at], side="right") - low
@@ -147,7 +184,7 @@ class Benchmark:
             if not len(at):
                 continue
             text = np.searchsorted(offsets, at, side="right") - 1
-            inside = at + span <= offsets[text + 1]
+            inside = at + places[-1] < offsets[text + 1]
             at, text, low, many = at[inside], text[inside], low[inside], many[inside]
             seed = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(many) else low
             row = np.repeat(np.arange(len(at)), many)
@@ -179,15 +216,15 @@ def _in_tasks(bench: Benchmark):
     return run
 
 
-def _seed_rows(items: bool):
-    schema = pa.schema([("address", pa.string()), ("place", pa.int64()), ("hash", pa.int64())])
+def _seed_rows(items: bool, numbers: set[int] | None = None):
+    schema = pa.schema([("mask", pa.int32()), ("address", pa.string()), ("place", pa.int64()), ("hash", pa.int64())])
 
     def run(batches):
         for batch in batches:
             words, offsets = word_hashes(batch.column("text"))
-            _, text, place, hashes = seeds_of(words, offsets, items)
-            yield pa.RecordBatch.from_arrays([batch.column("address").take(pa.array(text)), pa.array(place, pa.int64()),
-                                              pa.array(hashes.view(np.int64))], schema=schema)
+            mask, text, place, hashes = seeds_of(words, offsets, items, numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(mask, pa.int32()), batch.column("address").take(pa.array(text)),
+                                              pa.array(place, pa.int64()), pa.array(hashes.view(np.int64))], schema=schema)
     return run
 
 
@@ -211,10 +248,11 @@ def _shuffled(rows: DataFrame, items: DataFrame) -> DataFrame:
 
     ``rows`` and ``items`` have ``address`` and ``text``, repeated ones too.
     """
-    kinds = "address string, place bigint, hash bigint"
+    kinds = "mask int, address string, place bigint, hash bigint"
     rows, items = rows.select("address", "text"), items.select("address", "text").distinct()
-    left = rows.mapInArrow(_seed_rows(False), kinds)
     right = items.mapInArrow(_seed_rows(True), kinds)
+    numbers = {r.mask for r in right.select("mask").distinct().collect()}
+    left = rows.mapInArrow(_seed_rows(False, numbers), kinds)
     met = left.alias("d").join(right.alias("b"), F.col("d.hash") == F.col("b.hash")).select(
         F.col("d.address").alias("address"), F.col("b.address").alias("item_at"),
         (F.col("d.place") - F.col("b.place")).alias("shift")).distinct()

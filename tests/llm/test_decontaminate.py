@@ -123,3 +123,46 @@ def test_both_paths_give_the_same_rows(spark):
     assert Counter(map(tuple, shuffled.collect())) == want
     assert sum(n for r, n in want.items() if r[0] is None) > 20 and max(want.values()) > 1
     assert Counter(r.doc_id for r in dc.clean(frame, bench).collect()) == Counter(r.doc_id for r in dc.clean(frame, bench, most=0).collect())
+
+
+def test_short_items_are_found_wherever_the_rule_holds():
+    rng = random.Random(12)
+    for size in range(1, 16):
+        item = [f"i{k}" for k in range(size)]
+        least = size if size < 8 else min(13, -(-4 * size // 5))
+        texts, want = [], []
+        for n in range(0, size - least + 2):
+            for out in itertools.combinations(range(size), n):
+                same = [k not in out for k in range(size)]
+                middle = [w if s else "other" for w, s in zip(item, same)]
+                while middle and middle[0] == "other":  # the document begins within the item
+                    middle.pop(0)
+                around = [[], [f"a{rng.random()}"]]
+                texts.append(" ".join(around[0] + middle + rng.choice(around)))
+                found = [sum(same[b:e]) for b in range(size) for e in range(b + 1, size + 1) if 5 * sum(same[b:e]) >= 4 * (e - b)]
+                want.append(max(found, default=0) >= least)
+        got = dc.Benchmark.of([(1, " ".join(item))]).overlaps(pa.array(texts))
+        assert {t for t, _ in got} == {t for t, w in enumerate(want) if w}
+        assert any(want) and (size == 1 or not all(want))
+
+
+def test_scripts_without_spaces_are_split_into_letters(spark):
+    item = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
+    docs = [(1, "前文。" + item[:9] + "犬" + item[10:] + "、後文"), (2, "全く別の文章でありこの句とは何も似ていない"), (3, "See x" + item[2:18] + "yz, ok")]
+    frame, bench = edge.documents(spark, docs), spark.createDataFrame([(7, item), (8, "ภาษาไทย ไม่มี")], "item_id bigint, text string")
+    want = [(1, 7, 2, 20, 19), (3, 7, 2, 16, 16)]
+    assert sorted(map(tuple, dc.overlaps(frame, bench).collect())) == want
+    assert sorted(map(tuple, dc.overlaps(frame, bench, most=0).collect())) == want
+    assert [r.doc_id for r in dc.clean(frame, bench).collect()] == [2]
+
+
+def test_passages_of_long_items_are_found_whatever_is_substituted():
+    rng = random.Random(13)
+    item = [f"i{k}" for k in range(30)]
+    texts = []
+    for size, n in ((13, 0), (14, 1), (15, 2), (16, 3)):
+        for out in itertools.combinations(range(size), n):
+            at = rng.randrange(30 - size)
+            texts.append(" ".join(["a", *[f"s{k}" if k in out else item[at + k] for k in range(size)], "b"]))
+    found = {t for t, _ in dc.Benchmark.of([(1, " ".join(item))]).overlaps(pa.array(texts))}
+    assert found == set(range(len(texts)))
