@@ -239,6 +239,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, link: tuple[int, int]) -> DataF
     return base.written(full.mapInArrow(_products(link), "a bigint, b bigint").distinct(), "links")
 
 
+def _held(rows: DataFrame, alive: DataFrame) -> DataFrame:
+    """One text of each class: that of its row with this id and text hash, once if the row is repeated."""
+    # What is screened in grows with the corpus: it is never broadcast, so the plan is the same at every size.
+    found = rows.hint("merge").join(alive.hint("merge"), ["holder", "text_hash"])
+    return found.dropDuplicates(["holder", "text_hash", "cls"]).select("cls", "text")
+
+
 def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LINK, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, cls (address of its set), component_id."""
@@ -251,15 +258,15 @@ def link_documents(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LI
     screened = base.written(rows.mapInArrow(_screen(size, link, buckets), _SCREEN_COLUMNS), "screened")
     members = screened.filter("bucket is null").select("doc_id", "text_hash", "n", "cls")
     classes = base.written(members.filter("n > 0").groupBy("cls").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", lowest)).alias("holder")), "classes")
+        F.first("n").alias("n"), F.min("doc_id").alias("smallest"), F.min(F.coalesce("doc_id", lowest)).alias("holder"),
+        F.min_by("text_hash", F.coalesce("doc_id", lowest)).alias("text_hash")), "classes")
     dealt = screened.filter("bucket is not null").select("bucket", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     met = dealt.mapInArrow(_meet, "cls bigint, met bigint").groupBy("cls").agg(F.sum("met").alias("met"))
     # The smallest set that may link; one less must meet, as two n-grams of a class may be the same in the buckets.
     other = F.ceil(F.col("n") * link[0] / float(link[1]))
-    alive = classes.join(met, "cls").filter(F.col("met") >= F.greatest(F.lit(1), F.floor(other / 10) - 1)).select("cls", "holder")
+    alive = classes.join(met, "cls").filter(F.col("met") >= F.greatest(F.lit(1), F.floor(other / 10) - 1)).select("cls", "holder", "text_hash")
     alive = base.written(alive, "screened-in")
-    # What is screened in grows with the corpus: it is never broadcast, so the plan is the same at every size.
-    texts = rows.select(F.coalesce("doc_id", lowest).alias("holder"), "text").hint("merge").join(alive.hint("merge"), "holder").select("cls", "text")
+    texts = _held(rows.select(F.coalesce("doc_id", lowest).alias("holder"), "text_hash", "text"), alive)
     matrix = base.written(texts.mapInArrow(_rows_of_matrix(size), "cls bigint, n bigint, hashes array<bigint>"), "matrix")
     cells = matrix.select("cls", "n", F.explode("hashes").alias("h"))
     counts = base.written(cells.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "columns")

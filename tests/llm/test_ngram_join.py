@@ -112,3 +112,22 @@ def test_one_of_each(spark):
 def test_empty(spark):
     assert ngram_join.link_documents(edge.empty(spark)).collect() == []
     assert ngram_join.one_of_each(edge.empty(spark)).collect() == []
+
+
+def test_each_class_gets_one_text_whatever_the_ids(spark, monkeypatch):
+    rng = random.Random(4)
+    originals = [edge.words(rng, 60).split() for _ in range(6)]
+    rows = [(i, " ".join([*ws[:k], "changed", *ws[k + 1:]])) for ws in originals for k in (3, 30, 55) for i in (None, 7)]
+    read, whole = [], ngram_join._rows_of_matrix
+    frames = type(spark.range(0))
+    mapped = frames.mapInArrow
+
+    def spy(self, function, *args, **kwargs):
+        if getattr(function, "__qualname__", "").startswith(whole.__qualname__):
+            read.append(self.groupBy("cls").count().collect())
+        return mapped(self, function, *args, **kwargs)
+    monkeypatch.setattr(frames, "mapInArrow", spy)
+    frame = edge.documents(spark, rows + rows[:4])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(frame, 3, (80, 100)).collect())
+    assert got == brute(rows + rows[:4], 3, (80, 100))
+    assert len(read) == 1 and len(read[0]) == 18 and all(r["count"] == 1 for r in read[0])
