@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoveil.session import prepare, scratch_path
@@ -178,3 +178,25 @@ def hash_words(dictionary: pa.Array) -> np.ndarray:
     """64-bit hash of each word of a dictionary."""
     data, offsets = utf8(dictionary)
     return hash_spans(data, offsets[:-1], offsets[1:])
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], label: str, rows_per_range: int = 16_384, most: int = 20_000) -> DataFrame:
+    """``df`` as a written table with ``rank``: from 0 within ``group`` (no nulls), in ``order`` (nulls first).
+
+    Rows are cut into ranges of the full order, numbered where they lie and shifted by the rows of earlier ranges, so neither a
+    group of any size nor repeated rows (told apart by their place in the input) gather in one task.
+    """
+    part, place, least, rows = (fresh(df, s) for s in ("part", "place", "least", "rows"))
+    ranges = max(1, min(most, -(-df.count() // rows_per_range)))
+    keys = [*group, *order]
+    cut = df.withColumn(place, F.monotonically_increasing_id())
+    cut = cut.repartitionByRange(ranges, *keys, place).sortWithinPartitions(*keys, place)
+    table = written(cut.withColumn(place, F.monotonically_increasing_id()), label)
+    numbered = table.withColumn(part, F.shiftright(place, 33))
+    counts = numbered.groupBy(*group, part).agg(F.min(place).alias(least), F.count("*").alias(rows))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, part, F.col(least), F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(rows))
+    out = numbered.join(counts, [*group, part])
+    out = out.select(*df.columns, (F.col(place) - F.col(least) + F.col(rows)).alias("rank"))
+    out._scratch = table._scratch
+    return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoveil.llm import chat, decontaminate, fingerprint, language, learning, ngram_join, packing, secrets, token_codec, toxicity, warc
+from chronoveil.llm import (bpe, chat, collocations, decontaminate, fingerprint, language, learning, merkle, ngram_join, packing, secrets,
+                            token_codec, toxicity, warc)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +130,81 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value}::varchar end"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 of the decimal id: 8 shifts for each byte.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1),
+    lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
+
+_MERKLE_SQL = f"""
+with recursive claims as (select *, case when {_CRC_SQL} % 7 = 0 then n_chars + 1 else n_chars end as claimed from documents),
+leaves as (select doc_id, lang, {_leaf('n_chars')} as leaf, {_leaf('claimed')} as claim from claims),
+numbered as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as n from leaves),
+nodes as (select 0 as level, lang, idx, leaf as h, n from numbered union all
+  select level + 1, lang, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2 from nodes where n > 1 group by level, lang, idx // 2, n),
+subroots as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as idx, count(*) over () as n from nodes where n = 1),
+tops as (select 0 as level, idx, subroot as h, n from subroots union all
+  select level + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2 from tops where n > 1 group by level, idx // 2, n),
+steps as (
+  select m.doc_id, m.lang, m.leaf, m.idx as place, l.level, (m.idx >> l.level) & 1 as odd, s.h from numbered m
+    join (select distinct lang, level from nodes where n > 1) l on m.lang is not distinct from l.lang
+    left join nodes s on s.lang is not distinct from m.lang and s.level = l.level and s.idx = xor(m.idx >> l.level, 1)
+  union all
+  select m.doc_id, m.lang, m.leaf, m.idx, 1000 + l.level, (r.idx >> l.level) & 1, s.h from numbered m
+    join subroots r on m.lang is not distinct from r.lang join (select distinct level from tops where n > 1) l on true
+    left join tops s on s.level = l.level and s.idx = xor(r.idx >> l.level, 1)),
+paths as (select lang, place, list(case when h is null then 'N' when odd = 1 then 'L' || h else 'R' || h end order by level) as path,
+  coalesce(string_agg(h, '' order by level), '') as siblings from steps group by lang, place),
+folded as (select m.*, coalesce(siblings, '') as siblings, list_reduce(list_prepend(claim, coalesce(path, [])), lambda a, x: sha256(
+    case when x[1] = 'L' then x[2:] || a when x[1] = 'R' then a || x[2:] else a end)) as folded_root
+  from numbered m left join paths p on m.lang is not distinct from p.lang and m.idx = p.place)
+select doc_id, leaf, subroot, root, sha256(siblings) as proof_sha256, folded_root, folded_root = root as verified
+from folded f join subroots r on f.lang is not distinct from r.lang, (select h as root from tops where n = 1)"""
+
+
+@query("op11_postorder_manifest", _MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(merkle.build(docs, {"n_chars": merkle.tampered(F.col("doc_id"), F.col("n_chars"))}))
+
+
+_PHRASE_SQL = """
+with d as (select row_number() over () as r, coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select r, lang, unnest(range(len(s))) as piece, unnest(s) as body from (select r, lang, string_split_regex(t, '[.,;:!?\n-\r]') as s from d)),
+w as (select r, lang, piece, unnest(range(len(s))) as pos, unnest(s) as w1 from (select *, regexp_extract_all(body, '[^ \t]+') as s from p)),
+g as (select lang, w1, """ + ", ".join(
+    f"lead(w1, {i}) over (partition by r, piece order by pos) as w{i + 1}" for i in range(1, 5)) + """ from w),
+f as (""" + " union all ".join(
+    f"select lang, [{', '.join(f'w{i}' for i in range(1, k + 1))}] as ws, count(*) as n from g where w{k} is not null group by all"
+    for k in range(1, 6)) + """),
+total as (select lang, sum(n)::bigint as n from f where len(ws) = 1 group by lang),
+c as (select lang, ws, n as a from f where len(ws) > 1 and n >= 100),
+v as (select i, j from range(1, 6) a(i), range(1, 6) b(j) where i < j),
+gone as (select distinct lang, ws from (select lang, a as b, ws[i:j] as ws from c join v on j <= len(ws) and j - i + 1 < len(ws))
+  join c using (lang, ws) where 100 * b >= 100 * a),
+cuts as (select lang, ws, a, unnest(range(1, len(ws))) as k from c anti join gone using (lang, ws)),
+s as (select cuts.lang, cuts.ws, cuts.a, k, x.n as l, y.n as r, total.n as n, (1000::hugeint * a * total.n) // (x.n::hugeint * y.n) as score
+  from cuts join f x on x.lang = cuts.lang and x.ws = cuts.ws[:k] join f y on y.lang = cuts.lang and y.ws = cuts.ws[k + 1:] join total on total.lang = cuts.lang),
+b as (select *, array_to_string(ws, ' ') as phrase from s qualify row_number() over (partition by lang, ws order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+from b qualify rank <= 2000"""
+
+
+@query("op12_setm_phrases", _PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_folded_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
