@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoveil.functions.rng import uniform
-from chronoveil.operators.position import range_count, running_sum
+from chronoveil.operators.position import join_null_safe, range_count, running_sum
 
 
 def vertical_flip(x: Column) -> Column:
@@ -52,7 +52,7 @@ def mix_pairs(windows: DataFrame, ids: Sequence[str], x: str, seed: int, parts:
     """Average of each window and its random partner."""
     partner = shuffled_partner(windows, ids, seed, parts)
     other = windows.select(*[F.col(c).alias(f"other_{c}") for c in ids], F.col(x).alias("_o"))
-    both = windows.join(partner, list(ids)).join(other, [f"other_{c}" for c in ids])
+    both = join_null_safe(join_null_safe(windows, partner, ids), other, [f"other_{c}" for c in ids])
     return both.withColumn(x, F.zip_with(x, "_o", lambda a, b: (a + b) / 2.0)).drop("_o")
 
 
@@ -98,7 +98,7 @@ def frequency_mix(windows: DataFrame, ids: Sequence[str], x: str, length: int, r
     at most 2 are never replaced."""
     partner = shuffled_partner(windows, ids, seed)
     other = windows.select(*[F.col(c).alias(f"other_{c}") for c in ids], F.col(x).alias("_o"))
-    both = windows.join(partner, list(ids)).join(other, [f"other_{c}" for c in ids])
+    both = join_null_safe(join_null_safe(windows, partner, ids), other, [f"other_{c}" for c in ids])
     drawn = both.withColumn("_u", _bin_draws([F.col(c) for c in ids], length, seed))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import BLOCK_ROWS, framed
+from chronoveil.operators.position import BLOCK_ROWS, framed, join_null_safe
 from chronoveil.operators.quantile import exact_quantiles
 
 
@@ -22,13 +22,13 @@ def tiling(bounds: DataFrame, keys: Sequence[str], start: str, stop: str, name:
     intervals covers [0, n) and no length is left for an overlap. No interval list is sorted or collected.
     """
     stops = bounds.select(*keys, F.col(stop).alias(start)).distinct().withColumn("_met", F.lit(True))
-    seen = bounds.join(stops, [*keys, start], "left")
+    seen = join_null_safe(bounds, stops, [*keys, start], "left")
     stats = seen.groupBy(*keys).agg(
         F.count_if(F.col("_met").isNull() & (F.col(start) != 0)).alias("gaps"),
         F.count_if(F.col(start) >= F.col(stop)).alias("empty"),
         (F.count(F.lit(1)) - F.count_distinct(name)).alias("repeated"),
         F.sum(F.col(stop) - F.col(start)).alias("total"), F.max(stop).alias("covered"))
-    return stats.join(rows, list(keys)).withColumn(
+    return join_null_safe(stats, rows, keys).withColumn(
         "ok", (F.col("gaps") == 0) & (F.col("empty") == 0) & (F.col("repeated") == 0)
         & (F.col("covered") == F.col("n")) & (F.col("total") == F.col("n")))
 
@@ -42,7 +42,7 @@ def monotonic(df: DataFrame, keys: Sequence[str], pos: str, t: str, expected: in
         F.coalesce(F.min("_d") > 0, F.lit(True)).alias("increasing"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns])
     median = exact_quantiles(steps, keys, "_d", {"median_step": 0.5})
-    return basics.join(median, list(keys), "left").withColumn(
+    return join_null_safe(basics, median, keys, "left").withColumn(
         "step_ok", F.coalesce(F.abs(F.col("median_step") - F.lit(expected)) <= tolerance, F.lit(False)))
 
 
@@ -50,7 +50,7 @@ def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], pos: str, t:
     """Per key: rows of both sides and positions whose times differ or exist on one side only."""
     a = left.select(*keys, pos, F.col(t).alias("_a"))
     b = right.select(*keys, pos, F.col(t).alias("_b"))
-    both = a.join(b, [*keys, pos], "full")
+    both = join_null_safe(a, b, [*keys, pos], "full")
     return both.groupBy(*keys).agg(
         F.count("_a").alias("left_rows"), F.count("_b").alias("right_rows"),
         F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("mismatches"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoveil.session import ensure_checkpoints
+from chronoveil.session import scratch_path
 
 EARTH_MILES = 3958.8
 MILES_PER_DEGREE = EARTH_MILES * math.pi / 180.0
@@ -64,32 +66,114 @@ def close_pairs(points: DataFrame, miles: float, id: str = "id", lat: str = "lat
             .select("id_a", "id_b", d.alias("miles")).filter(F.col("miles") < miles))
 
 
+#: Points of a cell that a round looks at, the smallest ids first.
+_PER_CELL = 16
+#: Cells a tile is wide in the first round, how much wider each next round's are, and the widest.
+_TILE, _WIDER, _WIDEST = 32, 8, 2048
+
+
+def _distances(lat: float, lng: float, lats: np.ndarray, lngs: np.ndarray) -> np.ndarray:
+    a, b = math.radians(lat), np.radians(lats)
+    h = np.sin((b - a) / 2) ** 2 + math.cos(a) * np.cos(b) * np.sin((np.radians(lngs) - math.radians(lng)) / 2) ** 2
+    return 2 * EARTH_MILES * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
+class _Band:
+    """Points of one row of cells."""
+
+    def __init__(self):
+        self.lat, self.lng, self.open = [], [], []
+
+    def add(self, lat: float, lng: float, is_open: bool) -> None:
+        self.lat.append(lat)
+        self.lng.append(lng)
+        self.open.append(is_open)
+
+
+def _resolve(points: list[dict], reach_lat: int, miles: float) -> list[dict]:
+    """Points of a tile that are certain to be kept, scanned by id. What lies outside of the tile, or was not sent, is open; a point is
+    decided when no open point before it is in reach."""
+    bands: dict[int, _Band] = {}
+    taken: set = set()
+    unsent: dict[int, list] = {}
+    kept = []
+    for p in sorted(points, key=lambda r: r["id"]):
+        cell = (p["_row"], p["_col"])
+        if cell in taken:  # two points of a cell are always too close
+            continue
+        near = range(p["_row"] - reach_lat, p["_row"] + reach_lat + 1)
+        if p["marker"]:
+            unsent.setdefault(p["_row"], []).append((p["lat"], p["lng"], cell))
+            continue
+        beaten = is_open = not p["own"]
+        if p["own"]:
+            for row in near:
+                band = bands.get(row)
+                if band:
+                    close = _distances(p["lat"], p["lng"], np.array(band.lat), np.array(band.lng)) < miles
+                    opened = np.array(band.open)
+                    beaten = beaten or bool((close & ~opened).any())
+                    is_open = is_open or bool((close & opened).any())
+                # Unsent points of a cell are in reach of its marker, so they matter up to twice as far.
+                for lat, lng, other in unsent.get(row, ()):
+                    is_open = is_open or (other not in taken and _distances(p["lat"], p["lng"], np.array([lat]), np.array([lng]))[0] < 2 * miles)
+            if beaten:
+                continue
+            if not is_open:
+                kept.append(p)
+                taken.add(cell)
+        bands.setdefault(p["_row"], _Band()).add(p["lat"], p["lng"], is_open)
+    return kept
+
+
+def _round(undecided: DataFrame, grid: Grid, miles: float, side: int) -> DataFrame:
+    """Points that this round finds kept: (id, lat, lng). A tile of ``side`` cells is one task's work, and gets a bounded number of
+    points of each of its cells and of the cells around it."""
+    spec = Window.partitionBy("_row", "_col").orderBy("id")
+    first = undecided.withColumn("_n", F.row_number().over(spec)).filter(F.col("_n") <= _PER_CELL + 1)
+    sent = first.withColumn("marker", F.col("_n") > _PER_CELL).drop("_n")
+    copies = grid.around(sent.withColumns({"_r": F.col("_row"), "_c": F.col("_col")}).drop("_row", "_col"), "lat", "lng")
+    tile = lambda row, col: F.struct(F.floor(row / side).alias("r"), F.floor(col / side).alias("c"))
+    copies = copies.select("id", "lat", "lng", "marker", F.col("_r").alias("_row"), F.col("_c").alias("_col"), tile(F.col("_row"), F.col("_col")).alias("tile"))
+    copies = copies.distinct().withColumn("own", F.col("tile") == tile(F.col("_row"), F.col("_col")))
+    # A tile that only has copies of points around it has nothing to decide.
+    tiles = copies.groupBy("tile").agg(F.collect_list(F.struct("id", "lat", "lng", "marker", "_row", "_col", "own")).alias("points")).filter(
+        F.exists("points", lambda x: x["own"]))
+    reach = grid.reach_lat
+
+    @F.arrow_udf("array<struct<id:bigint,lat:double,lng:double>>")
+    def resolve(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64())]))
+        return pa.array([[{k: p[k] for k in ("id", "lat", "lng")} for p in _resolve(points, reach, miles)] for points in column.to_pylist()], kind)
+
+    return tiles.select(F.inline(resolve("points")))
+
+
 def separated_subset(points: DataFrame, miles: float, id: str = "id", lat: str = "lat", lng: str = "lng") -> DataFrame:
     """Ids kept when points are scanned in id order and each kept point removes all points closer than ``miles``.
 
     The scan is replayed in rounds without building the pair table. Cells are so small that two points of a cell are
-    always too close, so only the smallest undecided id of a cell can be kept. It is kept when no smaller undecided
-    point is in reach; kept points then remove their neighbours. A round compares one contender per cell with the
-    points of the cells around it, so a spot that holds a third of all points costs linear and not quadratic work.
+    always too close. A round scans the smallest undecided ids of the cells of a tile in one task, as far as no undecided
+    point outside of the tile matters; kept points then remove their neighbours. A chain of points that decide each other is
+    followed through a whole tile at once, and tiles grow from round to round as points get fewer. A spot that holds a third of all
+    points sends a bounded number of them, so it costs linear work. Kept points are written to a table by each round.
     """
     spark = points.sparkSession
-    ensure_checkpoints(spark)
     grid = Grid(miles / math.sqrt(2.0) * 0.999, miles)
-    undecided = grid.tag(points.select(F.col(id).alias("id"), F.col(lat).alias("lat"), F.col(lng).alias("lng")),
-                         "lat", "lng").checkpoint()
-    kept: DataFrame | None = None
+    folder = scratch_path(spark, "separated")
+    schema = "id bigint, lat double, lng double, _row bigint, _col bigint"
+    wide = points.select(F.col(id).cast("bigint").alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"))
+    grid.tag(wide, "lat", "lng").write.parquet(f"{folder}/undecided-0")
+    side, number = _TILE, 0
     while True:
-        # One contender per cell: an aggregate, never a sort of the cell.
-        heads = (undecided.groupBy("_row", "_col").agg(F.min_by(F.struct("id", "lat", "lng"), "id").alias("h"))
-                 .select(F.col("h.id").alias("hid"), F.col("h.lat").alias("hlat"), F.col("h.lng").alias("hlng")))
-        reach = grid.around(heads, "hlat", "hlng")
+        undecided = spark.read.schema(schema).parquet(f"{folder}/undecided-{number}")
+        if number and undecided.isEmpty():
+            return spark.read.schema("id bigint, lat double, lng double").parquet(f"{folder}/kept").select("id")
+        _round(undecided, grid, miles, side).write.parquet(f"{folder}/kept/round={number}")
+        winners = spark.read.schema("id bigint, lat double, lng double").parquet(f"{folder}/kept/round={number}").select(
+            F.col("id").alias("hid"), F.col("lat").alias("hlat"), F.col("lng").alias("hlng"))
         close = haversine_miles(F.col("hlat"), F.col("hlng"), F.col("lat"), F.col("lng")) < miles
-        beaten = (reach.join(undecided, ["_row", "_col"]).filter((F.col("id") < F.col("hid")) & close)
-                  .select("hid").distinct())
-        winners = heads.join(beaten, "hid", "left_anti").checkpoint()
-        kept = winners if kept is None else kept.unionByName(winners)
         gone = (grid.around(winners, "hlat", "hlng").join(undecided, ["_row", "_col"])
                 .filter(close | (F.col("id") == F.col("hid"))).select("id").distinct())
-        undecided = undecided.join(gone, "id", "left_anti").checkpoint()
-        if undecided.isEmpty():
-            return kept.select(F.col("hid").alias("id"))
+        number, side = number + 1, min(side * _WIDER, _WIDEST)
+        undecided.join(gone, "id", "left_anti").write.parquet(f"{folder}/undecided-{number}")

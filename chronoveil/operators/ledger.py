@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import spread_sequence
+from chronoveil.operators.position import join_null_safe
 
 
 def log_sum_exp_over(last: Column, term: Callable[[Column, Column], Column], m: Column) -> Column:
@@ -86,15 +86,30 @@ def affected_patterns(geo: DataFrame, keys: Sequence[str], candidates: str, affe
                       larger_last: bool = False) -> DataFrame:
     """Distinct multisets of (hits, interval size) over all positions of a block of ``affected`` candidates.
 
-    Interval bounds are arithmetic in the interval index, so each block position computes its own pattern and no
-    range join is needed; equal patterns are merged before any shuffle.
+    Intervals come in two lengths, those of one length side by side. Inside such a region a block that is moved by one interval
+    has the same pattern, and so has one that is moved inside its interval: the blocks that end with the first interval or leave it
+    stand for the region. Add the blocks that cross the border of the two regions, and there are at most three for each affected
+    candidate, however many candidates there are. Interval bounds are arithmetic in the interval index, so no range join is
+    needed.
     """
     base_df = (geo.withColumn("_k", count.cast("bigint"))
                .withColumn("_base", F.floor(F.col(candidates) / F.col("_k")).cast("bigint"))
-               .withColumn("_rem", F.col(candidates) - F.col("_base") * F.col("_k"))
-               .withColumn("_starts", F.col(candidates) - F.col(affected) + 1))
-    starts = spread_sequence(base_df, keys, "_starts", "_s")
-    k, base, rem, s, m = (F.col(c) for c in ("_k", "_base", "_rem", "_s", affected))
+               .withColumn("_rem", F.col(candidates) - F.col("_base") * F.col("_k")))
+    k, base, rem, s, m, n = (F.col(c) for c in ("_k", "_base", "_rem", "_s", affected, candidates))
+
+    def between(low: Column, high: Column) -> Column:
+        low, high = low.cast("bigint"), high.cast("bigint")
+        return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<bigint>"))
+
+    def region(begin: Column, size: Column, length: Column) -> Column:
+        return between(begin + F.greatest(F.lit(0), size - m), begin + F.least(size - 1, length - m))
+
+    border = (k - rem) * base if larger_last else rem * (base + 1)
+    sizes = (base, base + 1) if larger_last else (base + 1, base)
+    chosen = F.array_distinct(F.concat(
+        region(F.lit(0), sizes[0], border), region(border, sizes[1], n - border),
+        between(F.greatest(F.lit(0), border - m + 1), F.least(border - 1, n - m))))
+    starts = base_df.withColumn("_s", F.explode(chosen))
 
     def bound(i: Column) -> Column:
         longer = F.greatest(F.lit(0), i - (k - rem)) if larger_last else F.least(i, rem)
@@ -271,7 +286,7 @@ def select_lambda(geo: DataFrame, keys: Sequence[str], candidates: str, affected
                                      F.sum("rates").alias("evaluated"))
     lower = F.lit(1.0) / F.floor(F.col(candidates) / F.lit(batch))
     feasible = F.coalesce(F.col("_b.steps"), F.lit(0)) > 0
-    return geo.join(best, list(keys), "left").select(
+    return join_null_safe(geo, best, keys, "left").select(
         *geo.columns, F.when(feasible, F.col("_b.lam")).otherwise(lower).alias("lam"),
         F.coalesce(F.col("_b.steps"), F.lit(0)).cast("bigint").alias("max_steps"),
         F.coalesce("evaluated", F.lit(0)).cast("bigint").alias("evaluated"), feasible.alias("feasible"))
@@ -316,7 +331,7 @@ def budget_plan(geo: DataFrame, keys: Sequence[str], batch: int, sigma: float, d
     shapes = tried.select(*keys, "candidates", "affected", "_count").distinct()
     patterns = affected_patterns(shapes, [*keys, "_count"], "candidates", "affected", F.col("_count"),
                                  larger_last=(mode == "paper"))
-    rated = patterns.join(tried.select(*keys, "_count", "lam"), [*keys, "_count"])
+    rated = join_null_safe(patterns, tried.select(*keys, "_count", "lam"), [*keys, "_count"])
     spaced_rdp = rdp_pss(rated, [*keys, "lam"], activation, sigma, 2, 64)
     spaced = collapse(spaced_rdp, [*keys, "lam"], delta)
     scored = max_steps(spaced.withColumn("target", budget), "orders", F.col("target"), cap)
@@ -340,6 +355,6 @@ def binomial_weights(df: DataFrame, hit: Column, trials: int) -> DataFrame:
 
 def memoised(tenants: DataFrame, geometry: Sequence[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a ledger once per distinct geometry and give every tenant its rows."""
-    return tenants.join(compute(tenants.select(*geometry).distinct()), list(geometry))
+    return join_null_safe(tenants, compute(tenants.select(*geometry).distinct()), geometry)
 
 

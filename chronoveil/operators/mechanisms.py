@@ -7,7 +7,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -211,8 +211,11 @@ class StreamPublisher:
 
     def snapshot(self) -> dict:
         """State as plain values."""
-        return {"i": self.i, "c": self.c, "rho": self.rho, "spent": [list(x) for x in self.spent], "sums": [self.sum_eps, self.sum_svt],
-                "changes": [list(x) for x in self.changes], "moved": [self.moved, self.sum_squares, self.sum_sizes],
+        return {**self.scalars(), "spent": [list(x) for x in self.spent], "changes": [list(x) for x in self.changes]}
+
+    def scalars(self) -> dict:
+        """What does not grow with the window."""
+        return {"i": self.i, "c": self.c, "rho": self.rho, "sums": [self.sum_eps, self.sum_svt], "moved": [self.moved, self.sum_squares, self.sum_sizes],
                 "raw": None if self.last_raw is None else self.last_raw.tolist(), "out": None if self.out is None else self.out.tolist()}
 
     def restore(self, doc: dict) -> None:
@@ -224,6 +227,18 @@ class StreamPublisher:
         self.last_raw = None if doc["raw"] is None else np.asarray(doc["raw"])
         self.out = None if doc["out"] is None else np.asarray(doc["out"])
 
+    def last_row(self) -> tuple[int, float, float, float, float]:
+        """Row, budgets it spent, and the change it made: what later rows need of the row that was published last."""
+        n = self.i - 1
+        eps, svt = self.spent[-1][1:] if self.spent and self.spent[-1][0] == n else (0.0, 0.0)
+        return (n, eps, svt, *(self.changes[-1] if n >= 2 else (0.0, 0.0)))
+
+    def restore_rows(self, scalars: dict, rows: list[tuple[int, float, float, float, float]]) -> None:
+        """The state from ``scalars`` and ``last_row`` of each row that may still be in sight, in order."""
+        i = scalars["i"]
+        self.restore({**scalars, "spent": [r[:3] for r in rows if (r[1] > 0 or r[2] > 0) and r[0] > i - self.window],
+                      "changes": [r[3:] for r in rows if r[0] >= max(2, i - self.history)]})
+
     def _decide(self, row, noise, u_query):
         """Every release adds noise for exactly the budget that is booked for it.
 
@@ -261,50 +276,53 @@ def publish_streams(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
                     warm_rows: int | None = None) -> DataFrame:
     """Private release of every (series, epsilon, seed) stream with its budget use per row.
 
-    One stream is sequential by definition; series, budgets and seeds are separate streams and run in parallel. The
-    rows of a stream reach its task sorted and are consumed batch by batch with bounded state, so even a very long
-    stream is never held in memory. ``s_p`` and ``s_s`` are public bounds of range and step. Noise is derived from row
-    identifiers in the plan, so that a re-run task repeats the same release.
+    A series is shuffled and read once, however many budgets and seeds there are: its task drives a publisher for each of them.
+    One stream is sequential by definition; series run in parallel. The rows of a series reach its task sorted and are
+    consumed batch by batch with bounded state, so even a very long one is never held in memory. ``s_p`` and ``s_s`` are public
+    bounds of range and step. Noise is derived from row identifiers behind the shuffle, so that a re-run task repeats the
+    same release and no noise is shuffled.
     """
     if window < 2:
         raise ValueError("the window must have at least two rows")
-    grid = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("epsilon"), F.lit(int(s)).alias("seed"))
-                               for e in epsilons for s in seeds]))
+    grid = [(float(e), int(s)) for e in epsilons for s in seeds]
+    each = F.array(*[F.struct(F.lit(e).alias("epsilon"), F.lit(s).alias("seed")) for e, s in grid])
     ids = [F.col(k) for k in (*keys, pos)]
 
-    def unit(role: str) -> Column:
-        return laplace(uniform("spas", role, F.col("seed"), (F.col("epsilon") * 1e6).cast("bigint"), *ids), 1.0)
+    def noise(g: Column) -> Column:
+        def unit(role: str) -> Column:
+            return laplace(uniform("spas", role, g["seed"], (g["epsilon"] * 1e6).cast("bigint"), *ids), 1.0)
+        return F.array(*[unit(role) for role in (*cols, "query", "threshold")])
 
-    wide = (df.select(*keys, pos, *cols).withColumn("_g", grid)
-            .select(*keys, pos, *cols, F.col("_g.epsilon").alias("epsilon"), F.col("_g.seed").alias("seed")))
-    noised = wide.withColumns({**{f"_n_{c}": unit(c) for c in cols}, "_uq": unit("query"), "_ut": unit("threshold")})
-    stream = [*keys, "epsilon", "seed"]
-    ordered = noised.repartition(*stream).sortWithinPartitions(*stream, pos)
+    width = len(cols) + 2
+    ordered = df.select(*keys, pos, *cols).repartition(*keys).sortWithinPartitions(*keys, pos)
+    noised = ordered.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols], F.flatten(F.transform(each, noise)).alias("_z"))
     fields = {f.name: f.dataType.simpleString() for f in noised.schema.fields}
-    schema = ", ".join([*[f"{k} {fields[k]}" for k in stream], f"{pos} {fields[pos]}",
+    schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "epsilon double", "seed int", f"{pos} {fields[pos]}",
                         *[f"{c} double" for c in cols], "eps_used double", "svt_used double"])
-    values, noises = list(cols), [f"_n_{c}" for c in cols]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for pdf in batches:
-            x, z = pdf[values].to_numpy(float), pdf[noises].to_numpy(float)
-            uq, ut = pdf["_uq"].to_numpy(), pdf["_ut"].to_numpy()
-            names = list(pdf[stream].itertuples(index=False, name=None))
-            out = np.empty_like(x)
-            used = np.zeros((len(pdf), 2))
-            for i, name in enumerate(names):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, states = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in cols]).astype(float)
+            z = np.asarray(batch["_z"].flatten()).reshape(n, len(grid), width)
+            out, used = np.empty((len(grid), n, len(cols))), np.empty((len(grid), n, 2))
+            for i, name in enumerate(zip(*[batch[k].to_pylist() for k in keys])):
                 if name != current:
                     current = name
-                    state = StreamPublisher(name[-2], s_p, s_s, window, windows_back, len(values), warm_rows)
-                used[i] = state.publish(x[i], z[i], uq[i], ut[i])
-                out[i] = state.out
-            res = pdf[[*stream, pos]].copy()
-            res[values] = out
-            res["eps_used"], res["svt_used"] = used[:, 0], used[:, 1]
-            yield res
-
-    return ordered.mapInPandas(run, schema)
+                    states = [StreamPublisher(e, s_p, s_s, window, windows_back, len(cols), warm_rows) for e, _ in grid]
+                for g, state in enumerate(states):
+                    used[g, i] = state.publish(x[i], z[i, g, :-2], z[i, g, -2], z[i, g, -1])
+                    out[g, i] = state.out
+            for g, (epsilon, seed) in enumerate(grid):
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[k] for k in keys], pa.array(np.full(n, epsilon)), pa.array(np.full(n, seed, dtype=np.int32)), batch[pos],
+                     *[pa.array(out[g, :, j]) for j in range(len(cols))], pa.array(used[g, :, 0]), pa.array(used[g, :, 1])],
+                    [*keys, "epsilon", "seed", pos, *cols, "eps_used", "svt_used"])
+
+    return noised.mapInArrow(run, schema)
 
 
 def grr_keep_probability(epsilon: Column | float, classes: int) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from chronoveil.functions import vectors as vec
 from chronoveil.functions.rng import pick, uniform
 from chronoveil.operators.mechanisms import clip_factor
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import join_sized, spread_sequence
+from chronoveil.operators.position import join_null_safe, join_sized, spread_sequence
 from chronoveil.operators.quantile import exact_quantiles
 from chronoveil.operators.sampling import balanced_intervals, bernoulli_hits
 
@@ -67,7 +68,7 @@ def covariance(df: DataFrame, keys: Sequence[str], col: str, held_keys: int = 64
     means = exploded(checked, keys, "_v").groupBy(*keys, "d").agg(F.avg("x").alias("m"))
     packed = F.array_sort(F.collect_list(F.struct("d", "m")))  # d entries
     if keys:
-        with_mean = checked.join(means.groupBy(*keys).agg(packed.alias("_ms")), list(keys))
+        with_mean = join_null_safe(checked, means.groupBy(*keys).agg(packed.alias("_ms")), keys)
     else:
         with_mean = checked.withColumn("_ms", means.agg(packed).scalar())
     centred = with_mean.select(
@@ -75,30 +76,34 @@ def covariance(df: DataFrame, keys: Sequence[str], col: str, held_keys: int = 64
     fields = {f.name: f.dataType.simpleString() for f in centred.schema.fields}
     schema = ", ".join([*[f"{k} {fields[k]}" for k in keys], "i int", "j int", "s double", "n bigint"])
 
-    def emit(grams: dict) -> pd.DataFrame:
-        parts = []
+    def emit(grams: dict, kinds: list) -> Iterator[pa.RecordBatch]:
         for key, (gram, n) in grams.items():
             i, j = np.triu_indices(len(gram))
-            parts.append(pd.DataFrame({**dict(zip(keys, key)), "i": i, "j": j, "s": gram[i, j], "n": n}))
-        return pd.concat(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k] * len(i), t) for k, t in zip(key, kinds)] + [
+                    pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(gram[i, j]), pa.array(np.full(len(i), n))],
+                [*keys, "i", "j", "s", "n"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(list(keys), sort=False) if keys else [((), pdf)]
-            for key, part in groups:
-                x = np.array(part["c"].to_list(), dtype=float)
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            places: dict = {}
+            for at, key in enumerate(zip(*[batch[k].to_pylist() for k in keys]) if keys else [()] * batch.num_rows):
+                places.setdefault(key, []).append(at)
+            for key, rows in places.items():
+                x = np.array(batch["c"].take(pa.array(rows)).to_pylist(), dtype=float)
                 if not np.isfinite(x).all():
                     raise ValueError("vector with a value that is not finite")
                 old, n = grams.get(key, (0.0, 0))
                 grams[key] = (old + x.T @ x, n + len(x))
             if len(grams) > held_keys:
-                yield emit(grams)
+                yield from emit(grams, kinds)
                 grams = {}
-        if grams:
-            yield emit(grams)
+        yield from emit(grams, kinds)
 
-    sums = centred.mapInPandas(partial, schema)
+    sums = centred.mapInArrow(partial, schema)
     return sums.groupBy(*keys, "i", "j").agg((F.sum("s") / F.sum("n")).alias("cov"))
 
 

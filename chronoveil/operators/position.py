@@ -31,14 +31,17 @@ MAX_RANGES = 1024
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a null key is a key like any other; the keys of ``left`` are kept."""
+    """Equi-join in which a null key is a key like any other; the keys are those of ``left``, of a full join those of either side."""
     if not any(left.schema[k].nullable and right.schema[k].nullable for k in on):
         return left.join(right, list(on), how)
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
     match = F.lit(True)
     for k in on:
         match = match & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in on])
+    both = left.join(renamed, match, how)
+    if how == "full":
+        both = both.withColumns({k: F.coalesce(k, f"_r_{k}") for k in on})
+    return both.drop(*[f"_r_{k}" for k in on])
 
 
 def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int | None, how: str = "inner") -> DataFrame:
@@ -287,21 +290,22 @@ def range_count(rows: int, rows_per_range: int = RANGE_ROWS) -> int:
 def key_ranges(df: DataFrame, cols: Sequence[str], rows_per_range: int = RANGE_ROWS) -> Column | None:
     """Range number of a row in the order of ``cols`` of any type, None if all rows fit one range.
 
-    Cuts are the rows whose hash falls on one of a fixed fraction of values: the same in every evaluation of the plan, and
-    as evenly spread as the rows are.
+    Cuts are the rows whose hash falls on a share of the values that brings about eight for each range: the same in every
+    evaluation of the plan, and as evenly spread as the rows are.
     """
-    parts = range_count(df.count(), rows_per_range)
+    rows = df.count()
+    parts = range_count(rows, rows_per_range)
     if parts == 1:
         return None
-    share = max(1, rows_per_range // 8)
+    share = max(1, rows // (8 * parts))
     types = {c: df.schema[c].dataType for c in cols}
     drawn = df.select(*cols).filter(F.pmod(F.xxhash64(F.lit("cut"), *cols), F.lit(share)) == 0).distinct()
-    cuts = drawn.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).limit(16 * MAX_RANGES).collect()
+    cuts = drawn.orderBy(*[F.col(c).asc_nulls_first() for c in cols]).collect()
     cuts = cuts[::max(1, -(-len(cuts) // parts))]
     if not cuts:
         return None
-    rows = F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in cols]) for r in cuts])
-    return F.size(F.filter(rows, lambda r: r <= F.struct(*cols)))
+    edges = F.array(*[F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in cols]) for r in cuts])
+    return _cuts_below(edges, len(cuts), F.struct(*cols))
 
 
 def value_splits(df: DataFrame, col: str, parts: int, error: float = 0.001) -> list[float]:
@@ -310,12 +314,21 @@ def value_splits(df: DataFrame, col: str, parts: int, error: float = 0.001) -> l
     return sorted(set(df.approxQuantile(col, probs, error))) if probs else []
 
 
+def _cuts_below(cuts: Column, count: int, value: Column) -> Column:
+    """How many of the ascending literals ``cuts`` are not above ``value`` (null: none), by a search of halving steps."""
+    steps = [1 << k for k in reversed(range(count.bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        inside = F.least(at + step, F.lit(count))
+        return F.when((at + step <= count) & (F.element_at(cuts, inside) <= value), at + step).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def split_index(col: Column, splits: Sequence[float]) -> Column:
     """Index of the interval a value falls in; monotone in the value."""
     if not splits:
         return F.lit(0)
-    cuts = F.array(*[F.lit(float(s)) for s in splits])
-    return F.size(F.filter(cuts, lambda s: s <= col))
+    return _cuts_below(F.array(*[F.lit(float(s)) for s in splits]), len(splits), col)
 
 
 def explode_range(df: DataFrame, first: Column, last: Column, out: str, chunk: int = 1 << 16) -> DataFrame:

@@ -55,7 +55,7 @@ def submatrix(edges: DataFrame, nodes: DataFrame, node: str, src: str = "src", d
 def missing_from_grid(expected: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Status of each run key: ok, missing, duplicate or unexpected."""
     counts = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"))
-    both = expected.select(*keys).withColumn("_e", F.lit(True)).join(counts, list(keys), "full")
+    both = expected.select(*keys).withColumn("_e", F.lit(True)).transform(lambda d: join_null_safe(d, counts, keys, "full"))
     runs = F.coalesce("runs", F.lit(0))
     status = (F.when(F.col("_e").isNull(), "unexpected").when(runs == 0, "missing")
               .when(runs > 1, "duplicate").otherwise("ok"))
@@ -72,7 +72,7 @@ def sweep(base: DataFrame, axes: dict[str, Sequence]) -> DataFrame:
 
 def unseen_classes(train: DataFrame, other: DataFrame, label: str) -> DataFrame:
     """Classes of ``other`` that never occur in ``train``."""
-    return other.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
+    return join_null_safe(other.select(label).distinct(), train.select(label).distinct(), [label], "left_anti")
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

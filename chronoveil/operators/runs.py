@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, minimum_before
+from chronoveil.operators.position import BLOCK_ROWS, block_of, carry, framed, join_null_safe, minimum_before
 
 
 def counts_with_total(df: DataFrame, key: str, subject: str, names: DataFrame, name: str, total: str = "Total") -> DataFrame:
@@ -62,7 +64,7 @@ def summary_population(runs: DataFrame, keys: Sequence[str], metrics: Sequence[s
 def completion(expected: DataFrame, done: DataFrame, keys: Sequence[str], group: Sequence[str], item: str) -> DataFrame:
     """Expected and completed counts per group with the list of missing items (a group is one grid cell)."""
     seen = done.select(*keys).distinct().withColumn("_d", F.lit(True))
-    both = expected.join(seen, list(keys), "left")
+    both = join_null_safe(expected, seen, keys, "left")
     missing = F.collect_list(F.when(F.col("_d").isNull(), F.col(item)))
     return both.groupBy(*group).agg(
         F.count(F.lit(1)).alias("expected"), F.count("_d").alias("completed"),
@@ -78,20 +80,81 @@ def homogeneity(runs: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Da
 def paired_ratios(runs: DataFrame, keys: Sequence[str], seed: str, method: str, value: str, baseline) -> DataFrame:
     """Per method: ratio of means, mean and population deviation of paired ratios, seeds below the baseline."""
     base = runs.filter(F.col(method) == baseline).select(*keys, seed, F.col(value).alias("_b"))
-    pairs = runs.join(base, [*keys, seed])
+    pairs = join_null_safe(runs, base, [*keys, seed])
     v, b = F.col(value), F.col("_b")
     return pairs.groupBy(*keys, method).agg(
         (F.avg(v) / F.avg(b)).alias("ratio_of_means"), F.avg(v / b).alias("paired_mean"),
         F.stddev_pop(v / b).alias("paired_std"), F.count_if(v < b).alias("below"))
 
 
+#: Steps of a run that are followed together when a minimum improvement makes records depend on each other.
+_CHAIN_ROWS = 1 << 16
+
+
+def _follow(blocks, patience: int):
+    """For each block of (step, next) the record a run ends with that enters it at one of its first ``patience`` steps, and the
+    step it leaves the block for. Pointers are doubled until they rest."""
+    for rows in blocks:
+        steps = np.array([r["step"] for r in rows], dtype=np.int64)
+        after = np.array([-1 if r["next"] is None else r["next"] - steps[0] for r in rows], dtype=np.int64)
+        jump = np.where((after >= 0) & (after < len(steps)), after, np.arange(len(steps)))
+        while True:
+            twice = jump[jump]
+            if (twice == jump).all():
+                break
+            jump = twice
+        yield [{"left_for": rows[t]["next"], "last": rows[t]["step"], "best": rows[t]["loss"]} for t in jump[:patience].tolist()]
+
+
+def _early_stop_by(df: DataFrame, keys: Sequence[str], step: str, loss: str, patience: int, delta: float, strict: bool,
+                   block_rows: int) -> DataFrame:
+    """Early stopping where a record has to be better than the last record by ``delta``.
+
+    The next record of a step lies at most ``patience`` steps behind it, or the run stops, so every row finds it in its own frame.
+    Blocks of steps are then followed on their own, from each step at which a run may enter them, and one row of a block
+    joins them up.
+    """
+    size = min(block_rows, _CHAIN_ROWS)
+    value = F.col(loss).cast("double")
+    rows = df.select(*keys, F.col(step).alias("_step"), value.alias("_loss"))
+    rows = rows.withMetadata("_step", df.schema[step].metadata)
+    ahead = framed(rows, keys, "_step", 0, patience, {"_after": lambda w: F.collect_list(F.struct("_loss")).over(w.rowsBetween(1, patience))},
+                   block_rows)
+    goal = F.col("_loss") - F.lit(delta)
+    better = F.transform("_after", lambda s: F.coalesce(s["_loss"] < goal if strict else s["_loss"] <= goal, F.col("_loss").isNull()))
+    at = F.array_position(better, F.lit(True))
+    entry = F.struct(F.col("_step").alias("step"), F.when(at > 0, F.col("_step") + at).alias("next"), F.col("_loss").alias("loss"))
+    blocks = ahead.groupBy(*keys, F.floor(F.col("_step") / size).cast("bigint").alias("_block")).agg(
+        F.sort_array(F.collect_list(entry)).alias("rows"), F.max("_step").alias("_end"))
+
+    @F.arrow_udf("array<struct<left_for:bigint,last:bigint,best:double>>")
+    def follow(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("left_for", pa.int64()), ("last", pa.int64()), ("best", pa.float64())]))
+        return pa.array(list(_follow(column.to_pylist(), patience)), kind)
+
+    chain = blocks.select(*keys, "_end", F.struct("_block", follow("rows").alias("ways")).alias("b"))
+    start = F.struct(F.lit(0).cast("bigint").alias("left_for"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("double").alias("best"))
+
+    def through(state, b):
+        inside = F.floor(state["left_for"] / size) == b["_block"]
+        return F.when(inside, F.get(b["ways"], F.pmod(state["left_for"], F.lit(size)).cast("int"))).otherwise(state)
+    ends = chain.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list("b")), start, through).alias("_s"), F.max("_end").alias("_end"))
+    stop = F.col("_s.last") + patience
+    stopped = F.col("_s.left_for").isNull() & (stop <= F.col("_end"))
+    return ends.select(*keys, F.when(stopped, stop).otherwise(F.col("_end")).alias("stop_step"), F.col("_s.best").alias("best"),
+                       F.col("_s.last").alias("best_step"), stopped.alias("stopped"))
+
+
 def early_stop(df: DataFrame, keys: Sequence[str], step: str, loss: str, patience: int, strict: bool = False,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, delta: float = 0.0) -> DataFrame:
     """Per run: the step at which training stops, the best loss so far and whether it stopped early.
 
-    A step improves when its loss is not above (``strict``: is below) the best before it; the counter of a step is
-    the distance to the last improvement, so no row-by-row scan is needed. ``step`` is dense from 0.
+    A step improves when its loss is not above (``strict``: is below) the best before it less ``delta``, the minimum improvement;
+    a smaller loss that does not improve is no record. The counter of a step is the distance to the last improvement, so no
+    row-by-row scan is needed. ``step`` is dense from 0; a null loss improves nothing, and anything improves on it.
     """
+    if delta:
+        return _early_stop_by(df, keys, step, loss, patience, delta, strict, block_rows)
     blk = block_of(df, keys, step, block_rows)
     prior = minimum_before(df.select(*keys, step, loss), keys, step, blk, loss, "_best")
     better = F.col(loss) < F.col("_best") if strict else F.col(loss) <= F.col("_best")
@@ -100,7 +163,7 @@ def early_stop(df: DataFrame, keys: Sequence[str], step: str, loss: str, patienc
     stops = counted.withColumn("counter", F.col(step) - F.col("_last"))
     end = stops.groupBy(*keys).agg(F.min(F.when(F.col("counter") >= patience, F.col(step))).alias("_stop"),
                                    F.max(step).alias("_end"))
-    upto = stops.join(end, list(keys)).filter(F.col(step) <= F.coalesce("_stop", "_end"))
+    upto = join_null_safe(stops, end, keys).filter(F.col(step) <= F.coalesce("_stop", "_end"))
     return upto.groupBy(*keys).agg(
         F.max(step).alias("stop_step"), F.min(loss).alias("best"), F.max("_last").alias("best_step"),
         F.max(F.col("_stop").isNotNull()).alias("stopped"))
@@ -117,4 +180,4 @@ def budget_cutoff(df: DataFrame, keys: Sequence[str], step: str, epsilon: Column
     """Steps that are run: all before the first one whose epsilon would reach the limit."""
     spent = df.withColumn("epsilon", epsilon)
     first = spent.groupBy(*keys).agg(F.min(F.when(F.col("epsilon") >= limit, F.col(step))).alias("_cut"))
-    return spent.join(first, list(keys)).filter(F.col("_cut").isNull() | (F.col(step) < F.col("_cut"))).drop("_cut")
+    return join_null_safe(spent, first, keys).filter(F.col("_cut").isNull() | (F.col(step) < F.col("_cut"))).drop("_cut")

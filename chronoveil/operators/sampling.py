@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoveil.functions.rng import pick, uniform
-from chronoveil.operators.position import explode_range, series_stats, spread_sequence
+from chronoveil.operators.position import explode_range, join_null_safe, series_stats, spread_sequence
 
 # A chunk has at most one expected hit; more than this many has probability below the resolution of a double.
 MAX_HITS = 24
@@ -266,7 +266,7 @@ def batch_stats(draws: DataFrame, steps: DataFrame, keys: Sequence[str]) -> Data
     sizes = draws.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("_c"))
     agg = sizes.groupBy(*keys).agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_c")).alias("_q"),
                                    F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.count(F.lit(1)).alias("_k"))
-    out = steps.join(agg, list(keys), "left")
+    out = join_null_safe(steps, agg, keys, "left")
     s = F.col("steps")
     total, squares = F.coalesce("_s", F.lit(0)), F.coalesce("_q", F.lit(0))
     mean = total / s

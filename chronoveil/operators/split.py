@@ -86,7 +86,7 @@ def forecast_tail(df: DataFrame, keys: Sequence[str], pos: str, t: str, value: s
                   step: int) -> DataFrame:
     """Last ``seq_len`` rows of each series and the ``horizon`` future time points after it (value null)."""
     last = df.groupBy(*keys).agg(F.max(pos).alias("_last"), F.max_by(t, pos).alias("_t"))
-    tail = (df.join(last, list(keys)).filter(F.col(pos) > F.col("_last") - seq_len)
+    tail = (join_null_safe(df, last, keys).filter(F.col(pos) > F.col("_last") - seq_len)
             .select(*keys, F.col(pos).alias("pos"), F.col(t).alias("t"), F.col(value).alias("value"),
                     F.lit("context").alias("part")))
     h = F.explode(F.sequence(F.lit(1), F.lit(horizon)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoveil.operators.clean import group_stats
-from chronoveil.operators.position import (BLOCK_ROWS, block_of, carry, framed, running_sum, series_stats,
+from chronoveil.operators.position import (BLOCK_ROWS, block_of, carry, framed, join_null_safe, running_sum, series_stats,
                                             range_count, split_index, spread_sequence, value_splits)
 
 
@@ -116,7 +116,7 @@ def gather(draws: DataFrame, df: DataFrame, keys: Sequence[str], pos: str, lengt
     """Rows of chosen windows: each draw is exploded to its positions and equi-joined with the series."""
     need = draws.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn(
         pos, (F.col("start_pos") + F.col("offset")).cast("bigint"))
-    return need.join(df, [*keys, pos])
+    return join_null_safe(need, df, [*keys, pos])
 
 
 def patches(x: Column, length: int, patch: int, step: int, repeat_last: bool = False) -> Column:
@@ -146,13 +146,13 @@ def majority_label(rows: DataFrame, win_keys: Sequence[str], label: str) -> Data
 
 
 def dense_labels(df: DataFrame, label: str, out: str = "dense", parts: int | None = None) -> DataFrame:
-    """Remap labels to 0..k-1 in sorted order: rank of each distinct value by a prefix sum over as many value ranges as
+    """Remap labels to 0..k-1 in sorted order, null first if there is one: rank of each distinct value by a prefix sum over as many value ranges as
     there are distinct values for."""
     distinct = df.select(label).distinct()
     parts = parts or range_count(distinct.count())
     block = split_index(F.col(label), value_splits(distinct, label, parts)) if parts > 1 else None
     ranked = running_sum(distinct, [], [label], block, {"_rank": F.lit(1)})
-    return df.join(ranked.select(label, (F.col("_rank") - 1).cast("int").alias(out)), label)
+    return join_null_safe(df, ranked.select(label, (F.col("_rank") - 1).cast("int").alias(out)), [label])
 
 
 def window_moments(rows: DataFrame, win_keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

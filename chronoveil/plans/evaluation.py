@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronoveil.functions import vectors as vec
@@ -78,7 +79,8 @@ def mean_init_forecast(spark, sf):
     return out.select("series_id", "pos", r6(F.col("forecast"), "forecast"))
 
 
-@query("linear_forecast", f"""
+#: Windows with centred lags (xs), and the least-squares weights of four lags for two horizons (b).
+FIT_SQL = f"""
 WITH RECURSIVE {fx.SERIES_SQL}, l AS (SELECT series_id, pos, lag(value, 3) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 1) OVER w AS x3,
   value AS x4, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
 t AS MATERIALIZED (SELECT * FROM l WHERE x1 IS NOT NULL AND y2 IS NOT NULL),
@@ -92,6 +94,10 @@ inv AS (SELECT 0 AS k, i, j, CASE WHEN i = j THEN 1.0::DOUBLE / (SELECT sum(v) F
     ON z.k = y.k AND z.i = y.i AND z.j = y.j WHERE z.k < 30),
 b AS (SELECT inv.i AS i, sum(inv.v * c.c1) AS b1, sum(inv.v * c.c2) AS b2 FROM inv JOIN (
   SELECT i, avg(x * y1) AS c1, avg(x * y2) AS c2 FROM xs GROUP BY 1) c ON inv.j = c.i WHERE k = 30 GROUP BY 1)
+"""
+
+
+@query("linear_forecast", FIT_SQL + """
 SELECT series_id, pos, round(any_value(m.y1) + sum(x * b1), 6) AS f1, round(any_value(m.y2) + sum(x * b2), 6) AS f2
 FROM xs JOIN b USING (i), (SELECT avg(y1) AS y1, avg(y2) AS y2 FROM t) m GROUP BY 1, 2
 """)
@@ -100,6 +106,30 @@ def linear_forecast(spark, sf):
     return out.select("series_id", "pos", r6(F.col("f1"), "f1"), r6(F.col("f2"), "f2"))
 
 
+def smoothing_sql(lags: int, kernel: int) -> str:
+    """Values (i, j, s, t): what weight i of the undivided fit adds to weight j of the seasonal and of the trend part."""
+    smooth = [[sum(min(max(k, 0), lags - 1) == j for k in range(i - kernel // 2, i + kernel // 2 + 1)) / kernel for j in range(lags)] for i in range(lags)]
+    low = np.array(smooth)
+    high = np.eye(lags) - low
+    inverse = np.linalg.inv(high.T @ high + low.T @ low)
+    parts = inverse @ high.T @ high, inverse @ low.T @ low
+    return "VALUES " + ", ".join(f"({i + 1}, {j + 1}, {parts[0][i, j]!r}::DOUBLE, {parts[1][i, j]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::")
+                                 for i in range(lags) for j in range(lags))
+
+
+@query("linear_forecast_decomposed", FIT_SQL + f""",
+w AS (SELECT q.j AS i, sum(b1 * q.s) AS s1, sum(b2 * q.s) AS s2, sum(b1 * q.t) AS t1, sum(b2 * q.t) AS t2
+  FROM b JOIN ({smoothing_sql(4, 25)}) q(i, j, s, t) ON b.i = q.i GROUP BY 1)
+SELECT series_id, pos, round(sum(x * s1), 6) AS seasonal1, round(sum(x * s2), 6) AS seasonal2, round(any_value(m.y1) + sum(x * t1), 6) AS trend1,
+  round(any_value(m.y2) + sum(x * t2), 6) AS trend2, round(any_value(m.y1) + sum(x * (s1 + t1)), 6) AS f1, round(any_value(m.y2) + sum(x * (s2 + t2)), 6) AS f2
+FROM xs JOIN w USING (i), (SELECT avg(y1) AS y1, avg(y2) AS y2 FROM t) m GROUP BY 1, 2
+""")
+def linear_forecast_decomposed(spark, sf):
+    """Moving average over 25 values and the rest, each with weights of its own."""
+    out = fc.linear_forecast(fx.series(spark, sf), K, "pos", "value", 4, 2, kernel=25)
+    return r6_all(out.drop("x", "y"), ["series_id", "pos"])
+
+
 @query("linear_forecast_one_lag", f"""
 WITH {fx.SERIES_SQL}, l AS (SELECT series_id, pos, value AS x, lead(value, 1) OVER w AS y1, lead(value, 2) OVER w AS y2 FROM series
   WINDOW w AS (PARTITION BY series_id ORDER BY pos)),
@@ -575,12 +605,29 @@ SELECT '{kind}' AS kind, series_id, max(pos) AS stop_step, min(value) AS best, m
 WHERE stop IS NULL OR pos <= stop GROUP BY 2"""
 
 
-@query("early_stop_scan", f"WITH {fx.SERIES_SQL} {early_sql('<=', 'loose')} UNION ALL {early_sql('<', 'strict')}")
+def chain_sql(name: str, op: str, delta: float) -> str:
+    """CTE of the records of a run, each better than the one before by ``delta``, and at most 5 steps behind it."""
+    return f"""{name} AS (SELECT series_id, 0::BIGINT AS pos, value FROM series WHERE pos = 0
+  UNION ALL SELECT c.series_id, min(s.pos), arg_min(s.value, s.pos) FROM {name} c JOIN series s ON s.series_id = c.series_id AND s.pos > c.pos
+    AND s.pos <= c.pos + 5 AND s.value {op} c.value - {delta}::DOUBLE GROUP BY c.series_id, c.pos)"""
+
+
+def chain_end_sql(name: str, kind: str) -> str:
+    return f"""SELECT '{kind}' AS kind, series_id, least(max(c.pos) + 5, any_value(n)) AS stop_step, arg_max(c.value, c.pos) AS best, max(c.pos) AS best_step,
+  max(c.pos) + 5 <= any_value(n) AS stopped FROM {name} c JOIN (SELECT series_id, max(pos) AS n FROM series GROUP BY 1) USING (series_id) GROUP BY series_id"""
+
+
+@query("early_stop_scan", f"""WITH RECURSIVE {fx.SERIES_SQL}, {chain_sql('wide', '<=', 2.5)}, {chain_sql('narrow', '<', 0.01)}
+{early_sql('<=', 'loose')} UNION ALL {early_sql('<', 'strict')} UNION ALL {chain_end_sql('wide', 'by 2.5')} UNION ALL {chain_end_sql('narrow', 'by 0.01')}
+UNION ALL {chain_end_sql('wide', 'by 2.5, blocks')}""")
 def early_stop_scan(spark, sf):
     s = fx.series(spark, sf)
     loose = rn.early_stop(s, K, "pos", "value", 5).withColumn("kind", F.lit("loose"))
     strict = rn.early_stop(s, K, "pos", "value", 5, strict=True).withColumn("kind", F.lit("strict"))
-    return loose.unionByName(strict).select("kind", "series_id", "stop_step", "best", "best_step", "stopped")
+    out = loose.unionByName(strict)
+    for kind, delta, strictly, rows in (("by 2.5", 2.5, False, {}), ("by 0.01", 0.01, True, {}), ("by 2.5, blocks", 2.5, False, {"block_rows": 8})):
+        out = out.unionByName(rn.early_stop(s, K, "pos", "value", 5, strictly, delta=delta, **rows).withColumn("kind", F.lit(kind)))
+    return out.select("kind", "series_id", "stop_step", "best", "best_step", "stopped")
 
 
 @query("best_checkpoint", f"""

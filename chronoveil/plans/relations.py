@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoveil.operators import checks, clean, geo, relational as rel, split, textscan, windows as wn
 from chronoveil.operators.position import group_bound, join_sized, with_position
@@ -73,16 +74,19 @@ def position_name(col="series_id"):
 
 @query("scan_files_by_name", f"""
 SELECT CASE WHEN event_id % 2 = 0 THEN 'acc' ELSE 'Gyroscope' END AS sensor, event_type AS action, {POS_SQL} AS position,
-  count(*) AS n FROM events WHERE event_id % 13 <> 0 GROUP BY 1, 2, 3
+  count(*) AS n, min(event_id) AS attr_time, round(sum(value), 2) AS attr_x FROM events WHERE event_id % 13 <> 0 GROUP BY 1, 2, 3
 """)
 def scan_files_by_name(spark, sf):
+    """Sensor files are written under the names they are then told apart by; text files beside them are not read."""
     ev = fx.events(spark, sf)
     sensor = F.when(F.col("event_id") % 2 == 0, "acc").otherwise("Gyroscope")
     ext = F.when(F.col("event_id") % 13 == 0, ".txt").otherwise(".csv")
     name = F.concat(F.concat_ws("_", sensor, F.upper("event_type"), position_name()), ext)
-    named = ev.select(name.alias("file_name")).withColumns(src.sensor_name(F.col("file_name")))
-    return named.filter(F.col("sensor").isNotNull()).groupBy("sensor", "action", "position").agg(
-        F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "sensor-files")
+    sinks.write_named(ev.select(F.col("event_id").alias("attr_time"), F.col("value").alias("attr_x"), name.alias("file")), path, "file")
+    schema = T.StructType([T.StructField("attr_time", T.LongType()), T.StructField("attr_x", T.DoubleType())])
+    return src.read_sensor_files(spark, [path], schema).groupBy("sensor", "action", "position").agg(
+        F.count(F.lit(1)).alias("n"), F.min("attr_time").alias("attr_time"), F.round(F.sum("attr_x"), 2).alias("attr_x"))
 
 
 @query("label_from_path", f"""
@@ -96,15 +100,22 @@ def label_from_path(spark, sf):
 
 
 @query("scan_run_json", """
-SELECT event_id AS run_id, event_type AS dataset, user_id % 30 + 42 AS seed, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events
+SELECT event_type AS dataset, user_id % 30 + 42 AS seed, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS k, count(*) AS n FROM events GROUP BY 1, 2
 """)
 def scan_run_json(spark, sf):
-    ev = fx.read_table(spark, sf, "events").select("event_id", "event_type", "user_id", "props")
-    run = F.col("event_id").alias("run_id")
-    configs = ev.select(run, F.to_json(F.struct(F.col("event_type").alias("dataset"),
-                                                (F.col("user_id") % 30 + 42).alias("seed"))).alias("config"))
-    metrics = ev.select(run, F.col("props").alias("metrics"))
-    return src.parse_run_json(configs, metrics, "run_id", "dataset STRING, seed BIGINT", "k DOUBLE")
+    """A tree of result folders, each with its configuration and its metrics."""
+    ev = fx.events(spark, sf).withColumn("seed", F.col("series_id") % 30 + 42)
+    found = ev.groupBy(F.col("event_type").alias("dataset"), "seed").agg(F.avg("k").alias("k"), F.count(F.lit(1)).alias("n"))
+    folder = F.concat_ws("/", "dataset", F.concat(F.lit("seed_"), "seed"))
+    path = scratch_path(spark, "run-tree")
+    documents = found.select(F.explode(F.array(
+        F.struct(F.concat(folder, F.lit("/config.json")).alias("file"), F.to_json(F.struct("dataset", "seed")).alias("value")),
+        F.struct(F.concat(folder, F.lit("/metrics.json")).alias("file"), F.to_json(F.struct("k", "n")).alias("value")))).alias("d"))
+    sinks.write_named(documents.select("d.*"), path, "file", "text")
+    config = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("seed", T.LongType())])
+    metrics = T.StructType([T.StructField("k", T.DoubleType()), T.StructField("n", T.LongType())])
+    runs = src.read_run_json(spark, path, "config.json", config).join(src.read_run_json(spark, path, "metrics.json", metrics), "run_dir")
+    return runs.select("dataset", "seed", r6(F.col("k"), "k"), "n")
 
 
 @query("scan_sidecar_bounds", f"""

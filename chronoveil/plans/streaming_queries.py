@@ -35,6 +35,21 @@ def stream_resample(spark, sf):
     return out.select("series_id", "start_us", F.round("mean", 6).alias("mean"), "n")
 
 
+@query("stream_resample_filled", """
+WITH e AS (SELECT user_id AS series_id, epoch_us(ts) // 21600000000 AS bin, value, epoch_us(ts) // 1000 AS ms FROM events),
+m AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS ms FROM events),
+b AS (SELECT series_id, bin, avg(value) AS mean FROM e, m WHERE e.ms <= m.ms GROUP BY 1, 2),
+grid AS (SELECT series_id, max(bin) AS last, unnest(generate_series(min(bin), max(bin))) AS bin FROM b GROUP BY 1),
+f AS (SELECT g.series_id, g.bin, last, last_value(mean IGNORE NULLS) OVER (PARTITION BY g.series_id ORDER BY g.bin) AS mean, mean IS NULL AS filled
+  FROM grid g LEFT JOIN b ON g.series_id = b.series_id AND g.bin = b.bin)
+SELECT series_id, bin::BIGINT AS bin, round(mean, 6) AS mean, filled FROM f, m WHERE bin < last OR (bin + 1) * 21600000 <= m.ms
+""")
+def stream_resample_filled(spark, sf):
+    """Means of six hours, empty bins filled forward: those closed by the next row or by an hour's watermark."""
+    out = st.run_available(st.resample_filled(event_stream(spark, sf), "series_id", "event_id", "ts", "value", 21_600_000, "1 hour"), "filled")
+    return out.select("series_id", "bin", F.round("mean", 6).alias("mean"), "filled")
+
+
 @query("stream_count_windows", f"""
 WITH {fx.SERIES_SQL}, t AS (SELECT *, pos // 16 AS win_id FROM series)
 SELECT series_id, win_id, round(sum(value * (pos % 16 + 1)), 6) AS x_sum FROM t GROUP BY 1, 2 HAVING count(*) = 16
@@ -91,3 +106,18 @@ def stream_spas(spark, sf):
     done = st.run_available(out, "spas")
     return done.select("series_id", "pos", F.round("value", 6).alias("value"), F.round("k", 6).alias("k"),
                        F.round("eps_used", 9).alias("eps_used"), F.round("svt_used", 9).alias("svt_used"))
+
+
+@query("stream_spas_ordered", f"""
+WITH RECURSIVE {fx.SERIES_SQL.replace("series AS", "all_series AS")}, series AS (
+  SELECT * REPLACE (row_number() OVER (PARTITION BY series_id ORDER BY event_id) - 1 AS pos) FROM all_series
+  WHERE t_us // 1000 <= (SELECT max(t_us) // 1000 - 3600000 FROM all_series)), {release_sql(['seed', 'event_id'], '(VALUES (1.0, 42))')}
+SELECT series_id, pos, round(pv[pos + 1], 6) AS value, round(pk[pos + 1], 6) AS k, round(eps[pos + 1], 9) AS eps_used, round(svt[pos + 1], 9) AS svt_used FROM rec
+""")
+def stream_spas_ordered(spark, sf):
+    """The release of what an hour's watermark has passed, whatever the order of arrival."""
+    out = st.private_release(event_stream(spark, sf), "series_id", "event_id", "event_id", ["value", "k"], 1.0, VALUE_RANGE,
+                             VALUE_RANGE, 20, ts="ts", delay="1 hour")
+    done = st.run_available(out, "spas-ordered")
+    return done.select("series_id", "pos", F.round("value", 6).alias("value"), F.round("k", 6).alias("k"),
+                       F.round("eps_used", 9).alias("eps_used"), F.round("svt_used", 9).alias("svt_used"))

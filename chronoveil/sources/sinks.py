@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,31 @@ def write_per_key(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "par
      .format(fmt).save(path))
 
 
+def write_named(df: DataFrame, path: str, name: str, fmt: str = "csv") -> None:
+    """One file for each value of ``name``, at that name below ``path`` (it may have folders); the other columns are its rows.
+
+    The rows of a file are written by one task. Files are then moved to their names, one call for each.
+    """
+    spark = df.sparkSession
+    staged = f"{path}/_staged"
+    df.repartition(name).write.partitionBy(name).option("header", True).format(fmt).save(staged)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(staged)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for group in files.listStatus(folder):
+        head, _, value = group.getPath().getName().partition("=")
+        if head != name:
+            continue
+        parts = [f.getPath() for f in files.listStatus(group.getPath()) if f.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise ValueError(f"{len(parts)} files for {value}")
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{unquote(value)}")
+        files.mkdirs(target.getParent())
+        if not files.rename(parts[0], target):
+            raise ValueError(f"{target.toString()} cannot be written")
+    files.delete(folder, True)
+
+
 def cache_splits(df: DataFrame, path: str, split: str, identity: str) -> None:
     """Materialise splits with a metadata table holding the source identity and the row count of each split."""
     df.write.mode("overwrite").partitionBy(split).parquet(f"{path}/data")

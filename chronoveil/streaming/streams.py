@@ -63,46 +63,59 @@ class InOrder(StatefulProcessor):
     Without ``ts`` a micro-batch is sorted and taken at once: right if files arrive in order. With ``ts`` rows wait in the
     state until the watermark has passed them, so the order does not depend on the micro-batches; a row that arrives behind
     the watermark is dropped by the engine, and what the watermark has not passed at the end stays in the state.
+
+    Waiting rows lie in a map by buckets of ``bucket_ms`` of their time. A micro-batch rewrites the buckets its rows fall into, and the
+    timers of a bucket that the watermark has passed remove it; what waits further ahead is neither read nor written.
     """
 
     fields: dict[str, str]  # the columns a subclass reads, with their SQL types
 
-    def __init__(self, order: str, ts: str | None):
-        self.order, self.ts = order, ts
+    def __init__(self, order: str, ts: str | None, bucket_ms: int = 3_600_000):
+        self.order, self.ts, self.bucket_ms = order, ts, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         if self.ts:
-            columns = ", ".join(f"{c} {t}" for c, t in self.fields.items())
-            self.waiting = handle.getListState("waiting", f"ms BIGINT, {columns}")
+            columns = ", ".join(f"c{i} ARRAY<{t}>" for i, t in enumerate(("BIGINT", *self.fields.values())))
+            self.waiting = handle.getMapState("waiting", "bucket BIGINT", columns)
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if not self.ts:
             yield from self.take(key, pd.concat(list(rows)).sort_values(self.order))
             return
-        first = None
         for pdf in rows:
             if pdf.empty:  # a call for timers only
                 continue
-            ms = pdf["row_ms"].astype("int64")
-            self.waiting.appendList([tuple(r) for r in pdf.assign(_m=ms)[["_m", *self.fields]].itertuples(index=False, name=None)])
-            first = int(ms.min()) if first is None else min(first, int(ms.min()))
-        if first is not None:
-            self.handle.registerTimer(first)
+            pdf = pdf[["row_ms", *self.fields]].assign(row_ms=pdf["row_ms"].astype("int64"))
+            for bucket, part in pdf.groupby(pdf["row_ms"] // self.bucket_ms):
+                name = (int(bucket),)
+                columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in part.columns]
+                before = self.waiting.getValue(name) if self.waiting.containsKey(name) else [[] for _ in columns]
+                self.waiting.updateValue(name, tuple([*old, *new] for old, new in zip(before, columns)))
+                self.handle.registerTimer(int(part["row_ms"].min()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["row_ms", *self.fields])
-        ready = rows["row_ms"] <= passed
-        rest = rows[~ready]
-        if len(rest):
-            self.waiting.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
-            self.handle.registerTimer(int(rest["row_ms"].min()))
-        else:
-            self.waiting.clear()
-        if ready.any():
-            yield from self.take(key, rows[ready].sort_values(self.order))
+        ready = []
+        for bucket in sorted(b for (b,) in self.waiting.keys() if b * self.bucket_ms <= passed):
+            rows = pd.DataFrame(dict(zip(["row_ms", *self.fields], self.waiting.getValue((bucket,)))))
+            behind = rows["row_ms"] <= passed
+            ready.append(rows[behind])
+            rest = rows[~behind]
+            if len(rest):  # only in the bucket the watermark lies in
+                self.waiting.updateValue((bucket,), tuple(rest[c].astype(object).tolist() for c in rest.columns))
+                self.handle.registerTimer(int(rest["row_ms"].min()))
+            else:
+                self.waiting.removeKey((bucket,))
+        # The timers of one watermark come one after another; the first takes all rows.
+        if sum(map(len, ready)):
+            yield from self.take(key, pd.concat(ready).sort_values(self.order))
+        yield from self.passed(key, passed)
+
+    def passed(self, key, ms: int) -> Iterator[pd.DataFrame]:
+        """Called when the watermark has moved to ``ms`` and all rows up to there are taken."""
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -172,48 +185,127 @@ def change_runs(stream: DataFrame, key: str, order: str, label: str, ts: str | N
     return _in_order(stream, key, ChangeRuns(order, label, ts), "series_id BIGINT, label INT, run_start BIGINT, run_stop BIGINT", delay)
 
 
-class PrivateRelease(StatefulProcessor):
-    """Private stream publication with the state of one stream kept between micro-batches."""
+class FilledBins(InOrder):
+    """Mean of every bin of ``width_ms``; a bin without rows repeats the one before it.
+
+    A bin is closed by the watermark, or by the next row of its series. The bins between two rows are emitted when the second is taken:
+    whether a series goes on is not known before.
+    """
+
+    def __init__(self, value: str, width_ms: int, order: str, ts: str):
+        super().__init__(order, ts)
+        self.value, self.width_ms = value, width_ms
+        self.fields = {order: "BIGINT", value: "DOUBLE", "at_ms": "BIGINT"}
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("bin", "bin BIGINT, total DOUBLE, n BIGINT, mean DOUBLE")
+
+    def _closed(self, key, bins: list[tuple[int, float | None, bool]]) -> pd.DataFrame:
+        return pd.DataFrame({"series_id": [key[0]] * len(bins), "bin": [b for b, _, _ in bins], "mean": [m for _, m, _ in bins],
+                             "filled": [f for _, _, f in bins]})
+
+    def take(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        state = self.state.get() if self.state.exists() else None
+        out = []
+        known = pdf.assign(_bin=pdf["at_ms"].astype("int64") // self.width_ms, _v=pd.to_numeric(pdf[self.value]))
+        for at, part in known.groupby("_bin"):
+            total, n = float(part["_v"].sum()), int(part["_v"].notna().sum())
+            if state is not None and state[0] == at:  # the bin is open: rows of it were taken before
+                state = (int(at), state[1] + total, state[2] + n, state[3])
+                continue
+            if state is not None:
+                mean = state[1] / state[2] if state[2] > 0 else state[3]
+                if state[2] >= 0:  # else the watermark has closed it
+                    out.append((state[0], mean, False))
+                out += [(b, mean, True) for b in range(state[0] + 1, int(at))]
+                state = (int(at), total, n, mean)
+            else:
+                state = (int(at), total, n, None)
+        self.state.update(state)
+        self.handle.registerTimer((state[0] + 1) * self.width_ms)
+        if out:
+            yield self._closed(key, out)
+
+    def passed(self, key, ms: int) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        at, total, n, mean = self.state.get()
+        if n >= 0 and (at + 1) * self.width_ms <= ms:
+            mean = total / n if n else mean
+            self.state.update((at, 0.0, -1, mean))
+            yield self._closed(key, [(at, mean, False)])
+
+
+def resample_filled(stream: DataFrame, key: str, order: str, ts: str, value: str, width_ms: int, delay: str) -> DataFrame:
+    """Streaming twin of ``clean.resample_mean`` for the bins the watermark has closed: series_id, bin, mean and whether it was filled.
+
+    ``order`` is a unique BIGINT that puts rows of one time in order.
+    """
+    timed = stream.withColumn("at_ms", F.unix_millis(F.col(ts).cast("timestamp")))
+    return _in_order(timed, key, FilledBins(value, width_ms, order, ts), "series_id BIGINT, bin BIGINT, mean DOUBLE, filled BOOLEAN", delay)
+
+
+#: Rows of a private stream whose history is one entry of the state.
+_HISTORY_ROWS = 64
+
 
-    def __init__(self, order: str, cols: Sequence[str], epsilon: float, s_p: float, s_s: float, window: int,
-                 windows_back: int):
-        self.order, self.cols = order, list(cols)
+class PrivateRelease(InOrder):
+    """Private stream publication with the state of one stream kept between micro-batches.
+
+    The rows still in sight of the window are a map by ``_HISTORY_ROWS`` rows: a micro-batch writes the entries of its own rows, removes those
+    out of sight, and writes a few scalars, whatever the window is.
+    """
+
+    def __init__(self, order: str, cols: Sequence[str], epsilon: float, s_p: float, s_s: float, window: int, windows_back: int,
+                 ts: str | None = None):
+        super().__init__(order, ts)
+        self.cols = list(cols)
         self.args = (epsilon, s_p, s_s, window, windows_back, len(cols))
+        self.noises = [f"noise_{c}" for c in self.cols]
+        self.fields = {order: "BIGINT", **{c: "DOUBLE" for c in [*self.cols, *self.noises, "u_query", "u_threshold"]}}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("publisher", "doc STRING")
+        self.history = handle.getMapState("history", "part BIGINT", "row ARRAY<BIGINT>, eps ARRAY<DOUBLE>, svt ARRAY<DOUBLE>, sq ARRAY<DOUBLE>, ab ARRAY<DOUBLE>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
+    def take(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         publisher = StreamPublisher(*self.args)
+        parts: dict[int, list[tuple]] = {}
         if self.state.exists():
-            publisher.restore(json.loads(self.state.get()[0]))
-        x = pdf[self.cols].to_numpy(float)
-        z = pdf[[f"noise_{c}" for c in self.cols]].to_numpy(float)
+            parts = {p: list(zip(*self.history.getValue((p,)))) for (p,) in self.history.keys()}
+            publisher.restore_rows(json.loads(self.state.get()[0]), [r for p in sorted(parts) for r in parts[p]])
+        x, z = pdf[self.cols].to_numpy(float), pdf[self.noises].to_numpy(float)
         out, used = np.empty_like(x), np.empty((len(pdf), 2))
         first = publisher.i
-        for i, (uq, ut) in enumerate(zip(pdf["u_query"], pdf["u_threshold"])):
+        touched = set()
+        for i, (uq, ut) in enumerate(zip(pdf["u_query"].astype(float), pdf["u_threshold"].astype(float))):
             used[i] = publisher.publish(x[i], z[i], uq, ut)
             out[i] = publisher.out
-        self.state.update((json.dumps(publisher.snapshot()),))
-        res = pd.DataFrame({"series_id": key[0], "pos": first + np.arange(len(pdf))})
+            touched.add((first + i) // _HISTORY_ROWS)
+            parts.setdefault((first + i) // _HISTORY_ROWS, []).append(publisher.last_row())
+        in_sight = publisher.i - max(publisher.window, publisher.history)
+        for p, rows in parts.items():
+            if (p + 1) * _HISTORY_ROWS <= in_sight:
+                self.history.removeKey((p,))
+            elif p in touched:
+                self.history.updateValue((p,), tuple([float(v) if j else int(v) for v in column] for j, column in enumerate(zip(*rows))))
+        self.state.update((json.dumps(publisher.scalars()),))
+        res = pd.DataFrame({"series_id": [key[0]] * len(pdf), "pos": first + np.arange(len(pdf))})
         for j, c in enumerate(self.cols):
             res[c] = out[:, j]
         res["eps_used"], res["svt_used"] = used[:, 0], used[:, 1]
         yield res
 
-    def close(self) -> None:
-        pass
-
 
 def private_release(stream: DataFrame, key: str, order: str, row_id: str, cols: Sequence[str], epsilon: float,
-                    s_p: float, s_s: float, window: int, windows_back: int = 2, seed: int = 42) -> DataFrame:
-    """Streaming twin of ``publish_streams`` for one budget; ``row_id`` identifies a row for its noise."""
+                    s_p: float, s_s: float, window: int, windows_back: int = 2, seed: int = 42, ts: str | None = None,
+                    delay: str | None = None) -> DataFrame:
+    """Streaming twin of ``publish_streams`` for one budget; ``row_id`` identifies a row for its noise. With ``ts`` and ``delay`` rows
+    are put in order up to that lateness (see ``InOrder``)."""
     def unit(role: str) -> Column:
         return laplace(uniform("spas", role, F.lit(seed), F.col(row_id)), 1.0)
 
-    noised = stream.select(*dict.fromkeys([key, order, row_id, *cols])).withColumns(
+    noised = stream.select(*dict.fromkeys([key, order, row_id, *cols, *([ts] if ts else [])])).withColumns(
         {**{f"noise_{c}": unit(c) for c in cols}, "u_query": unit("query"), "u_threshold": unit("threshold")})
     schema = ", ".join(["series_id BIGINT", "pos BIGINT", *[f"{c} DOUBLE" for c in cols], "eps_used DOUBLE", "svt_used DOUBLE"])
-    return noised.groupBy(key).transformWithStateInPandas(
-        PrivateRelease(order, cols, epsilon, s_p, s_s, window, windows_back), schema, "append", "none")
+    return _in_order(noised, key, PrivateRelease(order, cols, epsilon, s_p, s_s, window, windows_back, ts), schema, delay)

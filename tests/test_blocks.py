@@ -137,7 +137,30 @@ def test_other_frames(short, long):
         same(mechanisms.budget_window_ledger(spent(short), K, "pos", "eps", 4.0, window).select(*ID, "eps_remain", "first_sampled"),
              mechanisms.budget_window_ledger(spent(long), K, "pos", "eps", 4.0, window, SMALL).select(*ID, "eps_remain", "first_sampled"), ID)
     for strict in (False, True):
-        same(runs.early_stop(short, K, "pos", "value", 4, strict), runs.early_stop(long, K, "pos", "value", 4, strict, SMALL), K)
+        for delta in (0.0, 3.0):
+            same(runs.early_stop(short, K, "pos", "value", 4, strict, delta=delta),
+                 runs.early_stop(long, K, "pos", "value", 4, strict, SMALL, delta), K)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("block_rows", [2, 7, 1 << 20])
+def test_early_stop_by_a_minimum_improvement(spark, strict, block_rows):
+    """Against a scan of each run, with null losses and a patience beyond the block."""
+    i = F.col("id")
+    df = spark.range(400).select((i % 5).alias("series_id"), F.floor(i / 5).cast("bigint").alias("pos"), F.when(
+        F.pmod(i * 31, F.lit(11)) > 0, 60 - F.floor(i / 20) + F.pmod(i * 7907, F.lit(41)) / 4.0).alias("loss"))
+    for patience, delta in ((3, 2.0), (9, 0.5), (200, 1.0)):
+        got = {r["series_id"]: tuple(r)[1:] for r in runs.early_stop(df, K, "pos", "loss", patience, strict, block_rows, delta).collect()}
+        for key in range(5):
+            losses = [r["loss"] for r in df.filter(F.col("series_id") == key).orderBy("pos").collect()]
+            best, last, stop = losses[0], 0, None
+            for step, loss in enumerate(losses[1:], 1):
+                if best is None or (loss is not None and (loss < best - delta if strict else loss <= best - delta)):
+                    best, last = loss, step
+                elif step - last >= patience:
+                    stop = step
+                    break
+            assert got[key] == (len(losses) - 1 if stop is None else stop, best, last, stop is not None)
 
 
 def test_long_frames_by_prefix_sums(short, long):

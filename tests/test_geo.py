@@ -43,3 +43,20 @@ def test_against_brute_force(spark, case, miles):
     got = [(r["id_a"], r["id_b"]) for r in geo.close_pairs(df, miles).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert sorted(r["id"] for r in geo.separated_subset(df, miles).collect()) == greedy(pts, miles)
+
+
+@pytest.mark.parametrize("case", ["line", "spot"])
+def test_chains_and_spots_take_few_rounds(spark, monkeypatch, case):
+    """A line of points in id order decides each other all along; a spot has more points in each cell than a round looks at."""
+    rng = np.random.default_rng(1)
+    if case == "line":
+        pts = {i: (40.0, -100 + 0.03 * i) for i in range(200)}
+    else:
+        pts = {i: (34.5 + float(rng.random()) / 20, -119.5 + float(rng.random()) / 20) for i in range(900)}
+    rounds = []
+    plain = geo._round
+    monkeypatch.setattr(geo, "_round", lambda *a: rounds.append(1) or plain(*a))
+    df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id bigint, lat double, lng double")
+    got = sorted(r["id"] for r in geo.separated_subset(df, 5.0 if case == "line" else 0.7).collect())
+    assert got == greedy(pts, 5.0 if case == "line" else 0.7)
+    assert len(rounds) <= 6

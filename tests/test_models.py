@@ -84,6 +84,41 @@ def test_linear_forecast_is_least_squares(walk):
         assert [r[f"f{h}"] for r in out] == pytest.approx(list(x @ beta), abs=1e-6)
 
 
+@pytest.mark.parametrize("block_rows", [None, 16])
+def test_decomposed_forecast_is_the_smallest_fit(spark, walk, block_rows):
+    v, df = walk
+    lags, horizon, kernel = 5, 3, 3
+    extra = {} if block_rows is None else {"block_rows": block_rows}
+    if block_rows:
+        df = df.withMetadata("pos", {})
+    short = spark.createDataFrame([(7, i, float(i * i), i) for i in range(lags + horizon - 1)], "series_id bigint, t bigint, v double, pos bigint")
+    out = forecast.linear_forecast(df.unionByName(short), K, "pos", "v", lags, horizon, kernel=kernel, **extra).orderBy(*K, "pos").collect()
+    rows = [s * 100 + p for s in (0, 1) for p in range(lags - 1, 100 - horizon)]
+    x = np.array([v[i - lags + 1:i + 1] for i in rows])
+    padded = np.pad(x, ((0, 0), (1, 1)), mode="edge")
+    trend = (padded[:, :-2] + padded[:, 1:-1] + padded[:, 2:]) / kernel
+    both = np.hstack([x - trend, trend])
+    assert len(out) == len(rows) and [list(r.x) for r in out] == [pytest.approx(list(a)) for a in x]
+    for h in (1, 2, 3):
+        y = np.array([v[i + h] for i in rows])
+        w = np.linalg.lstsq(both - both.mean(axis=0), y - y.mean(), rcond=1e-9)[0]
+        parts = (both[:, :lags] - both[:, :lags].mean(axis=0)) @ w[:lags], (both[:, lags:] - both[:, lags:].mean(axis=0)) @ w[lags:] + y.mean()
+        assert [r[f"seasonal{h}"] for r in out] == pytest.approx(list(parts[0]), abs=1e-6)
+        assert [r[f"trend{h}"] for r in out] == pytest.approx(list(parts[1]), abs=1e-6)
+        assert [r[f"f{h}"] for r in out] == pytest.approx(list(parts[0] + parts[1]), abs=1e-6)
+
+
+def test_linear_forecast_chooses_windows_and_refuses_nulls(spark, walk):
+    v, df = walk
+    out = forecast.linear_forecast(df, K, "pos", "v", 2, 1, F.col("x")[1] > 0).collect()
+    x = np.array([[1, *r.x] for r in out])
+    y = np.array([r.y[0] for r in out])
+    beta = np.linalg.lstsq(x[x[:, 2] > 0], y[x[:, 2] > 0], rcond=None)[0]
+    assert [r.f1 for r in out] == pytest.approx(list(x @ beta), abs=1e-6)
+    with pytest.raises(ValueError):
+        forecast.linear_forecast(df.withColumn("v", F.when(F.col("pos") != 3, F.col("v"))), K, "pos", "v", 2, 1)
+
+
 def test_frequency_mask_zeroes_bins(spark):
     x = np.random.default_rng(6).normal(size=(5, 16))
     df = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "id int, x array<double>")

@@ -90,3 +90,53 @@ def test_rows_out_of_order_wait_for_the_watermark(spark, data, tmp_path):
     ends = whole.groupBy("series_id").agg(F.max("run_stop").alias("n"))
     closed = whole.join(ends, K).filter("run_stop < n").select("series_id", "label", "run_start", "run_stop")
     assert closed.count() == runs.count() > 0 and closed.exceptAll(runs.select(*closed.columns)).isEmpty()
+
+
+def shuffled(spark, data, path):
+    """The rows with a time, in files that are out of order, and the rows that a delay of 260 minutes passes in the end."""
+    df = data[0].withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60 + 1_700_000_000))
+    for part in ("event_id % 2 = 1 and event_id < 250", "event_id % 2 = 0 and event_id < 250", "event_id >= 250"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return st.replay(spark, path, df.schema, bytes_per_batch=1), df.filter(F.col("event_id") <= 299 - 260)
+
+
+def test_private_release_out_of_order(spark, data, tmp_path):
+    """Shuffled files give the release of the sorted rows, over several windows and entries of the history."""
+    late, seen = shuffled(spark, data, str(tmp_path / "late"))
+    args = ("series_id", "event_id", "event_id", ["value"], 2.0, 30.0, 10.0, 5)
+    got = st.run_available(st.private_release(late, *args, ts="ts", delay="260 minutes"), "pro")
+    path = str(tmp_path / "sorted")
+    seen.orderBy("event_id").coalesce(1).write.parquet(path)
+    want = st.run_available(st.private_release(st.replay(spark, path, seen.schema), *args), "prs")
+    assert got.count() == want.count() == seen.count() and got.exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize("window", [3, 40, 150])
+def test_publisher_restored_from_rows(window):
+    """A publisher put together from scalars and rows in sight goes on as one that never stopped."""
+    rng = np.random.default_rng(window)
+    whole, rows = me.StreamPublisher(50.0, 20.0, 10.0, window, 2, 2), []
+    moved = me.StreamPublisher(50.0, 20.0, 10.0, window, 2, 2)
+    for i in range(4 * window + 50):
+        x, z, uq, ut = rng.normal(size=2) * 9, rng.laplace(size=2), rng.laplace(), rng.laplace()
+        assert whole.publish(x, z, uq, ut) == moved.publish(x, z, uq, ut) and (whole.out == moved.out).all()
+        rows.append(moved.last_row())
+        if i % 7 == 3:
+            scalars = moved.scalars()
+            in_sight = scalars["i"] - max(moved.window, moved.history)
+            moved = me.StreamPublisher(50.0, 20.0, 10.0, window, 2, 2)
+            moved.restore_rows(scalars, [r for r in rows if r[0] >= in_sight])
+
+
+def test_filled_bins(spark, data, tmp_path):
+    """Bins of 5 minutes, most of them empty for some series, equal the batch operator up to the last bin the watermark closed."""
+    from chronoveil.operators import clean
+    late, seen = shuffled(spark, data, str(tmp_path / "bins"))
+    got = st.run_available(st.resample_filled(late, "series_id", "event_id", "ts", "value", 120_000, "260 minutes"), "fb")
+    timed = seen.withColumn("ms", F.unix_millis("ts"))
+    batch = clean.resample_mean(timed, K, "ms", ["value"], 120_000).select("series_id", "bin", F.col("value").alias("mean"), "filled")
+    last = timed.groupBy("series_id").agg(F.max(F.floor(F.col("ms") / 120_000)).alias("last"))
+    passed = (1_700_000_000 + 60 * 39) * 1000
+    want = batch.join(last, K).filter((F.col("bin") < F.col("last")) | ((F.col("bin") + 1) * 120_000 <= passed)).select(*batch.columns)
+    rounded = lambda d: sorted((r.series_id, r.bin, round(r["mean"], 9), r.filled) for r in d.collect())
+    assert rounded(got) == rounded(want) and any(r.filled for r in got.collect())
