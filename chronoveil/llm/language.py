@@ -189,7 +189,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Learn from the rows that are not held out. The driver holds ``sample * places`` windows of each language."""
     rows = base.pick(docs, doc_id=(doc_id, "bigint"), text=(text, "string"), lang=(lang, "string"))
     rows = rows.filter(~learning.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    drawn, counts = learning.sample_per_class(rows, "lang", "doc_id", sample)
+    drawn, counts = learning.sample_per_class(rows, "lang", ["doc_id", "text"], sample)
     spare = F.greatest(F.length("text") - WINDOW // 2, F.lit(1))
     cuts = F.transform(F.sequence(F.lit(1), F.lit(places)), lambda i: F.substring(
         F.col("text"), F.pmod(F.xxhash64("doc_id", i), spare).cast("int") + 1, F.lit(WINDOW)))

@@ -105,13 +105,13 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, rules: tuple[R
     else:
         todo = blobs.select("blob", "holder", names.alias("rules"))
     todo = base.written(todo, "unseen-blobs")
-    # Copies of a blob differ in their id, so a text of which there are many copies is not one join key.
-    texts = (docs.withColumn("holder", key).select("blob", "holder", "text")
+    # One text for each blob. Copies mostly differ in their id, so a text with many copies is not one join key; repeated rows, and
+    # copies without id, become one before the shuffle.
+    texts = (docs.withColumn("holder", key).select("blob", "holder", "text").dropDuplicates(["blob", "holder"])
              .join(todo.select("blob", "holder", "rules"), ["blob", "holder"]))
     hits = _hits(texts.select("blob", "rules", "text"), rules)
-    # Repeated rows (same id and text) scan a blob twice with the same spans.
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,rule:string>>)")
-    done = todo.join(hits, "blob", "left").select("blob", "rules", F.array_distinct(F.coalesce("spans", none)).alias("spans"))
+    done = todo.join(hits, "blob", "left").select("blob", "rules", F.coalesce("spans", none).alias("spans"))
     done.write.mode("append").parquet(ledger)
     base.discard(todo)
     current = {r.name for r in rules}

@@ -69,3 +69,15 @@ def test_split_is_that_of_the_contract(spark):
     import zlib
     rows = spark.range(200).select("id", learning.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
+
+
+def test_samples_have_every_class_and_no_repeats(spark):
+    """All of 300 languages, among them one whose rows share an id and one of a single repeated row."""
+    rows = spark.range(3000).select(F.format_string("l%03d", F.col("id") % 298).alias("lang"), F.col("id").alias("doc_id"),
+                                    F.concat(F.lit("text "), "id").alias("text"))
+    shared = spark.range(4000).select(F.lit("shared").alias("lang"), F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    same = spark.range(4000).select(F.lit("same").alias("lang"), F.lit(8).cast("bigint").alias("doc_id"), F.lit("one text").alias("text"))
+    found, counts = learning.sample_per_class(rows.unionByName(shared).unionByName(same), "lang", ["doc_id", "text"], 100)
+    got = {r.lang: r["count"] for r in found.groupBy("lang").count().collect()}
+    assert len(counts) == 300 == len(got) and counts["shared"] == 4000 and counts["same"] == 1
+    assert got["same"] == 1 and 50 <= got["shared"] <= 200 and found.columns == ["lang", "doc_id", "text"]
