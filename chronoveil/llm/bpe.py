@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -35,7 +36,8 @@ LONGEST = 60
 REMEMBERED = 1_000_000
 #: Small maps that the rank map is cut into: about three ranks in each.
 _MAPS = 16_384
-_NONE = 2 ** 31 - 1
+#: Stands for no rank, and is as long as any rank is written.
+_NONE = "9999999"
 _IDS = "array<int>"
 _vocabularies: dict[str, dict[bytes, int]] = {}
 
@@ -45,12 +47,6 @@ def public_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def public_pattern() -> str:
-    """The public pattern with Unicode classes, as Java writes it."""
-    import public_tokenizers
-    return "(?U)" + public_tokenizers.PATTERN
-
-
 def ranks(path: str) -> dict[bytes, int]:
     """Pieces and their ranks, which are also their ids."""
     if path not in _vocabularies:
@@ -65,54 +61,62 @@ def let(value: Column, body) -> Column:
 
 
 def rank_map(path: str) -> Column:
-    """The literal: an array of maps from hexadecimal pieces to ranks."""
+    """The literal: an array of maps from hexadecimal pieces to ranks, written with as many digits as ``_NONE``."""
     maps: list[dict] = [{} for _ in range(_MAPS)]
     for piece, rank in ranks(path).items():
-        maps[zlib.crc32(piece.hex().encode()) % _MAPS][piece.hex()] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        maps[zlib.crc32(piece.hex().encode()) % _MAPS][piece.hex()] = f"{rank:0{len(_NONE)}d}"
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
 
 
 def encode_word(word: Column, path: str) -> Column:
-    """Ids of a word of at most ``LONGEST`` bytes."""
-    table = rank_map(path)
-    rank = lambda piece: F.get(table, (F.crc32(piece.cast("binary")) % _MAPS).cast("int"))[piece]
+    """Ids of a word of at most ``LONGEST`` bytes.
+
+    The ranks at its byte boundaries are cells of a string, so that finding the least and writing three of them are
+    string functions; the boundaries that are left are the bits of a long.
+    """
     bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
     highest = lambda bits: F.length(F.bin(bits)) - 1
     lowest = lambda bits: F.bit_count(bits.bitwiseAND(-bits) - 1).cast("int")
+    wide = len(_NONE) + 1
 
-    def whole(text: Column) -> Column:
+    def whole(args: Column) -> Column:
+        table, text = args["ranks"], args["text"]
+        rank = lambda piece: F.get(table, (F.crc32(piece.cast("binary")) % _MAPS).cast("int"))[piece]
         size = F.shiftright(F.length(text), 1)
         part = lambda a, b: F.substring(text, a * 2 + 1, (b - a) * 2)
+        least = lambda cells: F.array_min(F.split(cells, ","))
+        write = lambda cells, at, value: F.overlay(cells, value, (at - 1) * wide + 1, F.lit(wide - 1))
 
         def step(state, _):
-            least = F.array_min(state.ranks)
-            return let(least, lambda r: F.when(r.isNull() | (r == _NONE), state).otherwise(
-                let(F.array_position(state.ranks, r).cast("int"), lambda at: without(state, at))))
+            return F.when(state["least"] >= _NONE, state).otherwise(let(
+                F.floor((F.instr(state["cells"], state["least"]) + wide - 1) / wide).cast("int"), lambda at: without(state, at)))
 
         def without(state, at):
             """Boundary ``at`` goes: the boundaries to its left and right stand between other pieces now."""
-            left = highest(state.cuts.bitwiseAND(bit(at) - 1))
-            right = lowest(state.cuts.bitwiseAND(-bit(at + 1)))
-
-            def between(ends):
-                a, b = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
-                before = F.when(a > 0, part(highest(state.cuts.bitwiseAND(bit(a) - 1)), b))
-                after = F.when(b < size, part(a, lowest(state.cuts.bitwiseAND(-bit(b + 1)))))
-                new = F.transform(F.array(before, after), lambda p: F.coalesce(rank(p), F.lit(_NONE)))
-                return let(new, lambda v: F.struct(
-                    F.transform(state.ranks, lambda r, i: F.when(i == at - 1, _NONE).when(i == a - 1, F.get(v, F.lit(0)))
-                                .when(i == b - 1, F.get(v, F.lit(1))).otherwise(r)).alias("ranks"),
-                    (state.cuts - bit(at)).alias("cuts")))
-            return let(F.array(left, right), between)
-
-        pairs = F.transform(F.slice(F.sequence(F.lit(0), size), F.lit(1), F.greatest(size - 1, F.lit(0))),
-                            lambda i: F.coalesce(rank(part(i, i + 2)), F.lit(_NONE)))
-        steps = F.slice(F.sequence(F.lit(0), size), F.lit(1), F.greatest(size - 1, F.lit(0)))
-        cuts = F.aggregate(steps, F.struct(pairs.alias("ranks"), (bit(size + 1) - 1).alias("cuts")), step, lambda state: state.cuts)
+            left = highest(state["cuts"].bitwiseAND(bit(at) - 1))
+            right = lowest(state["cuts"].bitwiseAND(-bit(at + 1)))
+            return let(F.struct(at.alias("at"), left.alias("a"), right.alias("b")), lambda e: between(state, e))
+
+        def between(state, e):
+            at, a, b = e["at"], e["a"], e["b"]
+            before = F.when(a > 0, part(highest(state["cuts"].bitwiseAND(bit(a) - 1)), b))
+            after = F.when(b < size, part(a, lowest(state["cuts"].bitwiseAND(-bit(b + 1)))))
+            new = F.transform(F.array(before, after), lambda p: F.coalesce(rank(p), F.lit(_NONE)))
+
+            def written(v):
+                cells = write(state["cells"], at, F.lit(_NONE))
+                cells = F.when(a > 0, write(cells, a, F.get(v, F.lit(0)))).otherwise(cells)
+                return F.when(b < size, write(cells, b, F.get(v, F.lit(1)))).otherwise(cells)
+            return let(let(new, written), lambda cells: F.struct(cells.alias("cells"), (state["cuts"] - bit(at)).alias("cuts"), least(cells).alias("least")))
+
+        inner = F.slice(F.sequence(F.lit(0), size), F.lit(1), F.greatest(size - 1, F.lit(0)))
+        cells = F.array_join(F.transform(inner, lambda i: F.coalesce(rank(part(i, i + 2)), F.lit(_NONE))), ",")
+        start = let(cells, lambda c: F.struct(c.alias("cells"), (bit(size + 1) - 1).alias("cuts"), F.when(size > 1, least(c)).otherwise(F.lit(_NONE)).alias("least")))
+        cuts = F.aggregate(inner, start, step, lambda state: state["cuts"])
         places = lambda bits: F.filter(F.sequence(F.lit(0), size), lambda i: F.getbit(bits, i) == 1)
         return let(let(cuts, places), lambda at: F.transform(
-            F.slice(at, F.lit(1), F.size(at) - 1), lambda a, i: rank(part(a, F.get(at, i + 1)))))
-    return let(F.lower(F.hex(word.cast("binary"))), whole)
+            F.slice(at, F.lit(1), F.size(at) - 1), lambda a, i: rank(part(a, F.get(at, i + 1))).cast("int")))
+    return let(F.struct(rank_map(path).alias("ranks"), F.lower(F.hex(word.cast("binary"))).alias("text")), whole)
 
 
 def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
@@ -145,42 +149,97 @@ def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _words(docs: DataFrame, pattern: str) -> DataFrame:
-    """doc_id and the matches of each whole text."""
-    return docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0)).alias("words"))
-
-
-def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Values of a list column without nulls, one list after another, and where each list begins."""
-    offsets = column.offsets.to_numpy()
-    return column.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
-
-
-def _counts(words: DataFrame) -> DataFrame:
+# Fixed values of the public pattern: what a contraction may be, and white space.
+_CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+_SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_classes: list[np.ndarray] = []
+
+
+def _class_of() -> np.ndarray:
+    """Class of every code point: 0 other, 1 letter, 2 number, 3 white space."""
+    if not _classes:
+        table = np.zeros(0x110000, dtype=np.uint8)
+        for c in range(0x110000):
+            kind = unicodedata.category(chr(c))[0]
+            if kind in "LN":
+                table[c] = 1 if kind == "L" else 2
+        table[_SPACES] = 3
+        _classes.append(table)
+    return _classes[0]
+
+
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Matches of the public pattern in every text of a batch, one after another, and where each text begins among them.
+
+    The matches tile a text, so only their beginnings are sought: where the class of characters changes, but for a space that goes
+    with what follows; before the last of several white spaces that something follows; and around a contraction.
+    """
+    data, offsets = base.utf8(column)
+    offsets = offsets.astype(np.int64)
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+    table = _class_of()
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = data[at]
+    code = first.astype(np.int32)
+    for low, size, bits in ((0xC0, 2, 0x1F), (0xE0, 3, 0x0F), (0xF0, 4, 0x07)):
+        which = np.flatnonzero((first >= low) & (first < (0xE0, 0xF0, 0x100)[size - 2]))
+        if len(which):
+            value = (first[which] & bits).astype(np.int32)
+            for k in range(1, size):
+                value = value << 6 | (data[at[which] + k] & 0x3F)
+            code[which] = value
+    kind = table[code]
+    begin = np.zeros(len(at) + 1, dtype=bool)  # of a text, in characters
+    begin[np.searchsorted(at, offsets)] = True
+    space = kind == 3
+    follows = np.zeros(len(at), dtype=bool)  # the next character is of the same text and no white space
+    follows[:-1] = ~space[1:] & ~begin[1:-1]
+    start = begin[:-1].copy()
+    changes = kind[1:] != kind[:-1]
+    start[1:] |= np.where(space[1:], ~space[:-1] | follows[1:], changes & (code[:-1] != 0x20))
+    quotes = np.flatnonzero(start & (code == 0x27))
+    for letters in _CONTRACTIONS:
+        hit = quotes[quotes + len(letters) < len(at)]
+        for k, letter in enumerate(letters, 1):
+            hit = hit[(code[hit + k] == letter) & ~begin[hit + k]]
+        start[hit + 1] = False
+        rest = hit + len(letters) + 1
+        start[rest[rest < len(at)]] = True
+    starts = at[start]
+    flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+    return flat, np.searchsorted(starts, offsets)
+
+
+def _counts(docs: DataFrame) -> DataFrame:
     """How often every distinct word occurs; counted within tasks before the shuffle."""
     def tally(batches):
         parts, rows = [], 0
+        kind = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+        def merged():
+            return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
         for batch in batches:
-            found = pc.value_counts(_flat(batch["words"])[0])
-            parts.append(pa.table([found.field("values").cast(pa.large_string()), found.field("counts")], ["word", "n"]))
+            found = pc.value_counts(split_words(batch["text"])[0])
+            parts.append(pa.table([found.field("values"), found.field("counts")], ["word", "n"]))
             rows += len(found)
-            if rows > 4_000_000:
-                parts = [pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+            if rows > 2_000_000:
+                parts = [merged()]
                 rows = len(parts[0])
-                if rows > 2_000_000:
-                    yield from parts[0].cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(65_536)
+                if rows > 1_000_000:
+                    yield from parts[0].cast(kind).to_batches(65_536)
                     parts, rows = [], 0
         if parts:
-            last = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-            yield from last.cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(65_536)
+            yield from merged().cast(kind).to_batches(65_536)
 
-    return words.select("words").mapInArrow(tally, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tally, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(words: DataFrame, most: int = REMEMBERED) -> DataFrame:
+def frequent(docs: DataFrame, most: int = REMEMBERED) -> DataFrame:
     """At most ``most`` of the distinct words: all that occur as often as a threshold, found from the counts of all of them."""
     short = F.octet_length("word") <= LONGEST
-    counts = base.written(_counts(words).filter(short), "word-counts")
+    counts = base.written(_counts(docs).filter(short), "word-counts")
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("n").cast("double")))).cast("bigint"))
     sizes = sorted(((r.least, r.words) for r in counts.groupBy(step.alias("least")).agg(F.count("*").alias("words")).collect()), reverse=True)
     taken, threshold = 0, None
@@ -193,52 +252,67 @@ def frequent(words: DataFrame, most: int = REMEMBERED) -> DataFrame:
     return kept
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, remembered: int = REMEMBERED,
-           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class _Memory:
+    """Ids of the remembered words, found by the words' hashes and compared with their bytes."""
+
+    def __init__(self, table: pa.Table):
+        words = table["word"].combine_chunks().cast(pa.large_string())
+        hashes = base.hash_words(words)
+        order = np.argsort(hashes)
+        self.hashes, self.words = hashes[order], words.take(pa.array(order))
+        ids = table["ids"].combine_chunks().take(pa.array(order)) if len(words) else pa.array([], pa.list_(pa.int32()))
+        self.starts, self.ids = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 if it is not remembered."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1, dtype=np.int64)
+        at = np.searchsorted(self.hashes, base.hash_words(words)).clip(max=len(self.hashes) - 1)
+        return np.where(pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False), at, -1)
+
+
+def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ``ids`` of every text. ``remembered`` bounds the words that are folded once, and changes no id."""
     spark = base.set_up(docs.sparkSession)
-    path, pattern = path or public_ranks(), pattern or public_pattern()
-    words = _words(base.documents(docs, doc_id, text), pattern)
-    known = frequent(words, remembered)
+    path = path or public_ranks()
+    rows = base.documents(docs, doc_id, text)
+    known = frequent(rows, remembered)
     folded = base.written(known.select("word", encode_word(F.col("word"), path).alias("ids")), "word-ids")
-    memory = folded.toArrow().combine_chunks()
-    held = spark.sparkContext.broadcast(memory)
+    held = spark.sparkContext.broadcast(folded.toArrow().combine_chunks())
     base.discard(known, folded)
 
     def look_up(batches):
-        table = held.value
-        index = {w: i for i, w in enumerate(table["word"].to_pylist())}
-        ids, starts = _flat(table["ids"].combine_chunks()) if len(table) else (pa.array([], pa.int32()), np.zeros(1, np.int64))
-        ids, starts = ids.to_numpy().astype(np.int32), starts.astype(np.int64)
+        memory = _Memory(held.value)
         for batch in batches:
-            flat, ends = _flat(batch["words"])
+            flat, ends = split_words(batch["text"])
             coded = flat.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            codes = coded.indices.to_numpy().astype(np.int64)
-            at = np.array([index.get(w, -1) for w in distinct], dtype=np.int64)
-            own = [merge(b, ranks(path)) if at[i] < 0 and len(b) > LONGEST else [] for i, b in
-                   ((i, w.encode()) if at[i] < 0 else (i, b"") for i, w in enumerate(distinct))]
-            sizes = np.where(at >= 0, starts[at + 1] - starts[at], [len(x) for x in own]) if len(distinct) else at
-            pool = np.concatenate([ids, np.array([x for o in own for x in o], dtype=np.int32)])
-            first = np.where(at >= 0, starts[at], len(ids) + np.cumsum([0, *[len(x) for x in own]])[:-1]) if len(distinct) else at
-            rare = (at < 0) & (sizes == 0) if len(distinct) else np.zeros(0, bool)
+            distinct, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            place = memory.find(distinct)
+            new = place < 0
+            long = new & (pc.binary_length(distinct).to_numpy() > LONGEST)
+            own = {i: merge(distinct[i].as_py().encode(), ranks(path)) for i in np.flatnonzero(long).tolist()}
+            sizes = np.where(new, 0, memory.starts[place + 1] - memory.starts[place])
+            first = np.where(new, 0, memory.starts[place])
+            pool = [memory.ids]
+            for i, ids in own.items():
+                first[i], sizes[i] = sum(map(len, pool)), len(ids)
+                pool.append(np.array(ids, dtype=np.int32))
+            pool = np.concatenate(pool) if own else memory.ids
             lengths = sizes[codes]
             after = np.concatenate(([0], np.cumsum(lengths)))
             out = pool[np.repeat(first[codes] - after[:-1], lengths) + np.arange(after[-1])]
             # A part ends at each word that is still to be folded, and at the end of each text.
-            open_at = np.flatnonzero(rare[codes])
-            ends = ends.astype(np.int64)
+            open_at = np.flatnonzero((new & ~long)[codes])
             places = np.concatenate([ends[1:], open_at])
             order = np.lexsort((np.repeat([0, 1], [len(ends) - 1, len(open_at)]), places))
             word = np.concatenate([np.full(len(ends) - 1, -1), codes[open_at]])[order]
-            part_ends = after[places[order]]
             parts = pa.StructArray.from_arrays([
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], part_ends)).astype(np.int32)), pa.array(out)),
-                coded.dictionary.take(pa.array(word, mask=word < 0))], ["ids", "word"])
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], after[places[order]])).astype(np.int32)), pa.array(out)),
+                distinct.take(pa.array(word, mask=word < 0)).cast(pa.string())], ["ids", "word"])
             texts = np.concatenate(([0], np.flatnonzero(order < len(ends) - 1) + 1))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(texts.astype(np.int32)), parts)], ["doc_id", "parts"])
 
-    found = words.mapInArrow(look_up, f"doc_id bigint, parts array<struct<ids:{_IDS},word:string>>")
+    found = rows.mapInArrow(look_up, f"doc_id bigint, parts array<struct<ids:{_IDS},word:string>>")
     whole = F.flatten(F.transform("parts", lambda p: F.when(p.word.isNull(), p.ids).otherwise(F.concat(p.ids, encode_word(p.word, path)))))
     return found.select("doc_id", whole.alias("ids"))
 
