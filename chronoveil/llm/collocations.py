@@ -15,6 +15,8 @@ ignored; without a frequent phrase, or without rows, there is no row. Counts are
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,9 +77,34 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
 
 
+def _partitions(df: DataFrame) -> int:
+    """Parts that counts are packed into: one for each shuffle partition."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dealt(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in the order of their part, the parts that have any, and where each begins."""
+    order = np.argsort(part, kind="stable")
+    there, first = np.unique(part[order], return_index=True)
+    return order, there, np.append(first, len(part))
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word and its occurrences; the row of each language without a word has all of them."""
-    kind = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    """lang, word and its occurrences; the row of each language with an empty word has all of them.
+
+    Counts of a task are packed by the part of the words' hashes, a row for each language and part, and unpacked behind the shuffle.
+    """
+    parts_all = _partitions(docs)
+
+    def packed(table: pa.Table):
+        for lang in table["lang"].unique().to_pylist():
+            own = table.filter(pc.equal(table["lang"], lang))
+            words, n = own["word"].combine_chunks(), own["n"].to_numpy()
+            order, there, first = _dealt((base.hash_words(words) % np.uint64(parts_all)).astype(np.int64))
+            words, n = words.take(pa.array(order)).to_pylist(), n[order]
+            for part, a, b in zip(there.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang]), pa.array([" ".join(words[a:b])]),
+                                                  pa.array([n[a:b].tolist()], pa.list_(pa.int64()))], ["part", "lang", "words", "n"])
 
     def tally(batches):
         parts, rows, totals = [], 0, {}
@@ -95,15 +122,18 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 parts = [merged()]
                 rows = len(parts[0])
                 if rows > _TOGETHER // 2:
-                    yield from parts[0].cast(kind).to_batches(65_536)
+                    yield from packed(parts[0])
                     parts, rows = [], 0
         if parts:
-            yield from merged().cast(kind).to_batches(65_536)
+            yield from packed(merged())
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()),
-                                              pa.array(list(totals.values()), pa.int64())], schema=kind)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([zlib.crc32(k.encode()) % parts_all for k in totals], pa.int32()), pa.array(list(totals)), pa.array([""] * len(totals)),
+                pa.array([[n] for n in totals.values()], pa.list_(pa.int64()))], ["part", "lang", "words", "n"])
 
-    return docs.mapInArrow(tally, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(tally, "part int, lang string, words string, n array<bigint>").repartition("part")
+    each = rows.select("part", "lang", F.explode(F.arrays_zip(F.split("words", " ").alias("word"), "n")).alias("e"))
+    return each.select("part", "lang", "e.*").groupBy("part", "lang", "word").agg(F.sum("n").alias("n")).drop("part")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +221,15 @@ def _joined(batch: pa.RecordBatch, length: int):
 
 
 def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
-    """Frequent groups of ``length`` words: key (phrase id, word id) and n."""
+    """Frequent groups of ``length`` words: key (phrase id, word id) and n. Counts of a task are packed by part, as those of words are."""
+    parts = _partitions(relation)
+
+    def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order, there, first = _dealt((base.mix(key) % np.uint64(parts)).astype(np.int64))
+        key = key[order]
+        lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (key >> 32, key & 0xFFFFFFFF, n[order])]
+        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *lists], ["part", "before", "last", "n"])
+
     def tally(batches):
         keys, counts, rows = [], [], 0
         for batch in batches:
@@ -203,13 +241,15 @@ def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
                 key, n = _summed(keys, counts)
                 keys, counts, rows = [key], [n], len(key)
                 if rows > _TOGETHER // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+                    yield packed(key, n)
                     keys, counts, rows = [], [], 0
         if rows:
-            key, n = _summed(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            yield packed(*_summed(keys, counts))
 
-    return relation.mapInArrow(tally, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = relation.mapInArrow(tally, "part int, before array<int>, last array<int>, n array<int>").repartition("part")
+    each = rows.select("part", F.explode(F.arrays_zip("before", "last", "n")).alias("e")).select("part", "e.*")
+    counted = each.groupBy("part", "before", "last").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return counted.select((F.shiftleft(F.col("before").cast("bigint"), 32) + F.col("last")).alias("key"), "n")
 
 
 def _keep(relation: DataFrame, groups: DataFrame, length: int, in_tasks: int) -> DataFrame:
@@ -257,9 +297,9 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in_task
     base.set_up(docs.sparkSession)
     rows = base.pick(docs, lang=(lang, "string"), text=(text, "string")).select(
         F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.monotonically_increasing_id().alias("block"))
-    counted = base.written(_word_counts(rows).filter((F.col("n") >= least) | F.col("word").isNull()), "word-counts")
-    words = base.ranked(counted.filter("word is not null"), [], ["lang", "word"], "frequent-words")
-    out = counted.select("lang", F.when(F.col("word").isNull(), 0).otherwise(1).alias("size"), F.coalesce("word", F.lit("")).alias("phrase"),
+    counted = base.written(_word_counts(rows).filter((F.col("n") >= least) | (F.col("word") == "")), "word-counts")
+    words = base.ranked(counted.filter("word <> ''"), [], ["lang", "word"], "frequent-words")
+    out = counted.select("lang", F.when(F.col("word") == "", 0).otherwise(1).alias("size"), F.col("word").alias("phrase"),
                          F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"), "n")
     relation = base.written(_first(rows, words, in_tasks), "occurrences-1")
     names = words.select("lang", F.col("rank").alias("last"), F.col("word").alias("name"))
