@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoveil.operators.position import join_sized
 from chronoveil.session import scratch_path
 
 EARTH_MILES = 3958.8
@@ -54,15 +55,36 @@ class Grid:
         return df.withColumn("_row", row).withColumn("_col", col)
 
 
-def close_pairs(points: DataFrame, miles: float, id: str = "id", lat: str = "lat", lng: str = "lng") -> DataFrame:
-    """All pairs (id_a < id_b) strictly closer than ``miles``: equi-join on cells, then the exact distance."""
+#: Points of a cell that are joined as one group.
+_CELL_POINTS = 4096
+
+
+def _in_parts(a: DataFrame, b: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a part (``_i``, ``_j``) of their cell. A cell with more than ``bound`` points of ``b`` is cut into n parts of each side,
+    and every part of one side meets every part of the other: n * n groups of a bounded size in place of one."""
+    crowded = b.groupBy("_row", "_col").agg(F.count("*").alias("_n")).filter(F.col("_n") > bound)
+    crowded = crowded.withColumn("_n", F.ceil(F.col("_n") / bound).cast("int"))
+    hot = crowded.count()
+
+    def cut(side: DataFrame, own: str, other: str, id: str) -> DataFrame:
+        tagged = join_sized(side, crowded, ["_row", "_col"], hot, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+        return tagged.withColumns({own: F.pmod(F.xxhash64(id), F.col("_n")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col("_n") - 1))}).drop("_n")
+    return cut(a, "_i", "_j", "id_a"), cut(b, "_j", "_i", "id_b")
+
+
+def close_pairs(points: DataFrame, miles: float, id: str = "id", lat: str = "lat", lng: str = "lng", cell_points: int = _CELL_POINTS) -> DataFrame:
+    """All pairs (id_a < id_b) strictly closer than ``miles``: equi-join on cells, then the exact distance.
+
+    Crowded cells are joined in parts, so no task gets more than ``cell_points`` points of a cell against each other, however many there are.
+    """
     grid = Grid(miles, miles)
     a = grid.around(points.select(F.col(id).alias("id_a"), F.col(lat).alias("lat_a"), F.col(lng).alias("lng_a")),
                     "lat_a", "lng_a")
     b = grid.tag(points.select(F.col(id).alias("id_b"), F.col(lat).alias("lat_b"), F.col(lng).alias("lng_b")),
                  "lat_b", "lng_b")
     d = haversine_miles(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
-    return (a.join(b, ["_row", "_col"]).filter(F.col("id_a") < F.col("id_b"))
+    a, b = _in_parts(a, b, cell_points)
+    return (a.join(b, ["_row", "_col", "_i", "_j"]).filter(F.col("id_a") < F.col("id_b"))
             .select("id_a", "id_b", d.alias("miles")).filter(F.col("miles") < miles))
 
 

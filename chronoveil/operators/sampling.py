@@ -217,14 +217,18 @@ def lambda_grid(df: DataFrame, candidates_col: str, batch: int, step: float) ->
 
 
 def geometry(df: DataFrame, keys: Sequence[str], length: int, stride: int, fraction: float,
-             event_rounding: str = "ceil", horizon: int = 0) -> DataFrame:
-    """Per series: candidates, event length and windows an event can touch."""
+             event_rounding: str = "ceil", horizon: int = 0, short: str = "keep", batch: int = 1) -> DataFrame:
+    """Per series: candidates, event length and windows an event can touch. A series with fewer than ``batch`` candidates is kept, or
+    left out on purpose (``short="drop"``): the samplers draw nothing from it, so it has no ledger."""
+    if short not in ("keep", "drop"):
+        raise ValueError(f"unknown treatment of short series {short!r}")
     scaled = F.lit(float(fraction)) * F.col("n")
     event = F.greatest(F.lit(1), F.ceil(scaled)) if event_rounding == "ceil" else F.floor(scaled)
     span = length + horizon
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
             .withColumn("candidates", F.greatest(
                 F.lit(0), F.floor((F.col("n") - span) / F.lit(stride)) + 1).cast("bigint"))
+            .filter(F.col("candidates") >= (batch if short == "drop" else 0))
             .withColumn("event_length", event.cast("bigint"))
             .withColumn("affected", F.least(
                 F.col("candidates"),

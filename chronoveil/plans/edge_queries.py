@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from chronoveil.operators import anomaly, clean, forecast, relational, split
+from chronoveil.operators import anomaly, checks, clean, forecast, relational, runs, split, windows
 from chronoveil.operators import sampling as sp
 from chronoveil.operators.position import BLOCK_ROWS, carry, block_of, framed, running_sum, series_stats, trailing_scratch, trailing_sum, with_position
 from chronoveil.plans import fixtures as fx
@@ -119,18 +119,77 @@ def null_key_duplicates(spark, sf):
 
 
 @query("sides_of_every_group", f"""
-WITH {KEYED_SQL}, r AS (SELECT series_id, event_id % 2 AS side FROM keyed WHERE coalesce(series_id, 1) % 3 = 1 OR event_id % 2 = 0)
+WITH {KEYED_SQL}, r AS (SELECT series_id, CASE WHEN coalesce(series_id, 1) % 3 = 1 OR event_id % 2 = 0 THEN event_id % 2 END AS side FROM keyed)
 SELECT series_id, count(DISTINCT CASE WHEN side = 1 THEN side END) = 1 AS complete, CASE WHEN count(CASE WHEN side = 1 THEN 1 END) = 0 THEN '1' ELSE '' END AS missing
 FROM r GROUP BY 1
 """)
 def sides_of_every_group(spark, sf):
-    rows = keyed(spark, sf).select("series_id", (F.col("event_id") % 2).cast("int").alias("side")).filter(
-        (F.coalesce("series_id", F.lit(1)) % 3 == 1) | (F.col("side") == 0))
+    side = (F.col("event_id") % 2).cast("int")
+    rows = keyed(spark, sf).select("series_id", F.when((F.coalesce("series_id", F.lit(1)) % 3 == 1) | (side == 0), side).alias("side"))
     return relational.both_sides(rows, K, "side", [1])
 
 
+PLACED_SQL = KEYED_SQL + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t_us, event_id) - 1 AS pos FROM keyed)
+"""
+
+
+def placed_keys(spark, sf):
+    return with_position(keyed(spark, sf), K, "t_us", ["event_id"])
+
+
+@query("null_key_forecast_tail", f"""
+WITH {PLACED_SQL}, l AS (SELECT series_id, max(pos) AS last, max(t_us) AS t FROM placed GROUP BY 1)
+SELECT p.series_id, p.pos, t_us AS t, value, 'context' AS part FROM placed p JOIN l ON p.series_id IS NOT DISTINCT FROM l.series_id WHERE p.pos > l.last - 5
+UNION ALL SELECT series_id, last + h, t + h * 1000, NULL, 'future' FROM l, (SELECT unnest(generate_series(1, 3)) AS h)
+""")
+def null_key_forecast_tail(spark, sf):
+    return split.forecast_tail(placed_keys(spark, sf), K, "pos", "t_us", "value", 5, 3, 1000)
+
+
+@query("null_key_dense_labels", f"""
+WITH {KEYED_SQL} SELECT event_id, series_id, (dense_rank() OVER (ORDER BY series_id NULLS FIRST) - 1)::INT AS dense FROM keyed
+""")
+def null_key_dense_labels(spark, sf):
+    return windows.dense_labels(keyed(spark, sf).select("event_id", "series_id"), "series_id")
+
+
+@query("null_key_aligned", f"""
+WITH {PLACED_SQL}, r AS (SELECT series_id, pos, t_us + (event_id % 50 = 0)::INT AS t FROM placed)
+SELECT p.series_id, count(*) AS left_rows, count(*) AS right_rows, count_if(p.t_us <> r.t)::BIGINT AS mismatches
+FROM placed p JOIN r ON p.series_id IS NOT DISTINCT FROM r.series_id AND p.pos = r.pos GROUP BY 1
+""")
+def null_key_aligned(spark, sf):
+    placed = placed_keys(spark, sf)
+    moved = placed.withColumn("t_us", F.col("t_us") + (F.col("event_id") % 50 == 0).cast("int"))
+    return checks.aligned(placed, moved, K, "pos", "t_us")
+
+
+@query("null_key_completion", f"""
+WITH {KEYED_SQL}, grid AS (SELECT DISTINCT series_id, event_id % 4 AS seed FROM keyed), done AS (SELECT DISTINCT series_id, event_id % 4 AS seed FROM keyed WHERE value > 40)
+SELECT g.series_id, count(*) AS expected, count(d.seed) AS completed, count(*) = count(d.seed) AS complete,
+  coalesce(string_agg(g.seed::VARCHAR, ',' ORDER BY g.seed) FILTER (d.seed IS NULL), '') AS missing
+FROM grid g LEFT JOIN done d ON g.series_id IS NOT DISTINCT FROM d.series_id AND g.seed = d.seed GROUP BY 1
+""")
+def null_key_completion(spark, sf):
+    """A cell is finished where one of its values is large."""
+    rows = keyed(spark, sf).withColumn("seed", F.col("event_id") % 4)
+    return runs.completion(rows.select("series_id", "seed").distinct(), rows.filter("value > 40"), ["series_id", "seed"], K, "seed")
+
+
+@query("null_key_early_stop", f"""
+WITH RECURSIVE {PLACED_SQL}, best AS (SELECT *, min(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM placed),
+last AS (SELECT *, max(CASE WHEN prior IS NULL OR value <= prior THEN pos END) OVER (PARTITION BY series_id ORDER BY pos) AS last FROM best),
+stop AS (SELECT *, min(CASE WHEN pos - last >= 6 THEN pos END) OVER (PARTITION BY series_id) AS stop FROM last)
+SELECT series_id, max(pos) AS stop_step, min(value) AS best, max(last) AS best_step, bool_or(stop IS NOT NULL) AS stopped FROM stop WHERE stop IS NULL OR pos <= stop GROUP BY 1
+""")
+def null_key_early_stop(spark, sf):
+    """Losses and a key that are missing now and then."""
+    return runs.early_stop(placed_keys(spark, sf), K, "pos", "value", 6).select("series_id", "stop_step", "best", "best_step", "stopped")
+
+
 SHORT_SQL = fx.SERIES_SQL + f""",
-short AS (SELECT * FROM series WHERE pos < {L - 1} + series_id % 14),
+short AS (SELECT series_id * 100000 + pos // ({L - 1} + series_id % 14) AS series_id, pos % ({L - 1} + series_id % 14) AS pos FROM series),
 n AS (SELECT series_id, count(*) AS n FROM short GROUP BY 1),
 sized AS (SELECT series_id, n, (n - {L}) // {R} + 1 AS candidates, greatest(1, ceil(((n - {L}) // {R} + 1) / {BATCH}))::BIGINT AS steps
   FROM n WHERE (n - {L}) // {R} + 1 >= 1)
@@ -138,8 +197,10 @@ sized AS (SELECT series_id, n, (n - {L}) // {R} + 1 AS candidates, greatest(1, c
 
 
 def short_series(spark, sf):
-    """Series of 0 to 13 candidate windows; most have fewer than a batch needs."""
-    return fx.series(spark, sf).filter(F.col("pos") < L - 1 + F.col("series_id") % 14)
+    """All series, cut into pieces of 0 to 13 candidate windows, each a series; most have fewer than a batch needs."""
+    piece = F.floor(F.col("pos") / (L - 1 + F.col("series_id") % 14))
+    rows = fx.series(spark, sf).select((F.col("series_id") * 100000 + piece).cast("bigint").alias("series_id"), "t_us", "event_id")
+    return with_position(rows, K, "t_us", ["event_id"])
 
 
 @query("sample_poisson_short", f"""
@@ -214,14 +275,15 @@ def concat_ordered_any_key(spark, sf):
 
 
 @query("both_sides_report", """
-WITH e AS (SELECT user_id // 10 AS unit, event_type AS action, CASE WHEN event_id % 5 = 0 THEN 'acc' ELSE 'Gyroscope' END AS sensor FROM events
-  WHERE event_id % 3 = 0 OR user_id % 2 = 0),
-h AS (SELECT unit, action, list_sort(list(DISTINCT sensor)) AS h FROM e GROUP BY 1, 2)
+WITH e AS (SELECT user_id // 10 AS unit, event_type AS action, CASE WHEN event_id % 3 <> 0 AND user_id % 2 <> 0 THEN NULL
+  WHEN event_id % 5 = 0 THEN 'acc' ELSE 'Gyroscope' END AS sensor FROM events),
+h AS (SELECT unit, action, coalesce(list_sort(list(DISTINCT sensor) FILTER (sensor IS NOT NULL)), []) AS h FROM e GROUP BY 1, 2)
 SELECT unit, action, len(h) = 2 AS complete, array_to_string(list_sort(list_filter(['acc', 'Gyroscope'], lambda s: NOT list_contains(h, s))), ',') AS missing FROM h
 """)
 def both_sides_report(spark, sf):
     """Which units are skipped, and for want of what."""
-    ev = fx.events(spark, sf).filter((F.col("event_id") % 3 == 0) | (F.col("series_id") % 2 == 0)).select(
+    known = (F.col("event_id") % 3 == 0) | (F.col("series_id") % 2 == 0)
+    ev = fx.events(spark, sf).select(
         F.floor(F.col("series_id") / 10).alias("unit"), F.col("event_type").alias("action"),
-        F.when(F.col("event_id") % 5 == 0, "acc").otherwise("Gyroscope").alias("sensor"))
+        F.when(known, F.when(F.col("event_id") % 5 == 0, "acc").otherwise("Gyroscope")).alias("sensor"))
     return relational.both_sides(ev, ["unit", "action"], "sensor", ["acc", "Gyroscope"])

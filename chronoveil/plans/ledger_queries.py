@@ -22,8 +22,8 @@ def r6(c, name):
 
 
 def tenants(spark, sf):
-    """One row per user: candidates and affected windows."""
-    return sp.geometry(fx.events(spark, sf), K, L, R, 0.04).filter(F.col("candidates") >= BATCH)
+    """One row per user: candidates and affected windows. Users with fewer windows than a batch are not sampled and have no ledger."""
+    return sp.geometry(fx.events(spark, sf), K, L, R, 0.04, short="drop", batch=BATCH)
 
 
 def geometries(spark, sf):

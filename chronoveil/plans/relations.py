@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoveil.operators import checks, clean, geo, relational as rel, split, textscan, windows as wn
-from chronoveil.operators.position import group_bound, join_sized, with_position
+from chronoveil.operators.position import framed, group_bound, join_sized, with_position
 from chronoveil.plans import fixtures as fx
 from chronoveil.plans.registry import query
 from chronoveil.session import scratch_path
@@ -180,6 +180,19 @@ def sink_cache(spark, sf):
     return split_counts(sinks.load_cached(spark, path, "split", "events"))
 
 
+@query("sink_cache_series", f"""
+WITH {fx.SERIES_SQL} SELECT series_id, pos, round(avg(value) OVER w, 6) AS mean, value - lag(value) OVER o AS step FROM series
+WINDOW w AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), o AS (PARTITION BY series_id ORDER BY pos)
+""")
+def sink_cache_series(spark, sf):
+    """Frames over a stored series: its buckets and its longest series are known, so nothing is counted or shuffled again."""
+    path = scratch_path(spark, "series-cache")
+    sinks.cache_series(fx.series(spark, sf).select("series_id", "pos", "value"), path, f"series_{path.rsplit('-', 1)[-1]}", K, "pos", 8)
+    frames = {"mean": lambda w: F.avg("value").over(w.rowsBetween(-4, 0)), "step": lambda w: F.col("value") - F.lag("value").over(w)}
+    out = framed(sinks.load_series(spark, path), K, "pos", 4, 0, frames)
+    return out.select("series_id", "pos", r6(F.col("mean"), "mean"), "step")
+
+
 @query("table_identity", """
 WITH t AS (SELECT o_orderkey AS i, [o_orderkey::VARCHAR, CASE WHEN o_custkey % 7 > 0 THEN o_custkey::VARCHAR END, o_orderstatus, o_orderpriority,
    round(o_totalprice * 100)::BIGINT::VARCHAR] AS v FROM orders),

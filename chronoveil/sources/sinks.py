@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chronoveil.operators.position import ROW_BOUND, SERIES_COUNT, mark_bound
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split", fmt: str = "csv") -> None:
@@ -66,6 +70,35 @@ def load_cached(spark: SparkSession, path: str, split: str, identity: str) -> Da
     return data
 
 
+def cache_series(df: DataFrame, path: str, table: str, keys: Sequence[str], pos: str, buckets: int) -> None:
+    """Store a series with positions as a table in buckets of its keys, each one sorted file, and beside it what is known of the series.
+
+    ``pos`` comes from ``with_position``, so its longest series has been measured.
+    """
+    known = df.schema[pos].metadata
+    if ROW_BOUND not in known:
+        raise ValueError(f"{pos} has no measured bound; place the rows by with_position")
+    spark = df.sparkSession
+    (df.repartition(buckets, *keys).sortWithinPartitions(*keys, pos).write.mode("overwrite").format("parquet").option("path", f"{path}/data")
+     .bucketBy(buckets, *keys).sortBy(*keys, pos).saveAsTable(table))
+    spark.createDataFrame([(table, list(keys), pos, buckets, known[ROW_BOUND], known[SERIES_COUNT], df.schema.json())], _SERIES_META).write.mode(
+        "overwrite").parquet(f"{path}/meta")
+
+
+_SERIES_META = "name string, keys array<string>, pos string, buckets int, longest bigint, series bigint, schema string"
+
+
+def load_series(spark: SparkSession, path: str) -> DataFrame:
+    """A stored series, from any session: windows over its keys in the order of ``pos`` need neither a count nor a shuffle."""
+    meta = spark.read.schema(_SERIES_META).parquet(f"{path}/meta").first()
+    if not spark.catalog.tableExists(meta.name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(meta["schema"])).fields)
+        keys = ", ".join(f"`{k}`" for k in meta["keys"])
+        spark.sql(f"CREATE TABLE {meta.name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}, `{meta.pos}`) "
+                  f"INTO {meta.buckets} BUCKETS LOCATION '{path}/data'")
+    return mark_bound(spark.table(meta.name), meta.pos, meta.longest, meta["keys"], meta.series)
+
+
 def table_identity(df: DataFrame, pos: str, cols: Sequence[str], fanout: int = 1024, levels: int = 4) -> DataFrame:
     """SHA-256 of an ordered table: names and types of its columns, its number of rows, and a hash tree of its values.
 

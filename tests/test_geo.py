@@ -40,8 +40,9 @@ def test_against_brute_force(spark, case, miles):
     rng.shuffle(ids)
     df = spark.createDataFrame([(int(i), *pts[i]) for i in ids], "id bigint, lat double, lng double")
     want = {(a, b) for a in pts for b in pts if a < b and haversine(pts[a], pts[b]) < miles}
-    got = [(r["id_a"], r["id_b"]) for r in geo.close_pairs(df, miles).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for bound in (geo._CELL_POINTS, 7):
+        got = [(r["id_a"], r["id_b"]) for r in geo.close_pairs(df, miles, cell_points=bound).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     assert sorted(r["id"] for r in geo.separated_subset(df, miles).collect()) == greedy(pts, miles)
 
 

@@ -85,3 +85,32 @@ def test_identities(spark, tmp_path):
     assert one != sinks.table_identity(moved, "pos", ["id", "y"], fanout=4, levels=3).first()[0]
     (tmp_path / "f.bin").write_bytes(b"abc")
     assert sinks.file_identity(spark, str(tmp_path / "f.bin")).first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_stored_series_needs_no_shuffle(spark, tmp_path):
+    """Frames, statistics and carries over a stored series plan no exchange; another session finds the table by its path."""
+    from chronoveil.operators.position import framed, series_stats
+    rows = spark.range(600).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("key"), (F.col("id") * 3).alias("t"))
+    placed = with_position(rows, ["key"], "t")
+    path = f"file://{tmp_path}/series"
+    sinks.cache_series(placed, path, "stored_series", ["key"], "pos", 4)
+
+    def build(df):
+        out = framed(df, ["key"], "pos", 3, 0, {"s": lambda w: F.sum("t").over(w.rowsBetween(-3, 0))})
+        return series_stats(out, ["key"], "pos", {"n": F.count("*")})
+    for again in (False, True):
+        if again:
+            spark.sql("DROP TABLE stored_series")
+        found = sinks.load_series(spark, path)
+        out = build(found)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.select("key", "pos", "t", "s", "n").exceptAll(build(placed).select("key", "pos", "t", "s", "n")).isEmpty() and out.count() == 600
+    with pytest.raises(ValueError):
+        sinks.cache_series(rows.withColumn("pos", F.col("t")), path, "stored_again", ["key"], "pos", 4)
+
+
+def test_named_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a/b c.csv"), (2, "a/b c.csv"), (3, "d=1.csv")], "x int, name string")
+    sinks.write_named(df, f"file://{tmp_path}/out", "name")
+    assert sorted((tmp_path / "out" / "a" / "b c.csv").read_text().split()) == ["1", "2", "x"]
+    assert (tmp_path / "out" / "d=1.csv").read_text().split() == ["x", "3"]
