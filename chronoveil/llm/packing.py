@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     # At most ``capacity`` rows come to the driver.
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     groups = max(GROUPS, sum(histogram.values()) // 1_000_000)
-    spread = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    spread = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     ranked = spread.withColumn("place", F.expr(
         "row_number() over (partition by length, grp order by doc_id, piece, ids_crc32) - 1"))
     before = spread.groupBy("length", "grp").count().select("length", "grp", F.expr(
