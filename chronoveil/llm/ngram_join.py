@@ -314,9 +314,9 @@ def one_of_each(docs: DataFrame, size: int = 5, link: tuple[int, int] = (80, 100
     lowest = F.lit(-(2 ** 63))
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", lowest).alias("doc"), "text_hash")
     linked = found.filter("n_shingles > 0").groupBy(F.coalesce("component_id", lowest).alias("c")).agg(F.min(row).alias("k")).select("k.doc", "k.text_hash")
-    doc, mark, turn = base.fresh(docs, "doc"), base.fresh(docs, "hash"), base.fresh(docs, "turn")
+    doc, mark = base.fresh(docs, "doc"), base.fresh(docs, "hash")
     keep = base.written(linked.distinct().select(F.col("doc").alias(doc), F.col("text_hash").alias(mark)), "kept")
     whole = docs.withColumn(doc, F.coalesce(F.col(doc_id).cast("bigint"), lowest)).withColumn(mark, F.xxhash64(F.col(text).cast("string")))
-    kept = whole.join(keep, [doc, mark]).withColumn(turn, F.expr(f"row_number() over (partition by `{doc}`, `{mark}` order by `{doc}`)")).filter(F.col(turn) == 1)
+    kept = whole.dropDuplicates([doc, mark]).join(keep, [doc, mark])  # repeated rows become one before the shuffle
     empty = docs.filter(F.coalesce(~F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
     return kept.select(*docs.columns).unionByName(empty)
