@@ -42,8 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is a table in the shared folder before the next begins."""
+    """All stages over ``documents``; the result of each is a table in the shared folder before the next begins, and goes when that one
+    is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES[:-1]):
-        docs = base.written(stage(spark, docs, sf_dir), f"stage-{number}")
+        before, docs = docs, base.written(stage(spark, docs, sf_dir), f"stage-{number}")
+        base.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
