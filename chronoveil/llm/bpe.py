@@ -17,6 +17,7 @@ ignored; an empty table gives no rows. Ids outside the vocabulary decode to noth
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -32,8 +33,8 @@ from chronoveil.llm import base
 
 #: Longest word, in bytes, whose boundaries fit into a long.
 LONGEST = 60
-#: Distinct words of at most LONGEST bytes that the workers hold (about 60 MB each).
-REMEMBERED = 1_000_000
+#: Distinct words of at most LONGEST bytes that the workers hold (some 50 bytes each).
+REMEMBERED = 1_500_000
 #: Small maps that the rank map is cut into: about three ranks in each.
 _MAPS = 16_384
 #: Stands for no rank, and is as long as any rank is written.
@@ -252,23 +253,21 @@ def frequent(docs: DataFrame, most: int = REMEMBERED) -> DataFrame:
     return kept
 
 
-class _Memory:
-    """Ids of the remembered words, found by the words' hashes and compared with their bytes."""
+def _by_hash(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Remembered words in the order of their hashes: hashes, words, and where the ids of each begin among all ids."""
+    words = table["word"].combine_chunks().cast(pa.large_string())
+    hashes = base.hash_words(words)
+    order = pa.array(np.argsort(hashes))
+    ids = table["ids"].combine_chunks().take(order) if len(words) else pa.array([], pa.list_(pa.int32()))
+    return hashes[order], words.take(order), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)
 
-    def __init__(self, table: pa.Table):
-        words = table["word"].combine_chunks().cast(pa.large_string())
-        hashes = base.hash_words(words)
-        order = np.argsort(hashes)
-        self.hashes, self.words = hashes[order], words.take(pa.array(order))
-        ids = table["ids"].combine_chunks().take(pa.array(order)) if len(words) else pa.array([], pa.list_(pa.int32()))
-        self.starts, self.ids = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)
 
-    def find(self, words: pa.Array) -> np.ndarray:
-        """Place of each word, -1 if it is not remembered."""
-        if not len(self.hashes) or not len(words):
-            return np.full(len(words), -1, dtype=np.int64)
-        at = np.searchsorted(self.hashes, base.hash_words(words)).clip(max=len(self.hashes) - 1)
-        return np.where(pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False), at, -1)
+def _find(hashes: np.ndarray, known: pa.Array, words: pa.Array) -> np.ndarray:
+    """Place of each word, found by its hash and compared with its bytes; -1 if it is not remembered."""
+    if not len(hashes) or not len(words):
+        return np.full(len(words), -1, dtype=np.int64)
+    at = np.searchsorted(hashes, base.hash_words(words)).clip(max=len(hashes) - 1)
+    return np.where(pc.equal(known.take(pa.array(at)), words).to_numpy(zero_copy_only=False), at, -1)
 
 
 def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,26 +277,26 @@ def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERE
     rows = base.documents(docs, doc_id, text)
     known = frequent(rows, remembered)
     folded = base.written(known.select("word", encode_word(F.col("word"), path).alias("ids")), "word-ids")
-    held = spark.sparkContext.broadcast(folded.toArrow().combine_chunks())
+    held = spark.sparkContext.broadcast(_by_hash(folded.toArrow()))
     base.discard(known, folded)
 
     def look_up(batches):
-        memory = _Memory(held.value)
+        hashes, known, starts, ids = held.value
         for batch in batches:
             flat, ends = split_words(batch["text"])
             coded = flat.dictionary_encode()
             distinct, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            place = memory.find(distinct)
+            place = _find(hashes, known, distinct)
             new = place < 0
             long = new & (pc.binary_length(distinct).to_numpy() > LONGEST)
             own = {i: merge(distinct[i].as_py().encode(), ranks(path)) for i in np.flatnonzero(long).tolist()}
-            sizes = np.where(new, 0, memory.starts[place + 1] - memory.starts[place])
-            first = np.where(new, 0, memory.starts[place])
-            pool = [memory.ids]
-            for i, ids in own.items():
-                first[i], sizes[i] = sum(map(len, pool)), len(ids)
-                pool.append(np.array(ids, dtype=np.int32))
-            pool = np.concatenate(pool) if own else memory.ids
+            sizes = np.where(new, 0, starts[place + 1] - starts[place]) if len(starts) > 1 else np.zeros(len(place), np.int64)
+            first = np.where(new, 0, starts[place]) if len(starts) > 1 else np.zeros(len(place), np.int64)
+            pool = [ids]
+            for i, found in own.items():
+                first[i], sizes[i] = sum(map(len, pool)), len(found)
+                pool.append(np.array(found, dtype=np.int32))
+            pool = np.concatenate(pool) if own else ids
             lengths = sizes[codes]
             after = np.concatenate(([0], np.cumsum(lengths)))
             out = pool[np.repeat(first[codes] - after[:-1], lengths) + np.arange(after[-1])]
@@ -317,18 +316,65 @@ def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERE
     return found.select("doc_id", whole.alias("ids"))
 
 
+class _Pieces:
+    """Byte strings by id, laid out one after another; an id that has none has the empty one."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.array([*map(len, pieces), 0], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of ``ids``, one after another, and where each begins, plus the end."""
+        ids = np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
+        lengths = self.sizes[ids]
+        after = np.concatenate(([0], np.cumsum(lengths)))
+        return self.data[np.repeat(self.first[ids] - after[:-1], lengths) + np.arange(after[-1])], after
+
+
+def _pieces_of(path: str) -> _Pieces:
+    table = ranks(path)
+    pieces = [b""] * (max(table.values()) + 1)
+    for piece, rank in table.items():
+        pieces[rank] = piece
+    return _Pieces(pieces)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, one list after another, and where each list begins."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(), offsets - offsets[0]
+
+
 def decode(ids: Column, path: str | None = None) -> Column:
     """The bytes that ids stand for: their pieces, one after another."""
-    table = ranks(path or public_ranks())
-    pieces = [""] * (max(table.values()) + 1)
-    for piece, rank in table.items():
-        pieces[rank] = piece.hex()
-    literal = F.split(F.lit(" ".join(pieces)), " ")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+    path = path or public_ranks()
+
+    @F.arrow_udf("binary")
+    def joined(column: pa.Array) -> pa.Array:
+        flat, ends = _flat(column)
+        data, after = _pieces_of(path).joined(flat)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [
+            None, pa.py_buffer(after[ends].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+    return joined(ids)
 
 
 def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Number and hash of the ids of each text, and hash of the bytes they decode to."""
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-                          F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    path = path or public_ranks()
+
+    def run(batches):
+        pieces = _pieces_of(path)
+        numbers = _Pieces([b"%d " % i for i in range(len(pieces.sizes) - 1)])
+        for batch in batches:
+            flat, ends = _flat(batch["ids"])
+            text, text_ends = numbers.joined(flat)
+            data, data_ends = pieces.joined(flat)
+            text, data, a, b = memoryview(text), memoryview(data), text_ends[ends].tolist(), data_ends[ends].tolist()
+            yield pa.RecordBatch.from_arrays([
+                batch["doc_id"], pa.array(np.diff(ends)),
+                pa.array([hashlib.sha256(text[x:max(x, y - 1)]).hexdigest() for x, y in zip(a, a[1:])], pa.string()),
+                pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(b, b[1:])], pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
