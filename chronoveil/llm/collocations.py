@@ -33,7 +33,7 @@ MOST = 2000
 #: Frequent groups that tasks hold (16 bytes each, and the spelling of words).
 IN_TASKS = 2_000_000
 #: Occurrences whose groups a task counts together before it passes them on.
-_TOGETHER = 4_000_000
+_TOGETHER = 1_500_000
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 _BREAK = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
@@ -73,8 +73,11 @@ def _languages(batch: pa.RecordBatch):
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sum of their counts."""
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(back, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(np.concatenate(counts)[order], first)
 
 
 def _partitions(df: DataFrame) -> int:
@@ -233,9 +236,11 @@ def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
     def tally(batches):
         keys, counts, rows = [], [], 0
         for batch in batches:
-            found = _joined(batch, length)[0]
+            found, many = np.unique(_joined(batch, length)[0], return_counts=True)
+            if not len(found):
+                continue
             keys.append(found)
-            counts.append(np.ones(len(found), np.int64))
+            counts.append(many)
             rows += len(found)
             if rows > _TOGETHER:
                 key, n = _summed(keys, counts)
