@@ -51,10 +51,11 @@ def occurrences(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.n
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     begins = np.flatnonzero(first & ~apart)
     packed = data[~apart]
-    starts = np.append((np.cumsum(~apart) - ~apart)[begins], len(packed)).astype(np.int64)
+    inside = np.cumsum(~apart, dtype=np.int32)
+    starts = np.append(inside[begins] - 1, len(packed)).astype(np.int64)
     flat = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(packed))
     ends = np.searchsorted(begins, offsets)
-    piece = np.cumsum(stop)[begins] if len(begins) else np.zeros(0, np.int64)
+    piece = np.cumsum(stop, dtype=np.int32)[begins] if len(begins) else np.zeros(0, np.int64)
     changes = np.concatenate(([0], np.cumsum(np.diff(piece) > 0))) if len(begins) else piece
     place = np.arange(len(begins)) + changes
     inside = ends[:-1][np.diff(ends) > 0]  # the first word of each text that has one
