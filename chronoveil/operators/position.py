@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from chronoveil.session import scratch_path
+
 BLOCK_ROWS = 1 << 20
 # Rows times columns of a broadcast table: some 10 MB.
 BROADCAST_CELLS = 400_000
@@ -76,7 +78,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
     """Add the 0-based position of each row in its series, ordered by ``order`` (a BIGINT) then ``tie``."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     long_keys = sizes.filter(F.col("_n") > block_rows)
-    longest, n_long, n_series = sizes.agg(F.max("_n"), F.count_if(F.col("_n") > block_rows), F.count(F.lit(1))).first()
+    longest, n_long, n_series, n_rows = sizes.agg(
+        F.max("_n"), F.count_if(F.col("_n") > block_rows), F.count(F.lit(1)), F.sum("_n")).first()
     if not n_long:
         spec = Window.partitionBy(*keys).orderBy(order, *tie)
         placed = df.withColumn(out, F.row_number().over(spec).cast("bigint") - 1)
@@ -89,6 +92,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
     tagged = _refine(tagged.withColumn("_long", F.col("_lo").isNotNull()).drop("_lo", "_width"), keys, order, tie, block_rows)
     blocks = [BLK, "_sub"]
     counts = tagged.filter("_long").groupBy(*keys, *blocks).agg(F.count(F.lit(1)).alias("_c"))
+    if counts.agg(F.max("_c")).first()[0] > 4 * block_rows:  # equal times whose ties are no numbers, or bursts within bursts
+        return mark_bound(_position_by_ranges(df, keys, order, tie, out, -(-n_rows // block_rows)), out, longest, keys, n_series)
     earlier = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, *blocks, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
     local = Window.partitionBy(*keys, *blocks).orderBy(order, *tie)
@@ -100,6 +105,23 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
     return mark_bound(placed, out, longest, keys, n_series)
 
 
+def _position_by_ranges(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], out: str, ranges: int) -> DataFrame:
+    """Positions from ranges of the full order, of any types: rows are sorted into equal ranges, whatever they hold, numbered where they lie,
+    and shifted by the rows of their series in earlier ranges. The ranges are a written table, so every evaluation agrees on them."""
+    spark = df.sparkSession
+    full = [*keys, order, *tie, "_place"]
+    cut = (df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(max(2, ranges), *full).sortWithinPartitions(*full)
+           .withColumn("_place", F.monotonically_increasing_id()))
+    path = scratch_path(spark, "positions")
+    cut.write.parquet(path)
+    rows = spark.read.schema(cut.schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    counts = rows.groupBy(*keys, "_part").agg(F.min("_place").alias("_least"), F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_part", "_least", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    met = join_null_safe(rows, counts, [*keys, "_part"])
+    return met.select(*df.columns, (F.col("_place") - F.col("_least") + F.col("_off")).cast("bigint").alias(out))
+
+
 def _refine(tagged: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], block_rows: int) -> DataFrame:
     """Cut blocks of long keys that are still too large (bursts, equal times) once more; adds ``_sub``.
 

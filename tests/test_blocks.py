@@ -47,6 +47,16 @@ def test_position_equals_plain_row_number(short, long):
     same(short.select(*ID, "event_id"), long.select(*ID, "event_id"), ID)
 
 
+def test_position_of_equal_times_with_text_ties(spark):
+    """No range has more rows than its share where all times are equal, ties are texts and a key is null."""
+    i = F.col("id")
+    df = spark.range(900).select(F.when(i % 9 > 0, 0).cast("bigint").alias("series_id"), F.lit(5).cast("bigint").alias("t"),
+                                 F.format_string("e%04d", (i * 7919) % 1000).alias("name")).repartition(4)
+    cut = ps.with_position(df, K, "t", ["name"], block_rows=SMALL)
+    same(ps.with_position(df, K, "t", ["name"]).select("name", "pos"), cut.select("name", "pos"), ["name"])
+    assert cut.schema["pos"].metadata[ps.ROW_BOUND] == 800
+
+
 @pytest.mark.parametrize("kind", ["equal", "burst"])
 def test_position_of_bursts_and_equal_times(spark, kind):
     """Most rows of the long series share one time, or lie in a sliver of its range."""
