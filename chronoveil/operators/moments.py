@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -197,23 +200,106 @@ def analytic_traces(vectors: DataFrame, index: str, total: str, col: str, batch:
     return baseline.unionByName(poisson.select(F.lit("poisson").alias("method"), "trace"))
 
 
+#: Levels of the tree of draws that lie inside a block of vectors: 2^10 of them.
+_BLOCK_LEVELS = 10
+
+
+@lru_cache(4096)
+def _binomial_cdf(trials: int, left: int, size: int) -> tuple[int, np.ndarray]:
+    """First value in sight and the distribution function of Binomial(trials, left / size) from there: twelve deviations around the mean."""
+    p = left / size
+    mean, spread = trials * p, 12 * math.sqrt(trials * p * (1 - p)) + 12
+    k = np.arange(max(0, math.floor(mean - spread)), min(trials, math.ceil(mean + spread)) + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log((trials - k[:-1]) / k[1:]) + math.log(left / (size - left)))))
+    weights = np.exp(logs - logs.max())
+    return int(k[0]), np.cumsum(weights / weights.sum())[:-1]
+
+
+def _split(draws: int, left: int, size: int, text: str) -> int:
+    """How many of ``draws`` members of a range fall into its first ``left`` ones: one binomial draw from the hash of ``text``."""
+    if not draws or left == size:
+        return draws
+    u = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2.0 ** 52
+    first, cdf = _binomial_cdf(draws, left, size)
+    return first + int(np.searchsorted(cdf, u, side="right"))
+
+
+def _ranges(name: str, total: int, at: int, level: int, draws: int, stop: int) -> Iterator[tuple[int, int]]:
+    """(beginning, draws) of every range of 2^stop members below the range of 2^level members at ``at``."""
+    ranges = [(at, level, draws)]
+    while ranges:
+        at, level, draws = ranges.pop()
+        if level <= stop:
+            yield at, draws
+            continue
+        half = 1 << (level - 1)
+        left = _split(draws, min(half, total - at), min(2 * half, total - at), f"{name}|{at}|{level}")
+        ranges.append((at, level - 1, left))
+        if at + half < total:
+            ranges.append((at + half, level - 1, draws - left))
+
+
 def bootstrap_traces(vectors: DataFrame, index: str, total: str, col: str, repetitions: int, seed: int,
                      role: str = "boot", keys: Sequence[str] = ()) -> DataFrame:
     """Covariance trace of each bootstrap resample: rows (keys, rep, trace).
 
-    A resample draws n members with replacement. Picks are generated from (rep, slot), counted per (rep, member) and
-    joined once; sums are per (rep, dimension).
+    A resample draws n of n members with replacement: the counts are multinomial. They are drawn down a tree of index ranges,
+    where each range splits its draws between its halves by one binomial draw. A repetition is split down to blocks of 1024 members in
+    one task (n / 1024 numbers); the rest of the tree is drawn next to the vectors of a block, whose products with the counts of all
+    repetitions are summed in the task. Neither picks nor vectors are shuffled by repetition.
     """
-    sizes = vectors.groupBy(*keys).agg(F.max(total).alias("_n"))
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    slots = spread_sequence(reps, [*keys, "rep"], "_n", "_slot")
-    member = pick(uniform(seed, role, *[F.col(k) for k in keys], F.col("rep"), F.col("_slot")), F.lit(0), F.col("_n"))
-    counts = (slots.select(*keys, "rep", "_n", member.alias(index))
-              .groupBy(*keys, "rep", "_n", index).agg(F.count(F.lit(1)).alias("_c")))
-    rows = counts.join(vectors.select(*keys, index, col), [*keys, index])
-    per_dim = (rows.select(*keys, "rep", "_n", "_c", F.posexplode(col).alias("d", "x"))
-               .groupBy(*keys, "rep", "_n", "d").agg(F.sum(F.col("_c") * F.col("x")).alias("s"),
-                                                     F.sum(F.col("_c") * F.col("x") * F.col("x")).alias("q")))
+    fields = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    head = "".join(f"{k} {fields[k]}, " for k in keys)
+    sizes = vectors.groupBy(*keys).agg(F.max(total).cast("bigint").alias("_n"))
+    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).repartition(*keys, "rep")
+
+    def name(key: tuple, rep: int) -> str:
+        return "|".join(map(str, (seed, role, *key, rep)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, n, rep = tuple(batch[k][i].as_py() for k in keys), batch["_n"][i].as_py(), batch["rep"][i].as_py()
+                found = list(_ranges(name(key, rep), n, 0, max(int(n - 1).bit_length(), _BLOCK_LEVELS), n, _BLOCK_LEVELS))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v] * len(found), batch.schema.field(k).type) for k, v in zip(keys, key)] + [
+                        pa.array([n] * len(found), pa.int64()), pa.array([rep] * len(found), pa.int32()),
+                        pa.array([a >> _BLOCK_LEVELS for a, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())],
+                    [*keys, "_n", "rep", "_block", "_t"])
+
+    drawn = reps.mapInArrow(draw, f"{head}_n bigint, rep int, _block bigint, _t bigint")
+    drawn = drawn.groupBy(*keys, "_n", "_block").agg(F.sort_array(F.collect_list(F.struct("rep", "_t"))).alias("_draws"))
+    block = F.shiftright(F.col(index).cast("bigint"), _BLOCK_LEVELS).alias("_block")
+    member = F.struct(F.col(index).cast("bigint").alias("at"), F.col(col).cast("array<double>").alias("x"))
+    blocks = vectors.groupBy(*keys, block).agg(F.collect_list(member).alias("_members"))
+    met = join_null_safe(blocks, drawn, [*keys, "_block"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for i in range(batch.num_rows):
+                key, n, at = tuple(batch[k][i].as_py() for k in keys), batch["_n"][i].as_py(), batch["_block"][i].as_py() << _BLOCK_LEVELS
+                members, ways = batch["_members"][i].as_py(), batch["_draws"][i].as_py()
+                x = np.array([m["x"] for m in members])
+                place = np.array([m["at"] - at for m in members])
+                counts = np.zeros((len(ways), 1 << _BLOCK_LEVELS))
+                for row, way in enumerate(ways):
+                    for a, t in _ranges(name(key, way["rep"]), n, at, _BLOCK_LEVELS, way["_t"], 0):
+                        counts[row, a - at] = t
+                picked = counts[:, place]
+                for way, s, q in zip(ways, picked @ x, picked @ (x * x)):
+                    old = found.get((key, n, way["rep"]))
+                    found[key, n, way["rep"]] = (s, q) if old is None else (old[0] + s, old[1] + q)
+        for (key, n, rep), (s, q) in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * len(s), t) for v, t in zip(key, kinds)] + [
+                    pa.array([rep] * len(s), pa.int32()), pa.array([n] * len(s), pa.int64()), pa.array(np.arange(len(s), dtype=np.int32)),
+                    pa.array(s), pa.array(q)], [*keys, "rep", "_n", "d", "s", "q"])
+
+    partial = met.mapInArrow(sums, f"{head}rep int, _n bigint, d int, s double, q double")
+    per_dim = partial.groupBy(*keys, "rep", "_n", "d").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
     n = F.col("_n")
     return per_dim.groupBy(*keys, "rep").agg(F.greatest(F.lit(0.0), F.sum(
         F.col("q") / n - (F.col("s") / n) * (F.col("s") / n))).alias("trace"))

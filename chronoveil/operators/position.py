@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from chronoveil.session import scratch_path
@@ -48,8 +49,9 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int | None, how: str = "inner") -> DataFrame:
     """Null-safe join that broadcasts ``small`` only when its row count is known to be small and its rows are of a few
-    columns; otherwise AQE chooses (skew join included)."""
-    few = rows is not None and rows * max(1, len(small.columns)) <= BROADCAST_CELLS
+    columns of one value each; otherwise AQE chooses by bytes (skew join included)."""
+    plain = all(not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in small.schema.fields)
+    few = rows is not None and plain and rows * max(1, len(small.columns)) <= BROADCAST_CELLS
     return join_null_safe(big, F.broadcast(small) if few else small, on, how)
 
 

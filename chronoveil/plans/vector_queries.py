@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoveil.operators import moments as mo
-from chronoveil.operators.position import with_position
+from chronoveil.operators.split import pooled_position
 from chronoveil.plans import fixtures as fx
 from chronoveil.plans.registry import query
 from chronoveil.plans.sampling_queries import hits_sql
@@ -165,9 +165,15 @@ def boot_sql(role: str, name: str, cond: str) -> str:
     """CTE ``<name>(rep, trace)`` of the vectors whose label satisfies ``cond`` (index = rank inside the part)."""
     return f"""
 v_{name} AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n FROM vecs WHERE {cond}),
-s_{name} AS (SELECT rep, slot, n FROM (SELECT DISTINCT n FROM v_{name}), (SELECT unnest(generate_series(0, {REPS - 1})) AS rep),
-  LATERAL (SELECT unnest(generate_series(0, n - 1)) AS slot)),
-c_{name} AS (SELECT rep, n, floor({fx.u_sql(f"'{role}'", 'rep', 'slot')} * n)::BIGINT AS idx, count(*) AS c FROM s_{name} GROUP BY 1, 2, 3),
+t_{name} AS (SELECT rep, 0::BIGINT AS lo, greatest(10, ceil(log2(n)))::BIGINT AS l, n AS size, n AS t, n FROM (SELECT DISTINCT n FROM v_{name}), (SELECT unnest(generate_series(0, {REPS - 1})) AS rep)
+  UNION ALL SELECT rep, lo + c * least(size, 1 << (l - 1)), l - 1, CASE c WHEN 0 THEN least(size, 1 << (l - 1)) ELSE size - least(size, 1 << (l - 1)) END,
+    CASE c WHEN 0 THEN k ELSE t - k END, n
+  FROM (SELECT *, CASE WHEN t = 0 OR part = size THEN t ELSE list_reduce(list_prepend({{'s': 0.0::DOUBLE, 'n': 0::BIGINT}}, list_transform(range(0, t), lambda j: {{
+      's': exp(lgamma(t + 1) - lgamma(j + 1) - lgamma(t - j + 1) + j * ln(part / size) + (t - j) * ln((size - part) / size)), 'n': 0::BIGINT}})),
+      lambda a, x: {{'s': a.s + x.s, 'n': a.n + (a.s + x.s <= u)::BIGINT}}).n END AS k
+    FROM (SELECT *, least(size, 1 << (l - 1)) AS part, {fx.u_sql(f"'{role}'", 'rep', 'lo', 'l')} AS u FROM t_{name} WHERE l > 0)), (VALUES (0), (1)) v(c)
+  WHERE c = 0 OR size > least(size, 1 << (l - 1))),
+c_{name} AS (SELECT rep, n, lo AS idx, t AS c FROM t_{name} WHERE l = 0),
 e_{name} AS (SELECT idx, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v_{name}),
 d_{name} AS (SELECT rep, any_value(n) AS n, d, sum(c * x) AS s, sum(c * x * x) AS q FROM c_{name} JOIN e_{name} USING (idx) GROUP BY rep, d),
 {name} AS (SELECT rep, greatest(0, sum(q / n - (s / n) * (s / n))) AS trace FROM d_{name} GROUP BY 1)
@@ -177,15 +183,15 @@ d_{name} AS (SELECT rep, any_value(n) AS n, d, sum(c * x) AS s, sum(c * x * x) A
 def half(spark, sf, parity):
     """Vectors of even or odd labels (all without ``parity``) with their own index and size."""
 
-    v = fx.vectors(spark, sf).withColumn("g", F.lit(0))
+    v = fx.vectors(spark, sf)
     if parity is not None:
         v = v.filter(F.col("label") % 2 == parity)
-    placed = with_position(v, ["g"], "vec_id", out="idx")
+    placed = pooled_position(v.withColumn("one", F.lit(0).cast("bigint")), ["vec_id"], "one").withColumnRenamed("pool_pos", "idx")
     return placed.withColumn("n", v.agg(F.count(F.lit(1))).scalar()).select("idx", "n", "v")
 
 
 @query("bootstrap_trace", f"""
-WITH {fx.VECTORS_SQL}, {boot_sql('boot', 'bt', 'true')}
+WITH RECURSIVE {fx.VECTORS_SQL}, {boot_sql('boot', 'bt', 'true')}
 SELECT round(quantile_cont(trace, 0.025), 6) AS low, round(quantile_cont(trace, 0.975), 6) AS high FROM bt
 """)
 def bootstrap_trace(spark, sf):
@@ -194,7 +200,7 @@ def bootstrap_trace(spark, sf):
 
 
 @query("bootstrap_compare", f"""
-WITH {fx.VECTORS_SQL}, {boot_sql('boot_a', 'ba', 'label % 2 = 0')}, {boot_sql('boot_b', 'bb', 'label % 2 = 1')},
+WITH RECURSIVE {fx.VECTORS_SQL}, {boot_sql('boot_a', 'ba', 'label % 2 = 0')}, {boot_sql('boot_b', 'bb', 'label % 2 = 1')},
 p AS (SELECT bb.trace - ba.trace AS df, CASE WHEN ba.trace > 0 THEN bb.trace / ba.trace END AS rt FROM ba JOIN bb USING (rep))
 SELECT round(quantile_cont(df, 0.025), 6) AS difference_low, round(quantile_cont(df, 0.975), 6) AS difference_high,
   round(quantile_cont(rt, 0.025), 6) AS ratio_low, round(quantile_cont(rt, 0.975), 6) AS ratio_high, round(avg((df < 0)::INT), 6) AS p_below FROM p

@@ -67,6 +67,33 @@ def test_bootstrap_traces_are_centred_on_the_population(population):
     assert (ci["low"], ci["high"]) == pytest.approx(tuple(np.quantile(v, [0.025, 0.975])))
 
 
+def test_bootstrap_counts_are_multinomial():
+    """Every range of a tree has the draws of its parts, members are drawn alike, and a block drawn alone has the draws it has in the whole."""
+    n, total = 2500, np.zeros(2500)
+    for rep in range(200):
+        whole = dict(moments._ranges(f"s|{rep}", n, 0, 12, n, 0))
+        assert sorted(whole) == list(range(n)) and sum(whole.values()) == n
+        total += [whole[i] for i in range(n)]
+        if rep < 3:
+            for at, t in moments._ranges(f"s|{rep}", n, 0, 12, n, 10):
+                assert dict(moments._ranges(f"s|{rep}", n, at, 10, t, 0)) == {i: whole[i] for i in range(at, min(at + 1024, n))}
+    assert total.mean() == pytest.approx(200) and total.var() == pytest.approx(200, rel=0.1)
+
+
+def test_bootstrap_over_blocks_and_groups(spark):
+    """Groups of several blocks, one without a key, against counts drawn one by one."""
+    rng = np.random.default_rng(12)
+    x = {None: rng.normal(size=(1500, 3)), 4: rng.normal(size=(2100, 3))}
+    rows = [(g, i, len(v), [float(a) for a in v[i]]) for g, v in x.items() for i in range(len(v))]
+    df = spark.createDataFrame(rows, "g bigint, i bigint, n bigint, v array<double>").repartition(7)
+    for r in moments.bootstrap_traces(df, "i", "n", "v", 5, 9, keys=["g"]).collect():
+        v = x[r["g"]]
+        counts = dict(moments._ranges(f"9|boot|{r['g']}|{r['rep']}", len(v), 0, 12 if len(v) > 2048 else 11, len(v), 0))
+        c = np.array([counts[i] for i in range(len(v))])
+        mean = (c[:, None] * v).sum(axis=0) / len(v)
+        assert r["trace"] == pytest.approx(((c[:, None] * v * v).sum(axis=0) / len(v) - mean ** 2).sum(), rel=1e-9)
+
+
 @pytest.fixture(scope="module")
 def walk(spark):
     v = np.cumsum(np.random.default_rng(8).normal(size=200))
