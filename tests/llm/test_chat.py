@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from chronoveil.llm import chat
+from chronoveil.llm import chat, queries
 
 KIND = "conv_id bigint, turn bigint, role string, text string, participant string, part int, block string"
 
@@ -48,3 +48,8 @@ def test_perspectives(spark):
 
 def test_empty(spark):
     assert chat.rotate(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_native_plan(spark, sf_dir):
+    plan = queries.QUERIES["op10_perspectives"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
