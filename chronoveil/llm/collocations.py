@@ -82,62 +82,100 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _partitions(df: DataFrame) -> int:
-    """Parts that counts are packed into: one for each shuffle partition."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Parts that counts are packed into: some for each shuffle partition, so that a task adds up one small part after another."""
+    return 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _dealt(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries in the order of their part, the parts that have any, and where each begins."""
+def _dealt(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Entries in the order of their part, and for each part that has any where it begins and ends."""
     order = np.argsort(part, kind="stable")
     there, first = np.unique(part[order], return_index=True)
-    return order, there, np.append(first, len(part))
+    return order, list(zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(part)]))
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word and its occurrences; the row of each language with an empty word has all of them.
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0, compressed byte by byte of the same rank."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
-    Counts of a task are packed by the part of the words' hashes, a row for each language and part, and unpacked behind the shuffle.
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def _by_part(batches):
+    """Rows of a task by part, which they are sorted by."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["part"] != now:
+                yield rows
+                rows = []
+            now = row["part"]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """lang, word and its occurrences, of words with ``least``; the row of each language with an empty word has all of them.
+
+    Counts of a task are packed by the part of the words' hashes, a row for each language and part, and added up part by part.
     """
     parts_all = _partitions(docs)
+    packed = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("bytes", pa.int64()), ("words", pa.binary()), ("n", pa.binary())])
+    names = ["lang", "word", "n"]
 
-    def packed(table: pa.Table):
+    def rows_of(lang: str, words: pa.Array, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        order, slices = _dealt(part)
+        words, n = words.take(pa.array(order)).to_pylist(), n[order]
+        texts = [" ".join(words[a:b]).encode() for _, a, b in slices]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
+            [p for p, _, _ in slices], [lang] * len(slices), [b - a for _, a, b in slices], [len(x) for x in texts],
+            [pa.compress(x, "zstd", asbytes=True) if x else b"" for x in texts], [_packed(n[a:b]) for _, a, b in slices]), packed.types)], schema=packed)
+
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns(names)
+
+    def emit(table: pa.Table):
         for lang in table["lang"].unique().to_pylist():
             own = table.filter(pc.equal(table["lang"], lang))
-            words, n = own["word"].combine_chunks(), own["n"].to_numpy()
-            order, there, first = _dealt((base.hash_words(words) % np.uint64(parts_all)).astype(np.int64))
-            words, n = words.take(pa.array(order)).to_pylist(), n[order]
-            for part, a, b in zip(there.tolist(), first[:-1].tolist(), first[1:].tolist()):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang]), pa.array([" ".join(words[a:b])]),
-                                                  pa.array([n[a:b].tolist()], pa.list_(pa.int64()))], ["part", "lang", "words", "n"])
+            words = own["word"].combine_chunks()
+            yield rows_of(lang, words, own["n"].to_numpy(), (base.hash_words(words) % np.uint64(parts_all)).astype(np.int64))
 
     def tally(batches):
         parts, rows, totals = [], 0, {}
-
-        def merged():
-            return pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns(["lang", "word", "n"])
         for batch in batches:
             for lang, texts, _ in _languages(batch):
                 words, codes, _, _ = occurrences(texts)
                 totals[lang] = totals.get(lang, 0) + len(codes)
                 parts.append(pa.table([pa.array([lang] * len(words), pa.string()), words.cast(pa.string()),
-                                       pa.array(np.bincount(codes, minlength=len(words)))], ["lang", "word", "n"]))
+                                       pa.array(np.bincount(codes, minlength=len(words)))], names))
                 rows += len(words)
             if rows > _TOGETHER:
-                parts = [merged()]
+                parts = [merged(parts)]
                 rows = len(parts[0])
                 if rows > _TOGETHER // 2:
-                    yield from packed(parts[0])
+                    yield from emit(parts[0])
                     parts, rows = [], 0
         if parts:
-            yield from packed(merged())
-        if totals:
-            yield pa.RecordBatch.from_arrays([
-                pa.array([zlib.crc32(k.encode()) % parts_all for k in totals], pa.int32()), pa.array(list(totals)), pa.array([""] * len(totals)),
-                pa.array([[n] for n in totals.values()], pa.list_(pa.int64()))], ["part", "lang", "words", "n"])
+            yield from emit(merged(parts))
+        for lang, n in totals.items():
+            yield rows_of(lang, pa.array([""]), np.array([n]), np.array([zlib.crc32(lang.encode()) % parts_all]))
 
-    rows = docs.mapInArrow(tally, "part int, lang string, words string, n array<bigint>").repartition("part")
-    each = rows.select("part", "lang", F.explode(F.arrays_zip(F.split("words", " ").alias("word"), "n")).alias("e"))
-    return each.select("part", "lang", "e.*").groupBy("part", "lang", "word").agg(F.sum("n").alias("n")).drop("part")
+    def add_up(batches):
+        for rows in _by_part(batches):
+            parts = []
+            for r in rows:
+                text = pa.decompress(r["words"], r["bytes"], "zstd", asbytes=True).decode() if r["bytes"] else ""
+                parts.append(pa.table([pa.array([r["lang"]] * r["size"], pa.string()), pa.array(text.split(" "), pa.string()),
+                                       pa.array(_unpacked(r["n"], r["size"]))], names))
+            found = merged(parts)
+            found = found.filter(pc.or_(pc.greater_equal(found["n"], least), pc.equal(found["word"], "")))
+            yield from found.combine_chunks().to_batches()
+
+    rows = docs.mapInArrow(tally, "part int, lang string, size int, bytes bigint, words binary, n binary").repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(add_up, "lang string, word string, n bigint")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,12 +265,15 @@ def _joined(batch: pa.RecordBatch, length: int):
 def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
     """Frequent groups of ``length`` words: key (phrase id, word id) and n. Counts of a task are packed by part, as those of words are."""
     parts = _partitions(relation)
+    packed = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
-    def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        order, there, first = _dealt((base.mix(key) % np.uint64(parts)).astype(np.int64))
-        key = key[order]
-        lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(v.astype(np.int32))) for v in (key >> 32, key & 0xFFFFFFFF, n[order])]
-        return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *lists], ["part", "before", "last", "n"])
+    def rows_of(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Keys ascend within a part, so their differences are small numbers."""
+        order, slices = _dealt((base.mix(key) % np.uint64(parts)).astype(np.int64))
+        key, n = key[order], n[order]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
+            [p for p, _, _ in slices], [b - a for _, a, b in slices], [_packed(np.diff(key[a:b], prepend=0)) for _, a, b in slices],
+            [_packed(n[a:b]) for _, a, b in slices]), packed.types)], schema=packed)
 
     def tally(batches):
         keys, counts, rows = [], [], 0
@@ -247,15 +288,19 @@ def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
                 key, n = _summed(keys, counts)
                 keys, counts, rows = [key], [n], len(key)
                 if rows > _TOGETHER // 2:
-                    yield packed(key, n)
+                    yield rows_of(key, n)
                     keys, counts, rows = [], [], 0
         if rows:
-            yield packed(*_summed(keys, counts))
+            yield rows_of(*_summed(keys, counts))
+
+    def add_up(batches):
+        for rows in _by_part(batches):
+            key, n = _summed([np.cumsum(_unpacked(r["keys"], r["size"])) for r in rows], [_unpacked(r["n"], r["size"]) for r in rows])
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(n[often])], ["key", "n"])
 
-    rows = relation.mapInArrow(tally, "part int, before array<int>, last array<int>, n array<int>").repartition("part")
-    each = rows.select("part", F.explode(F.arrays_zip("before", "last", "n")).alias("e")).select("part", "e.*")
-    counted = each.groupBy("part", "before", "last").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return counted.select((F.shiftleft(F.col("before").cast("bigint"), 32) + F.col("last")).alias("key"), "n")
+    rows = relation.mapInArrow(tally, "part int, size int, keys binary, n binary").repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(add_up, "key bigint, n bigint")
 
 
 def _keep(relation: DataFrame, groups: DataFrame, length: int, in_tasks: int) -> DataFrame:
@@ -303,7 +348,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in_task
     base.set_up(docs.sparkSession)
     rows = base.pick(docs, lang=(lang, "string"), text=(text, "string")).select(
         F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.monotonically_increasing_id().alias("block"))
-    counted = base.written(_word_counts(rows).filter((F.col("n") >= least) | (F.col("word") == "")), "word-counts")
+    counted = base.written(_word_counts(rows, least), "word-counts")
     words = base.ranked(counted.filter("word <> ''"), [], ["lang", "word"], "frequent-words")
     out = counted.select("lang", F.when(F.col("word") == "", 0).otherwise(1).alias("size"), F.col("word").alias("phrase"),
                          F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"), "n")
