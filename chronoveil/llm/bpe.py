@@ -35,6 +35,8 @@ from chronoveil.llm import base
 LONGEST = 60
 #: Distinct words of at most LONGEST bytes that the workers hold (some 50 bytes each).
 REMEMBERED = 1_500_000
+#: Bytes of an Arrow batch: a task has two workers at a time, and each takes some thirty times as much for one batch.
+BATCH_BYTES = "1m"
 #: Small maps that the rank map is cut into: about three ranks in each.
 _MAPS = 16_384
 #: Stands for no rank, and is as long as any rank is written.
@@ -273,6 +275,7 @@ def _find(hashes: np.ndarray, known: pa.Array, words: pa.Array) -> np.ndarray:
 def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ``ids`` of every text. ``remembered`` bounds the words that are folded once, and changes no id."""
     spark = base.set_up(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     path = path or public_ranks()
     rows = base.documents(docs, doc_id, text)
     known = frequent(rows, remembered)
