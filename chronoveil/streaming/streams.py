@@ -84,30 +84,36 @@ class InOrder(StatefulProcessor):
         if not self.ts:
             yield from self.take(key, pd.concat(list(rows)).sort_values(self.order))
             return
+        first = None
         for pdf in rows:
             if pdf.empty:  # a call for timers only
                 continue
             pdf = pdf[["row_ms", *self.fields]].assign(row_ms=pdf["row_ms"].astype("int64"))
+            first = int(pdf["row_ms"].min()) if first is None else min(first, int(pdf["row_ms"].min()))
             for bucket, part in pdf.groupby(pdf["row_ms"] // self.bucket_ms):
                 name = (int(bucket),)
                 columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in part.columns]
                 before = self.waiting.getValue(name) if self.waiting.containsKey(name) else [[] for _ in columns]
                 self.waiting.updateValue(name, tuple([*old, *new] for old, new in zip(before, columns)))
-                self.handle.registerTimer(int(part["row_ms"].min()))
+        if first is not None:  # one timer for a micro-batch: when it expires, the next one follows
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        ready = []
-        for bucket in sorted(b for (b,) in self.waiting.keys() if b * self.bucket_ms <= passed):
+        ready, buckets = [], sorted(b for (b,) in self.waiting.keys())
+        later = [b * self.bucket_ms for b in buckets if b * self.bucket_ms > passed][:1]
+        for bucket in (b for b in buckets if b * self.bucket_ms <= passed):
             rows = pd.DataFrame(dict(zip(["row_ms", *self.fields], self.waiting.getValue((bucket,)))))
             behind = rows["row_ms"] <= passed
             ready.append(rows[behind])
             rest = rows[~behind]
             if len(rest):  # only in the bucket the watermark lies in
                 self.waiting.updateValue((bucket,), tuple(rest[c].astype(object).tolist() for c in rest.columns))
-                self.handle.registerTimer(int(rest["row_ms"].min()))
+                later = [int(rest["row_ms"].min())]
             else:
                 self.waiting.removeKey((bucket,))
+        for ms in later:
+            self.handle.registerTimer(ms)
         # The timers of one watermark come one after another; the first takes all rows.
         if sum(map(len, ready)):
             yield from self.take(key, pd.concat(ready).sort_values(self.order))
