@@ -15,8 +15,6 @@ ignored; without a frequent phrase, or without rows, there is no row. Counts are
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,101 +79,35 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(np.concatenate(counts)[order], first)
 
 
-def _partitions(df: DataFrame) -> int:
-    """Parts that counts are packed into: some for each shuffle partition, so that a task adds up one small part after another."""
-    return 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _dealt(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Entries in the order of their part, and for each part that has any where it begins and ends."""
-    order = np.argsort(part, kind="stable")
-    there, first = np.unique(part[order], return_index=True)
-    return order, list(zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(part)]))
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers from 0, compressed byte by byte of the same rank."""
-    return pa.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
-
-
-def _by_part(batches):
-    """Rows of a task by part, which they are sorted by."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row["part"] != now:
-                yield rows
-                rows = []
-            now = row["part"]
-            rows.append(row)
-    if rows:
-        yield rows
-
-
-def _word_counts(docs: DataFrame, least: int) -> DataFrame:
-    """lang, word and its occurrences, of words with ``least``; the row of each language with an empty word has all of them.
-
-    Counts of a task are packed by the part of the words' hashes, a row for each language and part, and added up part by part.
-    """
-    parts_all = _partitions(docs)
-    packed = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("bytes", pa.int64()), ("words", pa.binary()), ("n", pa.binary())])
-    names = ["lang", "word", "n"]
-
-    def rows_of(lang: str, words: pa.Array, n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        order, slices = _dealt(part)
-        words, n = words.take(pa.array(order)).to_pylist(), n[order]
-        texts = [" ".join(words[a:b]).encode() for _, a, b in slices]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
-            [p for p, _, _ in slices], [lang] * len(slices), [b - a for _, a, b in slices], [len(x) for x in texts],
-            [pa.compress(x, "zstd", asbytes=True) if x else b"" for x in texts], [_packed(n[a:b]) for _, a, b in slices]), packed.types)], schema=packed)
-
-    def merged(parts: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns(names)
-
-    def emit(table: pa.Table):
-        for lang in table["lang"].unique().to_pylist():
-            own = table.filter(pc.equal(table["lang"], lang))
-            words = own["word"].combine_chunks()
-            yield rows_of(lang, words, own["n"].to_numpy(), (base.hash_words(words) % np.uint64(parts_all)).astype(np.int64))
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word and its occurrences; the row of each language without a word has all of them."""
+    kind = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def tally(batches):
         parts, rows, totals = [], 0, {}
+
+        def merged():
+            return pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns(["lang", "word", "n"])
         for batch in batches:
             for lang, texts, _ in _languages(batch):
                 words, codes, _, _ = occurrences(texts)
                 totals[lang] = totals.get(lang, 0) + len(codes)
                 parts.append(pa.table([pa.array([lang] * len(words), pa.string()), words.cast(pa.string()),
-                                       pa.array(np.bincount(codes, minlength=len(words)))], names))
+                                       pa.array(np.bincount(codes, minlength=len(words)))], ["lang", "word", "n"]))
                 rows += len(words)
             if rows > _TOGETHER:
-                parts = [merged(parts)]
+                parts = [merged()]
                 rows = len(parts[0])
                 if rows > _TOGETHER // 2:
-                    yield from emit(parts[0])
+                    yield from parts[0].cast(kind).to_batches(65_536)
                     parts, rows = [], 0
         if parts:
-            yield from emit(merged(parts))
-        for lang, n in totals.items():
-            yield rows_of(lang, pa.array([""]), np.array([n]), np.array([zlib.crc32(lang.encode()) % parts_all]))
-
-    def add_up(batches):
-        for rows in _by_part(batches):
-            parts = []
-            for r in rows:
-                text = pa.decompress(r["words"], r["bytes"], "zstd", asbytes=True).decode() if r["bytes"] else ""
-                parts.append(pa.table([pa.array([r["lang"]] * r["size"], pa.string()), pa.array(text.split(" "), pa.string()),
-                                       pa.array(_unpacked(r["n"], r["size"]))], names))
-            found = merged(parts)
-            found = found.filter(pc.or_(pc.greater_equal(found["n"], least), pc.equal(found["word"], "")))
-            yield from found.combine_chunks().to_batches()
+            yield from merged().cast(kind).to_batches(65_536)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()),
+                                              pa.array(list(totals.values()), pa.int64())], schema=kind)
 
-    rows = docs.mapInArrow(tally, "part int, lang string, size int, bytes bigint, words binary, n binary").repartition("part").sortWithinPartitions("part")
-    return rows.mapInArrow(add_up, "lang string, word string, n bigint")
+    return docs.mapInArrow(tally, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +128,9 @@ def _spread(place: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return place + np.repeat(np.cumsum(widths) - widths, sizes)
 
 
-#: block, places and ids of words, places and ids of phrases. The first relation's phrases are its words.
-_RELATION = "block bigint, place array<int>, word array<int>, at array<int>, phrase array<int>"
+#: block, places and ids of words, and in relations beyond the first, whose phrases are its words, places and ids of phrases.
+_FIRST = "block bigint, place array<int>, word array<int>"
+_RELATION = f"{_FIRST}, at array<int>, phrase array<int>"
 
 
 def _first(docs: DataFrame, words: DataFrame, in_tasks: int) -> DataFrame:
@@ -220,10 +153,9 @@ def _first(docs: DataFrame, words: DataFrame, in_tasks: int) -> DataFrame:
                     of = ids[codes] if len(codes) else np.zeros(0, np.int64)
                     kept = of >= 0
                     ends = np.concatenate(([0], np.cumsum(kept)))[ends]
-                    place, of = _lists(place[kept], ends), _lists(of[kept], ends)
-                    yield pa.RecordBatch.from_arrays([batch["block"].filter(pa.array(which)), place, of, place, of],
-                                                     ["block", "place", "word", "at", "phrase"])
-        return docs.mapInArrow(keep, _RELATION).filter(F.size("word") > 1)
+                    yield pa.RecordBatch.from_arrays([batch["block"].filter(pa.array(which)), _lists(place[kept], ends), _lists(of[kept], ends)],
+                                                     ["block", "place", "word"])
+        return docs.mapInArrow(keep, _FIRST).filter(F.size("word") > 1)
 
     def split(batches):
         for batch in batches:
@@ -238,8 +170,7 @@ def _first(docs: DataFrame, words: DataFrame, in_tasks: int) -> DataFrame:
         "block", "lang", F.col("o.place").alias("place"), F.col("o.words").alias("word"))
     met = rows.join(words.select("lang", "word", F.col("rank").cast("int").alias("id")), ["lang", "word"])
     runs = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("r"))
-    return runs.select("block", F.col("r.place").alias("place"), F.col("r.id").alias("word"), F.col("r.place").alias("at"),
-                       F.col("r.id").alias("phrase")).filter(F.size("word") > 1)
+    return runs.select("block", F.col("r.place").alias("place"), F.col("r.id").alias("word")).filter(F.size("word") > 1)
 
 
 def _joined(batch: pa.RecordBatch, length: int):
@@ -249,8 +180,8 @@ def _joined(batch: pa.RecordBatch, length: int):
     """
     place, ends = _flat(batch["place"])
     word, _ = _flat(batch["word"])
-    at, at_ends = _flat(batch["at"])
-    phrase, _ = _flat(batch["phrase"])
+    at, at_ends = _flat(batch["at"]) if length > 2 else (place, ends)
+    phrase = _flat(batch["phrase"])[0] if length > 2 else word
     axis = _spread(place.astype(np.int64), ends)
     shift = axis[ends[:-1].clip(max=max(len(axis) - 1, 0))] - place[ends[:-1].clip(max=max(len(place) - 1, 0))] if len(place) else np.zeros(0)
     start = at + np.repeat(shift, np.diff(at_ends)).astype(np.int64)
@@ -263,18 +194,7 @@ def _joined(batch: pa.RecordBatch, length: int):
 
 
 def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
-    """Frequent groups of ``length`` words: key (phrase id, word id) and n. Counts of a task are packed by part, as those of words are."""
-    parts = _partitions(relation)
-    packed = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-
-    def rows_of(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """Keys ascend within a part, so their differences are small numbers."""
-        order, slices = _dealt((base.mix(key) % np.uint64(parts)).astype(np.int64))
-        key, n = key[order], n[order]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((
-            [p for p, _, _ in slices], [b - a for _, a, b in slices], [_packed(np.diff(key[a:b], prepend=0)) for _, a, b in slices],
-            [_packed(n[a:b]) for _, a, b in slices]), packed.types)], schema=packed)
-
+    """Frequent groups of ``length`` words: key (phrase id, word id) and n."""
     def tally(batches):
         keys, counts, rows = [], [], 0
         for batch in batches:
@@ -288,19 +208,13 @@ def _group_counts(relation: DataFrame, length: int, least: int) -> DataFrame:
                 key, n = _summed(keys, counts)
                 keys, counts, rows = [key], [n], len(key)
                 if rows > _TOGETHER // 2:
-                    yield rows_of(key, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
                     keys, counts, rows = [], [], 0
         if rows:
-            yield rows_of(*_summed(keys, counts))
-
-    def add_up(batches):
-        for rows in _by_part(batches):
-            key, n = _summed([np.cumsum(_unpacked(r["keys"], r["size"])) for r in rows], [_unpacked(r["n"], r["size"]) for r in rows])
-            often = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(n[often])], ["key", "n"])
+            key, n = _summed(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    rows = relation.mapInArrow(tally, "part int, size int, keys binary, n binary").repartition("part").sortWithinPartitions("part")
-    return rows.mapInArrow(add_up, "key bigint, n bigint")
+    return relation.mapInArrow(tally, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _keep(relation: DataFrame, groups: DataFrame, length: int, in_tasks: int) -> DataFrame:
@@ -348,9 +262,9 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in_task
     base.set_up(docs.sparkSession)
     rows = base.pick(docs, lang=(lang, "string"), text=(text, "string")).select(
         F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.monotonically_increasing_id().alias("block"))
-    counted = base.written(_word_counts(rows, least), "word-counts")
-    words = base.ranked(counted.filter("word <> ''"), [], ["lang", "word"], "frequent-words")
-    out = counted.select("lang", F.when(F.col("word") == "", 0).otherwise(1).alias("size"), F.col("word").alias("phrase"),
+    counted = base.written(_word_counts(rows).filter((F.col("n") >= least) | F.col("word").isNull()), "word-counts")
+    words = base.ranked(counted.filter("word is not null"), [], ["lang", "word"], "frequent-words")
+    out = counted.select("lang", F.when(F.col("word").isNull(), 0).otherwise(1).alias("size"), F.coalesce("word", F.lit("")).alias("phrase"),
                          F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"), "n")
     relation = base.written(_first(rows, words, in_tasks), "occurrences-1")
     names = words.select("lang", F.col("rank").alias("last"), F.col("word").alias("name"))
