@@ -258,7 +258,7 @@ def frequent(docs: DataFrame, most: int = REMEMBERED) -> DataFrame:
 def _by_hash(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Remembered words in the order of their hashes: hashes, words, and where the ids of each begin among all ids."""
     words = table["word"].combine_chunks().cast(pa.large_string())
-    hashes = base.hash_words(words)
+    hashes = np.concatenate([base.hash_words(words.slice(i, 100_000)) for i in range(0, max(1, len(words)), 100_000)])
     order = pa.array(np.argsort(hashes))
     ids = table["ids"].combine_chunks().take(order) if len(words) else pa.array([], pa.list_(pa.int32()))
     return hashes[order], words.take(order), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)
