@@ -55,37 +55,62 @@ class Grid:
         return df.withColumn("_row", row).withColumn("_col", col)
 
 
-#: Points of a cell that are joined as one group.
+#: Places of a cell, or points of a place, that are joined as one group.
 _CELL_POINTS = 4096
 
 
 def _in_parts(a: DataFrame, b: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a part (``_i``, ``_j``) of their cell. A cell with more than ``bound`` points of ``b`` is cut into n parts of each side,
+    """Both sides with a part (``_i``, ``_j``) of their cell. A cell with more than ``bound`` places of ``b`` is cut into n parts of each side,
     and every part of one side meets every part of the other: n * n groups of a bounded size in place of one."""
     crowded = b.groupBy("_row", "_col").agg(F.count("*").alias("_n")).filter(F.col("_n") > bound)
     crowded = crowded.withColumn("_n", F.ceil(F.col("_n") / bound).cast("int"))
     hot = crowded.count()
 
-    def cut(side: DataFrame, own: str, other: str, id: str) -> DataFrame:
+    def cut(side: DataFrame, own: str, other: str, place: list[str]) -> DataFrame:
         tagged = join_sized(side, crowded, ["_row", "_col"], hot, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-        return tagged.withColumns({own: F.pmod(F.xxhash64(id), F.col("_n")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col("_n") - 1))}).drop("_n")
-    return cut(a, "_i", "_j", "id_a"), cut(b, "_j", "_i", "id_b")
+        return tagged.withColumns({own: F.pmod(F.xxhash64(*place), F.col("_n")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col("_n") - 1))}).drop("_n")
+    return cut(a, "_i", "_j", ["lat_a", "lng_a"]), cut(b, "_j", "_i", ["lat_b", "lng_b"])
+
+
+def _close_places(places: DataFrame, miles: float, bound: int) -> DataFrame:
+    """Places with each place in reach, itself included, their distance and the parts of their points: equi-join on cells, then the exact distance."""
+    grid = Grid(miles, miles)
+    side = lambda s: places.select(*[F.col(c).alias(f"{c}_{s}") for c in ("lat", "lng", "n")])
+    a, b = _in_parts(grid.around(side("a"), "lat_a", "lng_a"), grid.tag(side("b"), "lat_b", "lng_b"), bound)
+    d = haversine_miles(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
+    # A join hint, as a broadcast of places or points would pass through the driver.
+    met = a.join(b.hint("merge"), ["_row", "_col", "_i", "_j"]).withColumn("miles", d).filter(F.col("miles") < miles)
+    alone = (F.col("n_a") == 1) & (F.col("lat_a") == F.col("lat_b")) & (F.col("lng_a") == F.col("lng_b"))
+    parts = {f"_part_{s}": F.explode(F.sequence(F.lit(0), _parts(F.col(f"n_{s}"), bound) - 1)) for s in "ab"}
+    out = met.filter(~alone).select("lat_a", "lng_a", "n_a", "lat_b", "lng_b", "n_b", "miles")
+    for name, part in parts.items():
+        out = out.withColumn(name, part)
+    return out.drop("n_a", "n_b")
+
+
+def _parts(n: Column, bound: int) -> Column:
+    return F.ceil(n / F.lit(bound)).cast("int")
 
 
 def close_pairs(points: DataFrame, miles: float, id: str = "id", lat: str = "lat", lng: str = "lng", cell_points: int = _CELL_POINTS) -> DataFrame:
-    """All pairs (id_a < id_b) strictly closer than ``miles``: equi-join on cells, then the exact distance.
+    """All pairs (id_a < id_b) strictly closer than ``miles``.
 
-    Crowded cells are joined in parts, so no task gets more than ``cell_points`` points of a cell against each other, however many there are.
+    Distances are those of distinct places; the points of two places in reach of each other then meet, so points at one place cost a comparison
+    of ids each, not a distance. Crowded cells and places are joined in parts: no task gets more than ``cell_points`` points against each other
+    in a group, however many there are, and neither points nor places pass through the driver.
     """
-    grid = Grid(miles, miles)
-    a = grid.around(points.select(F.col(id).alias("id_a"), F.col(lat).alias("lat_a"), F.col(lng).alias("lng_a")),
-                    "lat_a", "lng_a")
-    b = grid.tag(points.select(F.col(id).alias("id_b"), F.col(lat).alias("lat_b"), F.col(lng).alias("lng_b")),
-                 "lat_b", "lng_b")
-    d = haversine_miles(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
-    a, b = _in_parts(a, b, cell_points)
-    return (a.join(b, ["_row", "_col", "_i", "_j"]).filter(F.col("id_a") < F.col("id_b"))
-            .select("id_a", "id_b", d.alias("miles")).filter(F.col("miles") < miles))
+    own = points.select(F.col(id).alias("id"), F.col(lat).alias("lat"), F.col(lng).alias("lng")).filter("lat IS NOT NULL AND lng IS NOT NULL")
+    places = own.groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"))
+    links = _close_places(places, miles, cell_points)
+    link = ["lat_a", "lng_a", "_part_a", "lat_b", "lng_b", "_part_b"]
+    sizes = places.filter(F.col("n") > cell_points)
+
+    def members(s: str) -> DataFrame:
+        placed = own.join(sizes.hint("merge"), ["lat", "lng"], "left").select(
+            F.col("id").alias(f"id_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lng").alias(f"lng_{s}"),
+            F.pmod(F.xxhash64("id"), _parts(F.coalesce("n", F.lit(1)), cell_points)).cast("int").alias(f"_part_{s}"))
+        return placed.join(links.hint("merge"), [f"lat_{s}", f"lng_{s}", f"_part_{s}"]).select(f"id_{s}", *link, *(["miles"] if s == "a" else []))
+    return members("a").join(members("b").hint("merge"), link).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b", "miles")
 
 
 #: Points of a cell that a round looks at, the smallest ids first.

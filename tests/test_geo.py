@@ -61,3 +61,16 @@ def test_chains_and_spots_take_few_rounds(spark, monkeypatch, case):
     got = sorted(r["id"] for r in geo.separated_subset(df, 5.0 if case == "line" else 0.7).collect())
     assert got == greedy(pts, 5.0 if case == "line" else 0.7)
     assert len(rounds) <= 6
+
+
+def test_points_do_not_pass_through_the_driver(spark):
+    """Copies at one place meet in parts of a bounded size, without a broadcast of points; only crowded cells are broadcast."""
+    pts = {i: (34.5, -119.5) for i in range(40)} | {40 + i: (34.52, -119.5) for i in range(9)} | {60: (50.0, 10.0)}
+    df = spark.createDataFrame([(i, *p) for i, p in pts.items()], "id bigint, lat double, lng double")
+    pairs = geo.close_pairs(df, 5.0, cell_points=6)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    broadcast = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert broadcast and not any(c in line for line in broadcast for c in ("_i#", "_part", "lat_"))
+    want = {(a, b) for a in pts for b in pts if a < b and haversine(pts[a], pts[b]) < 5.0}
+    got = [(r.id_a, r.id_b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
