@@ -64,60 +64,30 @@ class InOrder(StatefulProcessor):
     state until the watermark has passed them, so the order does not depend on the micro-batches; a row that arrives behind
     the watermark is dropped by the engine, and what the watermark has not passed at the end stays in the state.
 
-    Waiting rows lie in a map by buckets of ``bucket_ms`` of their time. A micro-batch rewrites the buckets its rows fall into, and the
-    timers of a bucket that the watermark has passed remove it; what waits further ahead is neither read nor written.
+    Waiting is an aggregation by series and millisecond (``_in_order``), so what gets here are rows the watermark has just passed: a series
+    has one call and one read and write of its state for a micro-batch, however many rows and hours that holds.
     """
 
     fields: dict[str, str]  # the columns a subclass reads, with their SQL types
+    timed = False  # whether a subclass also acts on the watermark itself
 
-    def __init__(self, order: str, ts: str | None, bucket_ms: int = 3_600_000):
-        self.order, self.ts, self.bucket_ms = order, ts, bucket_ms
+    def __init__(self, order: str, ts: str | None):
+        self.order, self.ts = order, ts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        if self.ts:
-            columns = ", ".join(f"c{i} ARRAY<{t}>" for i, t in enumerate(("BIGINT", *self.fields.values())))
-            self.waiting = handle.getMapState("waiting", "bucket BIGINT", columns)
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.ts:
-            yield from self.take(key, pd.concat(list(rows)).sort_values(self.order))
+        parts = [pdf for pdf in rows if not pdf.empty]
+        if not parts:  # a call for timers only
             return
-        first = None
-        for pdf in rows:
-            if pdf.empty:  # a call for timers only
-                continue
-            pdf = pdf[["row_ms", *self.fields]].assign(row_ms=pdf["row_ms"].astype("int64"))
-            first = int(pdf["row_ms"].min()) if first is None else min(first, int(pdf["row_ms"].min()))
-            for bucket, part in pdf.groupby(pdf["row_ms"] // self.bucket_ms):
-                name = (int(bucket),)
-                columns = [part[c].astype(object).where(part[c].notna(), None).tolist() for c in part.columns]
-                before = self.waiting.getValue(name) if self.waiting.containsKey(name) else [[] for _ in columns]
-                self.waiting.updateValue(name, tuple([*old, *new] for old, new in zip(before, columns)))
-        if first is not None:  # one timer for a micro-batch: when it expires, the next one follows
-            self.handle.registerTimer(first)
+        yield from self.take(key, pd.concat(parts).sort_values(self.order))
+        if self.timed:
+            yield from self.passed(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        ready, buckets = [], sorted(b for (b,) in self.waiting.keys())
-        later = [b * self.bucket_ms for b in buckets if b * self.bucket_ms > passed][:1]
-        for bucket in (b for b in buckets if b * self.bucket_ms <= passed):
-            rows = pd.DataFrame(dict(zip(["row_ms", *self.fields], self.waiting.getValue((bucket,)))))
-            behind = rows["row_ms"] <= passed
-            ready.append(rows[behind])
-            rest = rows[~behind]
-            if len(rest):  # only in the bucket the watermark lies in
-                self.waiting.updateValue((bucket,), tuple(rest[c].astype(object).tolist() for c in rest.columns))
-                later = [int(rest["row_ms"].min())]
-            else:
-                self.waiting.removeKey((bucket,))
-        for ms in later:
-            self.handle.registerTimer(ms)
-        # The timers of one watermark come one after another; the first takes all rows.
-        if sum(map(len, ready)):
-            yield from self.take(key, pd.concat(ready).sort_values(self.order))
-        yield from self.passed(key, passed)
+        yield from self.passed(key, timerValues.getCurrentWatermarkInMs())
 
     def passed(self, key, ms: int) -> Iterator[pd.DataFrame]:
         """Called when the watermark has moved to ``ms`` and all rows up to there are taken."""
@@ -130,9 +100,11 @@ class InOrder(StatefulProcessor):
 def _in_order(stream: DataFrame, key: str, processor: InOrder, schema: str, delay: str | None) -> DataFrame:
     if not processor.ts:
         return stream.select(key, *processor.fields).groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
-    timed = stream.withWatermark(processor.ts, delay).select(
-        key, *processor.fields, processor.ts, F.unix_millis(F.col(processor.ts).cast("timestamp")).alias("row_ms"))
-    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventtime")
+    at = F.date_trunc("millisecond", F.col(processor.ts).cast("timestamp")).alias("row_at")
+    waiting = (stream.select(key, *processor.fields, at).withWatermark("row_at", delay).groupBy(key, "row_at")
+               .agg(F.collect_list(F.struct(*processor.fields)).alias("rows")))
+    passed = waiting.select(key, "row_at", F.inline("rows"))
+    return passed.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventtime" if processor.timed else "none")
 
 
 class CountWindows(InOrder):
@@ -198,6 +170,8 @@ class FilledBins(InOrder):
     whether a series goes on is not known before.
     """
 
+    timed = True
+
     def __init__(self, value: str, width_ms: int, order: str, ts: str):
         super().__init__(order, ts)
         self.value, self.width_ms = value, width_ms
@@ -213,9 +187,11 @@ class FilledBins(InOrder):
     def take(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         state = self.state.get() if self.state.exists() else None
         out = []
-        known = pdf.assign(_bin=pdf["at_ms"].astype("int64") // self.width_ms, _v=pd.to_numeric(pdf[self.value]))
-        for at, part in known.groupby("_bin"):
-            total, n = float(part["_v"].sum()), int(part["_v"].notna().sum())
+        values = pd.to_numeric(pdf[self.value]).to_numpy(float)
+        known = ~np.isnan(values)
+        bins, of = np.unique(pdf["at_ms"].to_numpy("int64") // self.width_ms, return_inverse=True)
+        totals, counts = np.bincount(of, np.where(known, values, 0.0), len(bins)), np.bincount(of, known, len(bins))
+        for at, total, n in zip(bins.tolist(), totals.tolist(), counts.astype(int).tolist()):
             if state is not None and state[0] == at:  # the bin is open: rows of it were taken before
                 state = (int(at), state[1] + total, state[2] + n, state[3])
                 continue
@@ -228,7 +204,8 @@ class FilledBins(InOrder):
             else:
                 state = (int(at), total, n, None)
         self.state.update(state)
-        self.handle.registerTimer((state[0] + 1) * self.width_ms)
+        if state[2] >= 0:
+            self.handle.registerTimer((state[0] + 1) * self.width_ms)
         if out:
             yield self._closed(key, out)
 

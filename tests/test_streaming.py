@@ -140,3 +140,37 @@ def test_filled_bins(spark, data, tmp_path):
     want = batch.join(last, K).filter((F.col("bin") < F.col("last")) | ((F.col("bin") + 1) * 120_000 <= passed)).select(*batch.columns)
     rounded = lambda d: sorted((r.series_id, r.bin, round(r["mean"], 9), r.filled) for r in d.collect())
     assert rounded(got) == rounded(want) and any(r.filled for r in got.collect())
+
+
+class CountedState:
+    """Stands for the state of one series and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getListState = getValueState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("update", "updateValue"):
+                self.value = args[-1]
+            return self.value if name.startswith("get") else self.value is not None and name == "exists"
+        return call
+
+
+@pytest.mark.parametrize("make", [lambda: st.CountWindows(7, "event_id", "value", "ts"),
+                                  lambda: st.FilledBins("value", 3_600_000, "event_id", "ts")])
+def test_a_series_costs_a_few_calls_of_state_for_a_batch(make):
+    """Rows of 300 hours in one micro-batch are not a call of the state for each hour."""
+    import pandas as pd
+    rows = pd.DataFrame({"event_id": range(300), "value": np.arange(300.0), "row_ms": np.arange(300) * 3_600_000})
+    rows["at_ms"] = rows["row_ms"]
+    processor, state = make(), CountedState()
+    processor.init(state)
+    timers = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 400 * 3_600_000})()
+    out = list(processor.handleInputRows((1,), iter([rows]), timers))
+    assert sum(map(len, out)) == (42 if isinstance(processor, st.CountWindows) else 300) and state.calls <= 8
