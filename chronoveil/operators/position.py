@@ -12,6 +12,7 @@ plain window below the bound. Beyond it, or when the bound is unknown, they work
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,10 @@ BROADCAST_CELLS = 400_000
 ROW_BOUND = "max_series_rows"
 SERIES_COUNT = "series_count"
 SERIES_KEYS = "series_keys"
+ROWS = "rows"
 BLK = "_blk"
+# Rows that a task sorts; a stage of several windows holds a sort for each.
+TASK_ROWS = 1 << 16
 # Distinct values or keys that one sorted range holds, and the most ranges.
 RANGE_ROWS = 1 << 20
 MAX_RANGES = 1024
@@ -55,9 +59,18 @@ def join_sized(big: DataFrame, small: DataFrame, on: Sequence[str], rows: int |
     return join_null_safe(big, F.broadcast(small) if few else small, on, how)
 
 
-def mark_bound(df: DataFrame, pos: str, rows: int, keys: Sequence[str], series: int) -> DataFrame:
-    """Record on the position column how long the longest series is and how many series there are."""
-    return df.withMetadata(pos, {ROW_BOUND: int(rows), SERIES_COUNT: int(series), SERIES_KEYS: list(keys)})
+def mark_bound(df: DataFrame, pos: str, rows: int, keys: Sequence[str], series: int, total: int | None = None) -> DataFrame:
+    """Record on the position column how long the longest series is, how many series there are and, if known, how many rows."""
+    known = {} if total is None else {ROWS: int(total)}
+    return df.withMetadata(pos, {ROW_BOUND: int(rows), SERIES_COUNT: int(series), SERIES_KEYS: list(keys), **known})
+
+
+def spread(df: DataFrame, cols: Sequence[str], rows: int | None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows by ``cols``, in as many parts as ``rows`` need for ``task_rows`` each: the number that the session names, and merging by
+    bytes, know neither how wide rows become nor how many sorts a task runs. A table of few rows is returned as it is."""
+    if rows is None or rows <= task_rows:
+        return df
+    return df.repartition(max(-(-rows // task_rows), df.sparkSession.sparkContext.defaultParallelism), *cols)
 
 
 def group_bound(df: DataFrame, keys: Sequence[str]) -> int | None:
@@ -84,8 +97,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
         F.max("_n"), F.count_if(F.col("_n") > block_rows), F.count(F.lit(1)), F.sum("_n")).first()
     if not n_long:
         spec = Window.partitionBy(*keys).orderBy(order, *tie)
-        placed = df.withColumn(out, F.row_number().over(spec).cast("bigint") - 1)
-        return mark_bound(placed, out, longest or 0, keys, n_series)
+        placed = (spread(df, keys, n_rows) if keys else df).withColumn(out, F.row_number().over(spec).cast("bigint") - 1)
+        return mark_bound(placed, out, longest or 0, keys, n_series, n_rows or 0)
 
     cuts = long_keys.select(
         *keys, "_lo", ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / F.lit(block_rows))).alias("_width"))
@@ -95,16 +108,20 @@ def with_position(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[
     blocks = [BLK, "_sub"]
     counts = tagged.filter("_long").groupBy(*keys, *blocks).agg(F.count(F.lit(1)).alias("_c"))
     if counts.agg(F.max("_c")).first()[0] > 4 * block_rows:  # equal times whose ties are no numbers, or bursts within bursts
-        return mark_bound(_position_by_ranges(df, keys, order, tie, out, -(-n_rows // block_rows)), out, longest, keys, n_series)
+        return mark_bound(_position_by_ranges(df, keys, order, tie, out, -(-n_rows // block_rows)), out, longest, keys, n_series, n_rows)
     earlier = Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, *blocks, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(*keys, *blocks).orderBy(order, *tie)
-    placed = (tagged.repartition(*keys, *blocks)
-              .withColumn("_rn", F.row_number().over(local))
-              .transform(lambda d: join_null_safe(d, offsets, [*keys, *blocks], "left"))
-              .withColumn(out, (F.coalesce("_off", F.lit(0)) + F.col("_rn") - 1).cast("bigint"))
-              .drop(*blocks, "_long", "_rn", "_off"))
-    return mark_bound(placed, out, longest, keys, n_series)
+    # The offset of a block is a row of its own, the first in it: rows and offsets meet in one shuffle.
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in tagged.schema.fields if f.name not in (*keys, *blocks)]
+    heads = offsets.select(*keys, *blocks, *blank, "_off")
+    both = tagged.withColumn("_off", F.lit(None).cast("bigint")).unionByName(heads)
+    block = Window.partitionBy(*keys, *blocks)
+    rank = F.row_number().over(block.orderBy(F.col("_off").isNull(), order, *tie))
+    head = F.max("_off").over(block.orderBy(F.col("_off").isNull(), order, *tie).rowsBetween(Window.unboundedPreceding, 0))
+    placed = (spread(both, [*keys, *blocks], n_rows).select("*", rank.alias("_rn"), head.alias("_head")).filter(F.col("_off").isNull())
+              .withColumn(out, F.when(F.col("_head").isNull(), F.col("_rn") - 1).otherwise(F.col("_head") + F.col("_rn") - 2).cast("bigint"))
+              .drop(*blocks, "_long", "_rn", "_off", "_head"))
+    return mark_bound(placed, out, longest, keys, n_series, n_rows)
 
 
 def _position_by_ranges(df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], out: str, ranges: int) -> DataFrame:
@@ -180,8 +197,10 @@ def framed(df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int
     p = F.col(pos)
     first = F.greatest(F.lit(0), F.floor((p - after) / F.lit(block_rows))).cast("bigint")
     last = F.floor((p + before) / F.lit(block_rows)).cast("bigint")
-    spread = df.withColumn(BLK, F.explode(F.sequence(first, last))).repartition(*keys, BLK)
-    return (_stages(spread, [*keys, BLK], pos, stages)
+    rows = df.schema[pos].metadata.get(ROWS)
+    copies = 1 + (before + after) / block_rows
+    copied = spread(df.withColumn(BLK, F.explode(F.sequence(first, last))), [*keys, BLK], None if rows is None else math.ceil(rows * copies))
+    return (_stages(copied, [*keys, BLK], pos, stages)
             .filter(F.col(BLK) == F.floor(F.col(pos) / F.lit(block_rows)))
             .drop(BLK))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoveil.operators import checks, clean, geo, relational as rel, split, textscan, windows as wn
-from chronoveil.operators.position import framed, group_bound, join_sized, with_position
+from chronoveil.operators.position import ROWS, framed, group_bound, join_sized, spread, with_position
 from chronoveil.plans import fixtures as fx
 from chronoveil.plans.registry import query
 from chronoveil.session import scratch_path
@@ -514,7 +514,9 @@ def align_positions(spark, sf):
     rng = rel.common_range(ev, K, ["event_type"], "t_us")
     sensor = ["series_id", "event_type"]
     placed = with_position(ev.select(*sensor, "t_us", "event_id", "value"), sensor, "t_us", ["event_id"])
-    grid = clean.regrid(join_sized(placed, rng, K, group_bound(placed, K)), sensor, "pos", "t_us", ["value"], 6 * HOUR_US, "t_start", "t_start", "t_end")
+    # Neighbours, bins and channels of a series all meet where its rows are.
+    ranged = spread(join_sized(placed, rng, K, group_bound(placed, K)), K, placed.schema["pos"].metadata[ROWS])
+    grid = clean.regrid(ranged, sensor, "pos", "t_us", ["value"], 6 * HOUR_US, "t_start", "t_start", "t_end")
     wide = rel.align_columns(grid, ["series_id", "grid"], "event_type", "value", fx.EVENT_TYPES)
     return wide.select("series_id", "grid", *[r6(F.col(c), c) for c in fx.EVENT_TYPES])
 

@@ -194,3 +194,18 @@ def test_regrid(short, long):
         return clean.regrid(ends.select("series_id", "pos", "t", "value", "lo", "hi"), K, "pos", "t", ["value"], 7000, "lo", "lo", "hi", **kw
                             ).select("series_id", "grid", "value")
     same(grid(short), grid(long, block_rows=SMALL), ["series_id", "grid"])
+
+
+def test_parts_grow_with_the_rows(spark):
+    """Windows over many short series, and over copies of neighbouring blocks, get parts by rows, not the session's eight."""
+    import re
+
+    from chronoveil.operators import position as po
+    rows = 800_000
+    df = spark.range(rows).select((F.col("id") % 9973).alias("series_id"), F.col("id").alias("t"))
+    placed = po.with_position(df, ["series_id"], "t")
+    most = placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 1.3 * po.TASK_ROWS
+    copied = po.framed(placed, ["series_id"], "pos", 64, 0, {"p": lambda w: F.lag("t", 64).over(w)}, 16)
+    plan = copied._jdf.queryExecution().sparkPlan().toString()
+    assert max(int(n) for n in re.findall(r"_blk#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)) >= rows * 5 // po.TASK_ROWS
