@@ -14,7 +14,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 #: Drawn keys that are broadcast (16 bytes and the label each).
-_BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 500_000
 
 
 def sample_per_class(rows: DataFrame, label: str, key: list[str], most: int) -> tuple[DataFrame, dict]:
@@ -29,6 +29,6 @@ def sample_per_class(rows: DataFrame, label: str, key: list[str], most: int) ->
     counts = different.groupBy(label).count()
     share = F.shiftrightunsigned(draw, 11).cast("double") / F.lit(float(2 ** 53)) < F.lit(float(most)) / F.col("count")
     drawn = different.join(counts, label).filter(share).select(label, draw)
-    few = drawn.count() <= _BROADCAST_KEYS
+    few = drawn.count() <= BROADCAST_KEYS
     found = marked.join(F.broadcast(drawn) if few else drawn, [label, draw], "left_semi").dropDuplicates([label, draw])
     return found.drop(draw), {r[label]: r["count"] for r in counts.collect()}

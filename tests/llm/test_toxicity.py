@@ -4,7 +4,8 @@ import edge
 import numpy as np
 import pyarrow as pa
 import pytest
-from chronoveil.llm import base, queries, toxicity
+from chronoveil.llm import base, learning, queries, toxicity
+from pyspark.sql import functions as F
 
 
 def corpus(n=400, seed=1):
@@ -36,6 +37,42 @@ def test_learns_words_and_beginnings(model):
     assert values.min() >= 0 and values.max() <= 1
 
 
+def test_learns_from_every_labelled_row(spark):
+    """6000 toxic and 6000 clean texts, each with a word of its own: only what was learned from can be told."""
+    rng = random.Random(4)
+    rows = [(i, f"{edge.words(rng, 4, 200)} {''.join(rng.choices('bcdfghklmnprstvw', k=9))}", i // 7 % 2) for i in range(12_000)]
+    docs = edge.documents(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    held = {r.i for r in spark.range(12_000).filter(learning.held_out(F.col("id"))).select(F.col("id").alias("i")).collect()}
+    learned = [r for r in rows if r[0] not in held and r[0] % 5]
+    values = toxicity.raw_scores(model, *(lambda d, c, o: (toxicity.features(d), c, o))(*base.words(pa.array([t for _, t, _ in learned]))))
+    truth = np.array([y for _, _, y in learned])
+    assert ((values > np.median(values)) == truth).mean() > 0.9
+
+
+def test_learns_from_whole_texts(spark):
+    docs = edge.documents(spark, [(i, "word " * 10_000 + f"end{i}") for i in range(8)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, toxic int")
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "lang", "toxic", "doc_id").collect()
+    held = {r.doc_id for r in docs.filter(learning.held_out(F.col("doc_id"))).collect()}
+    assert sorted((r.doc_id, r.label, len(r.text), r.text[-4:]) for r in rows) == [(i, i % 2, 50_004, f"end{i}") for i in range(8) if i not in held]
+
+
+def test_many_shards_learn_the_same_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    monkeypatch.setattr(toxicity, "CHUNK_TEXTS", 30)
+    rows = corpus(1_500, seed=3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    docs = edge.documents(spark, [(i, t) for i, t, _ in rows])
+    table = toxicity.labelled(docs.union(docs), labels.union(labels), "doc_id", "text", "lang", "toxic", "doc_id")
+    held = spark.range(1_500).filter(learning.held_out(F.col("id"))).count()
+    assert table.count() == 1_500 - held and table.select("shard").distinct().count() > 5
+    model = toxicity.fit(docs, labels)
+    fresh = corpus(300, seed=9)
+    values = toxicity.scores(model, pa.array([t for _, t, _ in fresh]))
+    assert ((values >= toxicity.THRESHOLD) == np.array([y for _, _, y in fresh])).mean() > 0.97
+
+
 def test_pooling_is_the_maximum_over_the_whole_text(model):
     texts = ["a b c d e", "", "one", "one two", "x y z " * 50]
     dictionary, codes, offsets = base.words(pa.array(texts))
