@@ -67,6 +67,14 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def released(run):
+    """``run`` over the batches of a task; then the worker, which waits for further tasks, gives back what Arrow holds for reuse."""
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+    return whole
+
+
 def ordered_bounds(df: DataFrame, key: str, rows_per_block: int) -> list[int]:
     """Upper bounds that cut the long column ``key`` into blocks of about ``rows_per_block`` rows.
 

@@ -213,7 +213,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     spark = base.set_up(docs.sparkSession)
     rows = base.documents(docs, doc_id, text)
     bounds = base.ordered_bounds(rows.select("doc_id"), "doc_id", rows_per_range)
-    ranged = rows.mapInArrow(_encode_texts(tokenizer or tokens.public_tokenizer(), end_id, bounds),
+    ranged = rows.mapInArrow(base.released(_encode_texts(tokenizer or tokens.public_tokenizer(), end_id, bounds)),
                              "range int, doc_id bigint, n bigint, crc bigint, ids binary")
     inorder = ranged.repartition("range").sortWithinPartitions("range", "doc_id", "n", "crc").select("range", "doc_id", "n", "ids")
     gathered = base.written(inorder.mapInArrow(_gather, _GATHERED), "token-ids", compression="zstd")

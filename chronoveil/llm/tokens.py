@@ -6,6 +6,7 @@ words, one after another. Each distinct word is encoded once per worker and kept
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -22,6 +23,13 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np
 _PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Plain words that are encoded as one text.
 _LINE = 256
+#: Normaliser and pre-tokenizer of ``word_bpe_49k.json``.
+_PUBLIC_STEPS = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
 _workers: dict[str, "WordEncoder"] = {}
 
 
@@ -58,12 +66,19 @@ def pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     accented = (data[marks - 2] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (marks > 1)
     begins = before & ~space
     begins[marks[((last >= ord("a")) & (last <= ord("z"))) | accented]] = True
-    kept = ~space
-    packed = data[kept]
-    starts = np.append((np.cumsum(kept) - kept)[begins], len(packed))
+    packed = data[~space]
+    at = np.flatnonzero(begins)
+    spaces = np.cumsum(space, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    starts = np.append(at - spaces[at], len(packed))
     flat = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(packed))
     coded = flat.dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(), np.concatenate(([0], np.cumsum(begins)))[offsets]
+    return coded.dictionary, coded.indices.to_numpy(), np.searchsorted(at, offsets)
+
+
+def _cut(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of consecutive runs of ``flat``, given where each ends."""
+    data, at = flat.tobytes(), [0, *(4 * ends).tolist()]
+    return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 class WordEncoder:
@@ -76,37 +91,49 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.closing = np.zeros(self.vocabulary, dtype=bool)
         self.closing[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+        self.plain = self._plain()
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
+    def _plain(self):
+        """The tokenizer for lower-case plain words alone, which normalisation leaves as they are and the pattern takes whole."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        known = json.loads(self.tokenizer.to_str())
+        if (known["normalizer"], known["pre_tokenizer"]) != _PUBLIC_STEPS:
+            return self.tokenizer
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Ids of each part. Plain words are encoded many at a time: in each, the last id alone closes a word."""
         plain = [bool(_PLAIN.fullmatch(p)) for p in parts]
         joined = [p for p, one in zip(parts, plain) if one]
-        lines = [" ".join(joined[i:i + _LINE]) for i in range(0, len(joined), _LINE)]
-        flat = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        lines = [" ".join(joined[i:i + _LINE]).lower() for i in range(0, len(joined), _LINE)]
+        flat = np.array([i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], dtype="<u4")
         ends = np.flatnonzero(self.closing[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
         if len(ends) != len(joined) or (len(ends) and ends[-1] != len(flat)):  # a vocabulary without marks at word ends
             plain = [False] * len(parts)
             ends = ends[:0]
-        data = flat.tobytes()
-        whole = iter([data[4 * a:4 * b] for a, b in zip([0, *ends.tolist()[:-1]], ends.tolist())])
-        rest = [p for p, one in zip(parts, plain) if not one]
-        each = iter([np.array(e.ids, dtype="<u4").tobytes()
-                     for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        rest = self.tokenizer.encode_batch_fast([p for p, one in zip(parts, plain) if not one], add_special_tokens=False)
+        whole, each = iter(_cut(flat, ends)), iter(_cut(
+            np.array([i for e in rest for i in e.ids], dtype="<u4"), np.cumsum([len(e) for e in rest], dtype=np.int64)))
         return [next(whole if one else each) for one in plain]
 
     def _words(self, dictionary: list[str]) -> list[bytes]:
-        known, earlier = self.known, self.earlier
-        out = [known.get(w) for w in dictionary]
-        new = [w for w, v in zip(dictionary, out) if v is None]
+        known = self.known
+        out = list(map(known.get, dictionary))
+        new = [i for i, v in enumerate(out) if v is None]
         if new:
-            again = {w: earlier[w] for w in new if w in earlier}
-            unseen = [w for w in new if w not in again]
-            again.update(zip(unseen, self._ids(unseen)))
-            known.update(again)
-            out = [again[w] if v is None else v for w, v in zip(dictionary, out)]
+            words = [dictionary[i] for i in new]
+            ids = list(map(self.earlier.get, words))
+            unseen = iter(self._ids([w for w, v in zip(words, ids) if v is None]))
+            ids = [next(unseen) if v is None else v for v in ids]
+            known.update(zip(words, ids))
+            for i, v in zip(new, ids):
+                out[i] = v
             if len(known) > self.remembered:
                 self.known, self.earlier = {}, known
         return out
@@ -116,11 +143,6 @@ class WordEncoder:
         dictionary, codes, offsets = pieces(column)
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        each = self._words(dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(each), dtype="<u4")
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        lengths = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = flat[np.repeat(first[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[offsets]
+        _, ends, data = pa.array(self._words(dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pa.array(codes)).buffers()
+        ends = np.frombuffer(ends, dtype=np.int64, count=len(codes) + 1) // 4
+        return np.frombuffer(data, dtype="<u4", count=int(ends[-1])), ends[offsets]
