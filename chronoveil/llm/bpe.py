@@ -35,6 +35,8 @@ from chronoveil.llm import base
 LONGEST = 60
 #: Distinct words of at most LONGEST bytes that the workers hold (some 50 bytes each).
 REMEMBERED = 1_500_000
+#: Words and counts that a task holds before it adds them up, and passes them on if half as many are left.
+COUNTED = 600_000
 #: Bytes of an Arrow batch: a task has two workers at a time, and each takes some thirty times as much for one batch.
 BATCH_BYTES = "1m"
 #: Small maps that the rank map is cut into: about three ranks in each.
@@ -227,16 +229,16 @@ def _counts(docs: DataFrame) -> DataFrame:
             found = pc.value_counts(split_words(batch["text"])[0])
             parts.append(pa.table([found.field("values"), found.field("counts")], ["word", "n"]))
             rows += len(found)
-            if rows > 2_000_000:
+            if rows > COUNTED:
                 parts = [merged()]
                 rows = len(parts[0])
-                if rows > 1_000_000:
+                if rows > COUNTED // 2:
                     yield from parts[0].cast(kind).to_batches(65_536)
                     parts, rows = [], 0
         if parts:
             yield from merged().cast(kind).to_batches(65_536)
 
-    return docs.select("text").mapInArrow(tally, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(base.released(tally), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(docs: DataFrame, most: int = REMEMBERED) -> DataFrame:
@@ -257,11 +259,12 @@ def frequent(docs: DataFrame, most: int = REMEMBERED) -> DataFrame:
 
 def _by_hash(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Remembered words in the order of their hashes: hashes, words, and where the ids of each begin among all ids."""
-    words = table["word"].combine_chunks().cast(pa.large_string())
+    words = table["word"].combine_chunks()
     hashes = np.concatenate([base.hash_words(words.slice(i, 100_000)) for i in range(0, max(1, len(words)), 100_000)])
     order = pa.array(np.argsort(hashes))
     ids = table["ids"].combine_chunks().take(order) if len(words) else pa.array([], pa.list_(pa.int32()))
-    return hashes[order], words.take(order), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)
+    values = ids.values.to_numpy()
+    return hashes[order], words.take(order), ids.offsets.to_numpy(), values.astype(np.uint16 if values.max(initial=0) < 1 << 16 else np.int32)
 
 
 def _find(hashes: np.ndarray, known: pa.Array, words: pa.Array) -> np.ndarray:
@@ -269,7 +272,7 @@ def _find(hashes: np.ndarray, known: pa.Array, words: pa.Array) -> np.ndarray:
     if not len(hashes) or not len(words):
         return np.full(len(words), -1, dtype=np.int64)
     at = np.searchsorted(hashes, base.hash_words(words)).clip(max=len(hashes) - 1)
-    return np.where(pc.equal(known.take(pa.array(at)), words).to_numpy(zero_copy_only=False), at, -1)
+    return np.where(pc.equal(known.take(pa.array(at)), words.cast(pa.string())).to_numpy(zero_copy_only=False), at, -1)
 
 
 def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,8 +296,8 @@ def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERE
             new = place < 0
             long = new & (pc.binary_length(distinct).to_numpy() > LONGEST)
             own = {i: merge(distinct[i].as_py().encode(), ranks(path)) for i in np.flatnonzero(long).tolist()}
-            sizes = np.where(new, 0, starts[place + 1] - starts[place]) if len(starts) > 1 else np.zeros(len(place), np.int64)
-            first = np.where(new, 0, starts[place]) if len(starts) > 1 else np.zeros(len(place), np.int64)
+            sizes = np.where(new, 0, starts[place + 1] - starts[place]).astype(np.int64) if len(starts) > 1 else np.zeros(len(place), np.int64)
+            first = np.where(new, 0, starts[place]).astype(np.int64) if len(starts) > 1 else np.zeros(len(place), np.int64)
             pool = [ids]
             for i, found in own.items():
                 first[i], sizes[i] = sum(map(len, pool)), len(found)
@@ -302,7 +305,7 @@ def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERE
             pool = np.concatenate(pool) if own else ids
             lengths = sizes[codes]
             after = np.concatenate(([0], np.cumsum(lengths)))
-            out = pool[np.repeat(first[codes] - after[:-1], lengths) + np.arange(after[-1])]
+            out = pool[np.repeat(first[codes] - after[:-1], lengths) + np.arange(after[-1])].astype(np.int32)
             # A part ends at each word that is still to be folded, and at the end of each text.
             open_at = np.flatnonzero((new & ~long)[codes])
             places = np.concatenate([ends[1:], open_at])
@@ -314,7 +317,7 @@ def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERE
             texts = np.concatenate(([0], np.flatnonzero(order < len(ends) - 1) + 1))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(texts.astype(np.int32)), parts)], ["doc_id", "parts"])
 
-    found = rows.mapInArrow(look_up, f"doc_id bigint, parts array<struct<ids:{_IDS},word:string>>")
+    found = rows.mapInArrow(base.released(look_up), f"doc_id bigint, parts array<struct<ids:{_IDS},word:string>>")
     whole = F.flatten(F.transform("parts", lambda p: F.when(p.word.isNull(), p.ids).otherwise(F.concat(p.ids, encode_word(p.word, path)))))
     return found.select("doc_id", whole.alias("ids"))
 
@@ -380,4 +383,4 @@ def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 pa.array([hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(b, b[1:])], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(base.released(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

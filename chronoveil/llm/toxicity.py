@@ -278,7 +278,8 @@ def train(rows: DataFrame, rounds: int = ROUNDS, passes: int = PASSES, seed: int
     vector = parameters(Classifier.fresh(seed))
     sums = np.full(len(vector), 1e-6, dtype=np.float32)
     for number in range(rounds):
-        found = rows.select("shard", "text", "label").mapInArrow(_learn_shards(vector, sums, passes // rounds, seed + number), _STATE)
+        found = rows.select("shard", "text", "label").mapInArrow(
+            base.released(_learn_shards(vector, sums, passes // rounds, seed + number)), _STATE)
         total = _state_sum(found.repartition(MERGED).mapInArrow(_merge_states, _STATE).toArrow().to_batches())
         if total is None:
             break

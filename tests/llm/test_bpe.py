@@ -76,3 +76,12 @@ def test_heap_merges_like_the_library(library):
         for alphabet in ("ab", "thequickbrown", "中文字"):
             word = "".join(rng.choice(alphabet) for _ in range(n))
             assert bpe.merge(word.encode(), table) == library.encode_ordinary(word)
+
+
+def test_counts_are_passed_on_in_bounded_parts(spark, monkeypatch):
+    """A task holds few words at a time, and every word is counted all the same."""
+    monkeypatch.setattr(bpe, "COUNTED", 50)
+    texts = [f"w{i % 700} and w{i % 31} x" for i in range(3_000)]
+    docs = edge.documents(spark, list(enumerate(texts))).select("doc_id", "text")
+    found = {r.word: r.n for r in bpe._counts(docs).collect()}
+    assert found[" and"] == 3_000 and sum(n for w, n in found.items() if w == "w") == 3_000 and found[" x"] == 3_000
