@@ -37,8 +37,10 @@ LONGEST = 60
 REMEMBERED = 1_500_000
 #: Words and counts that a task holds before it adds them up, and passes them on if half as many are left.
 COUNTED = 600_000
-#: Bytes of an Arrow batch: a task has two workers at a time, and each takes some thirty times as much for one batch.
-BATCH_BYTES = "1m"
+#: Bytes of an Arrow batch: a task has two workers at a time, and each takes some thirty times as much for one batch, which it keeps.
+BATCH_BYTES = "256k"
+#: Ids whose pieces are joined at a time: the places of their bytes take many times as much as the bytes.
+JOINED = 16_384
 #: Small maps that the rank map is cut into: about three ranks in each.
 _MAPS = 16_384
 #: Stands for no rank, and is as long as any rank is written.
@@ -285,6 +287,7 @@ def encode(docs: DataFrame, path: str | None = None, remembered: int = REMEMBERE
     folded = base.written(known.select("word", encode_word(F.col("word"), path).alias("ids")), "word-ids")
     held = spark.sparkContext.broadcast(_by_hash(folded.toArrow()))
     base.discard(known, folded)
+    pa.default_memory_pool().release_unused()
 
     def look_up(batches):
         hashes, known, starts, ids = held.value
@@ -333,9 +336,13 @@ class _Pieces:
     def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of ``ids``, one after another, and where each begins, plus the end."""
         ids = np.where((ids >= 0) & (ids < len(self.sizes) - 1), ids, len(self.sizes) - 1)
-        lengths = self.sizes[ids]
-        after = np.concatenate(([0], np.cumsum(lengths)))
-        return self.data[np.repeat(self.first[ids] - after[:-1], lengths) + np.arange(after[-1])], after
+        after = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+        data = np.empty(after[-1], dtype=np.uint8)
+        for i in range(0, len(ids), JOINED):
+            part, ends = ids[i:i + JOINED], after[i:i + JOINED + 1]
+            places = np.repeat(self.first[part] - ends[:-1], self.sizes[part])
+            data[ends[0]:ends[-1]] = self.data[places + np.arange(ends[0], ends[-1])]
+        return data, after
 
 
 def _pieces_of(path: str) -> _Pieces:

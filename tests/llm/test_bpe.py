@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import edge
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -85,3 +87,28 @@ def test_counts_are_passed_on_in_bounded_parts(spark, monkeypatch):
     docs = edge.documents(spark, list(enumerate(texts))).select("doc_id", "text")
     found = {r.word: r.n for r in bpe._counts(docs).collect()}
     assert found[" and"] == 3_000 and sum(n for w, n in found.items() if w == "w") == 3_000 and found[" x"] == 3_000
+
+
+def test_workers_get_small_batches(spark):
+    """A worker holds some thirty times a batch, and keeps it: no batch of several texts is large."""
+    docs = edge.documents(spark, [(i, f"word{i} " * 1_000) for i in range(300)]).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(ids) for ids in batch["ids"]) * 4])})
+    found = [r.n for r in bpe.encode(docs).select("ids").mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) >= 300 * 1_000 * 4 and max(found) <= 400_000
+
+
+def test_pieces_are_joined_in_little_memory():
+    rng = np.random.default_rng(5)
+    pieces = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in rng.integers(0, 9, 1_000)]
+    ids = rng.integers(-5, 1_010, 500_000).astype(np.int32)
+    table = bpe._Pieces(pieces)
+    tracemalloc.start()
+    data, after = table.joined(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [pieces[i] if 0 <= i < 1_000 else b"" for i in ids.tolist()]
+    assert bytes(data) == b"".join(want) and np.diff(after).tolist() == list(map(len, want))
+    assert most < 10 * len(data)
